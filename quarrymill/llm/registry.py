@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .sharding import op10_sharding
+from .warc import ORACLE as WARC_SQL
+from .warc import op8_warc
 
 QUERIES: dict[str, Callable] = {
+    "op8_warc": op8_warc,
     "op10_sharding": op10_sharding,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_warc": WARC_SQL}
