@@ -37,3 +37,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def training_row(doc_id: Column, modulus: int, held_out: int) -> Column:
     """Whether crc32 of the id as text leaves another remainder than the held-out one (null ids: as an empty text)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(modulus)) != held_out
+
+
+def stretches(sizes, most: int):
+    """Cut rows of these sizes into runs (from, to) of about `most` in sum, at least one row each."""
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        held += int(size)
+        if held >= most:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .sentencepiece_dropout import op7_sentencepiece
 from .sharding import op10_sharding
 from .warc import ORACLE as WARC_SQL
 from .warc import op8_warc
 
 QUERIES: dict[str, Callable] = {
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_warc": op8_warc,
     "op10_sharding": op10_sharding,
 }
