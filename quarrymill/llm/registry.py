@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .language_id import op4_language_id
 from .sentencepiece_dropout import op7_sentencepiece
 from .sharding import op10_sharding
 from .warc import ORACLE as WARC_SQL
 from .warc import op8_warc
 
 QUERIES: dict[str, Callable] = {
+    "op4_language_id": op4_language_id,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_warc": op8_warc,
     "op10_sharding": op10_sharding,
