@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .language_id import op4_language_id
+from .license_scan import ORACLE as LICENSE_SQL
+from .license_scan import op6_license_scan
 from .sentencepiece_dropout import op7_sentencepiece
 from .sharding import op10_sharding
 from .warc import ORACLE as WARC_SQL
@@ -12,8 +14,9 @@ from .warc import op8_warc
 
 QUERIES: dict[str, Callable] = {
     "op4_language_id": op4_language_id,
+    "op6_license_scan": op6_license_scan,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_warc": op8_warc,
     "op10_sharding": op10_sharding,
 }
-ORACLES: dict[str, str] = {"op8_warc": WARC_SQL}
+ORACLES: dict[str, str] = {"op6_license_scan": LICENSE_SQL, "op8_warc": WARC_SQL}
