@@ -11,12 +11,14 @@ from .sentencepiece_dropout import op7_sentencepiece
 from .sharding import op10_sharding
 from .warc import ORACLE as WARC_SQL
 from .warc import op8_warc
+from .weighted_minhash import op9_near_duplicates
 
 QUERIES: dict[str, Callable] = {
     "op4_language_id": op4_language_id,
     "op6_license_scan": op6_license_scan,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_warc": op8_warc,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {"op6_license_scan": LICENSE_SQL, "op8_warc": WARC_SQL}
