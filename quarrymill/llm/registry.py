@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .language_id import op4_language_id
+from .line_dedup import op1_line_dedup
 from .license_scan import ORACLE as LICENSE_SQL
 from .license_scan import op6_license_scan
 from .sentencepiece_dropout import op7_sentencepiece
@@ -14,6 +15,7 @@ from .warc import op8_warc
 from .weighted_minhash import op9_near_duplicates
 
 QUERIES: dict[str, Callable] = {
+    "op1_line_dedup": op1_line_dedup,
     "op4_language_id": op4_language_id,
     "op6_license_scan": op6_license_scan,
     "op7_sentencepiece": op7_sentencepiece,
