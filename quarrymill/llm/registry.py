@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .decontamination import op5_decontamination
 from .language_id import op4_language_id
 from .line_dedup import op1_line_dedup
 from .license_scan import ORACLE as LICENSE_SQL
@@ -17,6 +18,7 @@ from .weighted_minhash import op9_near_duplicates
 QUERIES: dict[str, Callable] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_language_id": op4_language_id,
+    "op5_decontamination": op5_decontamination,
     "op6_license_scan": op6_license_scan,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_warc": op8_warc,
