@@ -11,12 +11,14 @@ from .license_scan import ORACLE as LICENSE_SQL
 from .license_scan import op6_license_scan
 from .sentencepiece_dropout import op7_sentencepiece
 from .sharding import op10_sharding
+from .vector_search import op3_vector_search
 from .warc import ORACLE as WARC_SQL
 from .warc import op8_warc
 from .weighted_minhash import op9_near_duplicates
 
 QUERIES: dict[str, Callable] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_vector_search": op3_vector_search,
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
     "op6_license_scan": op6_license_scan,
