@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .attention_lm import op2_language_model
 from .decontamination import op5_decontamination
 from .language_id import op4_language_id
 from .line_dedup import op1_line_dedup
@@ -18,6 +19,7 @@ from .weighted_minhash import op9_near_duplicates
 
 QUERIES: dict[str, Callable] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_language_model": op2_language_model,
     "op3_vector_search": op3_vector_search,
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
