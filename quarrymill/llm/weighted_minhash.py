@@ -6,9 +6,10 @@ keep their own, all rarer ones get that of the rarest kept word, so the table th
 
 1. Texts with equal weighted sets are one content (a group of copies, however large, becomes one row).
 2. Each content gets consistent weighted samples, banded. In a band's bucket every member is paired with the smallest
-   member alone, so a bucket of m members gives m - 1 pairs. Pairs are verified by weighted Jaccard similarity.
-3. A member that fails against its bucket's smallest one is then compared with all other members of that bucket; those
-   that passed are in one class already. So no link between two members of a bucket is lost.
+   member alone, so a bucket of m members gives m - 1 pairs; the components of these pairs are candidate clusters.
+3. Within a cluster all pairs are compared by one-permutation sketches of the sets, nearest first, and those that come
+   near the bound are verified by weighted Jaccard similarity on the whole sets unless already connected. No pairs are
+   emitted but the links that connect a class. Clusters larger than a chunk are compared chunk against chunk.
 4. Connected classes of verified links; every document carries the smallest doc_id of its class.
 """
 
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import cut, documents, fresh_path, stretches
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 12, 4  # a pair of similarity 0.8 shares no bucket with probability 0.002
+BANDS, ROWS = 14, 5  # a pair of similarity 0.8 shares no bucket with probability 0.004
+SKETCH = 256
+CHUNK_SETS, CHUNK_SET_SHINGLES = 1_024, 1_000_000  # of a cluster, in one chunk
 WORD = re.compile(r"\w+")
 KEPT_WORDS = 50_000
 FLUSH_WORDS = 300_000
@@ -195,30 +198,115 @@ def _contents(docs: DataFrame, frequencies, bands: int, rows: int) -> DataFrame:
                         bucket = mix(bucket * U64(0x9E3779B97F4A7C15) + codes[:, :, r])
                     for i, x in zip(some, bucket.view(np.int64), strict=True):
                         buckets[i] = x
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(contents, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "content", "buckets"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(contents, pa.binary()), pa.array(size, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "content", "shingles", "buckets"])
 
     id_type = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {id_type}, text_hash long, content binary, buckets array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {id_type}, text_hash long, content binary, shingles long, buckets array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shared, similarity: float) -> DataFrame:
-    """pairs (a, b) with `linked`: whether their weighted Jaccard similarity reaches the bound."""
+def _weighted_sets(texts: DataFrame, shared) -> DataFrame:
+    """content, cluster, chunk columns kept; text replaced by its shingle hashes (sorted) and weights, as bytes."""
+    at, kept = texts.columns.index("text"), [c for c in texts.columns if c != "text"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shared.value)
-        for pdf in batches:
-            said, last = [], (None, None)
-            for x, y in zip(pdf["text_a"], pdf["text_b"], strict=True):
-                if last[0] != x:
-                    last = x, shingler.sets([x])
-                (h, _, w, _), (g, _, v, _) = last[1], shingler.sets([y])
-                _, i, j = np.intersect1d(h, g, assume_unique=True, return_indices=True)
-                common = np.minimum(w[i], v[j]).sum()
-                said.append(bool(common >= (similarity - 1e-9) * (w.sum() + v.sum() - common)))
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "linked": said})
-
-    both = pairs.join(texts.select(F.col("content").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("content").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a binary, b binary, linked boolean")
+        for batch in batches:
+            sizes = pc.utf8_length(batch.column(at)).to_numpy(zero_copy_only=False)
+            for lo, hi in stretches(sizes, BATCH_CHARS):
+                part = batch.slice(lo, hi - lo)
+                h, _, w, size = shingler.sets(part.column(at).to_pylist())
+                ends = np.cumsum(size)
+                hashes, weights = [], []
+                for e, n in zip(ends, size, strict=True):
+                    order = np.argsort(h[e - n : e])
+                    hashes.append(h[e - n : e][order].tobytes())
+                    weights.append(w[e - n : e][order].astype(np.float32).tobytes())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(hashes, pa.binary()), pa.array(weights, pa.binary())], names=[*kept, "hashes", "weights"])
+
+    fields = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes if c != "text")
+    return texts.mapInArrow(run, f"{fields}, hashes binary, weights binary")
+
+
+def _sketch(hashes: np.ndarray, weights: np.ndarray, bins: int = SKETCH) -> np.ndarray:
+    """One-permutation weighted sketch: in each bin of hashes the shingle of the smallest exponential rank; 0: empty."""
+    out = np.zeros(bins, np.uint16)
+    if len(hashes):
+        again = mix(hashes + U64(0x632BE59BD9B4E019))
+        rank = -np.log(((again >> U64(11)).astype(np.float64) + 0.5) / 2**53) / weights
+        place = (hashes >> U64(40)).astype(np.int64) % bins
+        order = np.lexsort((rank, place))
+        first = order[np.concatenate([[True], place[order][1:] != place[order][:-1]])]
+        out[place[first]] = (hashes[first] & U64(0xFFFF)).astype(np.uint16) | 1
+    return out
+
+
+def links_within(sets: list[tuple[np.ndarray, np.ndarray]], cross: int | None, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect all pairs of sets of the given weighted Jaccard similarity; with cross, only pairs over that border.
+
+    Sketches order the pairs; every pair whose sketches come near the bound is verified on the whole sets, unless links
+    found before already connect it.
+    """
+    sketches = np.stack([_sketch(h, w) for h, w in sets])
+    total, filled = np.array([w.sum(dtype=np.float64) for _, w in sets]), sketches > 0
+    found_a, found_b, found_e = [], [], []
+    for i in range(len(sets) - 1 if cross is None else cross):
+        rest = slice(i + 1 if cross is None else cross, None)
+        either = (filled[rest] | filled[i]).sum(1)
+        near = ((sketches[rest] == sketches[i]) & filled[i]).sum(1) / np.maximum(either, 1)
+        bound = similarity - 3.5 * np.sqrt(similarity * (1 - similarity) / np.maximum(either, 1))
+        possible = (near >= bound) & (np.minimum(total[rest], total[i]) >= (similarity - 1e-6) * np.maximum(total[rest], total[i]))
+        j = np.flatnonzero(possible)
+        found_a.append(np.full(len(j), i))
+        found_b.append(j + rest.start)
+        found_e.append(near[j])
+    if not found_a:
+        return []
+    a, b, e = np.concatenate(found_a), np.concatenate(found_b), np.concatenate(found_e)
+    parent = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = []
+    for k in np.argsort(-e, kind="stable"):
+        i, j = int(a[k]), int(b[k])
+        x, y = root(i), root(j)
+        if x == y:
+            continue
+        (h, w), (g, v) = sets[i], sets[j]
+        at = np.searchsorted(g, h)
+        at[at == len(g)] = 0
+        hit = g[at] == h if len(g) else np.zeros(len(h), bool)
+        common = np.minimum(w[hit], v[at[hit]]).sum(dtype=np.float64)
+        if common >= (similarity - 1e-6) * (total[i] + total[j] - common):
+            parent[y] = x
+            links.append((i, j))
+    return links
+
+
+def _links(members: DataFrame, similarity: float) -> DataFrame:
+    """a, b: verified links. members: content, cluster, chunk, chunks, hashes, weights; a task holds two chunks of a cluster at most."""
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    paired = members.select("content", "cluster", "chunk", "hashes", "weights", other).withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, low, high = key
+        pdf = pdf.sort_values(["chunk", "content"])
+        if low == high:
+            cross = None
+        else:
+            cross = int((pdf["chunk"] == low).sum())
+            if cross in (0, len(pdf)):
+                return pd.DataFrame({"a": [], "b": []})
+        sets = [(np.frombuffer(h, np.uint64), np.frombuffer(w, np.float32)) for h, w in zip(pdf["hashes"], pdf["weights"], strict=True)]
+        found = links_within(sets, cross, similarity) if len(sets) > 1 else []
+        name = pdf["content"].to_numpy()
+        return pd.DataFrame({"a": [name[i] for i, _ in found], "b": [name[j] for _, j in found]})
+
+    return paired.drop("other").groupBy("cluster", "low", "high").applyInPandas(run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -254,23 +342,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     path = fresh_path(spark, "contents")
     _contents(own, frequencies, bands, rows).write.parquet(path)
     signed = spark.read.parquet(path)
-    distinct = signed.filter("content IS NOT NULL").groupBy("content").agg(F.min_by("buckets", F.struct("doc_id", "text_hash")).alias("buckets"), F.min(F.struct("doc_id", "text_hash")).alias("at"))
+    distinct = signed.filter("content IS NOT NULL").groupBy("content").agg(F.min_by("buckets", F.struct("doc_id", "text_hash")).alias("buckets"), F.min(F.struct("doc_id", "text_hash")).alias("at"), F.max("shingles").alias("shingles"))
     members = distinct.select("content", F.posexplode("buckets").alias("band", "bucket"))
     heads = members.groupBy("band", "bucket").agg(F.min("content").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared_buckets = cut(members.join(heads, ["band", "bucket"]))  # only buckets of two contents or more
-    stars = shared_buckets.filter("content != head").select(F.col("head").alias("a"), F.col("content").alias("b")).distinct()
-    wanted = shared_buckets.select("content").distinct().join(distinct.select("content", "at"), "content").select("content", F.col("at.doc_id").alias("want_id"), F.col("at.text_hash").alias("text_hash"))
-    text_path = fresh_path(spark, "texts")
+    stars = members.join(heads, ["band", "bucket"]).filter("content != head").select(F.col("head").alias("a"), F.col("content").alias("b")).distinct()
+    clusters = components(stars).select(F.col("node").alias("content"), F.col("label").alias("cluster"))
+    at = cut(clusters.join(distinct.select("content", "at", "shingles"), "content"))
+    load = at.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / F.lit(CHUNK_SETS)), F.ceil(F.sum("shingles") / F.lit(CHUNK_SET_SHINGLES))).cast("int").alias("chunks"))
+    placed = at.join(load, "cluster").withColumn("chunk", F.pmod(F.xxhash64("content"), F.col("chunks")).cast("int"))
+    wanted = placed.select("content", "cluster", "chunk", "chunks", F.col("at.doc_id").alias("want_id"), F.col("at.text_hash").alias("want_hash"))
     hashed = own.withColumn("text_hash", F.xxhash64("text"))
-    hashed.join(wanted, (hashed["text_hash"] == wanted["text_hash"]) & hashed["doc_id"].eqNullSafe(wanted["want_id"])).select("content", "text").dropDuplicates(["content"]).write.parquet(text_path)
-    texts = spark.read.parquet(text_path)
-    first = cut(_verified(stars, texts, shared, similarity))
-    failed = first.filter("NOT linked").select(F.col("a").alias("head"), F.col("b").alias("content"))
-    apart = shared_buckets.join(failed, ["head", "content"]).select("band", "bucket", F.col("content").alias("x"))
-    rest = apart.join(shared_buckets.filter("content != head").select("band", "bucket", F.col("content").alias("y")), ["band", "bucket"]).filter("x != y")
-    pairs = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    second = _verified(pairs, texts, shared, similarity)
-    labels = components(cut(first.union(second).filter("linked")))
+    texts = hashed.join(wanted, (F.col("text_hash") == F.col("want_hash")) & F.col("doc_id").eqNullSafe(F.col("want_id"))).select("content", "cluster", "chunk", "chunks", "text")
+    sets = _weighted_sets(texts, shared).dropDuplicates(["content"])  # of rows equal in id and text one
+    labels = components(cut(_links(sets, similarity)))
     classed = signed.join(labels.withColumnRenamed("node", "content"), "content", "left").select("doc_id", "text_hash", F.coalesce("label", "content").alias("class"))
     classes = classed.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return classed.join(classes, "class", "left").select("doc_id", "text_hash", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
