@@ -1,8 +1,6 @@
-"""Registered queries over the driver tables, each with its DuckDB equivalent where SQL can express it."""
+"""All registered queries over the driver tables, and the DuckDB equivalents of those that SQL can express."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+from . import q_changes, q_faces, q_files, q_filters, q_scalars, q_summaries  # noqa: F401
+from .base import ORACLES, QUERIES  # noqa: F401
