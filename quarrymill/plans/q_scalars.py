@@ -1 +1,153 @@
-"""Queries."""
+"""Queries of scalar functions (X*, D03, D13, D16)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarrymill.functions import scalars as sc
+from quarrymill.operators import hierarchy
+
+from .base import query
+
+
+@query("X01_X02_X03_names", "SELECT id, lower(regexp_replace(filename, '\\.[^.]*$', '')) AS stem, lower(regexp_extract(filename, '\\.([^.]+)$', 1)) AS ext, CASE lower(regexp_extract(filename, '\\.([^.]+)$', 1)) WHEN 'nef' THEN 'raw' WHEN 'mp4' THEN 'video' WHEN 'jpg' THEN 'image' WHEN 'png' THEN 'image' END AS kind FROM photos")
+def names(c):
+    f = F.col("filename")
+    return c.photos.select("id", sc.stem(f).alias("stem"), sc.extension(f).alias("ext"), sc.media_kind(f).alias("kind"))
+
+
+@query("X05_raw_parent", "SELECT DISTINCT album_path, CASE WHEN album_path IN ('RAW', '/RAW') THEN '/' WHEN album_path LIKE '%/RAW' THEN left(album_path, length(album_path) - 4) END AS parent FROM photos")
+def raw_parent(c):
+    return c.photos.select("album_path").distinct().withColumn("parent", sc.raw_parent(F.col("album_path")))
+
+
+@query("X06_X07_X08_sanitized", "SELECT s_name AS name, regexp_replace(s_name, '[^A-Za-z0-9_]', '_', 'g') AS api, regexp_replace(s_name, '[^A-Za-z0-9]', '_', 'g') AS file, left(trim(regexp_replace(regexp_replace(s_name, '[^A-Za-z0-9]', '_', 'g'), '_+', '_', 'g'), '_'), 63) AS import FROM supplier")
+def sanitized(c):
+    n = F.col("s_name")
+    return c.table("supplier").select(n.alias("name"), sc.sanitized_api(n).alias("api"), sc.sanitized_file(n).alias("file"), sc.sanitized_import(n).alias("import"))
+
+
+@query("X09_subtree", "SELECT id, path FROM tags WHERE path = 'Places.ASIA' OR path LIKE 'Places.ASIA.%'")
+def subtree(c):
+    return hierarchy.subtree(c.tags, 12).select("id", "path")
+
+
+@query("X10_rerooted", "SELECT id, 'World' || substring(path, length('Places') + 1) AS path FROM tags WHERE path = 'Places' OR path LIKE 'Places.%'")
+def rerooted(c):
+    return hierarchy.subtree(c.tags, 1).select("id", hierarchy.rerooted(F.col("path"), F.lit("Places"), F.lit("World")).alias("path"))
+
+
+@query("X13_X14_X40_calendar", "SELECT id, CAST(year(taken_at) AS INT) AS y, CAST(month(taken_at) AS INT) AS m, CAST(taken_at AS DATE) AS d, CAST(date_trunc('month', taken_at) AS DATE) AS first_day, last_day(taken_at) AS last_day FROM photos WHERE taken_at IS NOT NULL")
+def calendar(c):
+    dated = c.photos.filter(F.col("taken_at").isNotNull()).select("id", F.year("taken_at").alias("y"), F.month("taken_at").alias("m"), F.to_date("taken_at").alias("d"))
+    first, last = sc.month_range(F.col("y"), F.col("m"))
+    return dated.select("*", first.alias("first_day"), last.alias("last_day"))
+
+
+@query(
+    "D03_X17_inferred_date",
+    """
+WITH s AS (SELECT id, regexp_replace(filename, '\\.[^.]*$', '') AS n, string_split(album_path, '/') AS parts FROM photos),
+a AS (SELECT id, TRY_CAST(nullif(regexp_replace(regexp_extract(n, '(?:^|[^0-9])([0-9]{4}[-_][0-9]{2}[-_][0-9]{2})(?:[^0-9]|$)', 1), '_', '-', 'g'), '') AS DATE) AS f,
+ regexp_extract(n, '(?:^|[^0-9])((?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01]))(?:[^0-9]|$)', 1) AS k,
+ list_filter(parts, lambda p: regexp_full_match(p, '(19|20)[0-9]{2}([/-](0[1-9]|1[0-2]))?'))[-1] AS p FROM s),
+b AS (SELECT id, f, TRY_CAST(CASE WHEN k <> '' THEN k[1:4] || '-' || k[5:6] || '-' || k[7:8] END AS DATE) AS g, TRY_CAST(CASE WHEN length(p) = 4 THEN p || '-01-01' ELSE p || '-01' END AS DATE) AS h, length(p) AS lp FROM a)
+SELECT id, coalesce(f, g, h) AS inferred, CASE WHEN f IS NOT NULL THEN 'filename_ymd' WHEN g IS NOT NULL THEN 'filename_yyyymmdd' WHEN h IS NOT NULL THEN CASE WHEN lp = 4 THEN 'folder_year' ELSE 'folder_year_month' END END AS rule FROM b""",
+)
+def inferred_date(c):
+    date, rule = sc.inferred_date(F.col("filename"), F.col("album_path"))
+    return c.photos.select("id", date.alias("inferred"), rule.alias("rule"))
+
+
+@query("X18_D25_destination", "SELECT id, CASE WHEN regexp_matches(filename, '^PXL_[0-9]{8}') THEN filename[5:8] || '/' || filename[5:8] || '-' || filename[9:10] WHEN taken_at IS NOT NULL THEN strftime(taken_at, '%Y/%Y-%m') ELSE 'undated' END AS folder FROM photos")
+def destination(c):
+    return c.photos.select("id", sc.destination(F.col("filename"), F.col("taken_at")).alias("folder"))
+
+
+@query("X16_X19_X20_D13_exif", "SELECT id, taken_at, latitude, NULL::DOUBLE AS longitude, file_size, CAST(rating AS INT) AS rating, CASE color_label WHEN 1 THEN 1 WHEN 2 THEN 7 WHEN 3 THEN 4 END AS color FROM photos")
+def exif(c):
+    from .pipelines import exif_record
+
+    label = F.when(F.col("color_label") == 1, "Red").when(F.col("color_label") == 2, "grey").when(F.col("color_label") == 3, "GREEN").otherwise("none such")
+    raw = c.photos.select("id", F.to_json(F.struct(F.date_format("taken_at", "yyyy:MM:dd HH:mm:ss").alias("CreateDate"), F.col("latitude").cast("string").alias("GPSLatitude"), F.lit("undef").alias("GPSLongitude"), F.col("file_size").alias("FileSize"), F.col("rating").alias("Rating"), label.alias("Label"))).alias("exif"))
+    return exif_record(raw, "exif").select("id", "taken_at", "latitude", "longitude", "file_size", "rating", F.col("color_label").alias("color"))
+
+
+@query("X21_X38_bands", "SELECT id, least(greatest(rating - 1, 0), 5) AS rating, CASE WHEN s >= 0.75 THEN 'high' WHEN s >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM (SELECT id, rating, rating / 5.0 AS s FROM photos)")
+def bands(c):
+    return c.photos.select("id", sc.rating(F.col("rating") - 1).alias("rating"), sc.confidence_band(F.col("rating") / 5.0).alias("band"))
+
+
+@query("X22_X23_X26_boxes", "SELECT id, round((x + w / 2) / 640, 6) AS cx, round((y + h / 2) / 480, 6) AS cy, greatest(0, x - CAST(trunc(w * 0.2) AS INT)) AS crop_left, least(640, x + w + CAST(trunc(w * 0.2) AS INT)) AS crop_right FROM faces WHERE h IS NOT NULL")
+def boxes(c):
+    x, y, w, h = (F.col(k) for k in "xywh")
+    parts, edges = sc.box_fractions(x, y, w, h, F.lit(640), F.lit(480)), sc.crop(x, y, w, h, F.lit(640), F.lit(480))
+    return c.faces.filter(h.isNotNull()).select("id", parts[0].alias("cx"), parts[1].alias("cy"), edges[0].alias("crop_left"), edges[2].alias("crop_right"))
+
+
+@query("X24_rects", "SELECT id, x AS rx, y AS ry, w AS rw, h AS rh FROM faces")
+def rects(c):
+    x, y, w, h = (F.col(k).cast("string") for k in "xywh")
+    xml = F.concat(F.lit('<rect x="'), x, F.lit('" y="'), y, F.lit('" width="'), w, F.lit('" height="'), h, F.lit('"/>'))
+    json = F.concat(F.lit('{"x": '), x, F.lit(', "y": '), y, F.lit(', "width": '), w, F.lit(', "height": '), h, F.lit("}"))
+    text = F.when(F.col("id") % 3 == 0, xml).when(F.col("id") % 3 == 1, json).otherwise(F.concat_ws(" ", x, y, w, h))
+    kept = c.faces.withColumn("text", F.when(F.col("h").isNotNull(), text))
+    got = sc.rect(F.col("text"))
+    return kept.select("id", *[F.when(F.col("h").isNotNull(), g).otherwise(F.col(k)).alias(f"r{k}") for k, g in zip("xywh", got, strict=True)])
+
+
+@query("X27_folder_tier", "SELECT id, CASE WHEN folder = 'AB_TO_SORT' OR starts_with(folder, 'AB_TO_SORT/') THEN 0 WHEN folder = 'Ordered by Dates' OR starts_with(folder, 'Ordered by Dates/') THEN 1 ELSE 2 END AS tier FROM copies")
+def folder_tier(c):
+    return c.copies.select("id", sc.folder_tier(F.col("folder")).alias("tier"))
+
+
+@query(
+    "X28_X29_fingerprints",
+    "SELECT id, sha1(CAST(level AS VARCHAR) || '|' || logger_name || '|' || left(trim(regexp_replace(regexp_replace(message, '\\b\\d+(?:\\.\\d+)?\\b', 'N', 'g'), '/[^\\s]+', 'PATH', 'g')), 512)) AS fingerprint FROM app_logs",
+)
+def fingerprints(c):
+    return c.app_logs.select("id", sc.fingerprint(F.col("level"), F.col("logger_name"), F.col("message")).alias("fingerprint"))
+
+
+@query("X30_X31_unit_dot", "SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) / list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS own, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 3) AS DOUBLE[])), 6) AS third FROM embeddings")
+def unit_dot(c):
+    three = c.table("embeddings").filter("vec_id = 3").select(F.col("embedding").alias("e3"))
+    rows = c.table("embeddings").crossJoin(F.broadcast(three))  # one row
+    return rows.select("vec_id", F.round(sc.dot(sc.unit(F.col("embedding")), sc.unit(F.col("embedding"))), 6).alias("own"), F.round(sc.dot(F.col("embedding"), F.col("e3")), 6).alias("third"))
+
+
+@query("X33_adaptive_threshold", "SELECT label, n, greatest(0.72, 0.77 - least(1.0, greatest(0.0, (n - 20) / 280.0)) * (0.77 - 0.72)) AS threshold FROM (SELECT label, count(*) AS n FROM vectors WHERE status = 'confirmed' GROUP BY label)")
+def adaptive(c):
+    counts = c.vectors.filter("status = 'confirmed'").groupBy("label").agg(F.count("*").alias("n"))
+    return counts.select("label", "n", sc.adaptive_threshold(0.77, 0.72, F.col("n")).alias("threshold"))
+
+
+@query("X37_human", "SELECT id, CASE WHEN file_size < 1024 THEN format('{} B', file_size) WHEN file_size < 1048576 THEN format('{:.1f} KB', file_size / 1024.0) ELSE format('{:.1f} MB', file_size / 1048576.0) END AS size, format('{}:{:02d}', rating * 100 // 60, rating * 100 % 60) AS duration FROM photos")
+def human(c):
+    return c.photos.select("id", sc.human_bytes(F.col("file_size")).alias("size"), sc.human_duration(F.col("rating") * 100).alias("duration"))
+
+
+@query("X36_X39_twins", "SELECT id, contains(name, '- TWINS') AS twins, '/library/' || path || '/' || name AS disk_path FROM tags")
+def twins(c):
+    return c.tags.select("id", F.contains("name", F.lit("- TWINS")).alias("twins"), F.concat_ws("/", F.lit("/library"), "path", "name").alias("disk_path"))
+
+
+@query("X41_S14_guessed_level", "SELECT level_name, count(*) AS n FROM (SELECT CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'WARNING' ELSE 'INFO' END AS level_name FROM events WHERE event_type <> 'signup') GROUP BY 1")
+def guessed(c):
+    from quarrymill.streaming.logs import stderr_records
+
+    line = F.concat_ws(" ", F.lit("[x]"), F.when(F.col("event_type") == "view", "Warn:").otherwise(F.col("event_type")), F.lit("at"), F.col("user_id"))
+    return stderr_records(c.table("events").select(line.alias("value"), "ts"), "signup").groupBy("level_name").agg(F.count("*").alias("n"))
+
+
+@query(
+    "D16_D20_tag_depths",
+    "WITH RECURSIVE tree(id, root, depth) AS (SELECT id, name, 1 FROM tags WHERE parent_id IS NULL UNION ALL SELECT t.id, tree.root, tree.depth + 1 FROM tags t JOIN tree ON t.parent_id = tree.id) SELECT id, root, CAST(depth AS BIGINT) AS depth FROM tree",
+)
+def depths(c):
+    return hierarchy.depths(c.tags)
+
+
+@query("D16_persons", "SELECT id, CAST(2 AS BIGINT) AS depth FROM tags WHERE parent_id = 2")
+def persons(c):
+    return hierarchy.persons(c.tags)

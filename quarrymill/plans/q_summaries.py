@@ -1 +1,213 @@
-"""Queries."""
+"""Queries of joins, aggregates and windows (J*, A*, W*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarrymill.operators import aggregates as ag
+from quarrymill.operators import filters as fl
+from quarrymill.operators.hierarchy import rollup_paths
+
+from .base import query
+
+
+@query("J01_tag_names", "SELECT name, count(*) AS n FROM photo_tags JOIN tags ON tag_id = id GROUP BY name")
+def tag_names(c):
+    return c.photo_tags.groupBy("tag_id").agg(F.count("*").alias("n")).join(c.tags, F.col("tag_id") == F.col("id")).select("name", "n")
+
+
+@query("J02_A32_faces_per_person", "SELECT t.id, t.name, count(f.id) AS n FROM tags t LEFT JOIN faces f ON f.person_tag_id = t.id WHERE t.is_person GROUP BY t.id, t.name")
+def faces_per_person(c):
+    counts = c.faces.groupBy("person_tag_id").agg(F.count("*").alias("n"))
+    return c.tags.filter("is_person").join(counts, F.col("id") == F.col("person_tag_id"), "left").select("id", "name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(
+    "J03_image_record",
+    "SELECT o_orderkey AS image_id, c_name AS owner, n_name AS place, max(CASE WHEN l_linenumber = 1 THEN l_returnflag END) AS comment1, max(CASE WHEN l_linenumber = 2 THEN l_returnflag END) AS comment2 FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3",
+)
+def image_record(c):
+    lines = c.table("lineitem").filter(F.col("l_linenumber").isin(1, 2)).groupBy("l_orderkey").agg(F.max(F.when(F.col("l_linenumber") == 1, F.col("l_returnflag"))).alias("comment1"), F.max(F.when(F.col("l_linenumber") == 2, F.col("l_returnflag"))).alias("comment2"))
+    owners = c.table("customer").join(c.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.col("c_name").alias("owner"), F.col("n_name").alias("place"))
+    joined = c.table("orders").join(owners, F.col("o_custkey") == F.col("c_custkey"), "left").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return joined.select(F.col("o_orderkey").alias("image_id"), "owner", "place", "comment1", "comment2")
+
+
+@query("J08_status_in_on", "SELECT p.id, count(f.id) AS n FROM photos p JOIN faces f ON f.photo_id = p.id AND f.status = 'unconfirmed' GROUP BY p.id")
+def status_in_on(c):
+    return c.photos.join(c.faces.filter("status = 'unconfirmed'").groupBy("photo_id").agg(F.count("*").alias("n")), F.col("id") == F.col("photo_id")).select("id", "n")
+
+
+@query("J14_key_lookup", "SELECT count(*) AS n_links, count(*) FILTER (WHERE p_partkey IS NULL) AS skipped FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 7 <> 0) ON l_partkey = p_partkey")
+def key_lookup(c):
+    known = c.table("part").filter("p_partkey % 7 <> 0").select("p_partkey")
+    return c.table("lineitem").select("l_partkey").join(known, F.col("l_partkey") == F.col("p_partkey"), "left").agg(F.count("*").alias("n_links"), F.count_if(F.col("p_partkey").isNull()).alias("skipped"))
+
+
+@query("J15_D12_library_diff", "SELECT coalesce(a.album_path, b.album_path) AS album_path, coalesce(a.filename, b.filename) AS filename, CASE WHEN b.filename IS NULL THEN 'new' WHEN a.filename IS NOT NULL THEN 'existing' ELSE 'removed' END AS state FROM (SELECT DISTINCT album_path, filename FROM photos WHERE id % 5 <> 1) a FULL JOIN (SELECT DISTINCT album_path, filename FROM photos WHERE id % 7 <> 2) b ON a.album_path = b.album_path AND a.filename = b.filename WHERE a.filename IS NOT NULL OR b.album_path LIKE 'Trip%'")
+def diff(c):
+    from .pipelines import library_diff
+
+    return library_diff(c.photos.filter("id % 5 <> 1"), c.photos.filter("id % 7 <> 2"), ["album_path", "filename"], F.startswith("album_path", F.lit("Trip")))
+
+
+@query("J16_children", "SELECT t.id, t.name, p.name AS parent_name, (SELECT count(*) FROM tags k WHERE k.parent_id = t.id) AS n_children FROM tags t LEFT JOIN tags p ON p.id = t.parent_id")
+def children(c):
+    from quarrymill.operators.hierarchy import children as of
+
+    return of(c.tags)
+
+
+@query("J19_D24_reconciliation", "SELECT 'orders and photos' AS what, (SELECT count(*) FROM orders) AS source, (SELECT count(*) FROM photos WHERE status = 1) AS target, (SELECT count(*) FROM orders) = (SELECT count(*) FROM photos WHERE status = 1) AS equal UNION ALL SELECT 'lines and faces', (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)), (SELECT count(*) FROM faces), TRUE")
+def reconciled(c):
+    from .pipelines import reconciliation
+
+    return reconciliation({"orders and photos": (c.table("orders"), fl.active(c.photos)), "lines and faces": (c.table("lineitem").select("l_orderkey", "l_linenumber").distinct(), c.faces)})
+
+
+@query("A01_count", "SELECT count(*) AS n FROM photos WHERE status = 1 AND rating >= 3 AND media_type = 'video'")
+def count(c):
+    return fl.build_photo_query(c, fl.PhotoFilters(rating_min=3, media_type="video")).agg(F.count("*").alias("n"))
+
+
+@query("A02_albums", "SELECT album_path, count(*) AS n FROM photos WHERE status = 1 GROUP BY album_path")
+def albums(c):
+    return ag.counted(fl.active(c.photos), "album_path")
+
+
+@query(
+    "A03_D20_album_tree",
+    """
+WITH a AS (SELECT string_split(album_path, '/') AS parts FROM photos WHERE status = 1),
+e AS (SELECT parts, unnest(range(1, len(parts) + 1)) AS k FROM a)
+SELECT array_to_string(parts[1:k], '/') AS path, CASE WHEN k > 1 THEN array_to_string(parts[1:k - 1], '/') END AS parent, CAST(k AS BIGINT) AS depth,
+CAST(count(*) FILTER (WHERE k = len(parts)) AS BIGINT) AS own, count(*) AS total FROM e GROUP BY 1, 2, 3""",
+)
+def album_tree(c):
+    return rollup_paths(fl.active(c.photos), "album_path")
+
+
+@query("A04_timeline", "SELECT CAST(year(taken_at) AS INT) AS year, CAST(month(taken_at) AS INT) AS month, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY year(taken_at)) AS BIGINT) AS year_total FROM photos WHERE status = 1 AND taken_at IS NOT NULL GROUP BY year(taken_at), month(taken_at)")
+def timeline(c):
+    return ag.timeline(fl.active(c.photos))
+
+
+@query("A05_A07_A08_duplicate_stats", "SELECT (SELECT count(*) FROM photos) AS n_rows, (SELECT count(sha256) FROM photos) AS n_hashed, count(*) AS n_groups, CAST(coalesce(sum((n - 1) * s), 0) AS BIGINT) AS wasted FROM (SELECT sha256, count(*) AS n, max(file_size) AS s FROM photos WHERE sha256 IS NOT NULL GROUP BY 1 HAVING count(*) > 1)")
+def duplicate_stats(c):
+    return ag.duplicate_stats(c.photos, "sha256", "file_size")
+
+
+@query("A06_duplicate_groups", "SELECT sha256, count(*) AS copies, max(file_size) AS largest, (count(*) - 1) * max(file_size) AS wasted FROM photos WHERE sha256 IS NOT NULL GROUP BY sha256 HAVING count(*) >= 12")
+def duplicate_groups(c):
+    return ag.duplicate_groups(c.photos, "sha256", "file_size", 12)
+
+
+@query("A06_duplicate_documents", "SELECT sha256(content) AS sha256, count(*) AS copies, max(size) AS largest, (count(*) - 1) * max(size) AS wasted FROM copies GROUP BY 1 HAVING count(*) >= 2")
+def duplicate_documents(c):
+    return ag.duplicate_groups(c.copies.select(F.sha2("content", 256).alias("sha256"), "size"), "sha256", "size")
+
+
+@query("A09_cluster_sizes", "SELECT label, count(*) AS n FROM vectors WHERE status <> 'ignored' GROUP BY label HAVING count(*) >= 2")
+def cluster_sizes(c):
+    return ag.counted(c.vectors.filter("status <> 'ignored'"), "label").filter("n >= 2")
+
+
+@query("A10_suggested_per_person", "SELECT person_tag_id, t.name, count(*) AS n FROM faces f JOIN tags t ON t.id = person_tag_id WHERE f.status = 'suggested' AND best_match_score >= 0.6 GROUP BY 1, 2")
+def suggested(c):
+    counts = ag.counted(c.faces.filter("status = 'suggested' AND best_match_score >= 0.6"), "person_tag_id")
+    return counts.join(c.tags, F.col("person_tag_id") == F.col("id")).select("person_tag_id", "name", "n")
+
+
+@query("A11_confirmed_per_person", "SELECT person_tag_id, count(*) AS n FROM faces WHERE status = 'confirmed' AND person_tag_id IS NOT NULL GROUP BY 1")
+def confirmed(c):
+    return ag.counted(c.faces.filter("status = 'confirmed' AND person_tag_id IS NOT NULL"), "person_tag_id")
+
+
+@query("A16_last_sync", "SELECT max(meta_synced_at) AS last_sync FROM photos")
+def last_sync(c):
+    return c.photos.agg(F.max("meta_synced_at").alias("last_sync"))
+
+
+@query("A17_log_counts", "SELECT 'level' AS kind, level_name AS name, count(*) AS n FROM app_logs GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM app_logs GROUP BY 2")
+def log_counts(c):
+    one = lambda kind, column: c.app_logs.groupBy(F.col(column).alias("name")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
+    return one("level", "level_name").union(one("source", "source"))
+
+
+@query("A20_distinct_pairs", "SELECT count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)")
+def distinct_pairs(c):
+    return c.table("lineitem").agg(F.count_distinct("l_orderkey", "l_suppkey").alias("n"))
+
+
+@query("A21_distinct", "SELECT DISTINCT photo_id FROM faces WHERE status = 'confirmed'")
+def distinct(c):
+    return c.faces.filter("status = 'confirmed'").select("photo_id").distinct()
+
+
+@query(
+    "A22_A23_merged_metadata",
+    "WITH m AS (SELECT sha256, rating, color_label, row_number() OVER (PARTITION BY sha256 ORDER BY imported_at, id) AS p FROM photos WHERE sha256 IS NOT NULL) SELECT sha256, max(rating) AS rating, arg_min(color_label, p) FILTER (WHERE color_label IS NOT NULL AND color_label <> 0) AS color_label FROM m GROUP BY sha256",
+)
+def merged_metadata(c):
+    members = c.photos.filter(F.col("sha256").isNotNull()).withColumn("position", F.struct("imported_at", "id"))
+    return ag.merged_metadata(members, "sha256")
+
+
+@query("A25_property_choice", "SELECT image_id, tag_id, arg_min(property, r) AS property, arg_min(value, r) AS value FROM (SELECT l_orderkey AS image_id, l_suppkey AS tag_id, CASE l_returnflag WHEN 'A' THEN 'tagRegion' WHEN 'N' THEN 'ignoredFace' ELSE 'other' END AS property, CAST(l_linenumber AS VARCHAR) AS value, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 3 ELSE 9 END * 100 + l_linenumber AS r FROM lineitem) GROUP BY 1, 2")
+def property_choice(c):
+    flags = F.when(F.col("l_returnflag") == "A", "tagRegion").when(F.col("l_returnflag") == "N", "ignoredFace").otherwise("other")
+    rows = c.table("lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_suppkey").alias("tag_id"), flags.alias("property"), F.col("l_linenumber").cast("string").alias("value"))
+    return ag.property_choice(rows, {"tagRegion": 1, "autodetectedPerson": 2, "ignoredFace": 3})
+
+
+@query("A26_locations", "SELECT round(latitude, 4) AS lat, round(longitude, 4) AS lon, count(*) AS n FROM photos WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY 1, 2")
+def locations(c):
+    return ag.locations(c.photos)
+
+
+@query("A27_histogram", "WITH b AS (SELECT least(greatest(CAST(floor((embedding[1] + 1) / 2 * 256) AS BIGINT), 0), 255) AS bucket FROM embeddings) SELECT bucket, count(*) AS n, round(count(*) / (SELECT count(*) FROM b), 9) AS share FROM b GROUP BY 1")
+def histogram(c):
+    values = c.table("embeddings").select(((F.get("embedding", F.lit(0)) + 1) / 2).alias("v"))
+    return ag.histogram(values, "v").select("bucket", "n", F.round("share", 9).alias("share"))
+
+
+@query("A29_tags_per_photo", "SELECT p.id, count(t.tag_id) AS n FROM photos p LEFT JOIN photo_tags t ON t.photo_id = p.id GROUP BY p.id")
+def tags_per_photo(c):
+    counts = ag.counted(c.photo_tags, "photo_id")
+    return c.photos.join(counts, F.col("id") == F.col("photo_id"), "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("A31_status_counts", "SELECT count(*) FILTER (WHERE status = 'confirmed' AND best_match_score IS NOT NULL) AS auto_confirmed, count(*) FILTER (WHERE person_tag_id IS NULL AND status NOT IN ('confirmed', 'ignored')) AS unassigned, count(*) FILTER (WHERE status = 'ignored') AS ignored FROM faces")
+def status_counts(c):
+    s = F.col("status")
+    return c.faces.agg(F.count_if((s == "confirmed") & F.col("best_match_score").isNotNull()).alias("auto_confirmed"), F.count_if(F.col("person_tag_id").isNull() & ~s.isin("confirmed", "ignored")).alias("unassigned"), F.count_if(s == "ignored").alias("ignored"))
+
+
+@query("W01_W05_one_face_per_person", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY photo_id, person_tag_id ORDER BY coalesce(best_match_score, 0) DESC, id) AS r FROM faces WHERE status = 'confirmed' AND person_tag_id IS NOT NULL) WHERE r = 1")
+def one_face(c):
+    rows = c.faces.filter("status = 'confirmed' AND person_tag_id IS NOT NULL")
+    return ag.first_of(rows, ["photo_id", "person_tag_id"], F.desc(F.coalesce("best_match_score", F.lit(0))), F.col("id")).select("id")
+
+
+@query("W02_page_with_total", "SELECT id, (SELECT count(*) FROM photos WHERE status = 1) AS total FROM photos WHERE status = 1 ORDER BY id LIMIT 20")
+def page_with_total(c):
+    rows = fl.active(c.photos).select("id")
+    return ag.with_total(rows, rows.orderBy("id").limit(20))
+
+
+@query("W03_W04_first_of_group", "SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM vectors) WHERE r <= 8")
+def first_of_group(c):
+    return ag.first_of(c.vectors, ["label"], F.col("vec_id"), n=8).select("label", "vec_id")
+
+
+@query("W06_A13_runner_up", "WITH v AS (SELECT photo_id, person_tag_id, count(*) AS votes, max(coalesce(best_match_score, 0)) AS score FROM faces WHERE person_tag_id IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, coalesce(lead(score) OVER w, 0) AS runner_up, row_number() OVER w AS k FROM v WINDOW w AS (PARTITION BY photo_id ORDER BY score DESC, person_tag_id)) SELECT photo_id, person_tag_id, votes, score, runner_up FROM r WHERE k = 1")
+def runner_up(c):
+    faces = c.faces.filter(F.col("person_tag_id").isNotNull()).withColumn("s", F.coalesce("best_match_score", F.lit(0.0)))
+    return ag.runner_up(ag.votes(faces, "photo_id", "person_tag_id", "s"), ["photo_id"], "score", "person_tag_id")
+
+
+@query("F24_incremental", "SELECT id FROM faces WHERE created_at > (SELECT max(taken_at) FROM photos WHERE id < 200)")
+def incremental(c):
+    from quarrymill.streaming.logs import since_mark
+
+    return since_mark(c.faces, c.photos.filter("id < 200").select(F.col("taken_at").alias("mark"))).select("id")

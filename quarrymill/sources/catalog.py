@@ -25,7 +25,7 @@ SELECT o_orderkey AS id,
        CASE WHEN o_orderkey % 8 = 2 THEN 'Trip/' || CAST(o_custkey % 3 AS STRING) || '/RAW' WHEN o_orderkey % 8 IN (3, 4) THEN 'Trip/' || CAST(o_custkey % 3 AS STRING) WHEN o_custkey % 4 = 0 THEN 'AB_TO_SORT/' || {_YEAR}
             WHEN o_custkey % 4 = 1 THEN 'Ordered by Dates/' || {_YEAR} || '/' || {_YEAR} || '-' || {_MONTH} WHEN o_custkey % 4 = 2 THEN 'Ordered by Dates/' || {_YEAR} ELSE 'Events/' || substring(o_orderpriority, 3, 20) END AS album_path,
        CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE 'h' || CAST(o_custkey AS STRING) END AS sha256,
-       CAST(o_totalprice AS BIGINT) AS file_size,
+       CAST(floor(o_totalprice) AS BIGINT) AS file_size,
        CASE o_orderstatus WHEN 'F' THEN 'image' WHEN 'O' THEN 'raw' ELSE 'video' END AS media_type,
        CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderdate END AS taken_at,
        o_orderdate + INTERVAL 40 DAY AS imported_at,
