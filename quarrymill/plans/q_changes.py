@@ -1 +1,172 @@
-"""Queries."""
+"""Queries of table changes and of the file plans (M*, D04-D08, D14, D21-D23, J12, J13, U02-U04)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarrymill.operators import mutations as mu
+
+from . import pipelines
+from .base import query
+
+_TIER = "CASE WHEN starts_with(album_path, 'AB_TO_SORT/') THEN 0 WHEN starts_with(album_path, 'Ordered by Dates/') THEN 1 ELSE 2 END"
+
+
+@query("D04_duplicate_listing", f"WITH h AS (SELECT sha256, id, {_TIER} AS tier, imported_at, count(*) OVER (PARTITION BY sha256) AS copies FROM photos WHERE sha256 IS NOT NULL) SELECT sha256, copies, id, tier, CAST(row_number() OVER (PARTITION BY sha256 ORDER BY tier DESC, imported_at, id) AS INT) AS rank FROM h WHERE copies >= 2")
+def duplicate_listing(c):
+    return pipelines.duplicate_listing(c.photos)
+
+
+_PLAN = f"""
+WITH r AS (SELECT id, sha256, file_size, {_TIER} AS tier, stack_id, EXISTS (SELECT 1 FROM faces f WHERE f.photo_id = photos.id AND f.status = 'confirmed') AS face FROM photos WHERE sha256 IS NOT NULL),
+b AS (SELECT *, max(tier) OVER (PARTITION BY sha256) AS best, min(tier) OVER (PARTITION BY sha256) AS worst FROM r),
+k AS (SELECT *, bool_or(face AND tier = best) OVER (PARTITION BY sha256) AS kept_face FROM b WHERE best > worst),
+p AS (SELECT id, sha256, file_size, tier, CASE WHEN tier = best THEN NULL WHEN stack_id IS NOT NULL THEN 'part of a photo stack' WHEN face AND NOT kept_face THEN 'has confirmed face tags the kept copy doesn''t' END AS reason, tier = best AS keep FROM k)
+"""
+
+
+@query("D05_dedup_plan", _PLAN + "SELECT id, sha256, file_size, tier, CASE WHEN keep THEN 'keep' WHEN reason IS NOT NULL THEN 'skip' ELSE 'delete' END AS action, reason FROM p")
+def dedup_plan(c):
+    return pipelines.dedup_plan(c.photos, c.faces)
+
+
+@query("D06_dedup_apply", _PLAN + ", g AS (SELECT sha256, max(rating) AS m FROM p JOIN photos USING (id, sha256) WHERE (keep OR reason IS NULL) AND sha256 IN (SELECT sha256 FROM p WHERE NOT keep AND reason IS NULL) GROUP BY 1) SELECT o.id, coalesce(g.m, o.rating) AS rating FROM photos o LEFT JOIN p USING (id) LEFT JOIN g ON g.sha256 = o.sha256 AND p.keep WHERE p.id IS NULL OR p.keep OR p.reason IS NOT NULL")
+def dedup_apply(c):
+    return pipelines.dedup_apply(c.photos, pipelines.dedup_plan(c.photos, c.faces))[0].select("id", "rating")
+
+
+_STEM = "lower(regexp_replace(filename, '\\.[^.]*$', ''))"
+_MEMBERS = f"""
+WITH raws AS (SELECT id, left(album_path, length(album_path) - 4) AS album, {_STEM} AS stem_key, rating, file_size FROM photos WHERE album_path LIKE '%/RAW'),
+der AS (SELECT p.id, r.album, r.stem_key, p.rating, p.file_size, row_number() OVER (PARTITION BY p.id ORDER BY length(r.stem_key) DESC) AS n FROM photos p JOIN (SELECT DISTINCT album, stem_key FROM raws) r ON p.album_path = r.album
+  AND ({_STEM.replace("filename", "p.filename")} = r.stem_key OR (starts_with({_STEM.replace("filename", "p.filename")}, r.stem_key) AND substr({_STEM.replace("filename", "p.filename")}, length(r.stem_key) + 1, 1) IN ('.', '-', '_', ' ')))),
+m AS (SELECT album, stem_key, id, rating, file_size, 'derivative' AS role FROM der WHERE n = 1 UNION ALL SELECT album, stem_key, id, rating, file_size, 'raw' FROM raws)
+"""
+
+
+@query("J12_O08_stack_members", _MEMBERS + "SELECT album, stem_key, id, role FROM m")
+def stack_members(c):
+    return pipelines.stack_members(c.photos).select("album", "stem_key", "id", "role")
+
+
+@query("D07_F30_stacks", _MEMBERS + "SELECT album, stem_key, arg_max(id, (role = 'derivative', CASE WHEN role = 'derivative' THEN rating ELSE 0 END, CASE WHEN role = 'derivative' THEN file_size ELSE 0 END, -id)) AS cover_id, count(*) AS members, bool_or(role = 'raw') AS has_raw FROM m GROUP BY 1, 2")
+def stacks(c):
+    return pipelines.stacks(c.photos)
+
+
+@query("A24_stacks_per_album", _MEMBERS + "SELECT album, count(*) AS n FROM (SELECT DISTINCT album, stem_key FROM m) GROUP BY 1")
+def stacks_per_album(c):
+    return pipelines.stacks(c.photos).groupBy("album").agg(F.count("*").alias("n"))
+
+
+@query("D08_U02_stack_tag_sync", _MEMBERS + ", k AS (SELECT album, stem_key, id, tag_id FROM m JOIN photo_tags ON photo_id = id) SELECT DISTINCT m.id, u.tag_id FROM m JOIN (SELECT DISTINCT album, stem_key, tag_id FROM k) u USING (album, stem_key) WHERE NOT EXISTS (SELECT 1 FROM photo_tags t WHERE t.photo_id = m.id AND t.tag_id = u.tag_id)")
+def stack_tag_sync(c):
+    return pipelines.stack_tag_sync(pipelines.stack_members(c.photos), c.photo_tags)
+
+
+@query("U04_stale_stacks", _MEMBERS + "SELECT DISTINCT album, stem_key FROM m WHERE role = 'raw' EXCEPT SELECT DISTINCT album, stem_key FROM m WHERE role = 'derivative'")
+def stale_stacks(c):
+    members = pipelines.stack_members(c.photos)
+    old, seen = (members.filter(F.col("role") == r).select("album", "stem_key").distinct() for r in ("raw", "derivative"))
+    return old.join(seen, ["album", "stem_key"], "left_anti")
+
+
+@query("J13_D21_U03_raw_without_picture", f"WITH r AS (SELECT id, {_STEM} AS stem, replace(album_path, '/RAW', '') AS folder FROM photos WHERE filename LIKE '%.nef'), p AS (SELECT DISTINCT {_STEM} AS other, album_path AS folder FROM photos WHERE lower(filename) LIKE '%.jpg' OR lower(filename) LIKE '%.png') SELECT id, folder, stem FROM r WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.folder = r.folder AND contains(p.other, r.stem))")
+def raw_without_picture(c):
+    return pipelines.raw_without_picture(c.photos.withColumn("album_path", F.regexp_replace("album_path", "/RAW$", "")))
+
+
+@query("D22_raw_moves", "SELECT id, replace(album_path, '/RAW', '') AS album_path, replace(album_path, '/RAW', '') || '/RAW' AS new_path FROM photos WHERE filename LIKE '%.nef'")
+def raw_moves(c):
+    return pipelines.raw_folder_moves(c.photos.withColumn("album_path", F.regexp_replace("album_path", "/RAW$", "")))
+
+
+@query("D25_sorted_names", "SELECT id, media_type AS folder, CASE WHEN n = 1 THEN filename ELSE CAST(n - 1 AS VARCHAR) || '_' || filename END AS name FROM (SELECT *, row_number() OVER (PARTITION BY media_type, filename ORDER BY id) AS n FROM photos WHERE filename LIKE 'PXL%')")
+def sorted_names(c):
+    return pipelines.sorted_names(c.photos.filter(F.col("filename").like("PXL%")), F.col("media_type"))
+
+
+@query("D14_M15_restored_tags", "WITH w AS (SELECT DISTINCT 'Places.' || replace(r_name, ' ', '_') || '.' || n_name || '.C' || CAST(c_nationkey % 4 AS VARCHAR) AS p FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), x AS (SELECT string_split('New.' || p, '.') AS s FROM w UNION SELECT string_split(p, '.') FROM w), e AS (SELECT DISTINCT array_to_string(s[1:k], '.') AS path, CASE WHEN k > 1 THEN array_to_string(s[1:k - 1], '.') END AS parent, s[k] AS name FROM (SELECT s, unnest(range(1, len(s) + 1)) AS k FROM x)) SELECT path, parent, name FROM e WHERE path NOT IN (SELECT path FROM tags)")
+def restored_tags(c):
+    owners = c.table("customer").join(c.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(c.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    own = owners.select(F.concat_ws(".", F.lit("Places"), F.replace("r_name", F.lit(" "), F.lit("_")), "n_name", F.concat(F.lit("C"), (F.col("c_nationkey") % 4).cast("string"))).alias("tag_path"))
+    return pipelines.restored_tags(own.union(own.select(F.concat(F.lit("New."), "tag_path"))), c.tags)
+
+
+@query("J17_D11_nearest_place", "WITH pl AS (SELECT c_custkey AS place_id, CAST(c_custkey * 7 % 160 - 80 AS DOUBLE) + 0.1 AS p_lat, CAST(c_custkey * 13 % 340 - 170 AS DOUBLE) + 0.3 AS p_lon FROM customer WHERE c_custkey % 5 = 0), pt AS (SELECT DISTINCT latitude, longitude FROM photos WHERE latitude IS NOT NULL AND longitude IS NOT NULL), d AS (SELECT latitude, longitude, place_id, round(2 * 6371.0 * asin(least(1.0, sqrt(pow(sin((radians(p_lat) - radians(latitude)) / 2), 2) + cos(radians(latitude)) * cos(radians(p_lat)) * pow(sin((radians(p_lon) - radians(longitude)) / 2), 2)))), 6) AS km FROM pt, pl), b AS (SELECT latitude, longitude, min(km) AS km FROM d GROUP BY 1, 2) SELECT id, round(b.km, 3) AS km FROM photos JOIN b USING (latitude, longitude)")
+def nearest_place(c):
+    k = F.col("c_custkey")
+    places = c.table("customer").filter(k % 5 == 0).select(k.alias("place_id"), ((k * 7 % 160 - 80).cast("double") + 0.1).alias("p_lat"), ((k * 13 % 340 - 170).cast("double") + 0.3).alias("p_lon"))
+    return pipelines.nearest_place(c.photos, places).select("id", F.round("km", 3).alias("km"))
+
+
+@query("M01_upsert", "SELECT id, album_path, rating FROM photos WHERE id % 10 <> 3 AND id % 2 = 0 UNION ALL SELECT id, album_path, 9 FROM photos WHERE id % 10 = 3")
+def upsert(c):
+    cols = c.photos.select("id", "album_path", "rating")
+    return mu.upsert(cols.filter("id % 2 = 0 OR id % 10 = 3").filter("id % 20 <> 13"), cols.filter("id % 10 = 3").withColumn("rating", F.lit(9)), ["id"])
+
+
+@query("M02_insert_ignore", "SELECT photo_id, tag_id FROM photo_tags UNION SELECT id, 104 FROM photos")
+def insert_ignore(c):
+    return mu.insert_ignore(c.photo_tags, c.photos.select(F.col("id").alias("photo_id"), F.lit(104).alias("tag_id")), ["photo_id", "tag_id"])
+
+
+@query("M03_get_or_create", "WITH n AS (SELECT DISTINCT p_brand AS make, p_name AS model FROM part EXCEPT SELECT make, model FROM cameras) SELECT id, make, model FROM cameras UNION ALL SELECT CAST((SELECT max(id) FROM cameras) + row_number() OVER (ORDER BY make, model) AS INT), make, model FROM n")
+def get_or_create(c):
+    return mu.get_or_create(c.cameras, c.table("part").select(F.col("p_brand").alias("make"), F.col("p_name").alias("model")), ["make", "model"])
+
+
+@query("M04_M14_trashed", "SELECT id, CASE WHEN rating = 0 AND color_label IS NULL THEN 0 ELSE status END AS status FROM photos")
+def trashed(c):
+    return mu.update_where(c.photos, (F.col("rating") == 0) & F.col("color_label").isNull(), status=F.lit(0)).select("id", "status")
+
+
+@query("M05_cascade", "SELECT photo_id, tag_id FROM photo_tags WHERE tag_id NOT IN (SELECT id FROM tags WHERE path LIKE 'Places.ASIA%')")
+def cascade(c):
+    return mu.delete_by_key(c.photo_tags, c.tags.filter(F.col("path").like("Places.ASIA%")), "tag_id", "id")
+
+
+@query("M06_M17_marked", "SELECT id, file_sync_dirty OR id IN (SELECT photo_id FROM faces WHERE status = 'suggested') AS file_sync_dirty FROM photos")
+def marked(c):
+    return mu.mark_parents(c.photos, c.faces.filter("status = 'suggested'"), "photo_id", "file_sync_dirty").select("id", "file_sync_dirty")
+
+
+@query("M08_T05_retained", "SELECT id FROM app_logs WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY")
+def retained(c):
+    return mu.retained(c.app_logs, "ts", F.lit("2024-01-31").cast("timestamp_ntz"), 7).select("id")
+
+
+@query("M09_reparented", "SELECT id, CASE WHEN path = 'Places.ASIA' OR path LIKE 'Places.ASIA.%' THEN 'Places.EUROPE.' || substring(path, 8) ELSE path END AS path, CASE WHEN id = 12 THEN 13 ELSE parent_id END AS parent_id FROM tags")
+def reparented(c):
+    return mu.reparented(c.tags, 12, 13).select("id", "path", "parent_id")
+
+
+@query("M10_cleared_logs", "SELECT id FROM app_logs WHERE NOT (level >= 40 AND source = 'stderr')")
+def cleared(c):
+    from quarrymill.operators.filters import logs
+
+    return c.app_logs.join(logs(c.app_logs, "ERROR", "stderr").select("id"), "id", "left_anti").select("id")
+
+
+@query("M12_X36_conflicts", "SELECT f.id FROM faces f WHERE f.status = 'suggested' AND person_tag_id NOT IN (SELECT id FROM tags WHERE name LIKE '%- TWINS%') AND EXISTS (SELECT 1 FROM faces o WHERE o.status = 'confirmed' AND o.photo_id = f.photo_id AND o.person_tag_id = f.person_tag_id AND o.id <> f.id)")
+def conflicts(c):
+    twins = c.tags.filter(F.contains("name", F.lit("- TWINS"))).select("id")
+    return mu.conflicts(c.faces, c.faces.filter("status = 'suggested' AND person_tag_id IS NOT NULL"), twins).select("id")
+
+
+@query("M13_refreshed", "SELECT id, coalesce(CASE WHEN id % 2 = 0 THEN caption END, title) AS title FROM photos")
+def refreshed(c):
+    new = c.photos.filter("id % 2 = 0").select("id", F.col("caption").alias("title"))
+    return mu.refreshed(c.photos.select("id", "title"), new, "id", ["title"])
+
+
+@query("M16_D23_person_gone", "SELECT id, CASE WHEN person_tag_id = 1002 THEN NULL WHEN person_tag_id = 1004 THEN 1005 ELSE person_tag_id END AS person_tag_id, CASE WHEN person_tag_id = 1002 THEN 'unconfirmed' ELSE status END AS status FROM faces")
+def person_gone(c):
+    left = mu.update_where(c.faces, F.col("person_tag_id") == 1002, status=F.lit("unconfirmed"), person_tag_id=F.lit(None).cast("int"))
+    return mu.merged_person(left, 1004, 1005).select("id", "person_tag_id", "status")
+
+
+@query("M11_O07_saved_searches", "SELECT l_suppkey AS id, 'search ' || CAST(l_suppkey AS VARCHAR) AS name, count(*) > 600 AS pinned FROM lineitem GROUP BY 1 ORDER BY pinned DESC, name LIMIT 40")
+def saved_searches(c):
+    rows = c.table("lineitem").groupBy(F.col("l_suppkey").alias("id")).agg((F.count("*") > 600).alias("pinned"))
+    return rows.select("id", F.concat(F.lit("search "), F.col("id").cast("string")).alias("name"), "pinned").orderBy(F.desc("pinned"), "name").limit(40)

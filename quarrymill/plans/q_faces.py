@@ -1 +1,128 @@
-"""Queries."""
+"""Queries of vectors, clusters and the face plans (V*, D01, D02, D09, D10, D17-D19)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarrymill.functions.scalars import thresholds
+from quarrymill.operators import vectors as ve
+
+from . import pipelines
+from .base import query
+
+_DOT = "list_dot_product(CAST({0}.embedding AS DOUBLE[]), CAST({1}.embedding AS DOUBLE[]))"
+_KNN = (
+    "SELECT query_id, id, round(score, 6) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, "
+    + _DOT.format("a", "b")
+    + " AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round("
+    + _DOT.format("a", "b")
+    + ", 12) DESC, b.vec_id) AS r FROM ({0}) a, ({1}) b WHERE a.vec_id <> b.vec_id) WHERE r <= {2}"
+)
+_POOL = "SELECT * FROM vectors WHERE status IN ('unconfirmed', 'suggested')"
+_CONFIRMED = "SELECT * FROM vectors WHERE status = 'confirmed'"
+
+
+def _scored(near):
+    return near.select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query("V01_V11_similar", "SELECT vec_id, round(score, 6) AS score FROM (SELECT b.vec_id, " + _DOT.format("a", "b") + " AS score FROM vectors a, vectors b WHERE a.vec_id = 3 AND b.status = 'confirmed' ORDER BY 2 DESC, 1 LIMIT 25) WHERE score >= 0.2")
+def similar(c):
+    three = [float(x) for x in c.vectors.filter("vec_id = 3").select("embedding").first()[0]]
+    return ve.similar_to(c.vectors.filter("status = 'confirmed'"), three, 25, 0.2).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("V02_V05_J10_W03_knn_confirmed", _KNN.format(_POOL, _CONFIRMED, 15))
+def knn_confirmed(c):
+    return _scored(ve.knn(c.vectors.filter("status IN ('unconfirmed', 'suggested')"), c.vectors.filter("status = 'confirmed'"), 15))
+
+
+@query("V03_nearest_ignored", "SELECT query_id, id, score FROM (" + _KNN.format(_POOL, "SELECT * FROM vectors WHERE status = 'ignored'", 1) + ") WHERE score >= 0.295")
+def nearest_ignored(c):
+    return _scored(ve.nearest_ignored(c.vectors.filter("status IN ('unconfirmed', 'suggested')"), c.vectors.filter("status = 'ignored'"), 0.3))
+
+
+@query("V06_propagated", "SELECT query_id, id, score FROM (" + _KNN.format(_POOL, "SELECT * FROM vectors WHERE label = 3 AND status = 'confirmed'", 1) + ") WHERE score >= 0.295")
+def propagated(c):
+    near = ve.knn(c.vectors.filter("status IN ('unconfirmed', 'suggested')"), c.vectors.filter("label = 3 AND status = 'confirmed'"), 1)
+    return _scored(near.filter(F.col("score") >= 0.3 - ve.EDGE_SLACK))
+
+
+_EDGES = "SELECT least(query_id, id) AS a, greatest(query_id, id) AS b, max(score) AS score FROM (" + _KNN.format("SELECT * FROM vectors", "SELECT * FROM vectors", 30) + ") WHERE score >= 0.4 GROUP BY 1, 2"
+
+
+@query("V07_neighbour_graph", _EDGES)
+def neighbour_graph(c):
+    return ve.neighbour_graph(c.vectors, 30, 0.4).select("a", "b", F.round("score", 6).alias("score"))
+
+
+@query(
+    "V09_components",
+    f"WITH RECURSIVE e AS ({_EDGES}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(node, other) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM reach r JOIN u ON r.other = u.a), l AS (SELECT node, min(other) AS cluster FROM reach GROUP BY node) SELECT node, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM l",
+)
+def components(c):
+    return ve.numbered_clusters(ve.connected_components(ve.neighbour_graph(c.vectors, 30, 0.4)))
+
+
+@query("V10_A28_centroids")
+def centroids(c):
+    found = ve.centroids(c.vectors.filter("status = 'confirmed'"))
+    return found.select("label", "part", "n", F.round(F.element_at("embedding", 1), 4).alias("first"))
+
+
+@query("V12_dbscan")
+def dbscan(c):
+    return ve.numbered_clusters(ve.dbscan_pairs(c.vectors, 0.6))
+
+
+@query("V13_J11_A12_candidates", "SELECT vec_id, label, round(score, 6) AS score FROM (SELECT a.vec_id, b.label, max(" + _DOT.format("a", "b") + ") AS score FROM vectors a, vectors b WHERE a.status = 'unconfirmed' AND b.status = 'confirmed' AND b.vec_id % 20 = 1 GROUP BY 1, 2) WHERE score >= 0.15")
+def candidates(c):
+    prototypes = c.vectors.filter("status = 'confirmed' AND vec_id % 20 = 1").select("label", "embedding")
+    found = ve.person_candidates(c.vectors.filter("status = 'unconfirmed'"), prototypes, 0.15)
+    return found.select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query("D01_sweep")
+def sweep(c):
+    threshold, margin, floor = thresholds(0.65)
+    said = pipelines.sweep(c.vectors, ve.centroids(c.vectors.filter("status = 'confirmed'")), threshold - 0.4, margin - 0.04, floor - 0.4, 0.2)
+    return said.select("vec_id", "person", F.round("best_match_score", 3).alias("best"), "decision")
+
+
+@query("D02_sweeps")
+def sweeps(c):
+    threshold, margin, floor = thresholds(0.65)
+    return pipelines.sweeps(c.vectors, ve.centroids, threshold - 0.4, margin - 0.04, floor - 0.4).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("V08_W04_A14_A15_D09_D10_cluster_votes")
+def cluster_votes(c):
+    members = c.vectors.filter("status = 'unconfirmed'").select(F.col("label").alias("cluster"), "vec_id", "embedding")
+    said = pipelines.cluster_suggestions(members, c.vectors.filter("status = 'confirmed'"), 8, 5)
+    kept = pipelines.auto_assignable(said, 0.1, 0.2)
+    return said.join(kept.select("cluster", F.lit(True).alias("assign")), "cluster", "left").select("cluster", "person", "votes", F.round("average", 4).alias("average"), "agreement", F.coalesce("assign", F.lit(False)).alias("assign"))
+
+
+@query(
+    "J18_X25_D19_matched_boxes",
+    "WITH o AS (SELECT a.id, b.id AS other, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i, a.w * a.h + b.w * b.h AS s FROM faces a JOIN faces b ON a.photo_id = b.photo_id AND a.id <> b.id AND a.status = 'unconfirmed' AND b.status <> 'unconfirmed') SELECT id, min(other) AS match_id FROM o WHERE s - i > 0 AND i / (s - i) > 0.1 GROUP BY id",
+)
+def matched_boxes(c):
+    return pipelines.matched_boxes(c.faces.filter("status = 'unconfirmed'"), c.faces.filter("status <> 'unconfirmed'"), 0.1)
+
+
+@query(
+    "D17_J09_before_birth",
+    "SELECT f.id, CASE WHEN e.id IS NULL THEN f.person_tag_id END AS person_tag_id, CASE WHEN e.id IS NULL THEN f.status ELSE 'unconfirmed' END AS status FROM faces f LEFT JOIN (SELECT f.id FROM faces f JOIN photos p ON p.id = f.photo_id WHERE f.status = 'suggested' AND f.person_tag_id % 3 = 0 AND CAST(p.taken_at AS DATE) < DATE '1997-06-01') e ON e.id = f.id",
+)
+def before_birth(c):
+    births = c.tags.filter("is_person AND id % 3 = 0").select(F.col("id").alias("born_id"), F.lit("1997-06-01").cast("date").alias("born"))
+    return pipelines.before_birth(c.faces, c.photos, births).select("id", "person_tag_id", "status")
+
+
+@query("D18_archived", "SELECT id, CASE WHEN status = 'unconfirmed' AND (det_score < 0.2 OR w < 40 OR h < 40) THEN 'ignored' ELSE status END AS status FROM faces")
+def archived(c):
+    from quarrymill.operators.filters import bad_face
+    from quarrymill.operators.mutations import update_where
+
+    return update_where(c.faces, (F.col("status") == "unconfirmed") & bad_face(0.2, 40), status=F.lit("ignored")).select("id", "status")

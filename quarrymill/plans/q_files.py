@@ -1 +1,74 @@
-"""Queries."""
+"""Queries of sources, codecs, sinks and the log stream in its batch form."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarrymill.sources import files
+from quarrymill.streaming import logs
+
+from .base import query
+
+
+@query("S08_resumed", "SELECT o_orderkey FROM orders WHERE o_orderkey > (SELECT max(o_orderkey) FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-20')")
+def resumed(c):
+    orders = c.table("orders").select("o_orderkey", "o_orderdate")
+    return files.resumed(orders, orders.filter(F.col("o_orderdate") < F.lit("1995-01-20").cast("timestamp_ntz")), "o_orderkey").select("o_orderkey")
+
+
+@query("S09_values", "SELECT q, vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), v), 6) AS score FROM embeddings, (VALUES (1, list_transform(range(64), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)), (2, list_transform(range(64), lambda i: CASE WHEN i = 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END))) t(q, v)")
+def values(c):
+    from quarrymill.functions.scalars import dot
+
+    asked = files.values(c.spark, [(1, [float(i == 0) for i in range(64)]), (2, [float(i == 5) for i in range(64)])], "q int, v array<double>")
+    return c.table("embeddings").crossJoin(F.broadcast(asked)).select("q", "vec_id", F.round(dot(F.col("embedding"), F.col("v")), 6).alias("score"))  # two rows
+
+
+@query("S10_P02_payloads", "SELECT id, '{\"filename\":\"' || filename || '\",\"rating\":' || CAST(rating AS VARCHAR) || CASE WHEN title IS NULL THEN '' ELSE ',\"title\":\"' || title || '\"' END || '}' AS payload FROM photos WHERE file_sync_dirty")
+def payloads(c):
+    return files.payloads(c.photos.filter("file_sync_dirty"), "id", ["filename", "rating", "title"])
+
+
+@query("S12_codec", "SELECT vec_id, TRUE AS same, CAST(len(embedding) * 4 AS INT) AS n_bytes FROM embeddings")
+def codec(c):
+    rows = c.table("embeddings").withColumn("raw", files.vector_to_bytes(F.col("embedding")))
+    return rows.select("vec_id", (files.vector_from_bytes(F.col("raw")) == F.col("embedding")).alias("same"), F.octet_length("raw").alias("n_bytes"))
+
+
+@query("S12_literal", "SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: format('{:.6f}', CAST(x AS DOUBLE))), ',') || ']' AS literal FROM embeddings")
+def literal(c):
+    return c.table("embeddings").select("vec_id", files.vector_literal(F.transform("embedding", lambda x: x.cast("double"))).alias("literal"))
+
+
+@query("S13_backfilled", "SELECT vec_id, CASE WHEN vec_id % 3 <> 2 THEN len(embedding) END AS n FROM embeddings")
+def backfilled(c):
+    rows = c.table("embeddings")
+    raw = files.vector_to_bytes(F.col("embedding"))
+    rows = rows.withColumn("raw", F.when(F.col("vec_id") % 3 == 2, F.substring(raw, 1, 40)).otherwise(raw)).withColumn("embedding", F.when(F.col("vec_id") % 3 == 0, F.col("embedding")))
+    return files.backfilled(rows, "raw", "embedding", 64).select("vec_id", F.size("embedding").cast("long").alias("n")).withColumn("n", F.when(F.col("n") > 0, F.col("n")))
+
+
+@query(
+    "T02_T03_coalesced",
+    """
+WITH k AS (SELECT sha1(CAST(level AS VARCHAR) || '|' || logger_name || '|' || left(trim(regexp_replace(regexp_replace(message, '\\b\\d+(?:\\.\\d+)?\\b', 'N', 'g'), '/[^\\s]+', 'PATH', 'g')), 512)) AS fingerprint, ts, level FROM app_logs),
+s AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY fingerprint ORDER BY ts) + INTERVAL 600 SECOND THEN 1 ELSE 0 END AS starts FROM k),
+n AS (SELECT *, sum(starts) OVER (PARTITION BY fingerprint ORDER BY ts ROWS UNBOUNDED PRECEDING) AS part FROM s)
+SELECT fingerprint, count(*) AS occurrences, min(ts) AS first_seen, max(ts) AS last_seen, max(level) AS level FROM n GROUP BY fingerprint, part""",
+)
+def coalesced(c):
+    found = logs.coalesced(c.app_logs, "600 seconds")
+    return found.select("fingerprint", "occurrences", F.col("first_seen_at").cast("timestamp_ntz").alias("first_seen"), F.col("last_seen_at").cast("timestamp_ntz").alias("last_seen"), "level")
+
+
+@query("T06_united", "SELECT source, count(*) AS n, count(level) AS with_level FROM (SELECT source, level FROM app_logs WHERE source = 'python' UNION ALL SELECT 'stderr', NULL FROM app_logs WHERE source = 'stderr') GROUP BY 1")
+def united(c):
+    python = c.app_logs.filter("source = 'python'").select("ts", "source", "level", "message")
+    stderr = logs.stderr_records(c.app_logs.filter("source = 'stderr'").select("ts", F.col("message").alias("value")))
+    return logs.united(python, stderr).groupBy("source").agg(F.count("*").alias("n"), F.count("level").alias("with_level"))
+
+
+@query("T09_high_water", "SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events WHERE event_id < 5000)")
+def high_water(c):
+    done = c.table("events").filter("event_id < 5000").select(F.col("ts").alias("mark"))
+    return logs.since_mark(c.table("events"), done, "ts").select("event_id")

@@ -78,10 +78,10 @@ def bands(c):
     return c.photos.select("id", sc.rating(F.col("rating") - 1).alias("rating"), sc.confidence_band(F.col("rating") / 5.0).alias("band"))
 
 
-@query("X22_X23_X26_boxes", "SELECT id, round((x + w / 2) / 640, 6) AS cx, round((y + h / 2) / 480, 6) AS cy, greatest(0, x - CAST(trunc(w * 0.2) AS INT)) AS crop_left, least(640, x + w + CAST(trunc(w * 0.2) AS INT)) AS crop_right FROM faces WHERE h IS NOT NULL")
+@query("X22_X23_X26_boxes", "SELECT id, round((x + w / 2) / 641, 6) AS cx, round((y + h / 2) / 487, 6) AS cy, greatest(0, x - CAST(trunc(w * 0.2) AS INT)) AS crop_left, least(641, x + w + CAST(trunc(w * 0.2) AS INT)) AS crop_right FROM faces WHERE h IS NOT NULL")
 def boxes(c):
     x, y, w, h = (F.col(k) for k in "xywh")
-    parts, edges = sc.box_fractions(x, y, w, h, F.lit(640), F.lit(480)), sc.crop(x, y, w, h, F.lit(640), F.lit(480))
+    parts, edges = sc.box_fractions(x, y, w, h, F.lit(641), F.lit(487)), sc.crop(x, y, w, h, F.lit(641), F.lit(487))
     return c.faces.filter(h.isNotNull()).select("id", parts[0].alias("cx"), parts[1].alias("cy"), edges[0].alias("crop_left"), edges[2].alias("crop_right"))
 
 
@@ -122,7 +122,7 @@ def adaptive(c):
     return counts.select("label", "n", sc.adaptive_threshold(0.77, 0.72, F.col("n")).alias("threshold"))
 
 
-@query("X37_human", "SELECT id, CASE WHEN file_size < 1024 THEN format('{} B', file_size) WHEN file_size < 1048576 THEN format('{:.1f} KB', file_size / 1024.0) ELSE format('{:.1f} MB', file_size / 1048576.0) END AS size, format('{}:{:02d}', rating * 100 // 60, rating * 100 % 60) AS duration FROM photos")
+@query("X37_human", "SELECT id, CASE WHEN file_size < 1024 THEN format('{} B', file_size) WHEN file_size < 1048576 THEN format('{:.1f} KB', round(file_size / 1024.0, 1)) ELSE format('{:.1f} MB', round(file_size / 1048576.0, 1)) END AS size, format('{}:{:02d}', rating * 100 // 60, rating * 100 % 60) AS duration FROM photos")
 def human(c):
     return c.photos.select("id", sc.human_bytes(F.col("file_size")).alias("size"), sc.human_duration(F.col("rating") * 100).alias("duration"))
 
