@@ -363,12 +363,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, but of each class of near duplicates only one: that of the smallest doc_id.
 
-    Where that id stands in several rows of a class, the one with the smallest text hash stays; of rows equal in id
+    Null ids come last. Where that id stands in several rows of a class, the one with the smallest text hash stays; of rows equal in id
     and text, one. Rows without words stay.
     """
     found = near_duplicates(docs)
     by_row = found.groupBy("doc_id", "text_hash").agg(F.min("class_id").alias("class_id"), F.max("class_size").alias("class_size"), F.count("*").alias("n"))
-    heads = by_row.filter("class_size > 1").groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"), F.max("n").alias("most"))
+    heads = by_row.filter("class_size > 1").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("head"), F.max("n").alias("most"))
     stay = heads.select(F.col("head.doc_id").alias("stay_id"), F.col("head.text_hash").alias("stay_hash"), (F.col("most") > 1).alias("again"))
     alone = by_row.filter("class_size = 1").select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash"), F.lit(False).alias("again"))
     hashed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
