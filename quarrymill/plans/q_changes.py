@@ -170,3 +170,40 @@ def person_gone(c):
 def saved_searches(c):
     rows = c.table("lineitem").groupBy(F.col("l_suppkey").alias("id")).agg((F.count("*") > 600).alias("pinned"))
     return rows.select("id", F.concat(F.lit("search "), F.col("id").cast("string")).alias("name"), "pinned").orderBy(F.desc("pinned"), "name").limit(40)
+
+
+def _legacy(c):
+    from .legacy_import import run_import
+
+    orders, lines = c.table("orders"), c.table("lineitem")
+    images = orders.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 120).alias("album"), F.concat(F.lit("i"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("name"), F.when(F.col("o_orderstatus") == "P", 3).otherwise(1).alias("status"), F.lit("h").alias("uniqueHash"))
+    albums = c.table("supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("/"), "s_name").alias("relativePath"))
+    comments = lines.filter("l_linenumber < 4").select(F.col("l_orderkey").alias("imageid"), F.col("l_linenumber").alias("type"), F.col("l_returnflag").alias("comment"))
+    tags = c.table("region").select((F.col("r_regionkey") + 1).alias("id"), F.lit(0).alias("pid"), F.when(F.col("r_regionkey") == 2, "People").otherwise(F.col("r_name")).alias("name"))
+    tags = tags.union(c.table("nation").select(F.col("n_nationkey") + 100, F.col("n_regionkey") + 1, F.concat(F.lit("N "), (F.col("n_nationkey") % 2).cast("string"))))
+    image_tags = lines.select(F.col("l_orderkey").alias("imageid"), (F.col("l_suppkey") % 30 + 100).cast("int").alias("tagid"))
+    return run_import(images, albums, comments, tags, image_tags, lines.select(F.col("l_orderkey").alias("imageid"), (F.col("l_suppkey") % 25 + 100).cast("int").alias("tagid"), F.lit("ignoredFace").alias("property"), F.lit("1 2 3 4").alias("value")).limit(0))
+
+
+@query(
+    "D15_imported_photos",
+    "SELECT o_orderkey AS id, s_name AS album_path, (SELECT min(l_returnflag) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 3) AS title, (SELECT min(l_returnflag) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1) AS caption FROM orders JOIN supplier ON s_suppkey = o_custkey % 120 WHERE o_orderstatus <> 'P'",
+)
+def imported_photos(c):
+    return _legacy(c).photos.select("id", "album_path", "title", "caption")
+
+
+@query(
+    "D15_X08_imported_tags",
+    "WITH n AS (SELECT n_nationkey + 100 AS id, n_regionkey + 1 AS parent_id, 'N_' || CAST(n_nationkey % 2 AS VARCHAR) AS label, row_number() OVER (PARTITION BY n_regionkey, n_nationkey % 2 ORDER BY n_nationkey) AS k FROM nation), r AS (SELECT r_regionkey + 1 AS id, CASE WHEN r_regionkey = 2 THEN 'People' ELSE replace(r_name, ' ', '_') END AS path FROM region) SELECT id, path, FALSE AS is_person FROM r UNION ALL SELECT n.id, r.path || '.' || label || CASE WHEN k = 1 THEN '' ELSE '_' || CAST(k - 1 AS VARCHAR) END, r.path = 'People' FROM n JOIN r ON r.id = n.parent_id",
+)
+def imported_tags(c):
+    return _legacy(c).tags.select("id", "path", "is_person")
+
+
+@query(
+    "D15_J14_skipped_links",
+    "WITH a AS (SELECT DISTINCT l_orderkey AS p, l_suppkey % 30 + 100 AS t FROM lineitem) SELECT count(*) FILTER (WHERE t > 124 OR p NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P' AND o_custkey % 120 IN (SELECT s_suppkey FROM supplier))) AS skipped FROM a",
+)
+def skipped_links(c):
+    return _legacy(c).skipped

@@ -206,3 +206,19 @@ def test_walk_skips_dot_folders_and_empty_files(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(content)
     assert sorted(r["filename"] for r in files.walk(spark, str(tmp_path)).collect()) == ["a.jpg", "e.NEF"]
+
+
+def test_legacy_faces_take_the_property_of_lowest_rank(spark):
+    from quarrymill.plans.legacy_import import run_import
+
+    images = spark.createDataFrame([(1, 1, "a.jpg", 1, "h")], "id int, album int, name string, status int, uniqueHash string")
+    albums = spark.createDataFrame([(1, "/x/y")], "id int, relativePath string")
+    comments = spark.createDataFrame([(1, 1, "b"), (1, 1, "a")], "imageid int, type int, comment string")
+    tags = spark.createDataFrame([(1, 0, "People"), (2, 1, "Ann B."), (3, 1, "Ann-B")], "id int, pid int, name string")
+    links = spark.createDataFrame([(1, 2), (1, 9)], "imageid int, tagid int")
+    props = spark.createDataFrame([(1, 2, "ignoredFace", "0 0 1 1"), (1, 2, "tagRegion", '<rect x="1" y="2" width="3" height="4"/>')], "imageid int, tagid int, property string, value string")
+    got = run_import(images, albums, comments, tags, links, props)
+    assert [(r["status"], r["x"], r["h"]) for r in got.faces.collect()] == [("confirmed", 1, 4)]
+    assert [(r["album_path"], r["caption"], r["title"]) for r in got.photos.collect()] == [("x/y", "a", None)]
+    assert {r["path"] for r in got.tags.filter("is_person").collect()} == {"People.Ann_B", "People.Ann_B_1"}
+    assert got.skipped.first()["skipped"] == 1 and got.photo_tags.count() == 1
