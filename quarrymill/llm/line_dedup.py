@@ -106,13 +106,13 @@ def shared_blocks(docs: DataFrame, least_words: int = LEAST_WORDS, most_share: f
         F.transform(lines, lambda x: F.regexp_count(x, F.lit(r"\S+")) >= least_words).alias("long"),
     ).filter(F.exists("long", lambda x: x)).write.parquet(path)
     held = spark.read.parquet(path)
-    firsts = held.groupBy(F.col("doc.h").alias("text_hash")).agg(F.min("doc").alias("first"))
+    firsts = cut(held.groupBy(F.col("doc.h").alias("text_hash")).agg(F.min("doc").alias("first")))  # cut, so that joins with it can split a hot text or line
     copies = held.select("doc", F.size("lines").alias("n")).join(firsts, F.col("doc.h") == F.col("text_hash")).filter("doc != first")
     whole = copies.groupBy("doc").agg(F.max("n").alias("n")).select("doc", F.array(F.struct(F.lit(0).alias("s"), (F.col("n") - 1).alias("e"))).alias("blocks"))
     texts = cut(held.join(firsts, (F.col("doc.h") == F.col("text_hash")) & (F.col("doc") == F.col("first")), "left_semi").dropDuplicates(["doc"]))
     n_texts = texts.count()
     marked = texts.select("doc", F.explode(F.array_distinct(F.filter(F.transform(F.arrays_zip("lines", "long"), lambda x: F.when(x["long"], x["lines"])), lambda x: x.isNotNull()))).alias("line"))
-    rare = marked.groupBy("line").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("n") <= max(LEAST_TEXTS, most_share * n_texts))).drop("n")
+    rare = cut(marked.groupBy("line").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("n") <= max(LEAST_TEXTS, most_share * n_texts))).drop("n"))
     pairs = marked.join(rare, "line").filter("doc != first").select("first", "doc").distinct()
     sides = pairs.join(texts.select(F.col("doc").alias("first"), F.col("lines").alias("lines_a")), "first")
     sides = sides.join(texts.select("doc", F.col("lines").alias("lines_b"), F.col("long").alias("long_b")), "doc")
