@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import cut, fresh_path
 
 SEGMENT_BYTES = 256 * 1024
 CHUNK_BYTES = 64 * 1024
@@ -45,9 +45,10 @@ def plan_records(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> Da
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha256", F.sha2("html", 256))
-    groups = rows.filter(F.octet_length("html") >= least_bytes).groupBy("sha256").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1 AND original IS NOT NULL")
+    groups = rows.filter(F.octet_length("html") >= least_bytes).groupBy("sha256").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1 AND original IS NOT NULL").drop("n")
+    groups = cut(groups)  # else the join keeps the aggregate's partitions, and a hot payload's pages could not be split
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    return rows.join(groups.drop("n"), "sha256", "left").select(
+    return rows.join(groups, "sha256", "left").select(
         "page_id", "url", "html", "sha256", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("original")).alias("refers_to")
     )
 
