@@ -49,3 +49,20 @@ def stretches(sizes, most: int):
             start, held = i + 1, 0
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def most_frequent(counts: DataFrame, n_col: str, most: int) -> DataFrame:
+    """Rows of the largest counts, `most` at most: whole size classes (1/64 of a doubling each), so a class that does not fit stays out.
+
+    Only the class sizes reach the driver, however many partitions counts has (a sorted limit would send `most` rows
+    from each). counts should be a written table, as it is read twice.
+    """
+    level = F.floor(F.log2(n_col) * 64).cast("int")
+    sizes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()
+    held, bound = 0, None
+    for row in sorted(sizes, key=lambda r: -r["level"]):
+        held += row["n"]
+        if held > most:
+            break
+        bound = row["level"]
+    return counts.limit(0) if bound is None else counts.filter(level >= bound)
