@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, fresh_path, stretches
+from .common import cut, documents, fresh_path, most_frequent, stretches
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 5  # a pair of similarity 0.8 shares no bucket with probability 0.004
@@ -75,10 +75,11 @@ def document_frequencies(docs: DataFrame, kept: int = KEPT_WORDS) -> tuple[np.nd
         yield out()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64())], names=names)
 
-    counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(kept + 1).collect()  # the count of documents comes first
-    total = sum(r["n"] for r in top if r["word"] is None)
-    words = sorted((r["word"] & (2**64 - 1), r["n"]) for r in top if r["word"] is not None)
+    path = fresh_path(docs.sparkSession, "word-counts")
+    docs.select(F.col("text").cast("string")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).write.parquet(path)
+    counts = docs.sparkSession.read.parquet(path)
+    total = sum(r["n"] for r in counts.filter("word IS NULL").collect())
+    words = sorted((r["word"] & (2**64 - 1), r["n"]) for r in most_frequent(counts.filter("word IS NOT NULL"), "n", kept).collect())
     return np.array([w for w, _ in words], np.uint64), np.array([n for _, n in words], np.int64), total
 
 
@@ -344,11 +345,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     signed = spark.read.parquet(path)
     distinct = signed.filter("content IS NOT NULL").groupBy("content").agg(F.min_by("buckets", F.struct("doc_id", "text_hash")).alias("buckets"), F.min(F.struct("doc_id", "text_hash")).alias("at"), F.max("shingles").alias("shingles"))
     members = distinct.select("content", F.posexplode("buckets").alias("band", "bucket"))
-    heads = members.groupBy("band", "bucket").agg(F.min("content").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Aggregates that are joined back are cut first: the join then shuffles both sides, and a hot key's rows can be split.
+    heads = cut(members.groupBy("band", "bucket").agg(F.min("content").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     stars = members.join(heads, ["band", "bucket"]).filter("content != head").select(F.col("head").alias("a"), F.col("content").alias("b")).distinct()
     clusters = components(stars).select(F.col("node").alias("content"), F.col("label").alias("cluster"))
     at = cut(clusters.join(distinct.select("content", "at", "shingles"), "content"))
     load = at.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / F.lit(CHUNK_SETS)), F.ceil(F.sum("shingles") / F.lit(CHUNK_SET_SHINGLES))).cast("int").alias("chunks"))
+    load = cut(load)
     placed = at.join(load, "cluster").withColumn("chunk", F.pmod(F.xxhash64("content"), F.col("chunks")).cast("int"))
     wanted = placed.select("content", "cluster", "chunk", "chunks", F.col("at.doc_id").alias("want_id"), F.col("at.text_hash").alias("want_hash"))
     hashed = own.withColumn("text_hash", F.xxhash64("text"))
@@ -356,7 +359,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     sets = _weighted_sets(texts, shared).dropDuplicates(["content"])  # of rows equal in id and text one
     labels = components(cut(_links(sets, similarity)))
     classed = signed.join(labels.withColumnRenamed("node", "content"), "content", "left").select("doc_id", "text_hash", F.coalesce("label", "content").alias("class"))
-    classes = classed.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    classes = cut(classed.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
     return classed.join(classes, "class", "left").select("doc_id", "text_hash", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
