@@ -34,6 +34,7 @@ CALIBRATION = 200
 TARGET = 0.97
 GROUP_ROWS = 4_096
 CHUNK_QUERIES = 8_192
+EXACT_ROWS = 16_384  # candidates whose exact sums are made at once
 SLACK = 1e-9  # of the matrix product against the exact sum
 SEED = 11
 
@@ -110,7 +111,10 @@ def usable(vectors: DataFrame, vector_col: str) -> Column:
 
 def _top(query: np.ndarray, row: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best candidates (query[i], row[i]) of each query by the exact sum, ties to the smaller id."""
-    score = (q[query] * x[row]).sum(1)
+    score = np.empty(len(query))
+    for at in range(0, len(query), EXACT_ROWS):
+        part = slice(at, at + EXACT_ROWS)
+        score[part] = (q[query[part]] * x[row[part]]).sum(1)
     order = np.lexsort((ids[row], -score, query))
     query, row, score = query[order], row[order], score[order]
     start = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, np.int64)
