@@ -7,9 +7,10 @@ keep their own, all rarer ones get that of the rarest kept word, so the table th
 1. Texts with equal weighted sets are one content (a group of copies, however large, becomes one row).
 2. Each content gets consistent weighted samples, banded. In a band's bucket every member is paired with the smallest
    member alone, so a bucket of m members gives m - 1 pairs; the components of these pairs are candidate clusters.
-3. Within a cluster all pairs are compared by one-permutation sketches of the sets, nearest first, and those that come
-   near the bound are verified by weighted Jaccard similarity on the whole sets unless already connected. No pairs are
-   emitted but the links that connect a class. Clusters larger than a chunk are compared chunk against chunk.
+3. Within a cluster all pairs get an upper bound of their similarity (from the weights by range of hashes), and those
+   that can reach it are verified by weighted Jaccard similarity on the whole sets, the highest bound first, unless
+   already connected. No pairs are emitted but the links that connect a class. Clusters larger than a chunk are compared
+   chunk against chunk.
 4. Connected classes of verified links; every document carries the smallest doc_id of its class.
 """
 
@@ -32,7 +33,7 @@ from .common import cut, documents, fresh_path, most_frequent, stretches
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 5  # a pair of similarity 0.8 shares no bucket with probability 0.004
-SKETCH = 256
+RANGES, MOST_RANGES = 256, 4_096  # of hashes, for the bound; about two for each shingle
 CHUNK_SETS, CHUNK_SET_SHINGLES = 1_024, 1_000_000  # of a cluster, in one chunk
 WORD = re.compile(r"\w+")
 KEPT_WORDS = 50_000
@@ -228,38 +229,32 @@ def _weighted_sets(texts: DataFrame, shared) -> DataFrame:
     return texts.mapInArrow(run, f"{fields}, hashes binary, weights binary")
 
 
-def _sketch(hashes: np.ndarray, weights: np.ndarray, bins: int = SKETCH) -> np.ndarray:
-    """One-permutation weighted sketch: in each bin of hashes the shingle of the smallest exponential rank; 0: empty."""
-    out = np.zeros(bins, np.uint16)
-    if len(hashes):
-        again = mix(hashes + U64(0x632BE59BD9B4E019))
-        rank = -np.log(((again >> U64(11)).astype(np.float64) + 0.5) / 2**53) / weights
-        place = (hashes >> U64(40)).astype(np.int64) % bins
-        order = np.lexsort((rank, place))
-        first = order[np.concatenate([[True], place[order][1:] != place[order][:-1]])]
-        out[place[first]] = (hashes[first] & U64(0xFFFF)).astype(np.uint16) | 1
-    return out
+def _masses(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """[set, range of hashes] weights: the smaller masses of two sets, summed over the ranges, are no less than what they share."""
+    bins = min(max(RANGES, 1 << (2 * sum(len(h) for h, _ in sets) // len(sets)).bit_length()), MOST_RANGES)
+    return np.stack([np.bincount((h >> U64(40)).astype(np.int64) % bins, w, bins) for h, w in sets]).astype(np.float32)
 
 
 def links_within(sets: list[tuple[np.ndarray, np.ndarray]], cross: int | None, similarity: float) -> list[tuple[int, int]]:
     """Links that connect all pairs of sets of the given weighted Jaccard similarity; with cross, only pairs over that border.
 
-    Sketches order the pairs; every pair whose sketches come near the bound is verified on the whole sets, unless links
-    found before already connect it.
+    Only pairs that cannot reach the similarity are left out: by their total weights, then by an upper bound of the common
+    weight from masses by hash range. All others are verified on the whole sets, the highest bound first, unless links
+    found before already connect them.
     """
-    sketches = np.stack([_sketch(h, w) for h, w in sets])
-    total, filled = np.array([w.sum(dtype=np.float64) for _, w in sets]), sketches > 0
+    mass = _masses(sets)
+    total = np.array([w.sum(dtype=np.float64) for _, w in sets])
     found_a, found_b, found_e = [], [], []
     for i in range(len(sets) - 1 if cross is None else cross):
-        rest = slice(i + 1 if cross is None else cross, None)
-        either = (filled[rest] | filled[i]).sum(1)
-        near = ((sketches[rest] == sketches[i]) & filled[i]).sum(1) / np.maximum(either, 1)
-        bound = similarity - 3.5 * np.sqrt(similarity * (1 - similarity) / np.maximum(either, 1))
-        possible = (near >= bound) & (np.minimum(total[rest], total[i]) >= (similarity - 1e-6) * np.maximum(total[rest], total[i]))
-        j = np.flatnonzero(possible)
+        low = i + 1 if cross is None else cross
+        j = low + np.flatnonzero(np.minimum(total[low:], total[i]) >= (similarity - 1e-6) * np.maximum(total[low:], total[i]))
+        common = np.minimum(mass[j], mass[i]).sum(1, dtype=np.float64) * (1 + 1e-5)  # more than the rounding of the masses
+        both = total[j] + total[i] - common
+        possible = common >= (similarity - 1e-6) * both
+        j = j[possible]
         found_a.append(np.full(len(j), i))
-        found_b.append(j + rest.start)
-        found_e.append(near[j])
+        found_b.append(j)
+        found_e.append(common[possible] / np.maximum(both[possible], 1e-30))
     if not found_a:
         return []
     a, b, e = np.concatenate(found_a), np.concatenate(found_b), np.concatenate(found_e)

@@ -405,6 +405,38 @@ def test_near_duplicates_in_chunks(spark, monkeypatch):
     assert {r["class_id"] for r in weighted_minhash.near_duplicates(table).collect()} == {0} and set(brute_classes(texts)) == {0}
 
 
+def test_near_duplicates_of_repeated_lines(spark):
+    """The weight lies in a few shingles that are repeated, most shingles are a text's own."""
+    texts = []
+    for group, (line, times, own) in enumerate([(10, 100, 50), (10, 300, 200), (20, 40, 60)]):
+        rnd = random.Random(group)
+        hot = " ".join(f"hot{group}x{k}" for k in range(line))
+        texts += ["\n".join([hot] * times + [" ".join(f"own{rnd.randrange(10**9)}" for _ in range(own))]) for _ in range(3)]
+    want = brute_classes(texts)
+    assert len(set(want)) == 3
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in weighted_minhash.near_duplicates(table).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_no_similar_pair_is_left_out_before_it_is_verified():
+    rnd = np.random.default_rng(5)
+    for n in (3, 40, 900):
+        base = weighted_minhash.mix(np.arange(1, n + 1, dtype=np.uint64))
+        sets = []
+        for k in range(12):
+            h = np.concatenate([base, weighted_minhash.mix(np.arange(n // 3, dtype=np.uint64) + np.uint64(10**6 * (k + 1)))])
+            w = np.concatenate([np.linspace(1, 60, n), rnd.uniform(1, 3 * (1 + k), n // 3)]).astype(np.float32)
+            order = np.argsort(h)
+            sets.append((h[order], w[order]))
+        for i, j in itertools.combinations(range(12), 2):
+            x, y = dict(zip(*(v.tolist() for v in sets[i]), strict=True)), dict(zip(*(v.tolist() for v in sets[j]), strict=True))
+            common = sum(min(v, y[k]) for k, v in x.items() if k in y)
+            similar = common >= (0.8 - 1e-6) * (sum(x.values()) + sum(y.values()) - common)
+            assert weighted_minhash.links_within([sets[i], sets[j]], None, 0.8) == [(0, 1)] * similar
+            assert weighted_minhash.links_within([sets[i], sets[j]], 1, 0.8) == [(0, 1)] * similar
+
+
 def test_samples_agree_as_often_as_the_weighted_jaccard_similarity():
     rng = np.random.default_rng(1)
     h = weighted_minhash.mix(np.arange(1, 2001, dtype=np.uint64))
