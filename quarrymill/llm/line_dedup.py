@@ -4,9 +4,13 @@ Documents that share rare lines are found by line hashes, aligned pair by pair w
 common blocks are deleted from the later document of each pair (later: larger doc_id, null last, then text hash).
 
 A rare line has LEAST_WORDS words or more and stands in two texts or more, but in no more than MOST_SHARE of all
-distinct texts. Each text is paired with the earliest holder of each of its rare lines, so a line in m texts gives
-m - 1 pairs; copies of a text are settled before that, without pairs. A block is deleted only if it holds a line of
-LEAST_WORDS words or more; other lines go with it where they stand in the same aligned block.
+distinct texts. Each text is paired with the earliest holder of each of its rare lines first, so a line in m texts gives
+m - 1 pairs; copies of a text are settled before that, without pairs. A rare line that this leaves in a text is tried
+with the line's other earlier holders, a few at first and about eight times as many each round, until it is aligned
+with one or none is left; so a line that no alignment takes is compared with every earlier holder. Of a line that stands
+several times in a text, the search ends with the first place that is aligned; places that no alignment so far has
+taken stay. A block is deleted only if it holds a line of LEAST_WORDS words or more; other lines go with it where they
+stand in the same aligned block.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,9 +96,10 @@ def _align(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [[{"s": s, "e": e} for s, e in common_blocks(a.tolist(), b.tolist(), long.tolist())] for a, b, long in zip(pdf["lines_a"], pdf["lines_b"], pdf["long_b"], strict=True)]
-            yield pd.DataFrame({"doc": pdf["doc"], "blocks": found})
+            gone = [sorted({h for x in blocks for h in b[x["s"] : x["e"] + 1].tolist()}) for blocks, b in zip(found, pdf["lines_b"], strict=True)]
+            yield pd.DataFrame({"doc": pdf["doc"], "blocks": found, "gone": gone})
 
-    return pairs.select("doc", "lines_a", "lines_b", "long_b").mapInPandas(run, "doc struct<n: int, i: long, h: long>, blocks array<struct<s: int, e: int>>")
+    return pairs.select("doc", "lines_a", "lines_b", "long_b").mapInPandas(run, "doc struct<n: int, i: long, h: long>, blocks array<struct<s: int, e: int>>, gone array<long>").filter(F.size("blocks") > 0)
 
 
 def shared_blocks(docs: DataFrame, least_words: int = LEAST_WORDS, most_share: float = MOST_SHARE) -> DataFrame:
@@ -113,10 +119,26 @@ def shared_blocks(docs: DataFrame, least_words: int = LEAST_WORDS, most_share: f
     n_texts = texts.count()
     marked = texts.select("doc", F.explode(F.array_distinct(F.filter(F.transform(F.arrays_zip("lines", "long"), lambda x: F.when(x["long"], x["lines"])), lambda x: x.isNotNull()))).alias("line"))
     rare = cut(marked.groupBy("line").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("n") <= max(LEAST_TEXTS, most_share * n_texts))).drop("n"))
-    pairs = marked.join(rare, "line").filter("doc != first").select("first", "doc").distinct()
-    sides = pairs.join(texts.select(F.col("doc").alias("first"), F.col("lines").alias("lines_a")), "first")
-    sides = sides.join(texts.select("doc", F.col("lines").alias("lines_b"), F.col("long").alias("long_b")), "doc")
-    found = _align(sides).filter(F.size("blocks") > 0).groupBy("doc").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))  # at most a pair for each of the document's lines
+    shared = cut(marked.join(rare, "line").filter("doc != first"))  # every holder but the first
+
+    def align(pairs: DataFrame) -> DataFrame:
+        sides = pairs.distinct().join(texts.select(F.col("doc").alias("first"), F.col("lines").alias("lines_a")), "first")
+        return cut(_align(sides.join(texts.select("doc", F.col("lines").alias("lines_b"), F.col("long").alias("long_b")), "doc")))
+
+    def without(still: DataFrame, done: DataFrame) -> DataFrame:
+        return cut(still.join(done.select("doc", F.explode("gone").alias("line")), ["doc", "line"], "left_anti"))
+
+    rounds = [align(shared.select("first", "doc"))]
+    still = without(shared.select("doc", "line"), rounds[0])
+    chance = (F.pmod(F.xxhash64("line", "doc"), F.lit(1 << 40)) + 1) / (1 << 40)
+    others = shared.join(cut(still.select("line").distinct()), "line", "left_semi").select(F.col("doc").alias("first"), "line", F.floor(-F.log2(chance) / 3).cast("int").alias("level"))
+    others = cut(others)  # about an eighth of a line's holders are of the next level
+    for level in sorted((r["level"] for r in others.select("level").distinct().collect()), reverse=True):
+        rounds.append(align(still.join(others.filter(F.col("level") == level), "line").filter("first < doc").select("first", "doc")))
+        still = without(still, rounds[-1])
+        if still.isEmpty():
+            break
+    found = reduce(DataFrame.union, rounds).groupBy("doc").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
     return found.union(whole)
 
 

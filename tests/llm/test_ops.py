@@ -82,6 +82,21 @@ def test_line_dedup_awkward(awkward, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_shared_lines_are_aligned_with_other_holders_too(spark):
+    """Lines in another order than in their first holder, and the same against all pairs."""
+    rnd = random.Random(8)
+    line = [text_of(500 + k, 12) for k in range(9)]
+    texts = ["\n".join(rnd.sample(line, rnd.randrange(2, 7)) + [text_of(900 + k, 12)]) for k in range(40)]
+    rows = [t.split("\n") for t in texts]
+    want = []
+    for k, b in enumerate(rows):
+        aligned = {x for a in rows[:k] for s, e in line_dedup.common_blocks(a, b, [True] * len(b)) for x in range(s, e + 1)}
+        want.append("\n".join(x for i, x in enumerate(b) if i not in aligned))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(table).collect()}
+    assert [got[k] for k in range(40)] == want
+
+
 # 2 ----------------------------------------------------------------------------------------------------------------------
 
 
