@@ -5,17 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else one that the caller has set.
+
+    Where neither is set, a local session gets a folder of its own; on a cluster that is an error, as a machine's own
+    folder is not seen by the others.
+    """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return path or current.get()
+    if not path and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return path or sc._jsc.sc().getCheckpointDir().get()
 
@@ -30,6 +38,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that fresh_path named, once no result reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -51,6 +65,20 @@ def stretches(sizes, most: int):
         yield start, len(sizes)
 
 
+def sum_blocks(parts: DataFrame, kind: type, slots: int = 4_096) -> list[bytes]:
+    """The sums of vectors that come in blocks: parts (block, slot, data), data the bytes of numbers of one kind, of equal length for a block.
+
+    Blocks are summed over 16 slots (numbers of the sending tasks) and more, as `slots` sums a block meet at most. One row a block comes to the driver, in the order of the blocks; a block without rows is left out.
+    """
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [key[0]], "data": [np.sum([np.frombuffer(x, kind) for x in pdf["data"]], 0).tobytes()]})
+
+    by_slot = parts.withColumn("slot", F.pmod(F.floor(F.col("slot") / 16), F.lit(slots))).groupBy("block", "slot").applyInPandas(add, "block int, data binary")
+    found = by_slot.groupBy("block").applyInPandas(add, "block int, data binary").toLocalIterator()
+    return [data for _, data in sorted((r["block"], bytes(r["data"])) for r in found)]
+
+
 def most_frequent(counts: DataFrame, n_col: str, most: int) -> DataFrame:
     """Rows of the largest counts, `most` at most: whole size classes (1/64 of a doubling each), so a class that does not fit stays out.
 

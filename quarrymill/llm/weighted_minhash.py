@@ -1,10 +1,12 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF word shingles.
 
-A text is a weighted set of five-word shingles: a shingle's weight is how often it stands in the text, times the mean
-inverse document frequency of its words. Document frequencies are counted over all documents; the most frequent words
-keep their own, all rarer ones get that of the rarest kept word, so the table that is broadcast has a fixed bound.
+A text is a weighted set of five-word shingles: a shingle's weight is how often it stands in the text, times its
+inverse document frequency. Document frequencies of shingles are counted over all documents in a sketch of fixed size:
+two rows of COUNTERS counters, of which the smaller one counts, less what other shingles add to a counter on average.
+Its error is about the square root of (shingles of all texts / COUNTERS) documents: none in a small corpus, and a
+falling share of the documents as the corpus grows. The weights are the same for a shingle in all texts.
 
-1. Texts with equal weighted sets are one content (a group of copies, however large, becomes one row).
+1. Texts with equal shingle counts are one content (a group of copies, however large, becomes one row).
 2. Each content gets consistent weighted samples, banded. In a band's bucket every member is paired with the smallest
    member alone, so a bucket of m members gives m - 1 pairs; the components of these pairs are candidate clusters.
 3. Within a cluster all pairs get an upper bound of their similarity (from the weights by range of hashes), and those
@@ -17,7 +19,7 @@ keep their own, all rarer ones get that of the rarest kept word, so the table th
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count, islice
 
@@ -29,19 +31,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, fresh_path, most_frequent, stretches
+from .common import cut, documents, drop_path, fresh_path, stretches, sum_blocks
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 14, 5  # a pair of similarity 0.8 shares no bucket with probability 0.004
+BANDS, ROWS = 10, 4  # a pair of similarity 0.8 shares no bucket with probability 0.005
+COUNTERS = 1 << 20  # of each row of the sketch
+BLOCK = 1 << 12  # counters that travel in one row
+HASH_BYTES = 6  # of a shingle, as written between the two passes
 RANGES, MOST_RANGES = 256, 4_096  # of hashes, for the bound; about two for each shingle
 CHUNK_SETS, CHUNK_SET_SHINGLES = 1_024, 1_000_000  # of a cluster, in one chunk
 WORD = re.compile(r"\w+")
-KEPT_WORDS = 50_000
-FLUSH_WORDS = 300_000
 CACHE_WORDS = 500_000
 BATCH_CHARS = 4_000_000
 CHUNK_SHINGLES = 1 << 16
 TABLE = 1 << 16
+NEAREST = 5.0  # elements whose sample can't be below this many mean smallest values are not looked at first
 U64 = np.uint64
 
 
@@ -56,88 +60,127 @@ def word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
-def document_frequencies(docs: DataFrame, kept: int = KEPT_WORDS) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted hashes and document counts of the most frequent words, and the number of documents, over all of docs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held, n = ["word", "n"], Counter(), 0
-
-        def out() -> pa.RecordBatch:
-            hashes = np.array([word_hash(w) for w in held], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(list(held.values()), pa.int64())], names=names)
-
-        for batch in batches:
-            for text in batch.column(0):
-                held.update(set(WORD.findall((text.as_py() or "").lower())))
-                n += 1
-                if len(held) > FLUSH_WORDS:
-                    yield out()
-                    held.clear()
-        yield out()
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64())], names=names)
-
-    path = fresh_path(docs.sparkSession, "word-counts")
-    docs.select(F.col("text").cast("string")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).write.parquet(path)
-    counts = docs.sparkSession.read.parquet(path)
-    total = sum(r["n"] for r in counts.filter("word IS NULL").collect())
-    words = sorted((r["word"] & (2**64 - 1), r["n"]) for r in most_frequent(counts.filter("word IS NOT NULL"), "n", kept).collect())
-    return np.array([w for w, _ in words], np.uint64), np.array([n for _, n in words], np.int64), total
-
-
 class Shingler:
-    """Weighted shingle sets of texts."""
+    """Shingle sets of texts."""
 
-    def __init__(self, frequencies: tuple[np.ndarray, np.ndarray, int], shingle: int = SHINGLE) -> None:
-        self.keys, n, total = frequencies
-        self.idf_of = np.log((total + 1) / (n + 1)) + 1 if len(n) else np.zeros(0)
-        self.rarest = float(self.idf_of.max()) if len(n) else 1.0
+    def __init__(self, shingle: int = SHINGLE) -> None:
         self.shingle = shingle
         self._empty()
 
     def _empty(self) -> None:
         self.known: dict[str, int] = defaultdict(count().__next__)
-        self.hash, self.idf = np.zeros(0, np.uint64), np.zeros(0)
+        self.hash = np.zeros(0, np.uint64)
+
+    def sets(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct shingle hashes (HASH_BYTES each) of each text, and how often each stands there, of all texts behind each other; the number of each.
 
-    def sets(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Shingle hashes, counts and weights of all texts behind each other, and the number of each. Fewer words than a shingle are one shingle."""
+        Fewer words than a shingle are one shingle.
+        """
         if len(self.known) > CACHE_WORDS:
             self._empty()
         seen, s = len(self.known), self.shingle
         found = [np.fromiter(map(self.known.__getitem__, WORD.findall(t.lower())), np.int64) for t in texts]
         if fresh := list(islice(self.known, seen, None)):
-            h = np.array([word_hash(w) for w in fresh], np.uint64)
-            at = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
-            idf = np.where(self.keys[at] == h, self.idf_of[at], self.rarest) if len(self.keys) else np.ones(len(h))
-            self.hash, self.idf = np.concatenate([self.hash, h]), np.concatenate([self.idf, idf])
-        hashes, counts, weights, sizes = [], [], [], []
+            self.hash = np.concatenate([self.hash, np.array([word_hash(w) for w in fresh], np.uint64)])
+        hashes, times, sizes = [], [], []
         for words in found:
             n = len(words)
             if not n:
                 sizes.append(0)
                 continue
             width = min(s, n)
-            h, idf = self.hash[words], self.idf[words]
-            value, weight = np.zeros(n - width + 1, np.uint64), np.zeros(n - width + 1)
+            h = self.hash[words]
+            value = np.zeros(n - width + 1, np.uint64)
             for k in range(width):
                 value = value * U64(0x9E3779B97F4A7C15) + h[k : n - width + 1 + k]
-                weight += idf[k : n - width + 1 + k]
-            order = np.argsort(value)
-            value = value[order]
+            value = np.sort(mix(value) >> U64(64 - 8 * HASH_BYTES))
             first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-            times = np.diff(np.concatenate([first, [len(value)]]))
             hashes.append(value[first])
-            counts.append(times)
-            weights.append(times * weight[order][first] / width)
+            times.append(np.diff(np.concatenate([first, [n - width + 1]])))
             sizes.append(len(first))
         if not hashes:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0), np.array(sizes, np.int64)
-        return mix(np.concatenate(hashes)), np.concatenate(counts), np.concatenate(weights), np.array(sizes, np.int64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.array(sizes, np.int64)
+        return np.concatenate(hashes), np.concatenate(times), np.array(sizes, np.int64)
+
+
+def _packed(hashes: np.ndarray) -> bytes:
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // HASH_BYTES, 8), np.uint8)
+    wide[:, :HASH_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, HASH_BYTES)
+    return wide.view("<u8").ravel()
+
+
+def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each shingle its counter in either row of the sketch."""
+    return (hashes & U64(COUNTERS - 1)).astype(np.int64), ((hashes >> U64(24)) & U64(COUNTERS - 1)).astype(np.int64)
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, content (null: no words), shingles, hashes, times (null: all once) of every row of docs (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            lens = pc.fill_null(pc.utf8_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
+            for lo, hi in stretches(lens, BATCH_CHARS):
+                part = batch.slice(lo, hi - lo)
+                h, n, size = shingler.sets([t or "" for t in part.column(2).to_pylist()])
+                full, starts = np.flatnonzero(size), np.cumsum(size) - size
+                contents: list[bytes | None] = [None] * len(part)
+                hashes: list[bytes | None] = [None] * len(part)
+                times: list[bytes | None] = [None] * len(part)
+                if len(full):
+                    one = mix(h ^ (n.astype(np.uint64) * U64(0xA24BAED4963EE407)))
+                    both = np.stack([np.add.reduceat(one, starts[full]), np.add.reduceat(mix(one + U64(1)), starts[full])], 1)
+                    most = np.maximum.reduceat(n, starts[full])
+                    packed = _packed(h)
+                    for i, pair, m in zip(full.tolist(), both, most.tolist(), strict=True):
+                        a, b = starts[i], starts[i] + size[i]
+                        contents[i], hashes[i] = pair.tobytes(), packed[a * HASH_BYTES : b * HASH_BYTES]
+                        if m > 1:
+                            times[i] = n[a:b].astype(np.uint32).tobytes()
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(contents, pa.binary()), pa.array(size, pa.int64()), pa.array(hashes, pa.binary()), pa.array(times, pa.binary())], names=["doc_id", "text_hash", "content", "shingles", "hashes", "times"])
+
+    id_type = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {id_type}, text_hash long, content binary, shingles long, hashes binary, times binary")
+
+
+def inverse_frequencies(sets: DataFrame) -> np.ndarray:
+    """[row of the sketch, counter]: the inverse document frequency that a counter gives, over all of sets (a written table)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros((2, COUNTERS), np.int64)
+        for batch in batches:
+            lens = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False)
+            for lo, hi in stretches(lens, HASH_BYTES * CHUNK_SHINGLES * 4):
+                for row, at in zip(counters, _places(_unpacked(b"".join(batch.column(0).slice(lo, hi - lo).to_pylist()))), strict=True):
+                    np.add.at(row, at, 1)
+        flat = counters.reshape(-1, BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array([b.tobytes() for b in flat], pa.binary())], names=["block", "data"])
+
+    own = sets.filter("hashes IS NOT NULL").select("hashes").mapInArrow(run, "block int, data binary").withColumn("slot", F.spark_partition_id())
+    total = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum("shingles"), F.lit(0)).alias("held")).collect()[0]
+    summed = sum_blocks(own, np.int64)  # COUNTERS numbers in all
+    counters = np.frombuffer(b"".join(summed), np.int64) if summed else np.zeros(2 * COUNTERS, np.int64)
+    frequency = np.maximum(counters - total["held"] // COUNTERS, 1)
+    return (np.log((total["n"] + 1) / (frequency + 1)) + 1).astype(np.float32).reshape(2, COUNTERS)
+
+
+def weights_of(hashes: np.ndarray, times: np.ndarray | None, inverse: np.ndarray) -> np.ndarray:
+    a, b = _places(hashes)
+    weight = np.maximum(inverse[0][a], inverse[1][b])  # the smaller counter
+    return weight if times is None else weight * times.astype(np.float32)
 
 
 class WeightedSampler:
     """Improved consistent weighted sampling: k samples (shingle, level) of a weighted set.
 
-    The Gamma(2, 1) variables are read from a table of quantiles by 16 hash bits each, which needs no logarithms.
+    The Gamma(2, 1) variables are read from a table of quantiles by 16 hash bits each, which needs no logarithms. An
+    element's value is at least log c - r - log weight; where that is far above what the smallest one will be, it is
+    passed over at first. A set in which nothing is found that way is looked at as a whole, so the samples are exact.
     """
 
     def __init__(self, samples: int = BANDS * ROWS) -> None:
@@ -149,61 +192,78 @@ class WeightedSampler:
         self.r, self.log_c = x.astype(np.float32), np.log(x).astype(np.float32)
         self.inverse = (1 / x).astype(np.float32)
         self.beta = u.astype(np.float32)
+        #: By the upper halves of c's and r's 16 bits: the least of log c - r.
+        self.least = (self.log_c[::256][:, None] - self.r[255::256][None, :]).ravel()
         self.keys = mix(np.arange(1, samples + 1, dtype=np.uint64) * U64(0xD1342543DE82EF95)) | U64(1)
 
+    def _values(self, upper: np.ndarray, lower: np.ndarray, third: np.ndarray, log_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        upper, lower = upper.astype(np.int32), lower.astype(np.int32)
+        c, r = (upper & 0xFF00) | (lower >> 8), ((upper & 0xFF) << 8) | (lower & 0xFF)
+        beta = self.beta[third]
+        t = np.floor(log_w * self.inverse[r] + beta)
+        return self.log_c[c] - self.r[r] * (t - beta + np.float32(1)), t
+
     def samples(self, shingles: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """[set, sample] codes; sets must not be empty."""
+        n, sets = len(shingles), len(sizes)
+        shingles = mix(shingles)
         starts = np.cumsum(sizes) - sizes
         log_w = np.log(weights).astype(np.float32)
-        out = np.empty((len(sizes), len(self.keys)), np.uint64)
-        of = np.repeat(np.arange(len(sizes)), sizes)
+        edge = log_w + np.repeat(np.log(NEAREST / np.add.reduceat(weights.astype(np.float64), starts)).astype(np.float32), sizes)
+        of = np.repeat(np.arange(sets), sizes)
+        out = np.empty((sets, len(self.keys)), np.uint64)
+        h, moved, least = np.empty(n, np.uint64), np.empty(n, np.uint64), np.empty(n, np.float32)
+        upper, lower, third = (h.view(np.uint16).reshape(-1, 4)[:, column] for column in (3, 2, 1))
         for k, key in enumerate(self.keys):
-            h = shingles * key
-            h ^= h >> U64(29)
-            a, b, c = ((h >> U64(shift)).astype(np.uint16) for shift in (48, 32, 16))
-            r, beta = self.r[a], self.beta[c]
-            t = np.floor(log_w * self.inverse[a] + beta)
-            score = self.log_c[b] - r * (t - beta + np.float32(1))
-            least = np.minimum.reduceat(score, starts)
-            hit = np.flatnonzero(score == least[of])
-            first = hit[np.concatenate([[True], of[hit][1:] != of[hit][:-1]])]
-            out[:, k] = mix(shingles[first] + t[first].astype(np.int64).view(np.uint64) * U64(0x9FB21C651E98DF25))
+            np.multiply(shingles, key, out=h)
+            np.right_shift(h, U64(29), out=moved)
+            np.bitwise_xor(h, moved, out=h)
+            np.take(self.least, upper, out=least, mode="clip")
+            at = np.flatnonzero(least <= edge)
+            value, t = self._values(upper[at], lower[at], third[at], log_w[at])
+            near = value <= edge[at] - log_w[at]
+            at, value, t = at[near], value[near], t[near]
+            missing = np.bincount(of[at], minlength=sets) == 0
+            if missing.any():
+                more = np.flatnonzero(missing[of])
+                own, level = self._values(upper[more], lower[more], third[more], log_w[more])
+                at, value, t = np.concatenate([at, more]), np.concatenate([value, own]), np.concatenate([t, level])
+                order = np.argsort(at, kind="stable")
+                at, value, t = at[order], value[order], t[order]
+            owner = of[at]
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            smallest = np.minimum.reduceat(value, first)
+            hit = np.flatnonzero(value == smallest[owner])
+            hit = hit[np.concatenate([[True], owner[hit][1:] != owner[hit][:-1]])]
+            out[:, k] = mix(shingles[at[hit]] + t[hit].astype(np.int64).view(np.uint64) * U64(0x9FB21C651E98DF25))
         return out
 
 
-def _contents(docs: DataFrame, frequencies, bands: int, rows: int) -> DataFrame:
-    """doc_id, text_hash, content (null: no words), buckets of every row of docs (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequencies)
+def _contents(sets: DataFrame, shared, bands: int, rows: int) -> DataFrame:
+    """doc_id, text_hash, content, shingles and buckets of every row of sets; of equal contents in one batch only the first has buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, sampler = Shingler(shared.value), WeightedSampler(bands * rows)
+        sampler = WeightedSampler(bands * rows)
         for batch in batches:
-            sizes = pc.fill_null(pc.utf8_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
-            for lo, hi in stretches(sizes, BATCH_CHARS):
-                part = batch.slice(lo, hi - lo)
-                h, n, w, size = shingler.sets([t or "" for t in part.column(2).to_pylist()])
-                contents: list[bytes | None] = [None] * len(part)
-                buckets: list[np.ndarray | None] = [None] * len(part)
-                full = np.flatnonzero(size)
-                starts = np.cumsum(size) - size
-                if len(full):
-                    one = mix(h ^ (n.astype(np.uint64) * U64(0xA24BAED4963EE407)))
-                    both = np.stack([np.add.reduceat(one, starts[full]), np.add.reduceat(mix(one + U64(1)), starts[full])], 1)
-                    for i, pair in zip(full, both, strict=True):
-                        contents[i] = pair.tobytes()
-                for a, b in stretches(size[full], CHUNK_SHINGLES):
-                    some = full[a:b]
-                    span = slice(starts[some[0]], starts[some[-1]] + size[some[-1]])
-                    codes = sampler.samples(h[span], w[span], size[some]).reshape(len(some), bands, rows)
-                    bucket = np.zeros((len(some), bands), np.uint64)
-                    for r in range(rows):
-                        bucket = mix(bucket * U64(0x9E3779B97F4A7C15) + codes[:, :, r])
-                    for i, x in zip(some, bucket.view(np.int64), strict=True):
-                        buckets[i] = x
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(contents, pa.binary()), pa.array(size, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "content", "shingles", "buckets"])
-
-    id_type = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {id_type}, text_hash long, content binary, shingles long, buckets array<long>")
+            seen: dict[bytes | None, int] = {None: -1}
+            full = np.array([i for i, c in enumerate(batch.column(2).to_pylist()) if seen.setdefault(c, i) == i], np.int64)
+            size = batch.column(3).to_numpy()[full]
+            buckets: list[np.ndarray | None] = [None] * len(batch)
+            for lo, hi in stretches(size, CHUNK_SHINGLES):
+                some = full[lo:hi]
+                packed, times = (batch.column(c).take(pa.array(some)).to_pylist() for c in (4, 5))
+                h = _unpacked(b"".join(packed))
+                n = np.concatenate([np.ones(s, np.uint32) if x is None else np.frombuffer(x, np.uint32) for x, s in zip(times, size[lo:hi], strict=True)])
+                codes = sampler.samples(h, weights_of(h, n, shared.value), size[lo:hi]).reshape(len(some), bands, rows)
+                bucket = np.zeros((len(some), bands), np.uint64)
+                for r in range(rows):
+                    bucket = mix(bucket * U64(0x9E3779B97F4A7C15) + codes[:, :, r])
+                for i, x in zip(some, bucket.view(np.int64), strict=True):
+                    buckets[i] = x
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "content", "shingles", "buckets"])
+
+    id_type = dict(sets.dtypes)["doc_id"]
+    return sets.select("doc_id", "text_hash", "content", "shingles", "hashes", "times").mapInArrow(run, f"doc_id {id_type}, text_hash long, content binary, shingles long, buckets array<long>")
 
 
 def _weighted_sets(texts: DataFrame, shared) -> DataFrame:
@@ -211,19 +271,15 @@ def _weighted_sets(texts: DataFrame, shared) -> DataFrame:
     at, kept = texts.columns.index("text"), [c for c in texts.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(shared.value)
+        shingler = Shingler()
         for batch in batches:
             sizes = pc.utf8_length(batch.column(at)).to_numpy(zero_copy_only=False)
             for lo, hi in stretches(sizes, BATCH_CHARS):
                 part = batch.slice(lo, hi - lo)
-                h, _, w, size = shingler.sets(part.column(at).to_pylist())
-                ends = np.cumsum(size)
-                hashes, weights = [], []
-                for e, n in zip(ends, size, strict=True):
-                    order = np.argsort(h[e - n : e])
-                    hashes.append(h[e - n : e][order].tobytes())
-                    weights.append(w[e - n : e][order].astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(hashes, pa.binary()), pa.array(weights, pa.binary())], names=[*kept, "hashes", "weights"])
+                h, n, size = shingler.sets(part.column(at).to_pylist())
+                w, ends = weights_of(h, n, shared.value), np.cumsum(size)
+                cuts = list(zip(ends - size, ends, strict=True))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([h[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([w[a:b].tobytes() for a, b in cuts], pa.binary())], names=[*kept, "hashes", "weights"])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes if c != "text")
     return texts.mapInArrow(run, f"{fields}, hashes binary, weights binary")
@@ -232,7 +288,7 @@ def _weighted_sets(texts: DataFrame, shared) -> DataFrame:
 def _masses(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """[set, range of hashes] weights: the smaller masses of two sets, summed over the ranges, are no less than what they share."""
     bins = min(max(RANGES, 1 << (2 * sum(len(h) for h, _ in sets) // len(sets)).bit_length()), MOST_RANGES)
-    return np.stack([np.bincount((h >> U64(40)).astype(np.int64) % bins, w, bins) for h, w in sets]).astype(np.float32)
+    return np.stack([np.bincount((h >> U64(24)).astype(np.int64) % bins, w, bins) for h, w in sets]).astype(np.float32)
 
 
 def links_within(sets: list[tuple[np.ndarray, np.ndarray]], cross: int | None, similarity: float) -> list[tuple[int, int]]:
@@ -315,30 +371,25 @@ def components(links: DataFrame) -> DataFrame:
     labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")))
     while True:
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        spread = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "near").alias("new"), F.col("label").alias("old"))
-        jump = spread.select(F.col("node").alias("at"), F.col("new").alias("to"))
-        new = cut(spread.join(jump, spread["new"] == jump["at"]).select("node", F.least("new", "to").alias("label"), "old"))
-        changed = new.filter("label != old").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
+        spread = cut(labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "near").alias("new"), F.col("label").alias("old")))
+        if spread.filter("new != old").isEmpty():
             return labels
+        jump = spread.select(F.col("node").alias("at"), F.col("new").alias("to"))
+        labels = cut(spread.join(jump, spread["new"] == jump["at"]).select("node", F.least("new", "to").alias("label")))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text_hash, class_id, class_size for every row of docs (columns doc_id and text; others are ignored).
-
-    class_id is the smallest doc_id of the class (null where all its ids are null). Null and wordless texts are
-    classes of their own, of size 1. Texts of fewer than five words are one shingle, so equal ones meet. Repeated rows
-    are copies of each other. An empty table gives no rows.
-    """
+def classes_of(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, text_hash, class (null: no words) for every row of docs (columns doc_id and text)."""
     spark = docs.sparkSession
     own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    frequencies = document_frequencies(own)
-    shared = spark.sparkContext.broadcast(frequencies)  # KEPT_WORDS rows at most
-    path = fresh_path(spark, "contents")
-    _contents(own, frequencies, bands, rows).write.parquet(path)
+    sets_path, path = fresh_path(spark, "shingles"), fresh_path(spark, "contents")
+    shingle_sets(own).write.parquet(sets_path)
+    sets = spark.read.parquet(sets_path)
+    shared = spark.sparkContext.broadcast(inverse_frequencies(sets))  # 2 * COUNTERS numbers
+    _contents(sets, shared, bands, rows).write.parquet(path)
+    drop_path(spark, sets_path)
     signed = spark.read.parquet(path)
-    distinct = signed.filter("content IS NOT NULL").groupBy("content").agg(F.min_by("buckets", F.struct("doc_id", "text_hash")).alias("buckets"), F.min(F.struct("doc_id", "text_hash")).alias("at"), F.max("shingles").alias("shingles"))
+    distinct = signed.filter("content IS NOT NULL").groupBy("content").agg(F.first("buckets", ignorenulls=True).alias("buckets"), F.min(F.struct("doc_id", "text_hash")).alias("at"), F.max("shingles").alias("shingles"))
     members = distinct.select("content", F.posexplode("buckets").alias("band", "bucket"))
     # Aggregates that are joined back are cut first: the join then shuffles both sides, and a hot key's rows can be split.
     heads = cut(members.groupBy("band", "bucket").agg(F.min("content").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"))
@@ -352,8 +403,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     hashed = own.withColumn("text_hash", F.xxhash64("text"))
     texts = hashed.join(wanted, (F.col("text_hash") == F.col("want_hash")) & F.col("doc_id").eqNullSafe(F.col("want_id"))).select("content", "cluster", "chunk", "chunks", "text")
     sets = _weighted_sets(texts, shared).dropDuplicates(["content"])  # of rows equal in id and text one
-    labels = components(cut(_links(sets, similarity)))
-    classed = signed.join(labels.withColumnRenamed("node", "content"), "content", "left").select("doc_id", "text_hash", F.coalesce("label", "content").alias("class"))
+    links = cut(_links(sets, similarity))
+    shared.unpersist()
+    labels = components(links)
+    return signed.join(labels.withColumnRenamed("node", "content"), "content", "left").select("doc_id", "text_hash", F.coalesce("label", "content").alias("class"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, text_hash, class_id, class_size for every row of docs (columns doc_id and text; others are ignored).
+
+    class_id is the smallest doc_id of the class (null where all its ids are null). Null and wordless texts are
+    classes of their own, of size 1. Texts of fewer than five words are one shingle, so equal ones meet. Repeated rows
+    are copies of each other. An empty table gives no rows.
+    """
+    classed = classes_of(docs, similarity, bands, rows)
     classes = cut(classed.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
     return classed.join(classes, "class", "left").select("doc_id", "text_hash", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
@@ -361,18 +424,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, but of each class of near duplicates only one: that of the smallest doc_id.
 
-    Null ids come last. Where that id stands in several rows of a class, the one with the smallest text hash stays; of rows equal in id
-    and text, one. Rows without words stay.
+    Null ids come last. Where that id stands in several rows of a class, the one with the smallest text hash stays; of
+    rows equal in id and text, one. Rows without words stay. Columns may have any names.
     """
-    found = near_duplicates(docs)
-    by_row = found.groupBy("doc_id", "text_hash").agg(F.min("class_id").alias("class_id"), F.max("class_size").alias("class_size"), F.count("*").alias("n"))
-    heads = by_row.filter("class_size > 1").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("head"), F.max("n").alias("most"))
-    stay = heads.select(F.col("head.doc_id").alias("stay_id"), F.col("head.text_hash").alias("stay_hash"), (F.col("most") > 1).alias("again"))
-    alone = by_row.filter("class_size = 1").select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash"), F.lit(False).alias("again"))
-    hashed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = hashed.join(stay.union(alone), (F.col("__hash") == F.col("stay_hash")) & F.col("doc_id").eqNullSafe(F.col("stay_id")))
-    once = kept.filter("again").dropDuplicates(["doc_id", "__hash"])
-    return kept.filter("NOT again").union(once).select(*docs.columns)
+    by_row = classes_of(docs).groupBy("class", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")).alias("head")
+    heads = by_row.filter("class IS NOT NULL").groupBy("class").agg(head).select(F.col("head.doc_id").alias("stay_id"), F.col("head.text_hash").alias("stay_hash"), (F.col("head.n") > 1).alias("again"))
+    wordless = by_row.filter("class IS NULL").select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash"), F.lit(False).alias("again"))
+    stay = cut(heads.union(wordless))
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("own_id"), F.xxhash64(text).alias("own_hash"))
+    kept = rows.join(stay, (F.col("own_hash") == F.col("stay_hash")) & F.col("own_id").eqNullSafe(F.col("stay_id")))
+    once = kept.filter("again").dropDuplicates(["own_id", "own_hash"])
+    return kept.filter("NOT again").unionByName(once).select("row.*")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
