@@ -3,46 +3,49 @@
 Texts are sequences of lower-case words. A window matches an item of n words when their word edit distance is at most
 e = floor((1 - SIMILARITY) n).
 
-1. Windows. A window within distance e of an item keeps some run of at least ceil((n - e) / (e + 1)) words unedited
-   (pigeonhole). Runs of that many words of all items (four words for most) are looked up in each text; where one
-   stands, the item-sized windows that put it in its place, shifted by up to e words, are the candidates, if at least
-   n - e of their words are the item's. No window within the distance is passed over, and texts that share no run with
-   any item cost one pass.
+1. Windows. For each length n of an item, every place of a text begins a window of n words (fewer at the text's end). A
+   window within distance e of an item holds at least n - e words that items of that length have; others can't match,
+   whatever the item, and are left out by running counts of such words.
 2. Embedding. The CGK random walk reads a sequence of n words into 3n places: at each place it writes the current
    word and steps on or stays by a random bit of (walk, place, word). Edit distance e becomes Hamming distance of
    O(e^2), and mostly close to e.
-3. LSH. In each of `tables` repetitions (a walk of its own each) `bits` sampled places must be equal for a candidate.
-   The number of tables is set by the target recall: for a pair at distance e that agrees in each walk on a share of
-   its places, measured for every item by walks over random e-edits of it, misses must stay under 1 - RECALL.
+3. LSH. Each table has a walk of its own and BITS sampled places of it. The words at those places are a window's key in
+   the table, and the items of equal key are its candidates. The number of tables of a length is set by the target
+   recall: for copies of its items with e random edits, the share of places on which embeddings agree is measured, and
+   tables are added until a copy misses all of them with probability 1 - RECALL at most.
 4. Exact edit distance of the candidates; of overlapping windows of an item the nearest stays.
 
-The items are broadcast in blocks of a checked size; each block goes over all documents.
+Items are embedded by Spark, one by one, and broadcast in blocks of a checked size; each block goes over all documents.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, stretches
 
 WORD = re.compile(r"\w+")
 SIMILARITY = 0.8
 RECALL = 0.98
-BITS = 2
-MOST_TABLES = 128
+BITS = 3
+TRIALS, TRIAL_WALKS = 24, 4  # edited copies of an item, and walks, by which the share of agreeing places is measured
 LEAST_ITEM_WORDS = 4  # a shorter item counts only where it stands unedited
 BLOCK_ITEMS = 5_000
 BLOCK_BYTES = 16 << 20
+BATCH_CHARS = 2_000_000
+CHUNK_WINDOWS = 2_048
 SEED = 7
 
 
@@ -90,125 +93,143 @@ def edit_distance(a: list, b: list, most: int) -> int:
     return min(row[len(b)], far)
 
 
-def tables_for(codes: np.ndarray, errors: int, rng: np.random.Generator, recall: float = RECALL, bits: int = BITS, trials: int = 24) -> int:
-    """Repetitions needed so that a copy with `errors` random edits meets its item in at least one with the target recall."""
+def errors_of(n: int, similarity: float = SIMILARITY) -> int:
+    return math.floor((1 - similarity) * n + 1e-9) if n >= LEAST_ITEM_WORDS else 0
+
+
+def tables_for(codes: np.ndarray, errors: int, recall: float = RECALL, bits: int = BITS, seed: int = SEED) -> int:
+    """Tables needed so that a copy with `errors` random edits meets its item in at least one with the target recall."""
     if not errors:
         return 1
-    n = len(codes)
-    copies = np.empty((trials, n), np.uint64)
-    for t in range(trials):
-        copy = codes.tolist()
+    n, rng = len(codes), np.random.default_rng(seed)
+    copies = np.zeros((TRIALS, n), np.uint64)
+    for copy in copies:
+        words = codes.tolist()
         for _ in range(errors):
-            k, kind = int(rng.integers(len(copy))), int(rng.integers(3))
-            new = int(rng.integers(1, 1 << 63))
-            copy[k : k + (kind != 0)] = [new] if kind < 2 else []
-        copies[t] = (copy + [0] * n)[:n]
-    walks = rng.integers(1, 1 << 63, 4).astype(np.uint64)
+            k, kind = int(rng.integers(len(words))), int(rng.integers(3))
+            words[k : k + (kind != 0)] = [int(rng.integers(1, 1 << 63))] if kind < 2 else []
+        copy[: min(n, len(words))] = words[:n]
+    walks = rng.integers(1, 1 << 63, TRIAL_WALKS).astype(np.uint64)
     share = (embed(copies, walks) == embed(codes[None, :], walks)).mean(2)
-    missing = 1 - np.clip(share, 0, 1) ** bits
-    for tables in range(1, MOST_TABLES + 1):
-        if (missing**tables).mean() <= 1 - recall:
-            return tables
-    return MOST_TABLES
+    missing, tables = (1 - np.maximum(share, 1 / (3 * n)) ** bits).mean(1), 1  # of each copy, by a table's walk
+    while (missing**tables).mean() > 1 - recall:
+        tables += 1
+    return tables
+
+
+class Tables:
+    """The walks and sampled places of all tables of one length; more tables begin with the same ones."""
+
+    def __init__(self, n: int, tables: int, bits: int = BITS, seed: int = SEED) -> None:
+        self.walks = np.random.default_rng([seed, n, 1]).integers(1, 1 << 63, tables).astype(np.uint64)
+        self.places = np.random.default_rng([seed, n, 2]).random((tables, 3 * n)).argsort(1)[:, :bits]
+
+    def keys(self, codes: np.ndarray) -> np.ndarray:
+        """[sequence, table]: keys of sequences of n words; only the sampled places of each walk are kept."""
+        m, n = codes.shape
+        padded = np.concatenate([codes, np.zeros((m, 1), np.uint64)], 1)
+        at, rows = np.zeros((m, len(self.walks)), np.int64), np.arange(m)[:, None]
+        found = np.zeros((m, *self.places.shape), np.uint64)
+        for place in range(self.places.max() + 1):
+            now = padded[rows, at]
+            table, bit = np.nonzero(self.places == place)
+            found[:, table, bit] = now[:, table]
+            at = np.minimum(at + _bit(now, place, self.walks[None, :]).astype(np.int64), n)
+        out = np.broadcast_to(np.arange(1, len(self.walks) + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25), at.shape).copy()
+        for bit in range(found.shape[2]):
+            out = (out ^ (out >> np.uint64(31)) ^ found[:, :, bit]) * np.uint64(0x9E3779B97F4A7C15)
+        return out
 
 
 class Items:
-    """A block of benchmark items, ready to be looked for."""
+    """A block of embedded benchmark items (item_id, text, keys), ready to be looked for."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, recall: float = RECALL, bits: int = BITS, seed: int = SEED) -> None:
-        rng = np.random.default_rng(seed)
-        self.walks = rng.integers(1, 1 << 63, MOST_TABLES).astype(np.uint64)
+    def __init__(self, items: list[tuple[int, str, bytes]], similarity: float = SIMILARITY) -> None:
         self.items, self.id_of = [], {}
-        runs: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for item_id, text in items:
-            words = words_of(text)
-            n = len(words)
-            if not n:
-                continue
-            errors = math.floor((1 - similarity) * n + 1e-9) if n >= LEAST_ITEM_WORDS else 0
-            run = math.ceil((n - errors) / (errors + 1))
-            codes = _codes(words)
-            tables = tables_for(codes, errors, rng, recall, bits)
-            sample = np.stack([rng.choice(3 * n, min(bits, 3 * n), replace=False) for _ in range(tables)])
-            own = np.take_along_axis(embed(codes[None, :], self.walks[:tables])[0], sample, 1)
-            ids = np.array([self.id_of.setdefault(w, len(self.id_of)) for w in words])
-            for at, key in enumerate(self._runs(ids, run, np.arange(n - run + 1)).tolist()):
-                runs[run].append((key, len(self.items), at))
-            self.items.append((item_id, words, np.unique(ids), errors, sample, own))
-        #: For each length of a run: its keys in order, and the item and place of each.
-        self.runs = {run: tuple(np.array(column, kind) for column, kind in zip(zip(*sorted(found), strict=True), (np.uint64, np.int64, np.int64), strict=True)) for run, found in runs.items()}
-
-    @staticmethod
-    def _runs(ids: np.ndarray, run: int, places: np.ndarray) -> np.ndarray:
-        keys = np.zeros(len(places), np.uint64)
-        for k in range(run):
-            keys = keys * np.uint64(0x9E3779B97F4A7C15) + ids[places + k].astype(np.uint64) + np.uint64(1)
-        return keys
-
-    def windows(self, words: list[str]) -> dict[int, np.ndarray]:
-        """Item -> starts of its candidate windows in a text. Equal keys of other runs only add candidates."""
-        ids = np.fromiter(map(self.id_of.get, words, repeat(-1)), np.int64, len(words))
-        outside = np.concatenate([[0], np.cumsum(ids < 0)])
-        found: dict[int, list[np.ndarray]] = defaultdict(list)
-        for run, (known, item, place) in self.runs.items():
-            whole = np.flatnonzero(outside[run:] == outside[: max(0, len(outside) - run)])  # all words of the run are item words
-            if not len(whole):
-                continue
-            keys = self._runs(ids, run, whole)
-            first, behind = np.searchsorted(known, keys), np.searchsorted(known, keys, "right")
-            for hit in np.flatnonzero(behind > first):
-                for x in range(first[hit], behind[hit]):
-                    errors = self.items[item[x]][3]
-                    found[int(item[x])].append(whole[hit] - place[x] + np.arange(-errors, errors + 1))
-        out = {}
-        for k, starts in found.items():
-            _, item_words, own, errors, _, _ = self.items[k]
-            n = len(item_words)
-            start = np.unique(np.clip(np.concatenate(starts), 0, max(0, len(words) - n)))
-            held = np.concatenate([[0], np.cumsum(np.isin(ids, own))])
-            start = start[held[np.minimum(start + n, len(words))] - held[start] >= n - errors]  # an unedited word is one of the item's
-            if len(start):
-                out[k] = start
-        return out
-
-    def find(self, text: str) -> Iterator[tuple[int, int, int, int]]:
-        """(item_id, first word, words, edit distance) of every leaked item, the nearest window of those that overlap."""
-        words = words_of(text)
-        near = self.windows(words)
-        for k, starts in near.items():
-            item_id, item, _, errors, sample, own = self.items[k]
-            n = len(item)
-            taken = []
-            for s in starts.tolist():  # a window equal to its item is equal in every embedding too
-                if words[s : s + n] == item and (not taken or s - taken[-1] >= n):
-                    taken.append(s)
-                    yield item_id, s, n, 0
-            starts = starts[np.all(np.abs(starts[:, None] - np.array(taken, np.int64)[None, :]) >= n, 1)]
-            if not len(starts):
-                continue
-            grid = np.zeros((len(starts), n), np.uint64)
-            for r, s in enumerate(starts):
-                part = _codes(words[s : s + n])
-                grid[r, : len(part)] = part
-            signed = embed(grid, self.walks[: len(sample)])
-            met = (np.take_along_axis(signed, np.broadcast_to(sample, (len(starts), *sample.shape)), 2) == own).all(2).any(1)
-            hits = []
-            for s in starts[met].tolist():
-                distance = edit_distance(item, words[s : s + n], errors)
-                if distance <= errors:
-                    hits.append((distance, s))
+        lengths: dict[int, list[int]] = defaultdict(list)
+        for item_id, text, keys in items:
+            if words := words_of(text):
+                lengths[len(words)].append(len(self.items))
+                self.items.append((item_id, words, np.frombuffer(keys, np.uint64), Counter(words)))
+                for w in words:
+                    self.id_of.setdefault(w, len(self.id_of))
+        #: By length: the most errors, its items, which words any and each of them has, its tables, all keys in order, and whose each is.
+        self.lengths = {}
+        for n, own in lengths.items():
+            has = np.zeros(len(self.id_of) + 1, bool)  # the last for all other words
+            has[[self.id_of[w] for k in own for w in self.items[k][1]]] = True
+            keys, of = np.concatenate([self.items[k][2] for k in own]), np.repeat(np.arange(len(own)), [len(self.items[k][2]) for k in own])
+            order = np.argsort(keys, kind="stable")
+            each = np.zeros((len(self.id_of) + 1, len(own)), bool)
+            for column, k in enumerate(own):
+                each[[self.id_of[w] for w in self.items[k][1]], column] = True
+            self.lengths[n] = errors_of(n, similarity), own, has, each, Tables(n, len(self.items[own[0]][2])), keys[order], of[order]
+        self.gap = max(self.lengths, default=0)
+
+    def find(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, item_id, first word, words, edit distance) of every leaked item, the nearest window of those that overlap."""
+        words = [words_of(t) for t in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(sizes + self.gap) - sizes - self.gap
+        ids = np.full(int((sizes + self.gap).sum()), -1)
+        for start, own in zip(starts, words, strict=True):
+            ids[start : start + len(own)] = np.fromiter(map(self.id_of.get, own, repeat(-1)), np.int64, len(own))
+        codes, coded = np.zeros(len(ids), np.uint64), np.zeros(len(words), bool)
+        near: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for n, (errors, members, has, each, tables, keys, of) in self.lengths.items():
+            held = np.concatenate([[0], np.cumsum(has[ids], dtype=np.int32)])
+            at = np.flatnonzero(held[n:] - held[:-n] >= n - errors)
+            text = np.searchsorted(starts, at, "right") - 1
+            real = at < starts[text] + sizes[text]
+            at, text = at[real], text[real]
+            possible = np.zeros((len(at), each.shape[1]), bool)
+            for lo in range(0, len(at), CHUNK_WINDOWS):
+                own = np.sort(ids[at[lo : lo + CHUNK_WINDOWS, None] + np.arange(n)], 1)
+                own[:, 1:][own[:, 1:] == own[:, :-1]] = -1  # each word once
+                possible[lo : lo + CHUNK_WINDOWS] = each[own].sum(1, dtype=np.int32) >= each.sum(0) - errors
+            some = possible.any(1)
+            at, text, possible = at[some], text[some], possible[some]
+            for t in np.unique(text[~coded[text]]).tolist():
+                codes[starts[t] : starts[t] + sizes[t]], coded[t] = _codes(words[t]), True
+            for lo in range(0, len(at), CHUNK_WINDOWS):
+                own = at[lo : lo + CHUNK_WINDOWS]
+                signed = tables.keys(codes[own[:, None] + np.arange(n)])
+                first, behind = np.searchsorted(keys, signed.ravel()), np.searchsorted(keys, signed.ravel(), "right")
+                hit = np.flatnonzero(behind > first)
+                pairs = {(int(w), int(c)) for w, a, b in zip(hit // signed.shape[1], first[hit], behind[hit], strict=True) for c in of[a:b]}
+                for w, column in sorted(pairs):
+                    k, t = members[column], int(text[lo + w])
+                    s = int(own[w] - starts[t])
+                    if not possible[lo + w, column] or (Counter(words[t][s : s + n]) & self.items[k][3]).total() < n - errors:
+                        continue  # too few words in common for the distance
+                    if (distance := edit_distance(self.items[k][1], words[t][s : s + n], errors)) <= errors:
+                        near[t, k].append((distance, s))
+        for (t, k), hits in near.items():
+            n, taken = len(self.items[k][1]), []
             for distance, s in sorted(hits):
                 if all(abs(s - x) >= n for x in taken):
                     taken.append(s)
-                    yield item_id, s, len(words[s : s + n]), distance
+                    yield t, self.items[k][0], s, len(words[t][s : s + n]), distance
+
+
+def embedded(items: pd.DataFrame, tables: dict[int, int]) -> pd.DataFrame:
+    """item_id, text, keys of items (item_id, text); tables by length."""
+    codes = [_codes(words_of(t)) for t in items["text"]]
+    return items.assign(keys=[Tables(len(c), tables[len(c)]).keys(c[None, :]).tobytes() if len(c) else b"" for c in codes])
+
+
+def needed(items: pd.DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> pd.DataFrame:
+    """n, tables of each item with words."""
+    codes = [c for t in items["text"] if len(c := _codes(words_of(t)))]
+    return pd.DataFrame({"n": [len(c) for c in codes], "tables": [tables_for(c, errors_of(len(c), similarity), recall) for c in codes]}, dtype="int64")
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks small enough to broadcast; they stream to the driver block by block."""
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str, bytes]]]:
+    """Embedded items in blocks small enough to broadcast; they stream to the driver block by block."""
     block, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).toLocalIterator():
-        block.append((r["item_id"], r["text"]))
-        size += len(r["text"]) + 100
+    for r in items.toLocalIterator():
+        block.append((r["item_id"], r["text"], bytes(r["keys"])))
+        size += len(r["text"]) + len(r["keys"]) + 100
         if len(block) >= BLOCK_ITEMS or size >= BLOCK_BYTES:
             yield block
             block, size = [], 0
@@ -222,23 +243,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     Null and empty texts and items match nothing; items of fewer than four words match only unedited. Items with equal
     texts each give their own rows, and so do repeated documents. Words are numbered from 0.
     """
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    rows = docs.select(docs["doc_id"], F.xxhash64(text).alias("text_hash"), text.alias("text"))
     id_type, found = dict(rows.dtypes)["doc_id"], None
     schema = f"doc_id {id_type}, text_hash long, item_id long, first_word long, n_words long, distance long"
-    for block in _blocks(benchmark):
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    by_length = items.mapInPandas(lambda batches: (needed(pdf, similarity) for pdf in batches), "n long, tables long").groupBy("n").agg(F.max("tables").alias("tables"))
+    tables = {r["n"]: r["tables"] for r in by_length.collect()}  # a row a length
+    for block in _blocks(items.mapInPandas(lambda batches: (embedded(pdf, tables) for pdf in batches), "item_id long, text string, keys binary")):
         shared = docs.sparkSession.sparkContext.broadcast(Items(block, similarity))  # some KB an item, BLOCK_ITEMS at most
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for batch in batches:
-                at, out = [], []
-                for i, text in enumerate(batch.column(2)):
-                    for hit in items.find(text.as_py()):
-                        at.append(i)
-                        out.append(hit)
-                columns = list(zip(*out, strict=True)) or [()] * 4
-                kept = [batch.column(c).take(pa.array(at, pa.int64())) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "text_hash", "item_id", "first_word", "n_words", "distance"])
+                for lo, hi in stretches(pc.utf8_length(batch.column(2)).to_numpy(zero_copy_only=False), BATCH_CHARS):
+                    part = batch.slice(lo, hi - lo)
+                    at, *columns = list(zip(*items.find(part.column(2).to_pylist()), strict=True)) or [()] * 5
+                    kept = [part.column(c).take(pa.array(at, pa.int64())) for c in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "text_hash", "item_id", "first_word", "n_words", "distance"])
 
         part = rows.mapInArrow(run, schema)
         found = part if found is None else found.union(part)
@@ -246,10 +268,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, all columns, that hold no leaked passage."""
-    bad = leaks(docs, benchmark, similarity).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    hashed = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(bad, (hashed == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """The rows of docs, all columns (of any names), that hold no leaked passage."""
+    bad = leaks(docs, benchmark, similarity).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("own_id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("own_hash"))
+    return rows.join(bad, (F.col("own_hash") == F.col("bad_hash")) & F.col("own_id").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
