@@ -6,7 +6,7 @@ common blocks are deleted from the later document of each pair (later: larger do
 A rare line has LEAST_WORDS words or more and stands in two texts or more, but in no more than MOST_SHARE of all
 distinct texts. Each text is paired with the earliest holder of each of its rare lines first, so a line in m texts gives
 m - 1 pairs; copies of a text are settled before that, without pairs. A rare line that this leaves in a text is tried
-with the line's other earlier holders, a few at first and about eight times as many each round, until it is aligned
+with the line's other earlier holders, a few at first and about 64 times as many each round, until it is aligned
 with one or none is left; so a line that no alignment takes is compared with every earlier holder. Of a line that stands
 several times in a text, the search ends with the first place that is aligned; places that no alignment so far has
 taken stay. A block is deleted only if it holds a line of LEAST_WORDS words or more; other lines go with it where they
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, fresh_path
+from .common import cut, cut_counted, documents, fresh_path
 
 LEAST_WORDS = 5
 MOST_SHARE = 0.5
@@ -125,19 +125,19 @@ def shared_blocks(docs: DataFrame, least_words: int = LEAST_WORDS, most_share: f
         sides = pairs.distinct().join(texts.select(F.col("doc").alias("first"), F.col("lines").alias("lines_a")), "first")
         return cut(_align(sides.join(texts.select("doc", F.col("lines").alias("lines_b"), F.col("long").alias("long_b")), "doc")))
 
-    def without(still: DataFrame, done: DataFrame) -> DataFrame:
-        return cut(still.join(done.select("doc", F.explode("gone").alias("line")), ["doc", "line"], "left_anti"))
+    def without(still: DataFrame, done: DataFrame) -> tuple[DataFrame, int]:
+        return cut_counted(still.join(done.select("doc", F.explode("gone").alias("line")), ["doc", "line"], "left_anti"), F.lit(True))
 
     rounds = [align(shared.select("first", "doc"))]
-    still = without(shared.select("doc", "line"), rounds[0])
+    still, n_still = without(shared.select("doc", "line"), rounds[0])
     chance = (F.pmod(F.xxhash64("line", "doc"), F.lit(1 << 40)) + 1) / (1 << 40)
-    others = shared.join(cut(still.select("line").distinct()), "line", "left_semi").select(F.col("doc").alias("first"), "line", F.floor(-F.log2(chance) / 3).cast("int").alias("level"))
-    others = cut(others)  # about an eighth of a line's holders are of the next level
+    others = shared.join(cut(still.select("line").distinct()), "line", "left_semi").select(F.col("doc").alias("first"), "line", F.floor(-F.log2(chance) / 6).cast("int").alias("level"))
+    others = cut(others)  # about one in 64 of a line's holders is of the next level
     for level in sorted((r["level"] for r in others.select("level").distinct().collect()), reverse=True):
-        rounds.append(align(still.join(others.filter(F.col("level") == level), "line").filter("first < doc").select("first", "doc")))
-        still = without(still, rounds[-1])
-        if still.isEmpty():
+        if not n_still:
             break
+        rounds.append(align(still.join(others.filter(F.col("level") == level), "line").filter("first < doc").select("first", "doc")))
+        still, n_still = without(still, rounds[-1])
     found = reduce(DataFrame.union, rounds).groupBy("doc").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
     return found.union(whole)
 
@@ -150,15 +150,17 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, most_share: flo
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     blocks = shared_blocks(docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL"), least_words, most_share)
-    named = blocks.select(F.col("doc").alias("__doc"), F.col("blocks").alias("__blocks"))
-    both = docs.select(*kept).withColumn("__key", _key(F.col("doc_id"), F.col("text").cast("string"))).join(named, F.col("__key") == F.col("__doc"), "left")
-    lines = F.split(F.col("text").cast("string"), "\n", -1)
-    stay = F.filter(lines, lambda x, i: ~F.exists("__blocks", lambda b: (b["s"] <= i) & (i <= b["e"])))
-    left = both.withColumn("__left", F.when(F.col("__blocks").isNotNull(), stay))
-    out = {"text": F.when(F.col("__left").isNull(), F.col("text").cast("string")).otherwise(F.array_join("__left", "\n"))}
-    n = F.coalesce(F.size(lines), F.lit(0))
-    extra = [F.when(F.col("text").isNull(), 0).otherwise(n).alias("n_lines"), F.when(F.col("__left").isNull(), 0).otherwise(n - F.size("__left")).alias("n_deleted")]
-    return left.select(*[out[c].alias(c) if c in out else F.col(c) for c in kept], *extra)
+    row = F.struct(*[docs[f"`{c}`"] for c in kept]).alias("row")  # so that no column's name meets one of these
+    keyed = docs.select(row, _key(docs["doc_id"], docs["text"].cast("string")).alias("key"))
+    both = keyed.join(blocks.withColumnRenamed("doc", "at"), F.col("key") == F.col("at"), "left")
+    text = F.col("row")["text"].cast("string")
+    lines = F.split(text, "\n", -1)
+    stay = F.filter(lines, lambda x, i: ~F.exists("blocks", lambda b: (b["s"] <= i) & (i <= b["e"])))
+    done = both.select("row", text.alias("text"), F.size(lines).alias("lines"), F.when(F.col("blocks").isNotNull(), stay).alias("left"))
+    new = F.when(F.col("left").isNull(), F.col("text")).otherwise(F.array_join("left", "\n"))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.col("lines"))
+    extra = [n.alias("n_lines"), F.when(F.col("left").isNull(), 0).otherwise(n - F.size("left")).alias("n_deleted")]
+    return done.select(*[new.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in kept], *extra)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, drop_path, fresh_path, stretches, sum_blocks
+from .common import cut, cut_counted, documents, drop_path, fresh_path, stretches, sum_blocks
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 4  # a pair of similarity 0.8 shares no bucket with probability 0.005
@@ -371,8 +371,8 @@ def components(links: DataFrame) -> DataFrame:
     labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")))
     while True:
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        spread = cut(labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "near").alias("new"), F.col("label").alias("old")))
-        if spread.filter("new != old").isEmpty():
+        spread, changed = cut_counted(labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "near").alias("new"), F.col("label").alias("old")), F.col("new") != F.col("old"))
+        if not changed:
             return labels
         jump = spread.select(F.col("node").alias("at"), F.col("new").alias("to"))
         labels = cut(spread.join(jump, spread["new"] == jump["at"]).select("node", F.least("new", "to").alias("label")))

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -97,6 +98,47 @@ def test_shared_lines_are_aligned_with_other_holders_too(spark):
     assert [got[k] for k in range(40)] == want
 
 
+def test_line_dedup_is_bounded_by_all_pairs(spark, docs):
+    """What is deleted is what the alignment with some earlier document takes, and no rare line that stands once in its text and that any takes stays."""
+    own = docs.select("doc_id", "text").filter("text IS NOT NULL")
+    texts = {}
+    for r in sorted(own.collect(), key=lambda r: r["doc_id"]):
+        texts.setdefault(r["text"], r["doc_id"])
+    lines = {i: t.split("\n") for t, i in texts.items()}
+    number = {x: k for k, x in enumerate(sorted({x for ls in lines.values() for x in ls}))}
+    long = {i: [len(x.split()) >= 5 for x in ls] for i, ls in lines.items()}
+    holders = {}
+    for i, ls in lines.items():
+        for x in {x for x, w in zip(ls, long[i], strict=True) if w}:
+            holders.setdefault(x, set()).add(i)
+    holders = {x: ids for x, ids in holders.items() if 1 < len(ids) <= max(100, 0.5 * len(lines))}
+    pairs = {(a, b) for ids in holders.values() for a in ids for b in ids if a < b}
+    every = {}
+    for a, b in pairs:
+        for s, e in line_dedup.common_blocks([number[x] for x in lines[a]], [number[x] for x in lines[b]], long[b]):
+            every.setdefault(b, set()).update(range(s, e + 1))
+    found = {}
+    for r in line_dedup.shared_blocks(own).collect():
+        found.setdefault(r["doc"]["i"], set()).update(k for b in r["blocks"] for k in range(b["s"], b["e"] + 1))
+    assert len(pairs) > 50 and sum(map(len, every.values())) > 50
+    for i, ls in lines.items():
+        gone = found.get(i, set())
+        assert gone <= every.get(i, set())
+        assert all(k in gone for k in every.get(i, ()) if ls[k] in holders and ls.count(ls[k]) == 1 and i > min(holders[ls[k]]))
+
+
+CLASHING = ["__key", "__doc", "__blocks", "__left", "__hash", "__id", "row", "key", "at", "blocks", "left", "lines", "own_id", "own_hash", "stay_id", "stay_hash", "again", "bad_id", "bad_hash", "class", "content", "word", "label"]
+
+
+def test_columns_of_any_name_stay_as_they_are(spark, docs):
+    wide = docs.select("*", *[F.concat(F.lit(f"{c} of "), F.col("doc_id")).alias(c) for c in CLASHING])
+    for stage in (line_dedup.dedup_lines, weighted_minhash.keep_one, lambda d: decontamination.drop_leaking(d, spark.read.parquet(f"{DATA}/benchmark.parquet"))):
+        done = stage(wide)
+        assert [c for c in done.columns if c not in ("n_lines", "n_deleted")] == wide.columns
+        rows = done.collect()
+        assert rows and all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in CLASHING)
+
+
 # 2 ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -256,7 +298,7 @@ def test_leaks_are_those_of_brute_force(spark, docs):
         for item_id, item in items:
             n, e = len(item), math.floor(0.2 * len(item) + 1e-9)
             need = Counter(item)
-            for s in range(max(1, len(words) - n + 1)):
+            for s in range(len(words)):
                 part = words[s : s + n]
                 if sum((Counter(part) & need).values()) >= n - e and decontamination.edit_distance(item, part, e) <= e:
                     want.add((r["doc_id"], item_id))
@@ -265,17 +307,29 @@ def test_leaks_are_those_of_brute_force(spark, docs):
     assert got == want
 
 
-def test_edited_passages_are_found(spark):
+def test_lsh_alone_reaches_its_recall():
+    """Copies with as many random edits as are allowed: the share of them that the tables find, no other filter before."""
     rnd = random.Random(6)
-    items = [(i, " ".join(f"w{rnd.randrange(500)}" for _ in range(rnd.randrange(12, 60)))) for i in range(40)]
-    hits = 0
-    finder = decontamination.Items(items)
-    for i, text in items:
-        words = text.split()
-        for _ in range(math.floor(0.2 * len(words))):
-            words[rnd.randrange(len(words))] = f"new{rnd.randrange(99)}"
-        hits += any(h[0] == i for h in finder.find("lead in " + " ".join(words) + " and out"))
-    assert hits >= 38
+    items = pd.DataFrame([(i, " ".join(f"w{rnd.randrange(500)}" for _ in range(rnd.randrange(12, 60)))) for i in range(40)], columns=["item_id", "text"])
+    tables = decontamination.needed(items).groupby("n")["tables"].max().to_dict()
+    done = decontamination.embedded(items, tables)
+    finder, met, found, all_ = decontamination.Items(list(done.itertuples(index=False))), 0, 0, 0
+    for i, text in zip(items["item_id"], items["text"], strict=True):
+        n = len(text.split())
+        for _ in range(10):
+            words = text.split()
+            for _ in range(math.floor(0.2 * n)):
+                k, kind = rnd.randrange(len(words)), rnd.randrange(3)
+                words[k : k + (kind != 0)] = [f"new{rnd.randrange(99)}"] if kind < 2 else []
+            window = (words + ["behind"] * n)[:n]
+            if naive_edit(window, text.split()) > math.floor(0.2 * n):
+                continue
+            all_ += 1
+            keys = decontamination.Tables(n, tables[n]).keys(decontamination._codes(window)[None, :])[0]
+            met += bool((keys == np.frombuffer(done["keys"][i], np.uint64)).any())
+            found += any(h[1] == i for h in finder.find(["lead in " + " ".join(words) + " behind " * n]))
+    print(f"recall of the tables alone: {met / all_:.3f}, of the search: {found / all_:.3f}, of {all_}")
+    assert all_ > 150 and met >= 0.95 * all_ and found >= met
 
 
 def test_decontamination_awkward(spark, awkward, none):
