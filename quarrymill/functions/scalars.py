@@ -92,6 +92,7 @@ def inferred_date(filename: Column, album: Column) -> tuple[Column, Column]:
         at = [F.regexp_extract(name, pattern, k) for k in (1, 2, 3)]
         return F.when(at[0] != "", F.try_to_date(F.concat_ws("-", *at), "yyyy-MM-dd"))
 
+    # The three patterns, and the names of the rules.
     full = dated(r"(?<!\d)(\d{4})[-_](\d{2})[-_](\d{2})(?!\d)")
     compact = dated(r"(?<!\d)((?:19|20)\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?!\d)")
     folders = F.filter(F.split(F.replace(album, F.lit("\\"), F.lit("/")), "/"), lambda p: p.rlike(r"^(19|20)\d{2}([/-](0[1-9]|1[0-2]))?$"))
@@ -171,12 +172,53 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """The binary number rounded to decimals, exact ties to the even one, as Python's round does.
+
+    x * 10^digits is rounded by its exact value: the product in double precision and, from the halves of x, its error.
+    """
+    scale = float(10**digits)
+    size = F.abs(x.cast("double"))
+    upper = size * 134217729.0 - (size * 134217729.0 - size)
+    product = size * scale
+    error = (upper * scale - product) + (size - upper) * scale
+    whole = F.floor(product)
+    over = (product - whole - 0.5) + error
+    up = (over > 0) | ((over == 0) & (whole % 2 == 1))
+    return F.when(product < 2**52, F.signum(x) * (whole + up.cast("int")) / scale).otherwise(x.cast("double"))
+
+
+def iso_time(text: Column) -> Column:
+    """The time of an ISO text, with or without a zone (UTC where there is none); null for other texts."""
+    return F.try_to_timestamp(F.regexp_replace(F.trim(text), r"Z$", "+00:00"))
+
+
+def iso_text(time: Column) -> Column:
+    """X15"""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+#: What the legacy importer takes for a video.
+IMPORTED_VIDEO = ("mp4", "mov", "avi", "mkv", "wmv", "flv", "m4v", "mts", "m2ts", "webm")
+
+
+def imported_media(filename: Column) -> Column:
+    """X04"""
+    return F.when(F.lower(F.regexp_extract(filename, r"[^.]*$", 0)).isin(*IMPORTED_VIDEO), "video").otherwise("image")
+
+
 def thresholds(sensitivity: float) -> tuple[float, float, float]:
     """Threshold, margin and floor of automatic confirmation."""
     s = min(1.0, max(0.0, sensitivity))
     return round(0.90 - 0.20 * s, 4), round(0.08 - 0.05 * s, 4), round(0.85 - 0.20 * s, 4)
 
 
+def threshold_columns(sensitivity: Column) -> list[Column]:
+    """X32 for a column of sensitivities."""
+    s = F.least(F.lit(1.0), F.greatest(F.lit(0.0), sensitivity))
+    return [rounded(top - fall * s, 4) for top, fall in ((0.90, 0.20), (0.08, 0.05), (0.85, 0.20))]
+
+
 def adaptive_threshold(base: float, floor: float, faces: Column, low: int = 20, high: int = 300) -> Column:
     """Falls from base to the floor as a person has more faces."""
     share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (faces - low) / (high - low)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def below(path: Column, top: Column, separator: str = ".") -> Column:
     """Descendant or self."""
@@ -46,16 +48,28 @@ def children(tags: DataFrame) -> DataFrame:
     return joined.select("id", "name", "parent_name", F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"))
 
 
+def chains(rows: DataFrame, separator: str = ".") -> DataFrame:
+    """id, path, top, depth of every row (id, parent_id, label, top) that hangs from a root: labels and top along its ancestors.
+
+    Each row holds the stretch of labels down from an ancestor, and in each round puts that ancestor's own stretch before
+    it, so rounds grow with the logarithm of the depth, however deep. A row whose ancestors end in an id that is not
+    there is left out; a cycle is an error.
+    """
+    held = cut(rows.select("id", F.col("parent_id").alias("up"), F.col("label").alias("path"), "top", F.lit(1).cast("long").alias("depth")))
+    most = held.count()
+    while not held.filter("up IS NOT NULL").isEmpty():
+        before = held.select(F.col("id").alias("at"), F.col("up").alias("next"), F.col("path").alias("above"), F.col("top").alias("high"), F.col("depth").alias("more"))
+        both = held.join(before, F.col("up") == F.col("at"), "left").filter("up IS NULL OR at IS NOT NULL")
+        root = F.col("up").isNull()
+        held = cut(both.select("id", "next", F.when(root, F.col("path")).otherwise(F.concat("above", F.lit(separator), "path")).alias("path"), F.when(root, F.col("top")).otherwise(F.col("high")).alias("top"), F.when(root, F.col("depth")).otherwise(F.col("depth") + F.col("more")).alias("depth")).withColumnRenamed("next", "up"))
+        if not held.filter(F.col("depth") > most).isEmpty():
+            raise ValueError("the parents form a cycle")
+    return held.drop("up")
+
+
 def depths(tags: DataFrame) -> DataFrame:
-    """Id, root, depth of every tag, by following parent ids from the roots down."""
-    return tags.sparkSession.sql(
-        """
-WITH RECURSIVE tree(id, root, depth) AS (
-  SELECT id, name, 1 FROM {tags} WHERE parent_id IS NULL
-  UNION ALL SELECT t.id, tree.root, tree.depth + 1 FROM {tags} t JOIN tree ON t.parent_id = tree.id)
-SELECT id, root, CAST(depth AS BIGINT) AS depth FROM tree""",
-        tags=tags,
-    )
+    """Id, root, depth of every tag below a root."""
+    return chains(tags.select("id", "parent_id", F.lit("").alias("label"), F.col("name").alias("top")), "").select("id", F.col("top").alias("root"), "depth")
 
 
 def persons(tags: DataFrame, roots: tuple[str, ...] = ("people", "_people", "persons")) -> DataFrame:

@@ -3,13 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in spark.checkpoint.dir; in a folder of our own only where that is unset, as in tests."""
+    """A checkpoint in spark.checkpoint.dir; where that is unset, a local session gets a folder of its own."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder's name beside the checkpoints, which driver and executors share."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir()
+    at = at if isinstance(at, str) else at.get() if at.isDefined() else tempfile.mkdtemp(prefix="spark-files-")
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"

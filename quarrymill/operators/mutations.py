@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New rows win; of several new rows with one key an arbitrary but fixed one (largest by all columns)."""
@@ -26,7 +28,7 @@ def get_or_create(dimension: DataFrame, names: DataFrame, keys: list[str], id_co
     """
     fresh = names.select(*keys).distinct().join(dimension.select(*keys), [dimension[k].eqNullSafe(names[k]) for k in keys], "left_anti")
     top = dimension.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("top"))
-    ordered = fresh.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id())
+    ordered = cut(fresh.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()))  # counted and numbered alike
     within = ordered.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*keys)))
     counts = within.groupBy("__part").agg(F.count("*").alias("n"))
     before = counts.withColumn("__before", F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).drop("n")  # a row a partition

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import base64
-import binascii
 import json
 from datetime import datetime
 
@@ -28,31 +26,31 @@ def page(rows: DataFrame, sort: str, number: int, size: int) -> DataFrame:
     return rows.orderBy(*order(sort)).offset((max(1, number) - 1) * size).limit(size)
 
 
-def encode_cursor(row, sort: str) -> str:
-    """An opaque cursor behind a row of the page."""
-    time = lambda t: t.isoformat() if t is not None else None
-    data = {"s": sort, "id": row["id"], "ta": time(row["taken_at"]), "ia": time(row["imported_at"]), "r": row["rating"], "fn": row["filename"]}
-    return base64.urlsafe_b64encode(json.dumps(data, separators=(",", ":")).encode()).decode()
+def cursor_behind(row, sort: str) -> str:
+    """An opaque text that names a row's place in a sort: the sort, the row's value in it, and the id."""
+    value = row[SORTS[sort][0]]
+    return json.dumps([sort, value.isoformat() if isinstance(value, datetime) else value, row["id"]]).encode().hex()
 
 
-def decode_cursor(cursor: str) -> dict | None:
+def place_of(cursor: str) -> tuple[str, object, int] | None:
+    """What cursor_behind has put in; None for any other text."""
     try:
-        data = json.loads(base64.urlsafe_b64decode(cursor.encode()))
-        return data if isinstance(data, dict) and "id" in data else None
-    except (ValueError, binascii.Error):
+        sort, value, row_id = json.loads(bytes.fromhex(cursor))
+    except (ValueError, TypeError):
         return None
+    return (sort, value, row_id) if isinstance(row_id, int) else None
 
 
 def after_cursor(rows: DataFrame, cursor: str | None, sort: str, size: int) -> DataFrame:
     """The page behind a cursor. A corrupt cursor gives page 1; one of another sort is an error."""
     sort = sort if sort in SORTS else DEFAULT
-    data = decode_cursor(cursor) if cursor else None
-    if data is not None:
-        if data.get("s", DEFAULT) != sort:
+    place = place_of(cursor) if cursor else None
+    if place is not None:
+        of, key, row_id = place
+        if of != sort:
             raise ValueError("the cursor belongs to another sort")
         column, rises = SORTS[sort]
-        key = data[{"taken_at": "ta", "imported_at": "ia", "rating": "r", "filename": "fn"}[column]]
-        behind = F.col("id") > data["id"] if rises else F.col("id") < data["id"]
+        behind = F.col("id") > row_id if rises else F.col("id") < row_id
         if key is None:
             rows = rows.filter(F.col(column).isNull() & behind)
         else:

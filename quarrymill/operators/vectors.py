@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from .lineage import cut
 
 BROADCAST_BYTES = 32 << 20  # a pool up to this size is sent to all tasks; a larger one is met in blocks
 BLOCK_ROWS = 8_192
+PRODUCT_CELLS = 4_000_000  # of one matrix product
 EDGE_SLACK = 0.005  # a propagated label may fall this much under the threshold
 
 
@@ -20,54 +21,96 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, 1))
 
 
-def _best(q_ids: np.ndarray, q: np.ndarray, p_ids: np.ndarray, p: np.ndarray, k: int, skip_same: bool) -> pd.DataFrame:
-    if not len(q_ids) or not len(p_ids):
-        return pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
-    score = q @ p.T
-    if skip_same:
-        score[q_ids[:, None] == p_ids[None, :]] = -np.inf
-    order = np.argsort(p_ids, kind="stable")  # ties go to the smaller id
-    top = order[np.argsort(-np.round(score[:, order], 12), axis=1, kind="stable")[:, :k]]
-    rows = np.repeat(np.arange(len(q_ids)), top.shape[1])
-    out = pd.DataFrame({"query_id": q_ids[rows], "id": p_ids[top.ravel()], "score": score[rows, top.ravel()]})
-    return out[np.isfinite(out["score"])]
+def _stretches(n: int, width: int) -> Iterator[slice]:
+    """Stretches of n queries whose products with `width` vectors have PRODUCT_CELLS numbers at most."""
+    step = max(1, PRODUCT_CELLS // max(1, width))
+    return (slice(k, k + step) for k in range(0, n, step))
 
 
-def knn(queries: DataFrame, pool: DataFrame, k: int, skip_same: bool = True, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, id, score: of each query the k vectors of the pool of largest dot product, ties to the smaller id.
+def _products(q_ids: np.ndarray, q: np.ndarray, p_ids: np.ndarray, p: np.ndarray, skip_same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of a stretch of queries, and their products with all of p to twelve decimals; a query's own id gets -inf."""
+    for part in _stretches(len(q_ids), len(p_ids)):
+        score = np.round(q[part] @ p.T, 12)
+        if skip_same:
+            score[q_ids[part][:, None] == p_ids[None, :]] = -np.inf
+        yield q_ids[part], score
+
 
-    A small pool (its rows are counted) is broadcast as one matrix. Otherwise both sides are cut into blocks by a hash
-    of the id, every pair of blocks is one task's matrix product, and only its k best per query are shuffled.
+def _best(q_ids: np.ndarray, q: np.ndarray, p_ids: np.ndarray, p: np.ndarray, k: int, skip_same: bool) -> pd.DataFrame:
+    """The k best of each query; ties go to the smaller id."""
+    out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+    for own, score in _products(q_ids, q, p_ids, p, skip_same) if len(p_ids) else ():
+        edge = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(own), -np.inf)
+        row, column = np.nonzero((score >= edge[:, None]) & (score > -np.inf))
+        order = np.lexsort((p_ids[column], -score[row, column], row))
+        row, column = row[order], column[order]
+        start = np.searchsorted(row, np.arange(len(own)))
+        kept = np.arange(len(row)) - start[row] < k
+        out.append(pd.DataFrame({"query_id": own[row[kept]], "id": p_ids[column[kept]], "score": score[row[kept], column[kept]]}))
+    return pd.concat(out)
+
+
+def _met(left: DataFrame, right: DataFrame, meet: Callable, schema: str) -> tuple[DataFrame, bool]:
+    """meet(ids, vectors, ids, vectors, extra) over the rows of left and right (id, v, and on the right extra), and whether in blocks.
+
+    A small right side (its rows are counted) is broadcast as one matrix. Otherwise both sides are cut into blocks by a
+    hash of the id, and every pair of blocks is one task's matrix product; only what meet gives is shuffled.
     """
-    spark = pool.sparkSession
-    right = pool.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter(F.col("v").isNotNull())
-    left = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter(F.col("v").isNotNull())
+    spark = right.sparkSession
     size = right.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("width")).collect()[0]
-    schema = "query_id long, id long, score double"
     if size["n"] * size["width"] * 8 <= BROADCAST_BYTES:
         rows = right.toPandas()
-        shared = spark.sparkContext.broadcast((rows["id"].to_numpy(np.int64), _matrix(rows["v"])))
+        shared = spark.sparkContext.broadcast((rows["id"].to_numpy(np.int64), _matrix(rows["v"]), rows["extra"].to_numpy()))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
             for pdf in batches:
-                yield _best(pdf["id"].to_numpy(np.int64), _matrix(pdf["v"]), ids, matrix, k, skip_same)
+                yield meet(pdf["id"].to_numpy(np.int64), _matrix(pdf["v"]), *shared.value)
 
-        return left.mapInPandas(run, schema)
+        return left.mapInPandas(run, schema), False
     blocks = max(1, -(-size["n"] // BLOCK_ROWS))
     asked = max(1, -(-left.count() // BLOCK_ROWS))
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     l_rows = left.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(asked)).cast("int").alias("qb"), every(blocks, "pb"))
-    r_rows = right.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("pb"), every(asked, "qb"))
+    r_rows = right.select("id", "v", "extra", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("pb"), every(asked, "qb"))
+
+    def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return meet(a["id"].to_numpy(np.int64), _matrix(a["v"]), b["id"].to_numpy(np.int64), _matrix(b["v"]), b["extra"].to_numpy())
+
+    return l_rows.groupBy("qb", "pb").cogroup(r_rows.groupBy("qb", "pb")).applyInPandas(both, schema), True
+
+
+def _side(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", extra: str | None = None) -> DataFrame:
+    more = [] if extra is None else [F.col(extra).cast("long").alias("extra")]
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), *more).filter(F.col("v").isNotNull())
+
+
+def knn(queries: DataFrame, pool: DataFrame, k: int, skip_same: bool = True, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, id, score: of each query the k vectors of the pool of largest dot product, ties to the smaller id."""
 
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _best(a["id"].to_numpy(np.int64), _matrix(a["v"]), b["id"].to_numpy(np.int64), _matrix(b["v"]), k, skip_same)
+    def meet(q_ids, q, p_ids, p, _) -> pd.DataFrame:
+        return _best(q_ids, q, p_ids, p, k, skip_same)
 
-    near = l_rows.groupBy("qb", "pb").cogroup(r_rows.groupBy("qb", "pb")).applyInPandas(meet, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id"))
+    near, in_blocks = _met(_side(queries, id_col, vector_col), _side(pool, id_col, vector_col).withColumn("extra", F.lit(0)), meet, "query_id long, id long, score double")
+    if not in_blocks:
+        return near
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
 
 
+def within(vectors: DataFrame, least: float) -> DataFrame:
+    """a, b, score: all pairs of vectors (a < b) of at least this dot product; no other pair leaves a task."""
+
+    def meet(q_ids, q, p_ids, p, _) -> pd.DataFrame:
+        out = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        for own, score in _products(q_ids, q, p_ids, p, False) if len(p_ids) else ():
+            row, column = np.nonzero((score >= least) & (own[:, None] < p_ids[None, :]))
+            out.append(pd.DataFrame({"a": own[row], "b": p_ids[column], "score": score[row, column]}))
+        return pd.concat(out)
+
+    side = _side(vectors)
+    return _met(side, side.withColumn("extra", F.lit(0)), meet, "a long, b long, score double")[0]
+
+
 def similar_to(pool: DataFrame, query: list[float], k: int, least: float) -> DataFrame:
     """The k nearest of one query vector; the least score is applied behind the top k."""
     from quarrymill.functions.scalars import dot
@@ -110,15 +153,15 @@ def numbered_clusters(labels: DataFrame) -> DataFrame:
     return labels.join(sizes, "label").select("node", F.col("label").alias("cluster"), "size")
 
 
-def kmeans(rows: np.ndarray, k: int, seed: int = 42, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """Unit centres and sizes by k-means++ and Lloyd's rounds on unit vectors."""
-    rng = np.random.default_rng(seed)
+def kmeans(rows: np.ndarray, k: int, seed: int = 42, rounds: int = 25, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Unit centres and sizes by k-means++ and Lloyd's rounds on unit vectors, each counting as often as its weight says."""
+    rng, weight = np.random.default_rng(seed), np.ones(len(rows)) if weight is None else weight
+    unit = lambda x: x / max(np.linalg.norm(x), 1e-12)
     if k >= len(rows) or k == 1:
-        centre = rows.mean(0)
-        return (centre / max(np.linalg.norm(centre), 1e-12))[None, :], np.array([len(rows)])
+        return unit(weight @ rows / weight.sum())[None, :], np.array([weight.sum()])
     centres = rows[[rng.integers(len(rows))]]
     while len(centres) < k:
-        away = np.maximum(1 - (rows @ centres.T).max(1), 0)
+        away = np.maximum(1 - (rows @ centres.T).max(1), 0) * weight
         at = rng.choice(len(rows), p=away / away.sum()) if away.sum() > 0 else rng.integers(len(rows))
         centres = np.vstack([centres, rows[at]])
     label = None
@@ -129,46 +172,70 @@ def kmeans(rows: np.ndarray, k: int, seed: int = 42, rounds: int = 25) -> tuple[
         label = new
         for c in range(k):
             if (label == c).any():
-                mean = rows[label == c].mean(0)
-                centres[c] = mean / max(np.linalg.norm(mean), 1e-12)
-    return centres, np.bincount(label, minlength=k)
+                centres[c] = unit(weight[label == c] @ rows[label == c])
+    return centres, np.bincount(label, weight, k)
 
 
-def centroids(faces: DataFrame, clusters: int = 3, person: str = "label", most: int = 20_000) -> DataFrame:
+def centroids(faces: DataFrame, clusters: int = 3, person: str = "label", most: int = 20_000, reduced: int = 64) -> DataFrame:
     """Person, part, embedding, n. k = max(1, min(clusters, faces // 2)).
 
-    Persons of at most `most` faces are one group each. A larger one is first reduced to unit means of random parts of
-    about `most` / 10 faces (weights kept by their equal sizes), so no task ever holds more than `most` vectors.
+    Persons of at most `most` faces are one group each. A larger one is cut into blocks of that size, each block is
+    reduced to `reduced` weighted centres, and so on until the centres of a person fit into one group; of those the k
+    centres are made by weighted k-means. So every person gets k centres, and no task holds more than about `most` vectors.
     """
-    sized = faces.groupBy(person).agg(F.count("*").alias("faces"))
-    parts = F.ceil(F.col("faces") / F.lit(most)).cast("int")
-    rows = faces.select(person, "vec_id", "embedding").join(sized, person).withColumn("block", F.pmod(F.xxhash64("vec_id"), parts).cast("int"))
+    kind = dict(faces.dtypes)[person]
+    schema = f"{person} {kind}, faces long, name long, v array<double>, n double"
+    sized = cut(faces.groupBy(F.col(person).alias("of")).agg(F.count("*").alias("faces")))
+    rows = faces.join(sized, F.col(person).eqNullSafe(F.col("of"))).select(person, "faces", F.col("vec_id").cast("long").alias("name"), F.col("embedding").cast("array<double>").alias("v"), F.lit(1.0).alias("n"))
 
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        x = _matrix(pdf["embedding"])
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        centres, sizes = kmeans(x, max(1, min(clusters, len(x) // 2)))
-        return pd.DataFrame({person: key[0], "block": key[1], "part": range(len(centres)), "embedding": list(centres), "n": sizes})
+    def unit(pdf: pd.DataFrame) -> np.ndarray:
+        x = _matrix(pdf["v"])
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
-    kind = dict(faces.dtypes)[person]
-    found = rows.select(person, "block", "vec_id", "embedding").groupBy(person, "block").applyInPandas(fit, f"{person} {kind}, block int, part int, embedding array<double>, n long")
-    return found.select(person, (F.col("block") * clusters + F.col("part")).alias("part"), "embedding", "n")
+    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("name")
+        centres, sizes = kmeans(unit(pdf), reduced, weight=pdf["n"].to_numpy())
+        return pd.DataFrame({person: pdf[person].iloc[0], "faces": pdf["faces"].iloc[0], "name": pdf["name"].iloc[: len(centres)].to_numpy(), "v": list(centres), "n": sizes})
+
+    largest = sized.agg(F.max("faces")).first()[0] or 0
+    while largest > most:
+        rows = cut(rows)
+        parts = cut(rows.groupBy(person).agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("parts")))
+        cutting = rows.join(parts.withColumnRenamed(person, "of"), F.col(person).eqNullSafe(F.col("of"))).drop("of").withColumn("block", F.pmod(F.xxhash64("name", "v"), F.col("parts")))
+        large = cutting.filter("parts > 1").drop("parts").groupBy(person, "block").applyInPandas(reduce, schema)
+        rows = cut(cutting.filter("parts = 1").select(person, "faces", "name", "v", "n").unionByName(large))
+        largest = rows.groupBy(person).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("name")
+        centres, sizes = kmeans(unit(pdf), max(1, min(clusters, int(pdf["faces"].iloc[0]) // 2)), weight=pdf["n"].to_numpy())
+        return pd.DataFrame({person: pdf[person].iloc[0], "part": range(len(centres)), "embedding": list(centres), "n": sizes.round().astype(np.int64)})
+
+    return rows.groupBy(person).applyInPandas(fit, f"{person} {kind}, part int, embedding array<double>, n long")
 
 
 def dbscan_pairs(vectors: DataFrame, eps: float = 0.35) -> DataFrame:
     """V12 for two samples a core: the clusters are the components of all pairs within eps (cosine distance)."""
-    n = vectors.count()
-    return connected_components(neighbour_graph(vectors, max(1, n - 1), 1 - eps))
+    return connected_components(within(vectors, 1 - eps))
 
 
 def person_candidates(faces: DataFrame, centres: DataFrame, least: float = 0.4, person: str = "label") -> DataFrame:
-    """vec_id, person, score: of each face its best score against any prototype of each person."""
-    width = centres.select(F.size("embedding")).first()
-    if width is None:
-        return faces.select("vec_id", F.lit(None).cast("long").alias(person), F.lit(0.0).alias("score")).limit(0)
-    keyed = centres.select(F.col(person), "embedding").withColumn("vec_id", F.monotonically_increasing_id())
-    rows = cut(keyed)
-    near = knn(faces, rows, rows.count(), skip_same=False)
-    named = near.join(rows.select(F.col("vec_id").alias("id"), person), "id")
-    return named.groupBy(F.col("query_id").alias("vec_id"), person).agg(F.max("score").alias("score")).filter(F.col("score") >= least)
+    """vec_id, person, score: of each face its best score against any prototype of each person, if at least `least`.
+
+    A task gives one row a face and person; prototypes without a person count for none.
+    """
+    kind = dict(centres.dtypes)[person]
+
+    def meet(q_ids, q, p_ids, p, persons) -> pd.DataFrame:
+        out = [pd.DataFrame({"vec_id": np.zeros(0, np.int64), person: np.zeros(0, np.int64), "score": np.zeros(0)})]
+        order = np.argsort(persons, kind="stable")
+        names, first = np.unique(persons[order], return_index=True)
+        for own, score in _products(q_ids, q, p_ids, p[order], False) if len(p_ids) else ():
+            top = np.maximum.reduceat(score, first, axis=1)
+            row, column = np.nonzero(top >= least)
+            out.append(pd.DataFrame({"vec_id": own[row], person: names[column], "score": top[row, column]}))
+        return pd.concat(out)
+
+    known = centres.filter(F.col(person).isNotNull()).withColumn("name", F.xxhash64("embedding"))
+    found, _ = _met(_side(faces), _side(known, "name", extra=person), meet, f"vec_id long, {person} long, score double")
+    return found.groupBy("vec_id", F.col(person).cast(kind).alias(person)).agg(F.max("score").alias("score"))

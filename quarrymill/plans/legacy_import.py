@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions.scalars import rect, sanitized_import
 from quarrymill.operators.aggregates import property_choice
+from quarrymill.operators.hierarchy import chains
 
 #: Face properties by rank, and the status that each gives.
 FACE_RANKS = {"tagRegion": 1, "autodetectedPerson": 2, "autodetectedFace": 3, "ignoredFace": 4}
 FACE_STATUS = {"tagRegion": "confirmed", "autodetectedPerson": "suggested", "autodetectedFace": "unconfirmed", "ignoredFace": "ignored"}
-MOST_DEPTH = 64
 
 
 @dataclass
@@ -33,15 +33,7 @@ def import_tags(tags: DataFrame) -> DataFrame:
     clean = tags.select("id", F.nullif(F.col("pid"), F.lit(0)).alias("parent_id"), "name", sanitized_import(F.col("name"), "tag").alias("label"))
     n = F.row_number().over(Window.partitionBy(F.coalesce("parent_id", F.lit(0)), "label").orderBy("id"))
     labelled = clean.withColumn("label", F.when(n == 1, F.col("label")).otherwise(F.concat("label", F.lit("_"), (n - 1).cast("string"))))
-    tree = tags.sparkSession.sql(
-        """
-WITH RECURSIVE tree(id, path, top, depth) AS (
-  SELECT id, label, lower(name), 1 FROM {rows} WHERE parent_id IS NULL
-  UNION ALL SELECT r.id, concat(tree.path, '.', r.label), tree.top, tree.depth + 1 FROM {rows} r JOIN tree ON r.parent_id = tree.id WHERE tree.depth < {most})
-SELECT id, path, top, depth FROM tree""",
-        rows=labelled,
-        most=MOST_DEPTH,
-    )
+    tree = chains(labelled.select("id", "parent_id", "label", F.lower("name").alias("top")))
     person = F.col("top").isin("people", "_people", "persons") & (F.col("depth") > 1)
     return tree.join(labelled.select("id", "name", "parent_id"), "id").select("id", "name", "path", "parent_id", person.alias("is_person"))
 

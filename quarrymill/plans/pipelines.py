@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.functions.scalars import SEPARATORS, adaptive_threshold, color_number, exif_time, extension, folder_tier, gps_number, iou, raw_parent, stem
+from quarrymill.functions.scalars import SEPARATORS, adaptive_threshold, color_number, exif_time, extension, folder_tier, gps_number, iou, raw_parent, rounded, stem
 from quarrymill.operators.aggregates import first_of, runner_up, votes
 from quarrymill.operators.lineage import cut
 from quarrymill.operators.vectors import EDGE_SLACK, knn
@@ -32,7 +35,7 @@ def dedup_plan(photos: DataFrame, faces: DataFrame) -> DataFrame:
     rows = photos.filter(F.col("sha256").isNotNull()).join(confirmed, F.col("id") == F.col("p"), "left").select("id", "sha256", "file_size", "stack_id", F.col("p").isNotNull().alias("has_face"), folder_tier(F.col("album_path")).alias("tier"))
     best = rows.groupBy("sha256").agg(F.max("tier").alias("best"), F.min("tier").alias("worst"), F.max(F.struct("tier", "has_face"))["has_face"].alias("kept_face")).filter("best > worst")
     lower = F.col("tier") < F.col("best")
-    reason = F.when(lower & F.col("stack_id").isNotNull(), "part of a photo stack").when(lower & F.col("has_face") & ~F.col("kept_face"), "has confirmed face tags the kept copy doesn't")
+    reason = F.when(lower & F.col("stack_id").isNotNull(), "in_stack").when(lower & F.col("has_face") & ~F.col("kept_face"), "only_copy_with_faces")
     action = F.when(~lower, "keep").when(reason.isNotNull(), "skip").otherwise("delete")
     return rows.join(best, "sha256").select("id", "sha256", "file_size", "tier", action.alias("action"), reason.alias("reason"))
 
@@ -112,25 +115,29 @@ def sorted_names(photos: DataFrame, folder: Column) -> DataFrame:
 # Faces ----------------------------------------------------------------------------------------------------------------
 
 
-def sweep(faces: DataFrame, centres: DataFrame, threshold: float, margin: float, floor: float, suggest: float = 0.5, k: int = 15) -> DataFrame:
+def sweep(faces: DataFrame, centres: DataFrame, threshold: float, margin: float, floor: float, suggest: float = 0.5, k: int = 15, births: DataFrame | None = None) -> DataFrame:
     """vec_id, person, best_match_score, decision of every undecided face (columns vec_id, embedding, label, status, photo_id).
 
     Near an ignored face: ignored. Otherwise the k nearest prototypes vote: confirmed where the best person's rounded
     score reaches its adaptive threshold, it has two votes or more and leads by the margin; suggested where the score
     reaches `suggest`; else unconfirmed. Of several faces confirmed as one person in a photo, or where the photo has a
-    confirmed one already, only the best (score, then vec_id) stays; the others are unconfirmed.
+    confirmed one already, only the best (score, then vec_id) stays; the others are unconfirmed. With births (person,
+    born) a face on a photo taken before the best person's birth (faces then have taken_at) is unconfirmed.
     """
     pool = faces.filter(F.col("status").isin("unconfirmed", "suggested"))
     ignored = knn(pool, faces.filter("status = 'ignored'"), 1).filter(F.col("score") >= threshold - EDGE_SLACK).select(F.col("query_id").alias("vec_id"))
     open_faces = cut(pool.join(ignored, "vec_id", "left_anti"))
-    keyed = cut(centres.withColumn("vec_id", F.monotonically_increasing_id()))
+    keyed = cut(centres if "vec_id" in centres.columns else centres.withColumn("vec_id", F.monotonically_increasing_id()))
     near = knn(open_faces, keyed, k, skip_same=False).join(keyed.select(F.col("vec_id").alias("id"), F.col("label").alias("person")), "id")
     best = runner_up(votes(near, "query_id", "person", "score"), ["query_id"], "score", "person")
     owned = faces.filter("status = 'confirmed'").groupBy(F.col("label").alias("person")).agg(F.count("*").alias("faces"))
     judged = best.join(owned, "person", "left").withColumn("needed", adaptive_threshold(threshold, floor, F.coalesce("faces", F.lit(0))))
-    sure = (F.bround("score", 2) >= F.col("needed")) & (F.col("votes") >= 2) & (F.col("score") - F.col("runner_up") >= margin)
+    sure = (rounded(F.col("score"), 2) >= F.col("needed")) & (F.col("votes") >= 2) & (F.col("score") - F.col("runner_up") >= margin)
     judged = judged.withColumn("decision", F.when(sure, "confirmed").when(F.col("score") >= suggest, "suggested").otherwise("unconfirmed"))
-    placed = judged.join(open_faces.select(F.col("vec_id").alias("query_id"), "photo_id"), "query_id")
+    placed = judged.join(open_faces.select(F.col("vec_id").alias("query_id"), "photo_id", *(["taken_at"] if births is not None else [])), "query_id")
+    if births is not None:
+        early = placed.join(births.select("person", "born"), "person", "left")
+        placed = early.withColumn("decision", F.when(F.to_date("taken_at") < F.col("born"), "unconfirmed").otherwise(F.col("decision"))).drop("born", "taken_at")
     taken = faces.filter("status = 'confirmed'").select(F.col("photo_id").alias("t_photo"), F.col("label").alias("t_person")).distinct()
     held = placed.join(taken, (F.col("photo_id") == F.col("t_photo")) & (F.col("person") == F.col("t_person")), "left")
     turn = F.row_number().over(Window.partitionBy("photo_id", "person", "decision").orderBy(F.desc("score"), "query_id"))
@@ -187,29 +194,39 @@ def before_birth(faces: DataFrame, photos: DataFrame, births: DataFrame) -> Data
 # Places, files, imports -----------------------------------------------------------------------------------------------
 
 
-def nearest_place(points: DataFrame, places: DataFrame, cell: float = 10.0) -> DataFrame:
+def nearest_place(points: DataFrame, places: DataFrame, in_cell: float = 4.0) -> DataFrame:
     """Id, place_id, km: the nearest place (place_id, p_lat, p_lon) of every point (id, latitude, longitude).
 
-    First the places of the point's cell and the eight around it, by an equi join on cells (longitudes wrap). The best
-    of them is exact where it is nearer than any place outside those cells can be; the other points, few in a dense
-    gazetteer, are compared with all places, which are broadcast after their size is checked by Spark's own limit.
+    Points and places lie on the unit sphere, which is cut into cubes of an edge that gives about `in_cell` places to a
+    cube. A point meets the places of its cube and the 26 around it by an equi join; the best of them is exact where it
+    is no further than an edge. The other points meet the places of cubes of twice the edge, and so on, at most until
+    the cubes hold the sphere, so no round joins more than the points that have no place near. Places without a position
+    are never met; points without one are left out, and all are where there are no places.
     """
-    rad = lambda c: F.radians(c)
-    a = F.pow(F.sin((rad(F.col("p_lat")) - rad(F.col("latitude"))) / 2), 2) + F.cos(rad(F.col("latitude"))) * F.cos(rad(F.col("p_lat"))) * F.pow(F.sin((rad(F.col("p_lon")) - rad(F.col("longitude"))) / 2), 2)
+    a = F.pow(F.sin((F.radians("p_lat") - F.radians("latitude")) / 2), 2) + F.cos(F.radians("latitude")) * F.cos(F.radians("p_lat")) * F.pow(F.sin((F.radians("p_lon") - F.radians("longitude")) / 2), 2)
     km = 2 * 6371.0 * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
-    wide = round(360 / cell)
+    sphere = lambda lat, lon: (F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat)))
     known = points.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select("id", "latitude", "longitude")
-    spots = known.select("latitude", "longitude").distinct()
-    at = spots.withColumns({"i": F.floor(F.col("latitude") / cell), "j": F.pmod(F.floor((F.col("longitude") + 180) / cell), F.lit(wide))})
-    step = F.explode(F.array(*[F.struct(F.lit(x).alias("di"), F.lit(y).alias("dj")) for x in (-1, 0, 1) for y in (-1, 0, 1)]))
-    spread = places.withColumn("s", step).select("place_id", "p_lat", "p_lon", (F.floor(F.col("p_lat") / cell) + F.col("s.di")).alias("i"), F.pmod(F.floor((F.col("p_lon") + 180) / cell) + F.col("s.dj"), F.lit(wide)).alias("j")).distinct()
-    best = lambda rows: rows.groupBy("latitude", "longitude").agg(F.min(F.struct(F.round(km, 6).alias("km"), "place_id")).alias("b"))
-    near = best(at.join(spread, ["i", "j"]))
-    reach = F.least(F.lit(cell), F.lit(cell) * F.cos(F.least(F.lit(1.5707), rad(F.abs("latitude") + cell)))) * 111.19 * 0.98
-    sure = near.filter(F.col("b.km") <= reach)
-    rest = spots.join(sure, ["latitude", "longitude"], "left_anti")
-    far = best(rest.join(places, F.lit(True)))
-    return known.join(sure.unionByName(far), ["latitude", "longitude"]).select("id", F.col("b.place_id").alias("place_id"), F.col("b.km").alias("km"))
+    rest = cut(known.select("latitude", "longitude").distinct())
+    there = cut(places.filter(F.col("p_lat").isNotNull() & F.col("p_lon").isNotNull()).select("place_id", "p_lat", "p_lon"))
+    edge, found = min(2.0, math.sqrt(4 * math.pi * in_cell / max(1, there.count()))), []
+    while True:
+        cube = lambda xyz, edge=edge: [F.floor(x / edge).cast("int") for x in xyz]
+        around = [F.explode(F.sequence(c - 1, c + 1)) for c in cube(sphere("p_lat", "p_lon"))]
+        spread = there
+        for name, c in zip("ijk", around, strict=True):
+            spread = spread.withColumn(name, c)
+        at = rest.withColumns(dict(zip("ijk", cube(sphere("latitude", "longitude")), strict=True)))
+        near = at.join(spread, ["i", "j", "k"]).groupBy("latitude", "longitude").agg(F.min(F.struct(F.round(km, 6).alias("km"), "place_id")).alias("b"))
+        reach = 2 * 6371.0 * math.asin(min(1.0, edge / 2)) * 0.999_999
+        found.append(cut(near if edge >= 2 else near.filter(F.col("b.km") <= reach)))
+        if edge >= 2:
+            break
+        rest = cut(rest.join(found[-1], ["latitude", "longitude"], "left_anti"))
+        if rest.isEmpty():
+            break
+        edge = min(2.0, 2 * edge)
+    return known.join(reduce(DataFrame.unionByName, found), ["latitude", "longitude"]).select("id", F.col("b.place_id").alias("place_id"), F.col("b.km").alias("km"))
 
 
 def library_diff(disk: DataFrame, known: DataFrame, keys: list[str], scope: Column | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ _PLAN = f"""
 WITH r AS (SELECT id, sha256, file_size, {_TIER} AS tier, stack_id, EXISTS (SELECT 1 FROM faces f WHERE f.photo_id = photos.id AND f.status = 'confirmed') AS face FROM photos WHERE sha256 IS NOT NULL),
 b AS (SELECT *, max(tier) OVER (PARTITION BY sha256) AS best, min(tier) OVER (PARTITION BY sha256) AS worst FROM r),
 k AS (SELECT *, bool_or(face AND tier = best) OVER (PARTITION BY sha256) AS kept_face FROM b WHERE best > worst),
-p AS (SELECT id, sha256, file_size, tier, CASE WHEN tier = best THEN NULL WHEN stack_id IS NOT NULL THEN 'part of a photo stack' WHEN face AND NOT kept_face THEN 'has confirmed face tags the kept copy doesn''t' END AS reason, tier = best AS keep FROM k)
+p AS (SELECT id, sha256, file_size, tier, CASE WHEN tier = best THEN NULL WHEN stack_id IS NOT NULL THEN 'in_stack' WHEN face AND NOT kept_face THEN 'only_copy_with_faces' END AS reason, tier = best AS keep FROM k)
 """
 
 
@@ -93,10 +93,10 @@ def restored_tags(c):
     return pipelines.restored_tags(own.union(own.select(F.concat(F.lit("New."), "tag_path"))), c.tags)
 
 
-@query("J17_D11_nearest_place", "WITH pl AS (SELECT c_custkey AS place_id, CAST(c_custkey * 7 % 160 - 80 AS DOUBLE) + 0.1 AS p_lat, CAST(c_custkey * 13 % 340 - 170 AS DOUBLE) + 0.3 AS p_lon FROM customer WHERE c_custkey % 5 = 0), pt AS (SELECT DISTINCT latitude, longitude FROM photos WHERE latitude IS NOT NULL AND longitude IS NOT NULL), d AS (SELECT latitude, longitude, place_id, round(2 * 6371.0 * asin(least(1.0, sqrt(pow(sin((radians(p_lat) - radians(latitude)) / 2), 2) + cos(radians(latitude)) * cos(radians(p_lat)) * pow(sin((radians(p_lon) - radians(longitude)) / 2), 2)))), 6) AS km FROM pt, pl), b AS (SELECT latitude, longitude, min(km) AS km FROM d GROUP BY 1, 2) SELECT id, round(b.km, 3) AS km FROM photos JOIN b USING (latitude, longitude)")
+@query("J17_D11_nearest_place", "WITH pl AS (SELECT c_custkey AS place_id, CAST(c_custkey * 7 % 160 - 80 AS DOUBLE) + 0.1 AS p_lat, CAST(c_custkey * 13 % 340 - 170 AS DOUBLE) + 0.3 AS p_lon FROM customer), pt AS (SELECT DISTINCT latitude, longitude FROM photos WHERE latitude IS NOT NULL AND longitude IS NOT NULL), d AS (SELECT latitude, longitude, place_id, round(2 * 6371.0 * asin(least(1.0, sqrt(pow(sin((radians(p_lat) - radians(latitude)) / 2), 2) + cos(radians(latitude)) * cos(radians(p_lat)) * pow(sin((radians(p_lon) - radians(longitude)) / 2), 2)))), 6) AS km FROM pt, pl), b AS (SELECT latitude, longitude, min(km) AS km FROM d GROUP BY 1, 2) SELECT id, round(b.km, 3) AS km FROM photos JOIN b USING (latitude, longitude)")
 def nearest_place(c):
     k = F.col("c_custkey")
-    places = c.table("customer").filter(k % 5 == 0).select(k.alias("place_id"), ((k * 7 % 160 - 80).cast("double") + 0.1).alias("p_lat"), ((k * 13 % 340 - 170).cast("double") + 0.3).alias("p_lon"))
+    places = c.table("customer").select(k.alias("place_id"), ((k * 7 % 160 - 80).cast("double") + 0.1).alias("p_lat"), ((k * 13 % 340 - 170).cast("double") + 0.3).alias("p_lon"))
     return pipelines.nearest_place(c.photos, places).select("id", F.round("km", 3).alias("km"))
 
 
@@ -182,7 +182,7 @@ def _legacy(c):
     tags = c.table("region").select((F.col("r_regionkey") + 1).alias("id"), F.lit(0).alias("pid"), F.when(F.col("r_regionkey") == 2, "People").otherwise(F.col("r_name")).alias("name"))
     tags = tags.union(c.table("nation").select(F.col("n_nationkey") + 100, F.col("n_regionkey") + 1, F.concat(F.lit("N "), (F.col("n_nationkey") % 2).cast("string"))))
     image_tags = lines.select(F.col("l_orderkey").alias("imageid"), (F.col("l_suppkey") % 30 + 100).cast("int").alias("tagid"))
-    return run_import(images, albums, comments, tags, image_tags, lines.select(F.col("l_orderkey").alias("imageid"), (F.col("l_suppkey") % 25 + 100).cast("int").alias("tagid"), F.lit("ignoredFace").alias("property"), F.lit("1 2 3 4").alias("value")).limit(0))
+    return run_import(images, albums, comments, tags, image_tags, lines.select(F.col("l_orderkey").alias("imageid"), (F.col("l_suppkey") % 25 + 100).cast("int").alias("tagid"), F.when(F.col("l_linenumber") % 3 == 0, "tagRegion").when(F.col("l_linenumber") % 3 == 1, "ignoredFace").otherwise("other").alias("property"), F.concat_ws(" ", F.col("l_linenumber").cast("string"), F.lit("2 30"), F.col("l_linenumber").cast("string")).alias("value")))
 
 
 @query(
@@ -207,3 +207,11 @@ def imported_tags(c):
 )
 def skipped_links(c):
     return _legacy(c).skipped
+
+
+@query(
+    "D15_A25_imported_faces",
+    "WITH p AS (SELECT l_orderkey AS photo_id, l_suppkey % 25 + 100 AS person_tag_id, min(CASE l_linenumber % 3 WHEN 0 THEN 1 ELSE 4 END) AS rank FROM lineitem WHERE l_linenumber % 3 < 2 GROUP BY 1, 2) SELECT photo_id, CAST(person_tag_id AS INT) AS person_tag_id, CASE rank WHEN 1 THEN 'confirmed' ELSE 'ignored' END AS status FROM p WHERE photo_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P' AND o_custkey % 120 IN (SELECT s_suppkey FROM supplier))",
+)
+def imported_faces(c):
+    return _legacy(c).faces.select("photo_id", "person_tag_id", "status")

@@ -70,14 +70,20 @@ def centroids(c):
     return found.select("label", "part", "n", F.round(F.element_at("embedding", 1), 4).alias("first"))
 
 
-@query("V12_dbscan")
+_NEAR = "SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id WHERE round(" + _DOT.format("a", "b") + ", 12) >= 0.4"
+
+
+@query(
+    "V12_dbscan",
+    f"WITH RECURSIVE e AS ({_NEAR}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(node, other) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM reach r JOIN u ON r.other = u.a), l AS (SELECT node, min(other) AS cluster FROM reach GROUP BY node) SELECT node, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM l",
+)
 def dbscan(c):
     return ve.numbered_clusters(ve.dbscan_pairs(c.vectors, 0.6))
 
 
-@query("V13_J11_A12_candidates", "SELECT vec_id, label, round(score, 6) AS score FROM (SELECT a.vec_id, b.label, max(" + _DOT.format("a", "b") + ") AS score FROM vectors a, vectors b WHERE a.status = 'unconfirmed' AND b.status = 'confirmed' AND b.vec_id % 20 = 1 GROUP BY 1, 2) WHERE score >= 0.15")
+@query("V13_J11_A12_candidates", "SELECT vec_id, label, round(score, 6) AS score FROM (SELECT a.vec_id, b.label, max(" + _DOT.format("a", "b") + ") AS score FROM vectors a, vectors b WHERE a.status = 'unconfirmed' AND b.status = 'confirmed' GROUP BY 1, 2) WHERE score >= 0.15")
 def candidates(c):
-    prototypes = c.vectors.filter("status = 'confirmed' AND vec_id % 20 = 1").select("label", "embedding")
+    prototypes = c.vectors.filter("status = 'confirmed'").select("label", "embedding")
     found = ve.person_candidates(c.vectors.filter("status = 'unconfirmed'"), prototypes, 0.15)
     return found.select("vec_id", "label", F.round("score", 6).alias("score"))
 
@@ -95,7 +101,16 @@ def sweeps(c):
     return pipelines.sweeps(c.vectors, ve.centroids, threshold - 0.4, margin - 0.04, floor - 0.4).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("V08_W04_A14_A15_D09_D10_cluster_votes")
+_VOTES = f"""
+WITH ch AS (SELECT * FROM (SELECT label AS cluster, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM vectors WHERE status = 'unconfirmed') WHERE r <= 8),
+nn AS (SELECT a.cluster, b.label AS person, {_DOT.format("a", "b")} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT.format("a", "b")}, 12) DESC, b.vec_id) AS r FROM ch a, vectors b WHERE b.status = 'confirmed' AND a.vec_id <> b.vec_id),
+said AS (SELECT cluster, person, count(*) AS votes, sum(score) AS s FROM nn WHERE r <= 5 GROUP BY 1, 2),
+w AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY votes DESC, round(s, 9) DESC, person) AS r FROM said),
+z AS (SELECT cluster, count(*) AS n FROM ch GROUP BY 1)
+SELECT cluster, person, votes, round(s / votes, 4) AS average, votes / n AS agreement, s / votes >= 0.1 AND votes / n >= 0.2 AS assign FROM w JOIN z USING (cluster) WHERE r = 1"""
+
+
+@query("V08_W04_A14_A15_D09_D10_cluster_votes", _VOTES)
 def cluster_votes(c):
     members = c.vectors.filter("status = 'unconfirmed'").select(F.col("label").alias("cluster"), "vec_id", "embedding")
     said = pipelines.cluster_suggestions(members, c.vectors.filter("status = 'confirmed'"), 8, 5)
@@ -126,3 +141,52 @@ def archived(c):
     from quarrymill.operators.mutations import update_where
 
     return update_where(c.faces, (F.col("status") == "unconfirmed") & bad_face(0.2, 40), status=F.lit("ignored")).select("id", "status")
+
+
+#: One prototype a person: the unit mean of the unit vectors of the confirmed faces.
+_MEANS = """
+WITH u AS (SELECT label, vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM vectors WHERE status = 'confirmed' AND embedding IS NOT NULL),
+n AS (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM u GROUP BY 1),
+m AS (SELECT label, i, avg(x / norm) AS x, count(*) AS n FROM u JOIN n USING (vec_id) GROUP BY 1, 2),
+c AS (SELECT label, list(x ORDER BY i) AS v, sqrt(sum(x * x)) AS norm, max(n) AS n FROM m GROUP BY 1),
+s AS (SELECT vec_id, label, n, list_dot_product(CAST(f.embedding AS DOUBLE[]), c.v) / c.norm AS score FROM (SELECT vec_id, embedding FROM vectors WHERE status IN ('unconfirmed', 'suggested')) f, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, label) AS rank FROM s)
+"""
+
+
+@query("V04_nearest_persons", _MEANS + "SELECT vec_id, label AS person, round(score, 6) AS score FROM r WHERE rank <= 5")
+def nearest_persons(c):
+    means = ve.centroids(c.vectors.filter("status = 'confirmed'"), clusters=1).withColumn("vec_id", F.col("label").cast("long"))
+    near = ve.knn(c.vectors.filter("status IN ('unconfirmed', 'suggested')"), means, 5, skip_same=False)
+    return near.select(F.col("query_id").alias("vec_id"), F.col("id").cast(dict(means.dtypes)["label"]).alias("person"), F.round("score", 6).alias("score"))
+
+
+@query("A28_person_means", _MEANS + "SELECT label, n, round(v[1] / norm, 6) AS first FROM c")
+def person_means(c):
+    return ve.centroids(c.vectors.filter("status = 'confirmed'"), clusters=1).select("label", "n", F.round(F.element_at("embedding", 1), 6).alias("first"))
+
+
+@query(
+    "D01_sweep_over_faces",
+    f"""
+WITH conf AS (SELECT vec_id, label, embedding, photo_id FROM vectors WHERE status = 'confirmed'),
+pool AS (SELECT vec_id, embedding, photo_id FROM vectors WHERE status IN ('unconfirmed', 'suggested')),
+ig AS (SELECT a.vec_id FROM pool a, vectors b WHERE b.status = 'ignored' AND a.vec_id <> b.vec_id GROUP BY 1 HAVING max({_DOT.format("a", "b")}) >= 0.335 - 0.005),
+nn AS (SELECT a.vec_id, b.label AS person, round({_DOT.format("a", "b")}, 12) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT.format("a", "b")}, 12) DESC, b.vec_id) AS r FROM pool a, conf b WHERE a.vec_id NOT IN (SELECT vec_id FROM ig)),
+v AS (SELECT vec_id, person, count(*) AS votes, max(score) AS score FROM nn WHERE r <= 15 GROUP BY 1, 2),
+b AS (SELECT *, coalesce(lead(score) OVER w, 0) AS runner_up, row_number() OVER w AS k FROM v WINDOW w AS (PARTITION BY vec_id ORDER BY score DESC, person)),
+o AS (SELECT label AS person, count(*) AS faces FROM conf GROUP BY 1),
+j AS (SELECT b.*, pool.photo_id, date_add(DATE '2000-01-01', INTERVAL (photo_id % 900) DAY) < DATE '2001-01-01' AND person % 3 = 0 AS early,
+ greatest(least(0.335, 0.25), 0.335 - least(1.0, greatest(0.0, (coalesce(faces, 0) - 20) / 280)) * 0.085) AS needed FROM b JOIN pool USING (vec_id) LEFT JOIN o USING (person) WHERE k = 1),
+d AS (SELECT *, CASE WHEN early THEN 'unconfirmed' WHEN CAST(format('{{:.2f}}', score) AS DOUBLE) >= needed AND votes >= 2 AND score - runner_up >= 0.01 THEN 'confirmed' WHEN score >= 0.2 THEN 'suggested' ELSE 'unconfirmed' END AS said FROM j),
+t AS (SELECT *, row_number() OVER (PARTITION BY photo_id, person, said ORDER BY score DESC, vec_id) AS turn FROM d)
+SELECT vec_id, person, round(score, 4) AS best, CASE WHEN said = 'confirmed' AND (turn > 1 OR EXISTS (SELECT 1 FROM conf WHERE conf.photo_id = t.photo_id AND conf.label = t.person)) THEN 'unconfirmed' ELSE said END AS decision FROM t
+UNION ALL SELECT vec_id, NULL, NULL, 'ignored' FROM ig""",
+)
+def sweep_over_faces(c):
+    """The pool of confirmed faces themselves, where no prototypes are there yet, with the guard of birth dates."""
+    faces = c.vectors.withColumn("taken_at", F.date_add(F.lit("2000-01-01").cast("date"), (F.col("photo_id") % 900).cast("int")))
+    births = c.vectors.select(F.col("label").alias("person")).distinct().filter("person % 3 = 0").withColumn("born", F.lit("2001-01-01").cast("date"))
+    prototypes = c.vectors.filter("status = 'confirmed'").select("label", "vec_id", "embedding")
+    said = pipelines.sweep(faces, prototypes, 0.335, 0.01, 0.25, 0.2, births=births)
+    return said.select("vec_id", "person", F.col("best_match_score").alias("best"), "decision")

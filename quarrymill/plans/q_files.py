@@ -1,9 +1,10 @@
-"""Queries of sources, codecs, sinks and the log stream in its batch form."""
+"""Queries of sources, codecs, sinks and the log stream, in its batch form and streamed."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrymill.operators.lineage import fresh_path
 from quarrymill.sources import files
 from quarrymill.streaming import logs
 
@@ -72,3 +73,62 @@ def united(c):
 def high_water(c):
     done = c.table("events").filter("event_id < 5000").select(F.col("ts").alias("mark"))
     return logs.since_mark(c.table("events"), done, "ts").select("event_id")
+
+
+def _written(c):
+    """Payloads of all photos as text files."""
+    path = fresh_path(c.spark, "payloads")
+    files.write_payloads(files.payloads(c.photos, "id", ["id", "filename", "rating"]), path)
+    return path
+
+
+@query("S04_S05_walked_files", "SELECT id, filename FROM photos")
+def walked_files(c):
+    found = files.walk(c.spark, _written(c), ("txt",), content=True)
+    lines = found.select(F.explode(F.split(F.rtrim(F.decode("content", "UTF-8"), F.lit("\n")), "\n")).alias("line"))
+    return lines.select(F.get_json_object("line", "$.id").cast("int").alias("id"), F.get_json_object("line", "$.filename").alias("filename"))
+
+
+@query("S06_metadata_lines", "SELECT id, filename, CAST(coalesce(rating, 0) AS INT) AS rating FROM photos")
+def metadata_lines(c):
+    get = lambda n: F.get_json_object("exif", f"$.{n}")
+    return files.read_metadata(c.spark, _written(c)).select(get("id").cast("int").alias("id"), get("filename").alias("filename"), F.coalesce(get("rating").cast("int"), F.lit(0)).alias("rating"))
+
+
+@query("S11_M07_reloaded", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def reloaded(c):
+    path = fresh_path(c.spark, "table")
+    orders = c.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    for status in ("O", "F"):
+        files.write_table(orders.filter(F.col("o_orderstatus") == status).drop("o_orderstatus"), path)
+    return c.spark.read.parquet(path)
+
+
+@query("T04_T08_batches", "SELECT event_id FROM events WHERE event_type = (SELECT min(event_type) FROM events)")
+def batches(c):
+    """Committed batches of a stream handed to a function, each filtered and written; all of them read back."""
+    source, out = fresh_path(c.spark, "stream"), fresh_path(c.spark, "batches")
+    events = c.table("events").select("event_id", "event_type")
+    events.repartition(4).write.parquet(source)
+    least = events.agg(F.min("event_type")).first()[0]
+    stream = logs.read_log_files(c.spark, source, events.schema, most_files=2)
+    logs.for_each_batch(stream, lambda batch, n: batch.filter(F.col("event_type") == least).select("event_id").write.parquet(f"{out}/batch={n}"), fresh_path(c.spark, "marks")).awaitTermination()
+    return c.spark.read.parquet(out).select("event_id")
+
+
+@query(
+    "T01_T07_streamed_sessions",
+    """
+WITH k AS (SELECT fingerprint_of.f AS fingerprint, ts FROM (SELECT sha1(CAST(level AS VARCHAR) || '|' || logger_name || '|' || left(trim(regexp_replace(regexp_replace(message, '\\b\\d+(?:\\.\\d+)?\\b', 'N', 'g'), '/[^\\s]+', 'PATH', 'g')), 512)) AS f, ts FROM app_logs) AS fingerprint_of),
+s AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY fingerprint ORDER BY ts) + INTERVAL 5 SECOND THEN 1 ELSE 0 END AS starts FROM k),
+n AS (SELECT *, sum(starts) OVER (PARTITION BY fingerprint ORDER BY ts ROWS UNBOUNDED PRECEDING) AS part FROM s)
+SELECT fingerprint, count(*) AS occurrences, min(ts) AS first_seen FROM n GROUP BY fingerprint, part""",
+)
+def streamed_sessions(c):
+    """The log sink over a stream; a last record a day later closes all sessions before it."""
+    source, out = fresh_path(c.spark, "logs"), fresh_path(c.spark, "sessions")
+    rows = c.app_logs.select(F.col("ts").cast("timestamp").alias("ts"), "level", "logger_name", "message")
+    last = rows.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).select("ts", F.lit(0).cast(dict(rows.dtypes)["level"]).alias("level"), F.lit("end").alias("logger_name"), F.lit("end").alias("message"))
+    rows.unionByName(last).write.parquet(source)
+    logs.write_coalesced(logs.read_log_files(c.spark, source, rows.schema, most_files=1_000_000), out, fresh_path(c.spark, "marks"), once=True).awaitTermination()
+    return c.spark.read.parquet(out).filter("message <> 'end'").select("fingerprint", "occurrences", F.col("first_seen_at").cast("timestamp_ntz").alias("first_seen"))

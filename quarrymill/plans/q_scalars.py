@@ -151,3 +151,28 @@ def depths(c):
 @query("D16_persons", "SELECT id, CAST(2 AS BIGINT) AS depth FROM tags WHERE parent_id = 2")
 def persons(c):
     return hierarchy.persons(c.tags)
+
+
+@query("X34_rounded", "SELECT l_orderkey, l_linenumber, CAST(format('{:.2f}', l_quantity / 8) AS DOUBLE) AS eighths, CAST(format('{:.2f}', l_quantity * l_discount / 8) AS DOUBLE) AS two, CAST(format('{:.4f}', l_extendedprice * l_tax / 7) AS DOUBLE) AS four FROM lineitem")
+def rounded(c):
+    q, d, e, t = (F.col(f"l_{n}").cast("double") for n in ("quantity", "discount", "extendedprice", "tax"))
+    return c.table("lineitem").select("l_orderkey", "l_linenumber", sc.rounded(q / 8, 2).alias("eighths"), sc.rounded(q * d / 8, 2).alias("two"), sc.rounded(e * t / 7, 4).alias("four"))
+
+
+@query("X15_iso_times", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, date_trunc('second', ts) AS back, CAST(NULL AS TIMESTAMP) AS bad FROM events")
+def iso_times(c):
+    iso = sc.iso_text(F.col("ts"))
+    utc = lambda t: t.cast("timestamp_ntz")
+    return c.table("events").select("event_id", iso.alias("iso"), utc(sc.iso_time(F.concat(iso, F.lit("Z")))).alias("back"), utc(sc.iso_time(F.concat(F.lit("x"), iso))).alias("bad"))
+
+
+@query("X04_imported_media", "SELECT id, CASE WHEN lower(regexp_extract(f, '[^.]*$')) IN ('mp4', 'mov', 'avi', 'mkv', 'wmv', 'flv', 'm4v', 'mts', 'm2ts', 'webm') THEN 'video' ELSE 'image' END AS media FROM (SELECT id, CASE id % 4 WHEN 0 THEN filename WHEN 1 THEN 'a.M2TS' WHEN 2 THEN 'b.mpg' ELSE 'mov' END AS f FROM photos)")
+def imported_media(c):
+    name = F.when(F.col("id") % 4 == 0, F.col("filename")).when(F.col("id") % 4 == 1, "a.M2TS").when(F.col("id") % 4 == 2, "b.mpg").otherwise("mov")
+    return c.photos.select("id", sc.imported_media(name).alias("media"))
+
+
+@query("X32_thresholds", "SELECT DISTINCT CAST(l_discount AS DOUBLE) AS d, CAST(format('{:.4f}', 0.9 - 0.2 * least(1.0, 12.0 * CAST(l_discount AS DOUBLE))) AS DOUBLE) AS threshold, CAST(format('{:.4f}', 0.08 - 0.05 * least(1.0, 12.0 * CAST(l_discount AS DOUBLE))) AS DOUBLE) AS margin, CAST(format('{:.4f}', 0.85 - 0.2 * least(1.0, 12.0 * CAST(l_discount AS DOUBLE))) AS DOUBLE) AS floor FROM lineitem")
+def thresholds(c):
+    rows = c.table("lineitem").select(F.col("l_discount").cast("double").alias("d")).distinct()
+    return rows.select("d", *[x.alias(n) for n, x in zip(("threshold", "margin", "floor"), sc.threshold_columns(F.col("d") * 12.0), strict=True)])
