@@ -29,7 +29,7 @@ SAMPLE_BYTES = 8 << 20  # of single-precision vectors that the tree is fitted on
 SAMPLE_ROWS = 20_000
 BRANCHES = 8
 LEAF_ROWS = 200
-MOST_LEAVES = 1_024
+LEAF_SAMPLE = 4  # sampled rows a leaf is fitted on, at least
 CALIBRATION = 200
 TARGET = 0.97
 GROUP_ROWS = 4_096
@@ -99,8 +99,14 @@ class Tree:
         return found
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, 1))
+def _matrix(column: pd.Series, width: int) -> np.ndarray:
+    """The vectors as rows; shorter ones end in zeros."""
+    if all(len(v) == width for v in column):
+        return np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, width))
+    out = np.zeros((len(column), width))
+    for row, v in zip(out, column, strict=True):
+        row[: len(v)] = v
+    return out
 
 
 def usable(vectors: DataFrame, vector_col: str) -> Column:
@@ -133,14 +139,14 @@ def _near(q: np.ndarray, x: np.ndarray, not_own: np.ndarray, k: int) -> tuple[np
     return np.nonzero(not_own)
 
 
-def calibrate(rows: DataFrame, tree: Tree, queries: pd.DataFrame, k: int, target: float) -> int:
+def calibrate(rows: DataFrame, tree: Tree, queries: pd.DataFrame, width: int, k: int, target: float) -> int:
     """The fewest leaf visits by which a mean share `target` of the true neighbours of the queries is reached."""
-    shared = rows.sparkSession.sparkContext.broadcast((queries["vec_id"].to_numpy(), _matrix(queries["embedding"])))  # CALIBRATION vectors
+    shared = rows.sparkSession.sparkContext.broadcast((queries["vec_id"].to_numpy(), _matrix(queries["embedding"], width)))  # CALIBRATION vectors
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = shared.value
         for pdf in batches:
-            own, x = pdf["vec_id"].to_numpy(), _matrix(pdf["embedding"])
+            own, x = pdf["vec_id"].to_numpy(), _matrix(pdf["embedding"], width)
             a, b = _near(q, x, ids[:, None] != own[None, :], k)
             a, b, score = _top(a, b, q, x, own, k)
             yield pd.DataFrame({"query_id": ids[a], "vec_id": own[b], "score": score, "leaf": pdf["leaf"].to_numpy()[b]})
@@ -150,7 +156,7 @@ def calibrate(rows: DataFrame, tree: Tree, queries: pd.DataFrame, k: int, target
     truth = best.groupBy("query_id").agg(F.collect_list("leaf").alias("leaves")).collect()  # CALIBRATION rows of k numbers
     where = {r["query_id"]: r["leaves"] for r in truth}
     needed = []
-    for vec_id, vector in zip(queries["vec_id"], _matrix(queries["embedding"]), strict=True):
+    for vec_id, vector in zip(queries["vec_id"], _matrix(queries["embedding"], width), strict=True):
         if vec_id in where:
             place = {leaf: i + 1 for i, leaf in enumerate(tree.visits(vector, tree.leaves))}
             needed.append([place[leaf] for leaf in where[vec_id]])
@@ -165,33 +171,31 @@ def calibrate(rows: DataFrame, tree: Tree, queries: pd.DataFrame, k: int, target
 def search(vectors: DataFrame, modulus: int = QUERY_MODULUS, k: int = NEIGHBOURS, target: float = TARGET, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each query (ids divisible by modulus) among all others.
 
-    The score is the double-precision inner product of the original vectors; ties go to the smaller id. Rows without
-    an id, with unusable vectors (see usable), or of another length than most vectors take no part; rows of the
-    query's own id are not its neighbours. Repeated rows are candidates as often as they stand. An empty table gives
-    no rows.
+    The score is the double-precision inner product of the original vectors, of which shorter ones count as ending in
+    zeros; ties go to the smaller id. Rows without an id or with unusable vectors (see usable) take no part; rows of the
+    query's own id are not its neighbours. An id that stands in several rows asks once, with the smallest of its
+    vectors; as candidates repeated rows count as often as they stand. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     out_schema = "query_id long, rank int, vec_id long, score double"
     good = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & usable(vectors, "embedding"))
-    lengths = good.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").limit(1).collect()
-    if not lengths:
+    width, total = good.agg(F.max(F.size("embedding")), F.count("*")).first()
+    if not total:
         return spark.createDataFrame([], out_schema)
-    width, total = lengths[0]["n"], lengths[0]["rows"]
-    good = good.filter(F.size("embedding") == width)
     draw = lambda seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(10_000_000)) / 1e7
     wanted = min(SAMPLE_ROWS, SAMPLE_BYTES // (4 * width))
-    sample = good.filter(draw(1) < min(1.0, wanted / total)).toPandas().sort_values("vec_id")
-    tree = Tree(_matrix(sample["embedding"]).reshape(-1, width), max(1, min(MOST_LEAVES, total // LEAF_ROWS)))
-    shared = spark.sparkContext.broadcast(tree)  # MOST_LEAVES centres and their parents
+    drawn = lambda seed, n: good.filter(draw(seed) < min(1.0, n / total)).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).toPandas().sort_values("vec_id")  # noqa: E731  one row an id
+    sample = drawn(1, wanted)
+    tree = Tree(_matrix(sample["embedding"], width), max(1, min(len(sample) // LEAF_SAMPLE, total // LEAF_ROWS)))
+    shared = spark.sparkContext.broadcast(tree)  # fewer centres than the sample has rows
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield pdf.assign(leaf=shared.value.assign(_matrix(pdf["embedding"])))
+                yield pdf.assign(leaf=shared.value.assign(_matrix(pdf["embedding"], width)))
 
     rows = cut(good.mapInPandas(put, "vec_id long, embedding array<double>, leaf int"))
-    chosen = good.filter(draw(2) < min(1.0, CALIBRATION / total)).toPandas()
-    visits = calibrate(rows, tree, chosen, k, target)
+    visits = calibrate(rows, tree, drawn(2, CALIBRATION), width, k, target)
 
     groups, group, held = [], 0, 0  # of each leaf: its first group and how many it is split over
     size = {r["leaf"]: r["n"] for r in rows.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row a leaf
@@ -206,7 +210,7 @@ def search(vectors: DataFrame, modulus: int = QUERY_MODULUS, k: int = NEIGHBOURS
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = []
-            for query, vector in zip(pdf["vec_id"], _matrix(pdf["embedding"]), strict=True):
+            for query, vector in zip(pdf["vec_id"], _matrix(pdf["embedding"], width), strict=True):
                 to: dict[int, list[int]] = {}
                 for leaf in shared.value.visits(vector, visits):
                     first, parts = groups[leaf]
@@ -217,7 +221,7 @@ def search(vectors: DataFrame, modulus: int = QUERY_MODULUS, k: int = NEIGHBOURS
 
     at = spark.createDataFrame([(leaf, first, parts) for leaf, (first, parts) in enumerate(groups)], "leaf int, first int, parts int")
     placed = rows.join(F.broadcast(at), "leaf").withColumn("group", F.col("first") + F.pmod(F.xxhash64("vec_id", F.col("embedding")), F.col("parts")).cast("int"))
-    asked = rows.filter(F.pmod("vec_id", F.lit(modulus)) == 0).select("vec_id", "embedding").mapInPandas(route, "query_id long, vector array<double>, group int, leaves array<int>")
+    asked = rows.filter(F.pmod("vec_id", F.lit(modulus)) == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInPandas(route, "query_id long, vector array<double>, group int, leaves array<int>")
     load = {r["group"]: math.ceil(r["n"] / CHUNK_QUERIES) for r in asked.groupBy("group").agg(F.count("*").alias("n")).collect()}  # a row a group
     chunks = spark.createDataFrame([(g, n) for g, n in load.items()], "group int, chunks int")
     asked = asked.join(chunks, "group").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int")).select("group", "chunk", "query_id", "vector", "leaves")
@@ -227,8 +231,8 @@ def search(vectors: DataFrame, modulus: int = QUERY_MODULUS, k: int = NEIGHBOURS
         if not len(data) or not len(ask):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         data = data.sort_values("leaf", kind="stable")
-        ids, x, leaf = data["vec_id"].to_numpy(), _matrix(data["embedding"]), data["leaf"].to_numpy()
-        query_ids, q = ask["query_id"].to_numpy(), _matrix(ask["vector"])
+        ids, x, leaf = data["vec_id"].to_numpy(), _matrix(data["embedding"], width), data["leaf"].to_numpy()
+        query_ids, q = ask["query_id"].to_numpy(), _matrix(ask["vector"], width)
         of = np.repeat(np.arange(len(ask)), ask["leaves"].map(len))
         to = np.concatenate(ask["leaves"].to_numpy())
         pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
