@@ -3,7 +3,8 @@
 Every language has a probability for each piece of one fixed public vocabulary. A word's probability in a language
 is the sum over all its segmentations into pieces, by a forward pass; a text's is the product over its words. The
 probabilities are learned by expectation-maximisation (forward and backward sums give each piece's expected count)
-from word counts of a bounded sample of labelled documents. Words are runs of letters, lower-cased.
+from word counts of a bounded sample of labelled documents (SAMPLE_DOCS a language). Words are runs of letters,
+lower-cased; number signs such as fractions and superscripts are no letters and are taken out of words.
 """
 
 from __future__ import annotations
@@ -16,17 +17,16 @@ from itertools import count, islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, stretches, training_row
 from .sentencepiece_dropout import SPACE, VOCABULARY
 
-WORD = re.compile(r"[^\W\d_]{1,40}")  # a longer run of letters counts as several words
-LONGEST_PIECE = 8
+WORD = re.compile(r"[^\W\d_]+")
+TRAINED_LETTERS = 64  # longer words are learned from in stretches of this length
+RESCALED = 16  # letters after which forward sums are brought back to the size of one
 SAMPLE_DOCS = 300  # expected labelled documents a language in the training sample
-SAMPLE_WORDS = 6_000  # most frequent words a language that training keeps
-MOST_LANGUAGES = 256
 ROUNDS = 4
 FLOOR = 1e-3  # share of each language's mass that is spread evenly over the vocabulary
 UNKNOWN = 1e-7  # probability of a letter that the vocabulary lacks, in any language
@@ -48,11 +48,12 @@ class Lattice:
         for i in range(sp.get_piece_size()):
             text = sp.id_to_piece(i)
             bare = text.removeprefix(SPACE)
-            if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)) and len(text) <= LONGEST_PIECE and (bare.isalpha() or text == SPACE) and bare == bare.lower():
+            if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)) and (bare.isalpha() or text == SPACE) and bare == bare.lower():
                 found[self._hash(text)] = text
         self.keys = np.array(sorted(found), np.uint64)
         self.n = len(self.keys)  # row n stands for an unknown letter
-        self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(LONGEST_PIECE, BASE)]), dtype=np.uint64)
+        self.longest = max(map(len, found.values()))
+        self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.longest, BASE)]), dtype=np.uint64)
 
     @staticmethod
     def _hash(text: str) -> int:
@@ -67,8 +68,8 @@ class Lattice:
         prefix = np.zeros((n, wide + 1), np.uint64)
         for i in range(wide):
             prefix[:, i + 1] = prefix[:, i] * BASE + chars[:, i] + np.uint64(1)
-        out = np.full((n, wide, LONGEST_PIECE), -1, np.int32)
-        for k in range(1, min(LONGEST_PIECE, wide) + 1):
+        out = np.full((n, wide, min(self.longest, wide)), -1, np.int32)
+        for k in range(1, min(self.longest, wide) + 1):
             h = prefix[:, k:] - prefix[:, : wide + 1 - k] * self.power[k]
             at = np.minimum(np.searchsorted(self.keys, h), self.n - 1)
             hit = self.keys[at] == h
@@ -87,6 +88,28 @@ def _forward(rows: np.ndarray, prob: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def _forward_logs(rows: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """[word, language] logs of the sums over all segmentations of whole words, of any length."""
+    n, wide, longest = rows.shape
+    if wide <= 2 * RESCALED:
+        return np.log(np.maximum(_forward(rows, prob)[:, -1], 1e-300))
+    alpha, logs = np.zeros((n, longest + 1, prob.shape[1])), np.zeros((n, prob.shape[1]))  # alpha: of the last places
+    alpha[:, 0] = 1
+    for i in range(1, wide + 1):
+        now = sum(alpha[:, (i - k) % (longest + 1)] * prob[rows[:, i - 1, k - 1]] for k in range(1, min(longest, i) + 1))
+        alpha[:, i % (longest + 1)] = now
+        if i % RESCALED == 0:
+            size = np.maximum(alpha.max(1), 1e-300)
+            alpha /= size[:, None]
+            logs += np.log(size)
+    return logs + np.log(np.maximum(alpha[:, wide % (longest + 1)], 1e-300))
+
+
+def letters(word: str) -> str:
+    """The word without what is no letter."""
+    return word if word.isalpha() else "".join(filter(str.isalpha, word))
+
+
 def _by_length(words: list[str], most: int = 40_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indices and characters (the word-start mark first) of words of one length at a time."""
     size = np.fromiter(map(len, words), np.int64, len(words))
@@ -111,12 +134,12 @@ def fit(counts: dict[str, dict[str, int]], model_file: str = VOCABULARY, rounds:
     lattice, languages = Lattice(model_file), sorted(counts)
     learned = np.full((lattice.n, len(languages)), 1 / lattice.n)
     for column, language in enumerate(languages):
-        words = list(counts[language])
-        weight = np.array([counts[language][w] for w in words], float)
-        groups = [(part, lattice.rows(grid)) for part, grid in _by_length(words)] if words else []
+        parts = [(w[k : k + TRAINED_LETTERS], c) for w, c in counts[language].items() for k in range(0, len(w), TRAINED_LETTERS)]
+        words, weight = [w for w, _ in parts], np.array([c for _, c in parts], float)
         for _ in range(rounds if words else 0):
             prob, expected = _table(learned[:, [column]], lattice.n), np.zeros(lattice.n + 2)
-            for part, rows in groups:
+            for part, grid in _by_length(words):
+                rows = lattice.rows(grid)
                 alpha = _forward(rows, prob)[:, :, 0]
                 n, wide, longest = rows.shape
                 beta = np.zeros((n, wide + 1))
@@ -144,7 +167,7 @@ class Scorer:
 
     def _empty(self) -> None:
         self.known: dict[str, int] = defaultdict(count().__next__)
-        self.logs = np.zeros((0, len(self.languages)), np.float32)
+        self.logs, self.real = np.zeros((0, len(self.languages)), np.float32), np.zeros(0, bool)
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """[text, language] log probabilities, and the number of words of each."""
@@ -154,16 +177,18 @@ class Scorer:
         found = [np.fromiter(map(self.known.__getitem__, WORD.findall(t.lower())), np.int64) for t in texts]
         fresh = list(islice(self.known, seen, None))
         if fresh:
-            logs = np.zeros((len(fresh), len(self.languages)), np.float32)
-            for part, grid in _by_length(fresh):
-                logs[part] = np.log(np.maximum(_forward(self.lattice.rows(grid), self.prob)[:, -1], 1e-300))
-            self.logs = np.vstack([self.logs, logs])
-        n = np.array([len(x) for x in found])
-        sums = np.zeros((len(texts), len(self.languages)))
-        if n.sum():
-            full = np.flatnonzero(n)
-            starts = np.cumsum(n) - n
-            sums[full] = np.add.reduceat(self.logs[np.concatenate(found)].astype(float), starts[full])
+            words = [letters(w) for w in fresh]
+            real = np.fromiter(map(bool, words), bool, len(words))
+            logs, own = np.zeros((len(fresh), len(self.languages)), np.float32), np.flatnonzero(real)
+            for part, grid in _by_length([w for w in words if w]):
+                logs[own[part]] = _forward_logs(self.lattice.rows(grid), self.prob)
+            self.logs, self.real = np.vstack([self.logs, logs]), np.concatenate([self.real, real])
+        size = np.array([len(x) for x in found])
+        sums, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        if size.sum():
+            full, starts, words = np.flatnonzero(size), np.cumsum(size) - size, np.concatenate(found)
+            sums[full] = np.add.reduceat(self.logs[words].astype(float), starts[full])
+            n[full] = np.add.reduceat(self.real[words].astype(np.int64), starts[full])
         return sums, n
 
 
@@ -175,29 +200,28 @@ def word_counts(docs: DataFrame) -> DataFrame:
             got: dict[tuple[str, str], int] = defaultdict(int)
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for word in WORD.findall((text or "").lower()):
-                    got[lang, word] += 1
+                    got[lang, letters(word)] += 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.string()), pa.array([k[1] for k in got], pa.string()), pa.array(list(got.values()), pa.int64())], names=["lang", "word", "n"])
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> tuple[list[str], np.ndarray] | None:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray] | None:
     """Fit on about sample_docs labelled documents a language, drawn by a hash of the id among those not held out.
 
     Only text and lang are used; the id decides membership alone. None without any labelled training row.
     """
     labelled = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & training_row(F.col("doc_id"), MODULUS, HELD_OUT))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, min(1.0, sample_docs / n)).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit("")), F.lit(17)), F.lit(1_000_000)) / 1_000_000.0
+    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit("")), "text", F.lit(17)), F.lit(1_000_000)) / 1_000_000.0
     counted = word_counts(labelled.filter(draw < share))
-    top = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= sample_words)
     counts: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
-    for r in top.collect():  # at most sample_words a language
+    for r in counted.filter("word <> ''").orderBy("lang", "word").toLocalIterator():  # the words of about sample_docs documents a language
         counts[r["lang"]][r["word"]] = r["n"]
     return fit(counts)
 

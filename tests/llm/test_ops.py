@@ -227,8 +227,12 @@ def test_vector_search_awkward(spark, monkeypatch):
     rows += [(1000, None, 1), (1020, [0.0] * 4, 1), (1040, [1.0, None, 0.0, 0.0], 1), (1060, [float("nan"), 1.0, 0.0, 0.0], 1), (1080, [float("inf"), 1.0, 0.0, 0.0], 1), (None, [1.0, 0.0, 0.0, 0.0], 1), (1100, [1.0], 1), (1120, [], 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     got = vector_search.search(table).collect()
-    assert {r["query_id"] for r in got} == set(range(0, 500, 20))
-    assert all(r["vec_id"] != r["query_id"] and r["vec_id"] < 500 for r in got)
+    assert {r["query_id"] for r in got} == {*range(0, 500, 20), 1100}
+    assert all(r["vec_id"] != r["query_id"] and (r["vec_id"] < 500 or r["vec_id"] == 1100) for r in got)
+    twice = vector_search.search(table.union(table.filter("vec_id % 40 = 0").selectExpr("vec_id", "transform(embedding, x -> -x)", "score"))).collect()
+    for query_id in {r["query_id"] for r in twice}:
+        assert sorted(r["rank"] for r in twice if r["query_id"] == query_id) == list(range(1, 21))
+        assert len({(r["vec_id"], r["score"]) for r in twice if r["query_id"] == query_id}) == 20
     copies = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == 240)
     better = {i for i, v, _ in rows[:200] if np.float32(v[0]) >= 1}
     assert [v for _, v in copies if v not in better] == [i for i in range(200, 500) if i != 240][: 20 - len(better & {v for _, v in copies})]
@@ -253,6 +257,21 @@ def test_language_id_awkward(awkward, none):
     assert {r["lang_pred"] for r in language_id.predict(awkward, None).collect()} == {"und"}
 
 
+def test_number_signs_are_no_letters_and_long_words_count_as_a_whole(spark):
+    table = spark.createDataFrame([(1, "½ ² ① 123 !"), (2, "le ½ chat²"), (3, "le chat"), (4, "x" * 5000), (5, "_")], "doc_id long, text string")
+    model = language_id.fit({"fr": {"le": 5, "chat": 3}, "en": {"the": 5, "cat": 3}})
+    got = {r["doc_id"]: r for r in language_id.predict(table, model).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 5)] == ["und", "und"] and got[1]["lang_score"] == 0
+    assert (got[2]["lang_pred"], got[2]["lang_score"]) == (got[3]["lang_pred"], got[3]["lang_score"]) == ("fr", got[3]["lang_score"])
+    assert got[4]["lang_pred"] in ("fr", "en") and 0 < got[4]["lang_score"] <= 1
+    lattice = language_id.Lattice()
+    prob = language_id._table(np.full((lattice.n, 2), 0.3) * [1, 0.9], lattice.n)
+    for word in ("chat", "internationalisation", "anticonstitutionnellement" * 2):
+        ((_, grid),) = language_id._by_length([word])
+        rows = lattice.rows(grid)
+        assert language_id._forward_logs(rows, prob) == pytest.approx(np.log(language_id._forward(rows, prob)[:, -1]), rel=1e-9)
+
+
 def test_forward_sums_all_segmentations():
     lattice = language_id.Lattice()
     rng = np.random.default_rng(1)
