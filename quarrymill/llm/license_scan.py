@@ -1,12 +1,14 @@
-"""License notices by an exact set-similarity join of text blocks (lines) with templates.
+"""License notices by an exact set-similarity join of text blocks with templates.
 
-A block matches a template when it holds at least CONTAINMENT of the template's distinct words. Words are ordered by
-how many blocks of the whole corpus hold them, rarest first. A matching block must hold one of the first
-|t| - ceil(c |t|) + 1 words of a template (prefix filter), have at least ceil(c |t|) distinct words (length filter),
-and, from the place of the shared word on, still have enough words left on both sides (positional filter). What
-passes is verified by the whole intersection, so the result is exact. All of it is DataFrame expressions.
+A text is cut into stretches of STRETCH words, whatever line feeds stand between them; a block is a few stretches in a
+row, as many as hold the longest template wherever it begins, and every stretch begins one. A block matches a template
+when it holds at least CONTAINMENT of the template's distinct words. Words are ordered by how many stretches of the
+whole corpus hold them, rarest first. A matching block must hold one of the first |t| - ceil(c |t|) + 1 words of a
+template (prefix filter), have at least ceil(c |t|) distinct words of templates (length filter), and, from the place of
+the shared word on, still have enough words left on both sides (positional filter). What passes is verified by the whole
+intersection, so the result is exact. All of it is DataFrame expressions.
 
-The templates are a fixed set of a few notices, so their prefix table is a broadcast of bounded size.
+The templates are a fixed set of notices and license paragraphs, so their prefix table is a broadcast of bounded size.
 """
 
 from __future__ import annotations
@@ -16,24 +18,32 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, fresh_path
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 CONTAINMENT = 0.85
+STRETCH = 24
 #: The phrases and labels asked for.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Common notices, lower-case words only, with the label each one gives.
+#: Common notices and paragraphs of license texts, lower-case words only, with the label each one gives.
 TEMPLATES = [
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("apache", "licensed under the apache license version 2 0"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
 ]
 
 
@@ -50,10 +60,15 @@ def _strings(words) -> Column:
     return F.array(*[F.lit(w) for w in words]) if words else F.expr("CAST(array() AS array<string>)")
 
 
-def token_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """In how many blocks of all documents each template word stands; one row a template word reaches the driver."""
-    held = F.flatten(F.transform(F.split(_lowered(F.col("text")), "\n"), lambda line: F.array_intersect(_words(line), _strings(vocabulary))))
-    return {r["word"]: r["n"] for r in docs.select(F.explode(held).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+def _stretches(low: Column) -> Column:
+    """Stretches of STRETCH words, the last may have fewer. Possessive repeats: no position is tried twice."""
+    return F.regexp_extract_all(low, F.lit(f"(?:{WORD}+{BETWEEN}*+){{1,{STRETCH}}}+"), F.lit(0))
+
+
+def token_frequencies(held: DataFrame) -> dict[str, int]:
+    """In how many stretches (column held_by of the texts) each template word stands; one row a template word reaches the driver."""
+    words = F.explode(F.flatten(F.transform("held_by", F.array_distinct)))
+    return {r["word"]: r["n"] for r in held.select(words.alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -63,16 +78,32 @@ def _places(words: Column, phrase: str) -> Column:
     return F.filter(starts, same)
 
 
+def window_of(templates: list[tuple[str, str]]) -> int:
+    """How many stretches a block has."""
+    return math.ceil(max(len(text.split(" ")) for _, text in templates) / STRETCH) + 1
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs.
 
     A null text is an empty one: no words, no labels (empty strings), score 0. The score is 1 where a phrase stands in
     the text, else the largest containment of a template that matched. Repeated rows each get a row of their own; no
-    column but doc_id and text is read. Long texts are never put into one array unless a phrase's last word is there.
+    column but doc_id and text is read. Of a text, only the words of templates are put into arrays unless a phrase's last
+    word is there.
     """
     sets = [(label, sorted(set(text.split(" ")))) for label, text in templates]
     vocabulary = sorted({w for _, words in sets for w in words})
-    frequency = token_frequencies(docs, vocabulary)
+    low = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", _lowered(F.col("text")).alias("low"))
+    holds = F.lit(False)
+    for last in sorted({p.split(" ")[-1] for p in phrases}):
+        holds = holds | F.contains(F.col("low"), F.lit(last))
+    rows = low.withColumns({"words": F.when(holds, _words(F.col("low"))).otherwise(F.expr("CAST(array() AS array<string>)")), "stretches": _stretches(F.col("low"))})
+    n_words = F.when(F.size("stretches") > 0, (F.size("stretches") - 1) * STRETCH + F.regexp_count(F.element_at("stretches", -1), F.lit(WORD))).otherwise(0)
+    held_by = F.transform("stretches", lambda stretch: F.filter(_words(stretch), lambda w: w.isin(vocabulary)))
+    path = fresh_path(docs.sparkSession, "license-words")  # texts are read once: what is counted and what is joined comes from here
+    rows.select("row", "doc_id", n_words.cast("long").alias("n_words"), *[_places(F.col("words"), p).alias(f"at{k}") for k, p in enumerate(phrases)], held_by.alias("held_by")).write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
+    frequency = token_frequencies(rows)
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
     table, wanted = [], set()
     for t, (label, words) in enumerate(sets):
@@ -84,23 +115,17 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
     rare = _strings([w for w, r in rank.items() if r in wanted])
     ranks_of = F.create_map(*[x for w, r in rank.items() for x in (F.lit(w), F.lit(r))])
 
-    low = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", _lowered(F.col("text")).alias("low"))
-    holds = F.lit(False)
-    for last in sorted({p.split(" ")[-1] for p in phrases}):
-        holds = holds | F.contains(F.col("low"), F.lit(last))
-    rows = low.withColumn("words", F.when(holds, _words(F.col("low"))).otherwise(F.expr("CAST(array() AS array<string>)")))
-    for k, phrase in enumerate(phrases):
-        rows = rows.withColumn(f"at{k}", _places(F.col("words"), phrase))
     every = F.concat(*[F.col(f"at{k}") for k in range(len(phrases))])
     found = F.concat(*[F.when(F.size(f"at{k}") > 0, F.array(F.lit(label))).otherwise(F.expr("CAST(array() AS array<string>)")) for k, label in enumerate(phrases.values())])
-    lines = F.transform(F.split("low", "\n"), lambda line: F.array_distinct(_words(line)))
+    width = window_of(templates)
+    blocks = F.transform("held_by", lambda _, i: F.array_distinct(F.flatten(F.slice("held_by", i + 1, F.lit(width)))))
     rows = rows.select(
-        "row", "doc_id", F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"), F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
-        F.array_distinct(found).alias("base"), F.explode_outer(F.filter(lines, lambda words: F.arrays_overlap(words, rare))).alias("block"),
+        "row", "doc_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
+        F.array_distinct(found).alias("base"), F.explode_outer(F.filter(blocks, lambda words: F.arrays_overlap(words, rare))).alias("block"),
     )
 
     # The join: each block's prefix words meet the templates that have them in their prefix.
-    shared = F.array_sort(F.transform(F.array_intersect("block", _strings(vocabulary)), lambda w: F.element_at(ranks_of, w)))
+    shared = F.array_sort(F.transform("block", lambda w: F.element_at(ranks_of, w)))
     blocks = rows.withColumn("held", shared).withColumn("rank", F.explode_outer("held"))
     left = F.size("held") - F.array_position("held", F.col("rank")).cast("int")
     possible = F.lit(1) + F.array_position("held", F.col("rank")).cast("int") - 1 + F.least(left, F.size("ranks") - F.col("place") - 1)
@@ -132,7 +157,8 @@ d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{
 w AS (SELECT *, regexp_extract_all(low, '{WORD}') AS w FROM d),
 p AS (SELECT r, doc_id, len(w) AS n_words, [{places}] AS pl FROM w),
 b AS (SELECT r, doc_id, n_words, flatten(pl) AS every, list_filter([{found}], lambda x: x IS NOT NULL) AS base FROM p),
-l AS (SELECT r, list_distinct(regexp_extract_all(line, '{WORD}')) AS ws FROM (SELECT r, unnest(string_split(low, chr(10))) AS line FROM d)),
+s AS (SELECT r, w, unnest(range(0, (len(w) + {STRETCH} - 1) // {STRETCH})) AS k FROM w),
+l AS (SELECT r, list_distinct(w[k * {STRETCH} + 1 : (k + {window_of(TEMPLATES)}) * {STRETCH}]) AS ws FROM s),
 m AS (SELECT l.r, t.label, len(list_intersect(l.ws, t.ws)) / len(t.ws) AS share FROM l, t WHERE len(list_intersect(l.ws, t.ws)) >= ceil({CONTAINMENT} * len(t.ws) - 1e-9)),
 g AS (SELECT r, list(DISTINCT label) AS more, max(share) AS share FROM m GROUP BY r)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(every) AS BIGINT) AS n_base, CAST(list_min(every) AS BIGINT) AS first_word, CAST(list_max(every) AS BIGINT) AS last_word,

@@ -380,6 +380,16 @@ def test_license_scan_awkward(spark, awkward, none):
     assert license_scan.scan(none).count() == 0 and license_scan.scan(awkward).count() == 15
 
 
+def test_notices_are_found_over_lines_and_not_in_scattered_words(spark):
+    bsd = dict((label, text) for label, text in license_scan.TEMPLATES if text.startswith("redistribution and"))["bsd"]
+    words = bsd.split()
+    wrapped = "\n * ".join(" ".join(words[k : k + 4]) for k in range(0, len(words), 4))
+    scattered = " ".join(f"{w} " + " ".join(f"filler{k}x{i}" for i in range(60)) for k, w in enumerate(words))
+    texts = [f"{'lead ' * lead}{wrapped} behind" for lead in range(0, 30, 7)] + [scattered, " ".join(words[:12])]
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(rows_of(list(enumerate(texts))), SCHEMA)).collect()}
+    assert [got[i] for i in range(len(texts))] == ["bsd"] * 5 + ["", ""]
+
+
 # 7 ----------------------------------------------------------------------------------------------------------------------
 
 
