@@ -1,10 +1,12 @@
 """Rules and quirks of the catalog on hand-made rows."""
 
 import datetime as dt
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from quarrymill.functions import scalars as sc
@@ -140,7 +142,7 @@ def test_dedup_plan_never_deletes_all_copies(spark):
     photos = spark.createDataFrame([(i, s, p, 10, st) for i, s, p, st in rows], "id long, sha256 string, album_path string, file_size long, stack_id long")
     faces = spark.createDataFrame([(6, "confirmed")], "photo_id long, status string")
     got = {r["id"]: (r["action"], r["reason"]) for r in pipelines.dedup_plan(photos, faces).collect()}
-    assert got[1] == ("delete", None) and got[2] == ("keep", None) and got[3] == ("skip", "part of a photo stack")
+    assert got[1] == ("delete", None) and got[2] == ("keep", None) and got[3] == ("skip", "in_stack")
     assert got[6][0] == "skip" and 4 not in got and 5 not in got
 
 
@@ -158,6 +160,127 @@ def test_kmeans_sizes():
         assert len(centres) == k and sizes.sum() == n
 
 
+def test_a_large_person_still_gets_k_prototypes(spark):
+    rng = np.random.default_rng(4)
+    means = np.eye(6)[:3] * 5
+    rows = [(i, "large", [float(x) for x in means[i % 3] + rng.normal(size=6) * 0.2]) for i in range(900)] + [(1000 + i, "small", [float(x) for x in rng.normal(size=6)]) for i in range(7)]
+    table = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    whole = vectors.centroids(table).collect()
+    cut = vectors.centroids(table, most=40, reduced=8).collect()
+    for found in (whole, cut):
+        assert sorted((r["label"], r["n"]) for r in found if r["label"] == "large") == [("large", 300)] * 3
+    assert sorted(r["n"] for r in whole if r["label"] == "small") == sorted(r["n"] for r in cut if r["label"] == "small")
+    near = lambda found: sorted(int(np.argmax(r["embedding"])) for r in found if r["label"] == "large")
+    assert near(whole) == near(cut) == [0, 1, 2]
+
+
+def test_prototypes_are_a_fixed_point(spark):
+    """Every prototype of V10 is the unit mean of its person's faces that are nearest to it, and its size is their number."""
+    from quarrymill.plans.registry import QUERIES
+    from quarrymill.sources.catalog import Catalog
+
+    faces = Catalog(spark, DATA).vectors.filter("status = 'confirmed'")
+    own, shown = {}, QUERIES["V10_A28_centroids"](spark, DATA).collect()
+    for r in faces.collect():
+        own.setdefault(r["label"], []).append(np.array(r["embedding"], float) / np.linalg.norm(r["embedding"]))
+    found = {}
+    for r in vectors.centroids(faces).collect():
+        found.setdefault(r["label"], []).append((r["part"], np.array(r["embedding"]), r["n"]))
+    assert found.keys() == own.keys() and len(shown) == sum(map(len, found.values()))
+    for label, parts in found.items():
+        x, centres = np.array(own[label]), np.array([c for _, c, _ in sorted(parts, key=lambda p: p[0])])
+        assert len(centres) == max(1, min(3, len(x) // 2))
+        nearest = (x @ centres.T).argmax(1)
+        assert np.bincount(nearest, minlength=len(centres)).tolist() == [n for _, _, n in sorted(parts, key=lambda p: p[0])]
+        for c in range(len(centres)):
+            mean = x[nearest == c].mean(0)
+            assert np.allclose(mean / np.linalg.norm(mean), centres[c], atol=1e-9)
+
+
+def plain_sweep(faces, prototypes, threshold, margin, floor, suggest):
+    """vec_id -> person, decision: the rules of the sweep, face by face."""
+    pool = [f for f in faces if f["status"] in ("unconfirmed", "suggested")]
+    ignored = [np.array(f["embedding"], float) for f in faces if f["status"] == "ignored"]
+    owned, taken, out, sure = Counter(f["label"] for f in faces if f["status"] == "confirmed"), {(f["photo_id"], f["label"]) for f in faces if f["status"] == "confirmed"}, {}, []
+    for f in pool:
+        v = np.array(f["embedding"], float)
+        if ignored and max(float(v @ w) for w in ignored) >= threshold - 0.005:
+            out[f["vec_id"]] = None, "ignored"
+            continue
+        near = sorted(((-round(float(v @ w), 12), person) for person, w in prototypes), key=lambda x: x[0])[:15]
+        said = {}
+        for score, person in near:
+            n, best = said.get(person, (0, -9))
+            said[person] = n + 1, max(best, -score)
+        ranked = sorted((-best, person, n) for person, (n, best) in said.items())
+        score, person, n = -ranked[0][0], ranked[0][1], ranked[0][2]
+        second = -ranked[1][0] if len(ranked) > 1 else 0
+        share = min(1, max(0, (owned[person] - 20) / 280))
+        needed = max(min(threshold, floor), threshold - share * max(0, threshold - floor))
+        if round(score, 2) >= needed and n >= 2 and score - second >= margin:
+            sure.append((-score, f["vec_id"], f["photo_id"], person))
+        out[f["vec_id"]] = person, "suggested" if score >= suggest and (not sure or sure[-1][1] != f["vec_id"]) else "unconfirmed"
+    for _, vec_id, photo_id, person in sorted(sure):
+        out[vec_id] = person, "unconfirmed" if (photo_id, person) in taken else "confirmed"
+        taken.add((photo_id, person))
+    return out
+
+
+def test_sweeps_are_those_of_the_plain_rules(spark):
+    from quarrymill.plans.registry import QUERIES
+    from quarrymill.sources.catalog import Catalog
+
+    rows = [r.asDict() for r in Catalog(spark, DATA).vectors.collect()]
+    schema = Catalog(spark, DATA).vectors.schema
+    threshold, margin, floor = sc.thresholds(0.65)
+    limits = threshold - 0.4, margin - 0.04, floor - 0.4
+    prototypes = lambda rows: [(r["label"], np.array(r["embedding"])) for r in vectors.centroids(spark.createDataFrame([tuple(f.values()) for f in rows], schema).filter("status = 'confirmed'")).collect()]
+    got = {r["vec_id"]: (r["person"], r["decision"]) for r in QUERIES["D01_sweep"](spark, DATA).collect()}
+    assert got == plain_sweep(rows, prototypes(rows), *limits, 0.2)
+    for _ in range(10):
+        said = plain_sweep(rows, prototypes(rows), *limits, 0.5)
+        for f in rows:
+            if f["vec_id"] in said:
+                person, f["status"] = said[f["vec_id"]]
+                f["label"] = person if f["status"] == "confirmed" else f["label"]
+        if not any(d == "confirmed" for _, d in said.values()):
+            break
+    assert {r["status"]: r["n"] for r in QUERIES["D02_sweeps"](spark, DATA).collect()} == Counter(f["status"] for f in rows)
+
+
+def test_rounding_is_that_of_binary_floats(spark):
+    rng = np.random.default_rng(5)
+    values = [0.685, 0.675, 0.145, 0.125, 0.375, 2.5, -0.685, -0.125, 0.0, 1e-9, 123456.785] + [float(x) for x in rng.integers(0, 10**5, 3000) / 1000] + [float(x) for x in rng.normal(size=500)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", sc.rounded(F.col("v"), 2).alias("two"), sc.rounded(F.col("v"), 4).alias("four")).collect()
+    assert all((r["two"], r["four"]) == (round(r["v"], 2), round(r["v"], 4)) for r in got)
+
+
+def test_trees_of_any_depth_and_cycles(spark):
+    rows = [(i, i - 1 if i else None, f"t{i}", "people" if not i else "x") for i in range(150)] + [(500, 499, "orphan", "x"), (501, 500, "below", "x")]
+    table = spark.createDataFrame(rows, "id int, parent_id int, label string, top string")
+    got = {r["id"]: r for r in hierarchy.chains(table).collect()}
+    assert set(got) == set(range(150)) and all(got[i]["depth"] == i + 1 and got[i]["top"] == "people" for i in range(150))
+    assert got[149]["path"] == ".".join(f"t{i}" for i in range(150))
+    with pytest.raises(ValueError, match="cycle"):
+        hierarchy.chains(spark.createDataFrame([(1, 2, "a", "a"), (2, 3, "b", "b"), (3, 1, "c", "c"), (4, None, "d", "d")], "id int, parent_id int, label string, top string"))
+    assert hierarchy.chains(table.limit(0)).count() == 0
+
+
+def test_pairs_within_and_best_of_a_person_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 4))
+    rows = spark.createDataFrame([(i, i % 5, [float(v) for v in x[i]]) for i in range(60)], "vec_id long, label int, embedding array<double>")
+    score = np.round(x @ x.T, 12)
+    for size in (vectors.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(vectors, "BROADCAST_BYTES", size)
+        monkeypatch.setattr(vectors, "BLOCK_ROWS", 25)
+        monkeypatch.setattr(vectors, "PRODUCT_CELLS", 100)
+        assert {(r["a"], r["b"]) for r in vectors.within(rows, 1.0).collect()} == {(i, j) for i in range(60) for j in range(i + 1, 60) if score[i, j] >= 1.0}
+        got = {(r["vec_id"], r["label"]): r["score"] for r in vectors.person_candidates(rows, rows.filter("vec_id < 40"), 0.4).collect()}
+        best = {(i, p): max(score[i, j] for j in range(40) if j % 5 == p) for i in range(60) for p in range(5)}
+        assert got == {k: v for k, v in best.items() if v >= 0.4}
+
+
 def test_blocked_knn_equals_broadcast_knn(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)], "vec_id long, embedding array<double>")
