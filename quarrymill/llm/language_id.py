@@ -30,8 +30,8 @@ SAMPLE_DOCS = 300  # expected labelled documents a language in the training samp
 ROUNDS = 4
 FLOOR = 1e-3  # share of each language's mass that is spread evenly over the vocabulary
 UNKNOWN = 1e-7  # probability of a letter that the vocabulary lacks, in any language
-CACHE_WORDS = 600_000
-BATCH_CHARS = 4_000_000
+CACHE_WORDS = 300_000
+BATCH_CHARS = 2_000_000
 MODULUS, HELD_OUT = 3, 1
 UNDETERMINED = "und"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

@@ -32,11 +32,11 @@ SPACE = "▁"
 UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 DROPOUT = 0.1
 SEED = 20240501
-CACHE_CUTS, CACHE_PIECES = 700_000, 8_000_000  # that a task keeps; emptied when full
+CACHE_CUTS, CACHE_PIECES = 300_000, 4_000_000  # that a task keeps; emptied when full
 WIDE = 48  # symbols; longer units are cut for each occurrence
-CUT_ROWS = 20_000
+CUT_ROWS = 8_000
 MOST_TAKEN = 192  # candidates of a unit of WIDE symbols: fewer than three for each
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_500_000
 NONE = np.float32(np.inf)
 
 

@@ -41,8 +41,8 @@ HASH_BYTES = 6  # of a shingle, as written between the two passes
 RANGES, MOST_RANGES = 256, 4_096  # of hashes, for the bound; about two for each shingle
 CHUNK_SETS, CHUNK_SET_SHINGLES = 1_024, 1_000_000  # of a cluster, in one chunk
 WORD = re.compile(r"\w+")
-CACHE_WORDS = 500_000
-BATCH_CHARS = 4_000_000
+CACHE_WORDS = 250_000
+BATCH_CHARS = 2_000_000
 CHUNK_SHINGLES = 1 << 16
 TABLE = 1 << 16
 NEAREST = 5.0  # elements whose sample can't be below this many mean smallest values are not looked at first
