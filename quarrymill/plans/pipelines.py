@@ -92,11 +92,16 @@ def stack_tag_sync(members: DataFrame, photo_tags: DataFrame) -> DataFrame:
 def raw_without_picture(photos: DataFrame) -> DataFrame:
     """RAW files whose stem is in no picture's stem of their folder or its jpg folder.
 
-    A shared substring cannot be hashed, so the join is on the folder, of which only distinct stems are compared."""
+    Picture stems are spread into their distinct parts of the lengths that RAW stems of the folder have, so a stem meets
+    the parts by an equi join on folder and text."""
     named = photos.select("id", stem(F.col("filename")).alias("stem"), F.col("album_path").alias("folder"), extension(F.col("filename")).alias("ext"))
     raws = named.filter(F.col("ext").isin("nef", "cr2", "cr3", "arw", "dng"))
-    pictures = named.filter(F.col("ext").isin("jpg", "jpeg", "png")).select(F.regexp_replace("folder", "(^|/)jpg$", "").alias("of"), F.col("stem").alias("other")).distinct()
-    return raws.join(pictures, (F.col("folder") == F.col("of")) & F.contains("other", F.col("stem")), "left_anti").select("id", "folder", "stem")
+    lengths = raws.groupBy("folder").agg(F.collect_set(F.length("stem")).alias("lengths"))
+    pictures = named.filter(F.col("ext").isin("jpg", "jpeg", "png")).select(F.regexp_replace("folder", "(^|/)jpg$", "").alias("folder"), F.col("stem").alias("other")).distinct()
+    sized = pictures.join(lengths, "folder").select("folder", "other", F.explode("lengths").alias("n")).filter(F.length("other") >= F.col("n"))
+    starts = F.sequence(F.lit(1), F.length("other") - F.col("n") + 1)
+    parts = sized.select("folder", F.explode(F.transform(starts, lambda at: F.substring("other", at, F.col("n")))).alias("stem")).distinct()
+    return raws.join(parts, ["folder", "stem"], "left_anti").select("id", "folder", "stem")
 
 
 def raw_folder_moves(photos: DataFrame) -> DataFrame:
