@@ -1,4 +1,4 @@
-"""Text search by tokens (X11): AND of words, OR, -word and "phrases". There is no stemming and there are no stop words."""
+"""English text search by stems (X11): AND of words, OR, -word and "phrases". Stop words count for their place only."""
 
 from __future__ import annotations
 
@@ -7,27 +7,36 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarrymill.functions.stemming import lexeme, lexemes
+
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """The stems of a text in order, with a mark where a stop word stands."""
+    return lexemes(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
-def _holds(found: Column, part: str) -> Column:
-    words = re.findall(r"[^\W_]+", part.lower())
-    if len(words) == 1:
-        return F.array_contains(found, words[0])
-    return F.contains(F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" ")), F.lit(" " + " ".join(words) + " "))
+def _holds(found: Column, words: list[str]) -> Column | None:
+    """Whether the stems stand one behind the other; a stop word between them may be any word. None for stop words only."""
+    wanted = {k: w for k, w in enumerate(words) if w}
+    if not wanted:
+        return None
+    if len(wanted) == 1:
+        return F.array_contains(found, *wanted.values())
+    places = range(min(wanted), max(wanted) + 1)
+    line = F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" "))
+    return F.rlike(line, F.lit(" " + " ".join(wanted.get(k, "[^ ]+") for k in places) + " "))
 
 
 def matches(text: Column, query: str) -> Column:
-    """Whether the text's tokens meet the query; a query without words meets nothing."""
+    """Whether the text meets the query; a query without words other than stop words meets nothing."""
     found, either, group = tokens(text), [], []
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query):
         if word.upper() == "OR" and not minus:
             either.append(group)
             group = []
-        elif re.search(r"[^\W_]", phrase or word):
-            test = _holds(found, phrase or word)
+            continue
+        test = _holds(found, [lexeme(w) for w in re.findall(r"[^\W_]+", (phrase or word).lower())])
+        if test is not None:
             group.append(~test if minus else test)
     either.append(group)
     either = [g for g in either if g]

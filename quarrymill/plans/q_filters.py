@@ -115,11 +115,12 @@ def text_search(c):
     return build_photo_query(c, PhotoFilters(search="red")).select("id")
 
 
-@query("X11_document_search", "WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS ws FROM documents) SELECT doc_id FROM t WHERE (list_contains(ws, 'license') AND NOT list_contains(ws, 'mit')) OR contains(' ' || array_to_string(ws, ' ') || ' ', ' of the ')")
+@query("X11_document_search", "WITH t AS (SELECT doc_id, ' ' || array_to_string(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)), '  ') || ' ' AS ws FROM documents) SELECT doc_id FROM t WHERE (regexp_matches(ws, ' (license|licenses|licensed|licensing) ') AND NOT contains(ws, ' mit ')) OR regexp_matches(ws, ' (release|releases|released|releasing)  \\S+  \\S+  (mit) ')")
 def document_search(c):
+    """Words by their stems; in the phrase the two stop words may be any."""
     from quarrymill.operators.textsearch import matches
 
-    return c.table("documents").filter(matches(F.col("text"), 'license -mit OR "of the"')).select("doc_id")
+    return c.table("documents").filter(matches(F.col("text"), 'licensing -mit OR "releases under the mit"')).select("doc_id")
 
 
 @query("F13_name_contains", "SELECT id, name FROM tags WHERE name ILIKE '%nation_1%'")
