@@ -635,4 +635,13 @@ def test_pipeline(spark, docs, awkward, none):
         left = stage(spark, awkward, DATA)
         assert left.columns == awkward.columns and left.count() <= 15
         assert stage(spark, none, DATA).count() == 0
-    assert F is not None
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, awkward, none, tmp_path):
+    import corpus_pipeline as cp
+
+    for name, table in (("awkward", awkward), ("none", none)):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        done = cp.run(spark, f"{tmp_path}/{name}").collect()
+        assert all(r["lossless"] for r in done) and (0 < len(done) <= 11 if name == "awkward" else not done)
