@@ -117,7 +117,7 @@ def batches(c):
 
 
 @query(
-    "T01_T07_streamed_sessions",
+    "T01_streamed_sessions",
     """
 WITH k AS (SELECT fingerprint_of.f AS fingerprint, ts FROM (SELECT sha1(CAST(level AS VARCHAR) || '|' || logger_name || '|' || left(trim(regexp_replace(regexp_replace(message, '\\b\\d+(?:\\.\\d+)?\\b', 'N', 'g'), '/[^\\s]+', 'PATH', 'g')), 512)) AS f, ts FROM app_logs) AS fingerprint_of),
 s AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY fingerprint ORDER BY ts) + INTERVAL 5 SECOND THEN 1 ELSE 0 END AS starts FROM k),
@@ -132,3 +132,13 @@ def streamed_sessions(c):
     rows.unionByName(last).write.parquet(source)
     logs.write_coalesced(logs.read_log_files(c.spark, source, rows.schema, most_files=1_000_000), out, fresh_path(c.spark, "marks"), once=True).awaitTermination()
     return c.spark.read.parquet(out).filter("message <> 'end'").select("fingerprint", "occurrences", F.col("first_seen_at").cast("timestamp_ntz").alias("first_seen"))
+
+
+@query("T07_counters", "SELECT count(*) AS records FROM events")
+def counters(c):
+    source = fresh_path(c.spark, "stream")
+    events = c.table("events").select("event_id")
+    events.write.parquet(source)
+    done = logs.for_each_batch(logs.read_log_files(c.spark, source, events.schema), lambda batch, n: batch.write.format("noop").mode("append").save(), fresh_path(c.spark, "marks"))
+    done.awaitTermination()
+    return files.values(c.spark, [(int(logs.counters(done)["rows"]),)], "records long")

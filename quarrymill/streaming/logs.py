@@ -63,11 +63,11 @@ def write_coalesced(stream: DataFrame, path: str, checkpoint: str, once: bool =
 
 
 def counters(query) -> dict[str, float]:
-    """Rows read, rows a second and the last batch's milliseconds of a running query."""
+    """Of a query, the rows of the batches it still remembers, and rows a second and milliseconds of the last batch."""
     last = query.lastProgress
     if not last:
         return {"rows": 0, "rows_per_second": 0.0, "batch_ms": 0}
-    return {"rows": last["numInputRows"], "rows_per_second": last["processedRowsPerSecond"] or 0.0, "batch_ms": last["durationMs"].get("triggerExecution", 0)}
+    return {"rows": sum(p["numInputRows"] for p in query.recentProgress), "rows_per_second": last["processedRowsPerSecond"] or 0.0, "batch_ms": last["durationMs"].get("triggerExecution", 0)}
 
 
 def for_each_batch(stream: DataFrame, work, checkpoint: str):

@@ -359,3 +359,15 @@ def test_legacy_faces_take_the_property_of_lowest_rank(spark):
     assert [(r["album_path"], r["caption"], r["title"]) for r in got.photos.collect()] == [("x/y", "a", None)]
     assert {r["path"] for r in got.tags.filter("is_person").collect()} == {"People.Ann_B", "People.Ann_B_1"}
     assert got.skipped.first()["skipped"] == 1 and got.photo_tags.count() == 1
+
+
+def test_jdbc_table_is_read_in_ranges(spark):
+    """Over the database that Spark brings along."""
+    from quarrymill.sources import files
+
+    url, driver = "jdbc:derby:memory:catalog;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = spark.range(100).select(F.col("id").cast("int").alias("ID"), F.concat(F.lit("n"), F.col("id")).alias("NAME"))
+    rows.write.jdbc(url, "IMAGES", mode="overwrite", properties={"driver": driver})
+    found = files.read_jdbc(spark, url, "IMAGES", "ID", 0, 100, 4, driver=driver)
+    assert found.rdd.getNumPartitions() == 4 and sorted(map(tuple, found.collect())) == [(i, f"n{i}") for i in range(100)]
+    assert sorted(r["ID"] for r in files.resumed(found, spark.createDataFrame([(95,)], "ID int"), "ID").collect()) == [96, 97, 98, 99]
