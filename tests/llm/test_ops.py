@@ -172,6 +172,41 @@ def test_language_model_awkward(awkward, none):
     assert attention_lm.score(none.select("doc_id", "text"), counts, model).count() == 0
 
 
+def naive_score(model, text, counts):
+    """log10 probability of a text, id by id, each from the ids of its window before it, in double precision."""
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    words = [*text.encode().lower().split(), b"\n"]
+    spelled = [attention_lm.spellings([w.decode()], attention_lm.VOCABULARY)[0] if w != b"\n" else [-1] for w in words]
+    flat = [model.end, *(model.end if i < 0 else int(model.output[i]) for ids in spelled for i in ids)]
+    width, step = attention_lm.WINDOW, attention_lm.WINDOW - attention_lm.CONTEXT
+    total, at, n, v = 0.0, 0, sum(counts.values()), len(counts)
+    for word, ids in zip(words, spelled, strict=True):
+        log = sum(model.rest_log[i] for i in ids if i >= 0)
+        for _ in ids:
+            first = 0 if at < width else -(-(at - width + 1) // step) * step
+            e = p["E"][flat[first : at + 1]]
+            a = softmax(e @ p["Wk"] @ (e[-1] @ p["Wq"]) / math.sqrt(attention_lm.WIDTH) + p["B"][np.arange(len(e))[::-1]])
+            h = np.tanh(a @ (e @ p["Wv"]) + e[-1] @ p["Wr"] + p["b"])
+            cls, within = divmod(flat[at + 1], attention_lm.CLASS_SIZE)
+            log += math.log(softmax(p["C"] @ h + p["c"])[cls]) + math.log(softmax(p["O"][cls] @ h + p["o"][cls])[within])
+            at += 1
+        total += math.log10(attention_lm.UNIGRAM * (counts[word] + 1) / (n + v + 1) + (1 - attention_lm.UNIGRAM) * math.exp(log))
+    return total
+
+
+def test_scores_are_those_of_a_naive_model(spark, monkeypatch):
+    monkeypatch.setattr(attention_lm, "HOT_WORDS", 30)  # most words meet their counts in the join
+    texts = [text_of(k, n) for k, n in enumerate((0, 1, 7, 20, 60, 200))] + ["Ünïcode 日本語 Rare-words 12345 " * 9]
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = attention_lm.word_counts(own.filter("doc_id > 2").select("text")).cache()
+    model = attention_lm.fit(own.filter("doc_id > 2"), counts)
+    known = Counter({r["word"].encode(): r["c"] for r in counts.collect()})
+    got = {r["doc_id"]: r["score"] for r in attention_lm.score(own, counts, model).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == pytest.approx(naive_score(model, text, known), rel=1e-4)
+
+
 def test_windows_score_every_id_once():
     sizes = np.array([2, 33, 34, 100, 59])
     flat = np.arange(sizes.sum())
