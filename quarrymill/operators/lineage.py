@@ -8,19 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in spark.checkpoint.dir; where that is unset, a local session gets a folder of its own."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and not spark.sparkContext.master.startswith("local["):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the checkpoint folder that the caller has set.
+
+    Where neither is set, a local session gets a folder of its own; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not path and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return path or sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new folder's name beside the checkpoints, which driver and executors share."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir()
-    at = at if isinstance(at, str) else at.get() if at.isDefined() else tempfile.mkdtemp(prefix="spark-files-")
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder's name beside the checkpoints."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
