@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return path or current.get()
-    if not path and not sc.master.startswith("local["):
+    if not path and sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return path or sc._jsc.sc().getCheckpointDir().get()
@@ -75,7 +75,8 @@ def stretches(sizes, most: int):
 def sum_blocks(parts: DataFrame, kind: type, slots: int = 4_096) -> list[bytes]:
     """The sums of vectors that come in blocks: parts (block, slot, data), data the bytes of numbers of one kind, of equal length for a block.
 
-    Blocks are summed over 16 slots (numbers of the sending tasks) and more, as `slots` sums a block meet at most. One row a block comes to the driver, in the order of the blocks; a block without rows is left out.
+    The rows of a block are summed for 16 or more slots (numbers of the sending tasks) at a time first, so at most `slots`
+    sums of a block meet. One row a block comes to the driver, in the order of the blocks; a block without rows is left out.
     """
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
