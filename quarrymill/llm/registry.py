@@ -8,6 +8,7 @@ from .attention_lm import op2_language_model
 from .decontamination import op5_decontamination
 from .fill_in_middle import ORACLE as FILL_SQL
 from .fill_in_middle import op11_fill_in_middle
+from .fingerprints import op12_fingerprints
 from .language_id import op4_language_id
 from .line_dedup import op1_line_dedup
 from .license_scan import ORACLE as LICENSE_SQL
@@ -31,5 +32,6 @@ QUERIES: dict[str, Callable] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_sharding": op10_sharding,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_fingerprints": op12_fingerprints,
 }
 ORACLES: dict[str, str] = {"op6_license_scan": LICENSE_SQL, "op8_warc": WARC_SQL, "op11_fill_in_middle": FILL_SQL}

@@ -6,11 +6,13 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from conftest import DATA, compare
 
-from quarrymill.llm import fill_in_middle
+from quarrymill.llm import fill_in_middle, fingerprints
 from quarrymill.llm.registry import ORACLES, QUERIES
+from quarrymill.llm.weighted_minhash import Shingler
 
 SCHEMA = "doc_id long, text string, n long, form string, a int, parts string, h int, part int, kind string"
 
@@ -66,3 +68,94 @@ def test_fill_in_middle_of_very_long_and_no_texts(spark):
     assert fill_in_middle.fill_in_middle(table(spark, [])).count() == 0
     with pytest.raises(ValueError, match="percentages"):
         fill_in_middle.fill_in_middle(table(spark, []), rate=101)
+
+
+# 12 ---------------------------------------------------------------------------------------------------------------------
+
+
+def shingle_set(text):
+    words = re.findall(r"\w+", text.lower())
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(text, following):
+    n = len(text) // 4
+    return text[: len(text) - n] + following[:n]
+
+
+def naive_print(text):
+    """Bins one by one, empty ones filled in their own order."""
+    hashes, _, _ = Shingler().sets([text])
+    bins = {}
+    for h in hashes.tolist():
+        bins[h % fingerprints.BINS] = min(bins.get(h % fingerprints.BINS, h), h)
+    if not bins:
+        return ""
+    taken = [bins[k] if k in bins else bins[next(int(o) for o in fingerprints.ORDER[k] if int(o) in bins)] for k in range(fingerprints.BINS)]
+    return bytes(h // fingerprints.BINS % (1 << fingerprints.BITS) for h in taken).hex()
+
+
+def naive_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    share = sum(x == y for x, y in zip(bytes.fromhex(a), bytes.fromhex(b), strict=True)) / fingerprints.BINS
+    return max(0.0, (share - 1 / 256) / (1 - 1 / 256))
+
+
+def test_fingerprints_are_those_of_plain_python(spark):
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())
+    got = {r["doc_id"]: r for r in QUERIES["op12_fingerprints"](spark, DATA).collect()}
+    assert len(got) == len(rows)
+    prints = {t: naive_print(t) for _, t in rows}
+    errors = []
+    for k, (i, text) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        changed, r = edited(text, following), got[i]
+        other = naive_print(changed)
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (len(text), hashlib.sha256(changed.encode()).hexdigest(), prints[text], other)
+        assert r["near_edited"] == pytest.approx(naive_likeness(prints[text], other)) and r["near_next"] == pytest.approx(naive_likeness(prints[text], prints[following]))
+        errors += [r["near_edited"] - jaccard(shingle_set(text), shingle_set(changed)), r["near_next"] - jaccard(shingle_set(text), shingle_set(following))]
+    assert abs(sum(errors) / len(errors)) < 0.01 and max(map(abs, errors)) < 0.25
+
+
+def test_likeness_is_unbiased_for_few_and_many_shingles():
+    rnd = random.Random(3)
+    for size in (6, 40, 300, 3000):
+        for share in (0.2, 0.5, 0.9):
+            errors = []
+            for _ in range(60):
+                common = round(size * share)
+                sets = [np.sort(np.array(x, np.uint64)) for x in (lambda pool: (pool[:size], pool[: common] + pool[size : 2 * size - common]))([rnd.getrandbits(48) for _ in range(2 * size)])]
+                a, b = fingerprints.packed(np.concatenate(sets), np.array([size, size]))
+                errors.append(fingerprints.likeness(a, b) - common / (2 * size - common))
+            assert abs(np.mean(errors)) < 0.06 if size < 100 else abs(np.mean(errors)) < 0.015, (size, share, np.mean(errors))
+
+
+def test_fingerprints_awkward(spark):
+    texts = [(0, None), (1, ""), (2, " \n\t"), (3, "one"), (4, "one two three"), (4, "one two three"), (4, "other words of the same id"), (None, "no id 😀😀😀"), (None, None), (5, "w " * 400_000), (6, "x" * 3_000_000), (7, "日本語 text İ K and more words of it")]
+    rows = fingerprints.fingerprints(table(spark, texts)).collect()
+    assert len(rows) == len(texts)
+    by = {r["doc_id"]: r for r in rows if r["doc_id"] not in (None, 4)}
+    assert by[0]["fingerprint"] == by[1]["fingerprint"] == by[2]["fingerprint"] == "" and by[0]["near_next"] == 1.0 and by[2]["near_next"] == 0.0
+    assert by[0]["edited_sha256"] == hashlib.sha256(b"").hexdigest() and by[5]["n_chars"] == 800_000
+    assert by[5]["edited_sha256"] == hashlib.sha256(edited("w " * 400_000, "x" * 3_000_000).encode()).hexdigest()
+    last = by[7]  # the first document follows it: one of the two without an id
+    assert last["edited_sha256"] in {hashlib.sha256(edited(texts[-1][1], t).encode()).hexdigest() for t in ("", "no id 😀😀😀")}
+    assert sorted(r["n_chars"] for r in rows if r["doc_id"] == 4) == [13, 13, 26]
+    assert fingerprints.fingerprints(table(spark, [])).count() == 0
+    alone = fingerprints.fingerprints(table(spark, [(9, "a document alone follows itself in the order of ids")])).collect()
+    assert len(alone) == 1 and alone[0]["near_next"] == 1.0
+
+
+def test_a_hot_id_goes_to_several_partitions_and_keeps_its_rows(spark):
+    texts = [(1, f"text {k % 3} of the same id") for k in range(300)] + [(2, "another")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = fingerprints.fingerprints(table(spark, texts)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rows) == 301 and sum(r["near_next"] == 1.0 for r in rows) == 297
