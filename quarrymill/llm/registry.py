@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from .attention_lm import op2_language_model
 from .decontamination import op5_decontamination
+from .exact_kmeans import ORACLE as CLUSTER_SQL
+from .exact_kmeans import op13_centroid_clusters
 from .fill_in_middle import ORACLE as FILL_SQL
 from .fill_in_middle import op11_fill_in_middle
 from .fingerprints import op12_fingerprints
@@ -33,5 +35,6 @@ QUERIES: dict[str, Callable] = {
     "op10_sharding": op10_sharding,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_fingerprints": op12_fingerprints,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
-ORACLES: dict[str, str] = {"op6_license_scan": LICENSE_SQL, "op8_warc": WARC_SQL, "op11_fill_in_middle": FILL_SQL}
+ORACLES: dict[str, str] = {"op6_license_scan": LICENSE_SQL, "op8_warc": WARC_SQL, "op11_fill_in_middle": FILL_SQL, "op13_centroid_clusters": CLUSTER_SQL}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from conftest import DATA, compare
 
-from quarrymill.llm import fill_in_middle, fingerprints
+from quarrymill.llm import exact_kmeans, fill_in_middle, fingerprints
 from quarrymill.llm.registry import ORACLES, QUERIES
 from quarrymill.llm.weighted_minhash import Shingler
 
@@ -22,7 +23,7 @@ def table(spark, texts):
     return spark.createDataFrame([(i, t, 1, "f", 2, "p", 3, 4, "k") for i, t in texts], SCHEMA)
 
 
-@pytest.mark.parametrize("name", ["op11_fill_in_middle"])
+@pytest.mark.parametrize("name", ["op11_fill_in_middle", "op13_centroid_clusters"])
 def test_sql(spark, duck, name):
     compare(QUERIES[name](spark, DATA), duck, ORACLES[name])
 
@@ -159,3 +160,74 @@ def test_a_hot_id_goes_to_several_partitions_and_keeps_its_rows(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(rows) == 301 and sum(r["near_next"] == 1.0 for r in rows) == 297
+
+
+# 13 ---------------------------------------------------------------------------------------------------------------------
+
+
+def naive_kmeans(rows, clusters, rounds):
+    """Plain Python on whole numbers: {(id, vector): (cluster, distance)} and the last centroids."""
+    kept = [(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)]
+    first = sorted(kept, key=lambda r: (hashlib.sha256(f"2:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[1]))[:clusters]
+    centres = [c for _, c in first]
+    near = lambda x: min((sum((a - b) ** 2 for a, b in zip(x, c, strict=True)), k) for k, c in enumerate(centres))
+    for _ in range(rounds):
+        held = {}
+        for _, x in kept:
+            held.setdefault(near(x)[1], []).append(x)
+        centres = [tuple(sum(c) // len(held[k]) for c in zip(*held[k], strict=True)) if k in held else old for k, old in enumerate(centres)]
+    return [(i, *near(x)[::-1]) for i, x in kept], centres
+
+
+def clustered_table(spark, rows, kind="float"):
+    return spark.createDataFrame([(i, v, 1, b"d", 2, "w") for i, v in rows], f"vec_id long, embedding array<{kind}>, cluster int, data binary, distance long, was string")
+
+
+def test_centroids_are_those_of_plain_python(spark):
+    rnd = random.Random(13)
+    spots = [[rnd.choice([-1, -0.5, 0, 0.5, 1]) for _ in range(64)] for _ in range(6)]
+    rows = [(k, [float(x + rnd.choice([0, 0, 1 / 256, -1 / 256, 0.25])) for x in rnd.choice(spots)]) for k in range(220)]
+    rows += [(500 + k, rows[0][1]) for k in range(30)] + [(7, rows[3][1]), (7, rows[4][1]), (None, rows[5][1]), (None, [0.0] * 64)]  # copies, equal ids, ties
+    rows += [(900, None), (901, []), (902, [0.5] * 63), (903, [0.5] * 65), (904, [None] * 64), (905, [float("nan")] * 64), (906, [0.1] * 63 + [float("inf")]), (907, [0.1] * 63 + [float("-inf")])]
+    for clusters, rounds in ((12, 5), (1, 2), (9, 0), (400, 3)):
+        done, history = exact_kmeans.cluster_vectors(clustered_table(spark, rows), clusters, rounds)
+        want, centres = naive_kmeans(rows, clusters, rounds)
+        assert sorted(((r["vec_id"], r["cluster"], r["distance"]) for r in done.collect()), key=repr) == sorted(want, key=repr)
+        assert [tuple(c) for c in history[-1].tolist()] == centres and len(history) == rounds + 1
+
+
+def test_large_components_are_exact_and_larger_ones_an_error(spark):
+    rnd = random.Random(5)
+    rows = [(k, [rnd.choice([-1, 1]) * rnd.randrange(300_000) + rnd.random() for _ in range(64)]) for k in range(60)] + [(60, [1e-30] * 64), (61, [0.25] * 64)]
+    done, history = exact_kmeans.cluster_vectors(clustered_table(spark, rows, "double"), 7, 4)
+    want, centres = naive_kmeans(rows, 7, 4)
+    assert sorted((r["vec_id"], r["cluster"], r["distance"]) for r in done.collect()) == sorted(want) and [tuple(c) for c in history[-1].tolist()] == centres
+    with pytest.raises(ValueError, match="64 bits"):
+        exact_kmeans.whole(np.array([[1e30]]))
+    none, history = exact_kmeans.cluster_vectors(clustered_table(spark, []), 7, 4)
+    assert none.count() == 0 and history == []
+
+
+def test_bounds_by_net_displacement_spare_most_distances_and_never_err():
+    """Assignments against all distances over many rounds; bounds of several ages stand side by side."""
+    rng = np.random.default_rng(4)
+    spots = rng.integers(-900, 900, (40, 64))
+    x = spots[rng.integers(0, 40, 4000)] + rng.integers(-120, 120, (4000, 64))
+    history, s = [x[:40].copy()], exact_kmeans.State(len(x), exact_kmeans.GROUPS)
+    last = 0
+    for t in range(12):
+        before = s.evaluated
+        exact_kmeans.assign(x, history, s)
+        d = ((x[:, None] - history[-1]) ** 2).sum(2)
+        assert (s.cluster == d.argmin(1)).all()
+        true = np.sqrt(d.astype(float))
+        for g in range(exact_kmeans.GROUPS):  # every kept bound holds, loosened by the displacement since its round
+            members = np.flatnonzero(exact_kmeans.group_of(40) == g)
+            net = np.sqrt([((c - history[-1])[members] ** 2).sum(1).max() for c in history])
+            others = np.where(members[None] == s.cluster[:, None], np.inf, true[:, members]).min(1)
+            assert (s.lower[:, g] - net[s.lower_at[:, g]] <= others + 1e-6).all()
+        last = s.evaluated - before
+        if t > 2:
+            assert len(np.unique(s.lower_at)) > 1
+        history.append(np.array([x[s.cluster == k].sum(0) // (s.cluster == k).sum() if (s.cluster == k).any() else history[-1][k] for k in range(40)]))
+    assert last < 0.2 * d.size
