@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: File kinds by extension.
-RAW = ("3fr", "arw", "cr2", "cr3", "dng", "nef", "nrw", "orf", "pef", "raf", "raw", "rw2", "srw")
-PICTURE = ("jpg", "jpeg", "png", "tif", "tiff", "heic", "heif", "webp", "gif", "bmp")
-VIDEO = ("mp4", "mov", "avi", "mkv", "m4v", "wmv", "mpg", "mpeg", "3gp", "webm", "mts")
+#: File kinds by extension, and the media types of all of them.
+RAW = ("nef", "cr2", "cr3", "arw", "orf", "raf", "rw2", "dng", "pef", "srw", "x3f", "3fr")
+PICTURE = ("jpg", "jpeg", "png", "gif", "bmp", "tif", "tiff", "webp", "heic", "heif")
+VIDEO = ("mp4", "mov", "avi", "mkv", "m4v", "mts", "mpg", "mpeg", "wmv", "webm", "flv", "3gp")
+MIME = {
+    "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "tif": "image/tiff", "tiff": "image/tiff", "heic": "image/heic", "heif": "image/heif", "bmp": "image/bmp",
+    "mp4": "video/mp4", "mov": "video/quicktime", "avi": "video/x-msvideo", "mkv": "video/x-matroska", "m4v": "video/mp4", "wmv": "video/x-ms-wmv", "mts": "video/mp2t", "mpg": "video/mpeg", "mpeg": "video/mpeg", "webm": "video/webm", "flv": "video/x-flv", "3gp": "video/3gpp",
+    "nef": "image/x-nikon-nef", "cr2": "image/x-canon-cr2", "cr3": "image/x-canon-cr3", "arw": "image/x-sony-arw", "orf": "image/x-olympus-orf", "raf": "image/x-fuji-raf", "rw2": "image/x-panasonic-rw2", "dng": "image/x-adobe-dng", "pef": "image/x-pentax-pef", "srw": "image/x-samsung-srw", "x3f": "image/x-sigma-x3f", "3fr": "image/x-hasselblad-3fr",
+}
 #: Colour labels.
 COLORS = {"red": 1, "orange": 2, "yellow": 3, "green": 4, "blue": 5, "magenta": 6, "gray": 7, "grey": 7, "black": 8, "white": 9}
 SEPARATORS = (".", "-", "_", " ")
@@ -33,6 +40,16 @@ def media_kind(name: Column) -> Column:
     return F.when(ext.isin(*RAW), "raw").when(ext.isin(*VIDEO), "video").when(ext.isin(*PICTURE), "image")
 
 
+def is_raw(name: Column) -> Column:
+    """X03"""
+    return extension(name).isin(*RAW)
+
+
+def mime(name: Column) -> Column:
+    """The media type of a file's name; that of bytes where the extension is not known."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in MIME.items() for x in pair]), extension(name)), F.lit("application/octet-stream"))
+
+
 def raw_parent(album: Column) -> Column:
     """The album that holds a RAW folder, "/" at the top, null for other albums."""
     path = F.rtrim(album, F.lit("/"))
@@ -136,14 +153,15 @@ def box_pixels(cx: Column, cy: Column, w: Column, h: Column, width: Column, heig
 
 
 def rect(text: Column) -> list[Column]:
-    """X, y, width, height from XML, JSON or four numbers; nulls otherwise."""
-    out = []
-    for k, name in enumerate(("x", "y", "width", "height")):
-        xml = F.regexp_extract(text, rf'<rect[^>]*\b{name}="(-?\d+)"', 1)
-        json = F.regexp_extract(text, rf'^\s*\{{.*"{name}"\s*:\s*(-?\d+)', 1)
-        plain = F.regexp_extract(text, r"^\s*(-?\d+)\s+(-?\d+)\s+(-?\d+)\s+(-?\d+)\s*$", k + 1)
-        out.append(F.coalesce(*[F.nullif(t, F.lit("")) for t in (xml, json, plain)]).try_cast("int"))
-    return out
+    """X, y, width, height, with or without decimals, from XML, JSON or the first four words; nulls otherwise."""
+    names = ("x", "y", "width", "height")
+    xml = [F.nullif(F.regexp_extract(text, r"<rect\s+" + r"\s+".join(f'{n}="([^"]+)"' for n in names), k + 1), F.lit("")).try_cast("double") for k in range(4)]
+    json = [F.try_parse_json(text) for _ in names]
+    json = [F.try_variant_get(j, f"$.{n}", "double") for j, n in zip(json, names, strict=True)]
+    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+    plain = [F.get(words, F.lit(k)).try_cast("double") for k in range(4)]
+    whole = lambda four: reduce(lambda a, b: a & b, [x.isNotNull() for x in four])
+    return [F.when(whole(xml), xml[k]).when(whole(json), json[k]).when(whole(plain), plain[k]) for k in range(4)]
 
 
 def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -231,8 +249,27 @@ def confidence_band(score: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
+    """Units of 1024 up to TB, one decimal but for bytes."""
+    size = n.cast("double")
+    step = F.when(n < 1024, 0).when(n < 1024**2, 1).when(n < 1024**3, 2).when(n < 1024**4, 3).otherwise(4)
+    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).otherwise(F.format_string("%.1f %s", size / F.pow(F.lit(1024.0), step), F.element_at(F.array(*[F.lit(u) for u in ("KB", "MB", "GB", "TB")]), F.greatest(step, F.lit(1)))))
+
+
+def _short(x: Column) -> Column:
+    """A number without decimals where it is whole, else with one."""
+    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(F.format_string("%.1f", x))
+
+
+def human_shutter(seconds: Column) -> Column:
+    """Seconds from one on, else 1/n; a dash where there is no positive number."""
+    x = seconds.try_cast("double")
+    return F.when(x.isNull() | F.isnan(x) | (x <= 0), "—").when(x >= 1, F.concat(_short(x), F.lit("s"))).otherwise(F.concat(F.lit("1/"), F.floor(1 / x + 0.5).cast("string")))
+
+
+def human_aperture(number: Column) -> Column:
     """X37"""
-    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024**2, F.format_string("%.1f KB", n / 1024.0)).when(n < 1024**3, F.format_string("%.1f MB", n / float(1024**2))).otherwise(F.format_string("%.2f GB", n / float(1024**3)))
+    x = number.try_cast("double")
+    return F.when(x.isNull() | F.isnan(x), "—").otherwise(F.concat(F.lit("f/"), _short(x)))
 
 
 def human_duration(seconds: Column) -> Column:
@@ -248,14 +285,14 @@ def month_range(year: Column, month: Column) -> list[Column]:
     return [first, F.last_day(first)]
 
 
-def destination(filename: Column, taken: Column) -> Column:
-    """YYYY/YYYY-MM from a PXL name, else from the time; "undated" without either."""
-    named = F.regexp_extract(filename, r"^PXL_(\d{4})(\d{2})\d{2}", 1), F.regexp_extract(filename, r"^PXL_(\d{4})(\d{2})\d{2}", 2)
-    by_name = F.concat(named[0], F.lit("/"), named[0], F.lit("-"), named[1])
-    return F.when(named[0] != "", by_name).when(taken.isNotNull(), F.date_format(taken, "yyyy/yyyy-MM")).otherwise("undated")
+def destination(filename: Column, taken: Column, root: str = "") -> Column:
+    """YYYY/MM below the root from a name that begins with PXL_ (12 characters at least), else from the time; the root itself without either."""
+    under = lambda *parts: F.concat_ws("/", *([F.lit(root)] if root else []), *parts)
+    named = F.startswith(filename, F.lit("PXL_")) & (F.char_length(filename) >= 12)
+    return F.when(named, under(F.substring(filename, 5, 4), F.substring(filename, 9, 2))).when(taken.isNotNull(), under(F.date_format(taken, "yyyy"), F.date_format(taken, "MM"))).otherwise(root)
 
 
 def guessed_level(line: Column) -> Column:
-    """The first level word of a line, or INFO."""
-    word = F.upper(F.regexp_extract(line, r"(?i)\b(DEBUG|INFO|WARN(?:ING)?|ERROR|CRITICAL|FATAL)\b", 1))
+    """By the first of these words in a line (FATAL stands for CRITICAL, WARN for WARNING), or INFO."""
+    word = F.upper(F.regexp_extract(line, r"(?i)\b(FATAL|ERROR|WARN(?:ING)?|INFO|DEBUG)\b", 1))
     return F.when(word == "", "INFO").when(word == "WARN", "WARNING").when(word == "FATAL", "CRITICAL").otherwise(word)

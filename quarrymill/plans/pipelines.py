@@ -8,9 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.functions.scalars import SEPARATORS, adaptive_threshold, color_number, exif_time, extension, folder_tier, gps_number, iou, raw_parent, rounded, stem
+from quarrymill.functions.scalars import PICTURE, RAW, SEPARATORS, adaptive_threshold, color_number, exif_time, extension, folder_tier, gps_number, iou, is_raw, raw_parent, rounded, stem
 from quarrymill.operators.aggregates import first_of, runner_up, votes
+from quarrymill.operators.filters import active
 from quarrymill.operators.lineage import cut
+from quarrymill.operators.mutations import insert_ignore
 from quarrymill.operators.vectors import EDGE_SLACK, knn
 
 
@@ -18,57 +20,68 @@ from quarrymill.operators.vectors import EDGE_SLACK, knn
 
 
 def duplicate_listing(photos: DataFrame, least: int = 2) -> DataFrame:
-    """The copies of each duplicate group, best folder first, then oldest import, then id."""
-    hashed = photos.filter(F.col("sha256").isNotNull()).withColumn("tier", folder_tier(F.col("album_path")))
+    """The active copies of each duplicate group, best folder first, then oldest import, then id."""
+    hashed = active(photos).filter(F.col("sha256").isNotNull()).withColumn("tier", folder_tier(F.col("album_path")))
     groups = hashed.groupBy("sha256").agg(F.count("*").alias("copies")).filter(F.col("copies") >= least)
     rank = F.row_number().over(Window.partitionBy("sha256").orderBy(F.desc("tier"), "imported_at", "id"))
     return hashed.join(groups, "sha256").select("sha256", "copies", "id", "tier", rank.alias("rank"))
 
 
 def dedup_plan(photos: DataFrame, faces: DataFrame) -> DataFrame:
-    """Id, sha256, tier, action (keep, delete, skip), reason of every copy in groups with more than one tier.
+    """Id, sha256, file_size, tier, action (keep, delete, skip), reason of active copies in groups with more than one tier.
 
     Copies under the group's best tier are candidates. One in a stack is skipped; one with confirmed faces is skipped
-    unless a kept copy has some. A group is reported only if something of it is deleted or skipped.
+    unless a kept copy has some. Kept copies are reported where something of their group is deleted.
     """
     confirmed = faces.filter(F.col("status") == "confirmed").select(F.col("photo_id").alias("p")).distinct()
-    rows = photos.filter(F.col("sha256").isNotNull()).join(confirmed, F.col("id") == F.col("p"), "left").select("id", "sha256", "file_size", "stack_id", F.col("p").isNotNull().alias("has_face"), folder_tier(F.col("album_path")).alias("tier"))
-    best = rows.groupBy("sha256").agg(F.max("tier").alias("best"), F.min("tier").alias("worst"), F.max(F.struct("tier", "has_face"))["has_face"].alias("kept_face")).filter("best > worst")
+    hashed = active(photos).filter(F.col("sha256").isNotNull())
+    rows = hashed.join(confirmed, F.col("id") == F.col("p"), "left").select("id", "sha256", "file_size", F.col("stack_id").isNotNull().alias("stacked"), F.col("p").isNotNull().alias("has_face"), folder_tier(F.col("album_path")).alias("tier"))
+    # One aggregate a group: the best tier, whether it has faces, and the best tier below it of a copy that may go.
+    best = rows.groupBy("sha256").agg(F.max("tier").alias("best"), F.min("tier").alias("worst"), F.max(F.struct("tier", "has_face"))["has_face"].alias("kept_face"), F.min(F.when(~F.col("stacked"), F.col("tier"))).alias("low"), F.min(F.when(~F.col("stacked") & ~F.col("has_face"), F.col("tier"))).alias("low_faceless")).filter("best > worst")
     lower = F.col("tier") < F.col("best")
-    reason = F.when(lower & F.col("stack_id").isNotNull(), "in_stack").when(lower & F.col("has_face") & ~F.col("kept_face"), "only_copy_with_faces")
+    reason = F.when(lower & F.col("stacked"), "in_stack").when(lower & F.col("has_face") & ~F.col("kept_face"), "only_copy_with_faces")
     action = F.when(~lower, "keep").when(reason.isNotNull(), "skip").otherwise("delete")
-    return rows.join(best, "sha256").select("id", "sha256", "file_size", "tier", action.alias("action"), reason.alias("reason"))
+    some_go = F.coalesce(F.when(F.col("kept_face"), F.col("low")).otherwise(F.col("low_faceless")) < F.col("best"), F.lit(False))
+    return rows.join(best, "sha256").filter(lower | some_go).select("id", "sha256", "file_size", "tier", action.alias("action"), reason.alias("reason"))
 
 
-def dedup_apply(photos: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Photos after the plan (kept copies with the merged metadata) and those that go."""
-    gone = plan.filter("action = 'delete'").select(F.col("id").alias("gone_id"))
-    groups = plan.filter("action <> 'skip'").join(plan.filter("action = 'delete'").select("sha256").distinct(), "sha256", "left_semi").select("id", "sha256", (F.col("action") == "delete").cast("int").alias("order"))
-    members = photos.drop("sha256").join(groups, "id")
-    first = lambda c: F.min(F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != "") & (F.col(c).cast("string") != "0"), F.struct("order", "id", c)))[c]
-    merged = members.groupBy("sha256").agg(F.max("rating").alias("m_rating"), *[first(c).alias(f"m_{c}") for c in ("color_label", "title", "caption")])
-    kept = photos.join(gone, F.col("id") == F.col("gone_id"), "left_anti")
-    owners = groups.filter("order = 0").select(F.col("id").alias("owner"), "sha256").join(merged, "sha256").drop("sha256")
-    after = kept.join(owners, F.col("id") == F.col("owner"), "left").withColumns({c: F.coalesce(f"m_{c}", c) for c in ("rating", "color_label", "title", "caption")}).select(*photos.columns)
-    return after, photos.join(gone, F.col("id") == F.col("gone_id"), "left_semi")
+def dedup_apply(photos: DataFrame, photo_tags: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Photos and their tags after the plan.
+
+    Deleted copies stay as rows of status 0. Every kept copy of a group that loses one gets the largest rating, the first
+    colour, title and caption that is set (kept copies first, then oldest import, then id) and all tags of the kept and
+    deleted copies; what no copy has set stays as it is.
+    """
+    marks = plan.filter("action <> 'skip'").select(F.col("id").alias("marked"), "sha256", F.col("action").alias("mark"))
+    goes = marks.filter("mark = 'delete'").select("sha256").distinct()
+    groups = marks.join(goes, "sha256", "left_semi").withColumnRenamed("sha256", "g_sha")
+    members = photos.join(groups, F.col("id") == F.col("marked")).withColumn("order", (F.col("mark") == "delete").cast("int"))
+    is_set = lambda c: F.col(c).isNotNull() & (F.col(c).cast("string") != "") & ((F.col(c) != 0) if c == "color_label" else F.lit(True))
+    first = lambda c: F.min(F.when(is_set(c), F.struct("order", "imported_at", "id", c)))[c]
+    merged = members.groupBy("g_sha").agg(F.max("rating").alias("m_rating"), *[first(c).alias(f"m_{c}") for c in ("color_label", "title", "caption")])
+    kept = groups.filter("mark = 'keep'").join(merged, "g_sha").drop("g_sha").unionByName(groups.filter("mark = 'delete'").select("marked", "mark"), allowMissingColumns=True)
+    both = photos.join(kept, F.col("id") == F.col("marked"), "left")
+    after = both.withColumns({c: F.coalesce(f"m_{c}", c) for c in ("rating", "color_label", "title", "caption")}).withColumn("status", F.when(F.col("mark") == "delete", F.lit(0)).otherwise(F.col("status"))).select(*photos.columns)
+    all_tags = photo_tags.join(groups, F.col("photo_id") == F.col("marked")).select("g_sha", "tag_id").distinct()
+    given = groups.filter("mark = 'keep'").join(all_tags, "g_sha").select(F.col("marked").alias("photo_id"), "tag_id")
+    return after, insert_ignore(photo_tags, given, ["photo_id", "tag_id"])
 
 
 # Stacks ---------------------------------------------------------------------------------------------------------------
 
 
 def stack_members(photos: DataFrame) -> DataFrame:
-    """Album, stem_key, id, role of all stack members.
+    """Album, stem_key, id, filename, rating, file_size, role of all members of stacks of active photos.
 
-    RAW files of albums that end in /RAW, and pictures of the parent album whose stem is the RAW's, or that and a
-    separator. The join is on the album and the RAW stem: each picture offers its own stem and every beginning of it
-    that a separator follows. A picture that meets several RAW stems goes to the longest.
+    RAW files (by extension) of albums that end in /RAW, and pictures of the parent album whose stem is the RAW's, or
+    that and a separator. The join is on the album and the RAW stem: each picture offers its own stem and every
+    beginning of it that a separator follows. A picture that meets several RAW stems goes to the longest.
     """
-    named = photos.select("id", "filename", "album_path", "rating", "file_size", "media_type", stem(F.col("filename")).alias("stem"))
-    raws = named.filter(raw_parent(F.col("album_path")).isNotNull()).withColumn("album", raw_parent(F.col("album_path")))
+    named = active(photos).select("id", "filename", "album_path", "rating", "file_size", stem(F.col("filename")).alias("stem"), is_raw(F.col("filename")).alias("raw"))
+    raws = named.filter("raw").withColumn("album", raw_parent(F.col("album_path"))).filter(F.col("album").isNotNull())
     keys = raws.select("album", F.col("stem").alias("stem_key")).distinct()
     cuts = F.filter(F.sequence(F.lit(1), F.greatest(F.length("stem"), F.lit(1))), lambda n: (n == F.length("stem")) | F.substring("stem", n + 1, 1).isin(*SEPARATORS))
-    pictures = named.join(raws.select(F.col("id").alias("raw_id")), F.col("id") == F.col("raw_id"), "left_anti")
-    offers = pictures.select("id", "filename", "rating", "file_size", F.rtrim(F.col("album_path"), F.lit("/")).alias("album"), F.explode(F.transform(cuts, lambda n: F.left(F.col("stem"), n))).alias("stem_key"))
+    offers = named.filter("NOT raw").select("id", "filename", "rating", "file_size", F.col("album_path").alias("album"), F.explode(F.transform(cuts, lambda n: F.left(F.col("stem"), n))).alias("stem_key"))
     met = offers.join(keys, ["album", "stem_key"])
     longest = met.groupBy("id").agg(F.max_by(F.struct("album", "stem_key", "filename", "rating", "file_size"), F.length("stem_key")).alias("m")).select("id", "m.*")
     both = longest.withColumn("role", F.lit("derivative")).unionByName(raws.select("id", "album", F.col("stem").alias("stem_key"), "filename", "rating", "file_size").withColumn("role", F.lit("raw")))
@@ -82,6 +95,12 @@ def stacks(photos: DataFrame) -> DataFrame:
     return members.groupBy("album", "stem_key").agg(F.max_by("id", better).alias("cover_id"), F.count("*").alias("members"), F.bool_or(F.col("role") == "raw").alias("has_raw"))
 
 
+def stale_stacks(known: DataFrame, photos: DataFrame) -> DataFrame:
+    """Stacks known before (album, stem_key) of which no RAW file is there any more."""
+    seen = stack_members(photos).filter("role = 'raw'").select("album", "stem_key").distinct()
+    return known.join(seen, ["album", "stem_key"], "left_anti")
+
+
 def stack_tag_sync(members: DataFrame, photo_tags: DataFrame) -> DataFrame:
     """The tags that each stack member lacks of its stack's."""
     keyed = members.select("album", "stem_key", "id").join(photo_tags, F.col("id") == F.col("photo_id")).select("album", "stem_key", "id", "tag_id")
@@ -89,15 +108,23 @@ def stack_tag_sync(members: DataFrame, photo_tags: DataFrame) -> DataFrame:
     return members.select("album", "stem_key", "id").join(union, ["album", "stem_key"]).join(keyed.select("id", "tag_id"), ["id", "tag_id"], "left_anti").select("id", "tag_id")
 
 
+def stack_value_sync(members: DataFrame, photos: DataFrame) -> DataFrame:
+    """Id, rating, color_label of every stack member after the sync: the largest rating (null: 0) and the first colour set, by id."""
+    own = members.select("album", "stem_key", "id").join(photos.select("id", "rating", "color_label"), "id")
+    colour = F.min(F.when(F.coalesce("color_label", F.lit(0)) != 0, F.struct("id", "color_label")))["color_label"]
+    union = own.groupBy("album", "stem_key").agg(F.max(F.coalesce("rating", F.lit(0))).alias("u_rating"), colour.alias("u_color"))
+    return own.join(union, ["album", "stem_key"]).select("id", F.col("u_rating").alias("rating"), F.coalesce("u_color", "color_label").alias("color_label"))
+
+
 def raw_without_picture(photos: DataFrame) -> DataFrame:
     """RAW files whose stem is in no picture's stem of their folder or its jpg folder.
 
     Picture stems are spread into their distinct parts of the lengths that RAW stems of the folder have, so a stem meets
     the parts by an equi join on folder and text."""
     named = photos.select("id", stem(F.col("filename")).alias("stem"), F.col("album_path").alias("folder"), extension(F.col("filename")).alias("ext"))
-    raws = named.filter(F.col("ext").isin("nef", "cr2", "cr3", "arw", "dng"))
+    raws = named.filter(F.col("ext").isin(*RAW))
     lengths = raws.groupBy("folder").agg(F.collect_set(F.length("stem")).alias("lengths"))
-    pictures = named.filter(F.col("ext").isin("jpg", "jpeg", "png")).select(F.regexp_replace("folder", "(^|/)jpg$", "").alias("folder"), F.col("stem").alias("other")).distinct()
+    pictures = named.filter(F.col("ext").isin(*PICTURE)).select(F.regexp_replace("folder", "(^|/)jpg$", "").alias("folder"), F.col("stem").alias("other")).distinct()
     sized = pictures.join(lengths, "folder").select("folder", "other", F.explode("lengths").alias("n")).filter(F.length("other") >= F.col("n"))
     starts = F.sequence(F.lit(1), F.length("other") - F.col("n") + 1)
     parts = sized.select("folder", F.explode(F.transform(starts, lambda at: F.substring("other", at, F.col("n")))).alias("stem")).distinct()
@@ -105,59 +132,85 @@ def raw_without_picture(photos: DataFrame) -> DataFrame:
 
 
 def raw_folder_moves(photos: DataFrame) -> DataFrame:
-    """RAW files outside a RAW folder, with the folder they belong to."""
-    away = extension(F.col("filename")).isin("nef", "cr2", "cr3", "arw", "dng") & raw_parent(F.col("album_path")).isNull()
-    return photos.filter(away).select("id", "album_path", F.concat(F.rtrim(F.col("album_path"), F.lit("/")), F.lit("/RAW")).alias("new_path"))
+    """RAW files whose own folder is not named RAW (in any case), with the folder they belong to."""
+    path = F.rtrim(F.col("album_path"), F.lit("/"))
+    away = is_raw(F.col("filename")) & (F.upper(F.regexp_extract(path, "[^/]*$", 0)) != "RAW")
+    return photos.filter(away).select("id", "album_path", F.when(path == "", "RAW").otherwise(F.concat(path, F.lit("/RAW"))).alias("new_path"))
 
 
 def sorted_names(photos: DataFrame, folder: Column) -> DataFrame:
-    """Id, folder, name; of equal names in a folder the second and later get their number put before."""
+    """Id, folder, name; of equal names in a folder the second and later get a number put before, from 0."""
     rows = photos.select("id", "filename", folder.alias("folder"))
     n = F.row_number().over(Window.partitionBy("folder", "filename").orderBy("id"))
-    return rows.select("id", "folder", F.when(n == 1, F.col("filename")).otherwise(F.concat((n - 1).cast("string"), F.lit("_"), F.col("filename"))).alias("name"))
+    return rows.select("id", "folder", F.when(n == 1, F.col("filename")).otherwise(F.concat((n - 2).cast("string"), F.lit("_"), F.col("filename"))).alias("name"))
 
 
 # Faces ----------------------------------------------------------------------------------------------------------------
 
 
-def sweep(faces: DataFrame, centres: DataFrame, threshold: float, margin: float, floor: float, suggest: float = 0.5, k: int = 15, births: DataFrame | None = None) -> DataFrame:
+def sweep(
+    faces: DataFrame, centres: DataFrame, threshold: float, margin: float, floor: float, suggest: float = 0.5, k: int = 15, births: DataFrame | None = None, gate: Column | None = None,
+    reference: Column | None = None, twins: DataFrame | None = None,
+) -> DataFrame:
     """vec_id, person, best_match_score, decision of every undecided face (columns vec_id, embedding, label, status, photo_id).
 
-    Near an ignored face: ignored. Otherwise the k nearest prototypes vote: confirmed where the best person's rounded
-    score reaches its adaptive threshold, it has two votes or more and leads by the margin; suggested where the score
-    reaches `suggest`; else unconfirmed. Of several faces confirmed as one person in a photo, or where the photo has a
-    confirmed one already, only the best (score, then vec_id) stays; the others are unconfirmed. With births (person,
-    born) a face on a photo taken before the best person's birth (faces then have taken_at) is unconfirmed.
+    Near an ignored face: ignored, without a person. Otherwise the k nearest prototypes vote: confirmed where the best
+    person's rounded score reaches its adaptive threshold, it has two votes or more and leads by the margin; suggested
+    where the score reaches `suggest`; else unchanged: the face keeps its status and person. Of several faces confirmed as
+    one person in a photo, or where the photo has a confirmed one already, only the best (score, then vec_id) stays, and
+    the others are unconfirmed, without a person; persons of `twins` (person) may stand in a photo more than once. With
+    births (person, born) a face on a photo taken before the best person's birth (faces then have taken_at) is unchanged.
+    `gate` is the quality that an undecided face needs (good_face, F18), others are left out; `reference` is what a face
+    needs to be a prototype where centres are faces themselves (reference_face, F21).
     """
     pool = faces.filter(F.col("status").isin("unconfirmed", "suggested"))
+    if gate is not None:
+        pool = pool.filter(gate)
     ignored = knn(pool, faces.filter("status = 'ignored'"), 1).filter(F.col("score") >= threshold - EDGE_SLACK).select(F.col("query_id").alias("vec_id"))
     open_faces = cut(pool.join(ignored, "vec_id", "left_anti"))
+    if reference is not None:
+        centres = centres.filter(reference)
     keyed = cut(centres if "vec_id" in centres.columns else centres.withColumn("vec_id", F.monotonically_increasing_id()))
     near = knn(open_faces, keyed, k, skip_same=False).join(keyed.select(F.col("vec_id").alias("id"), F.col("label").alias("person")), "id")
     best = runner_up(votes(near, "query_id", "person", "score"), ["query_id"], "score", "person")
     owned = faces.filter("status = 'confirmed'").groupBy(F.col("label").alias("person")).agg(F.count("*").alias("faces"))
     judged = best.join(owned, "person", "left").withColumn("needed", adaptive_threshold(threshold, floor, F.coalesce("faces", F.lit(0))))
     sure = (rounded(F.col("score"), 2) >= F.col("needed")) & (F.col("votes") >= 2) & (F.col("score") - F.col("runner_up") >= margin)
-    judged = judged.withColumn("decision", F.when(sure, "confirmed").when(F.col("score") >= suggest, "suggested").otherwise("unconfirmed"))
-    placed = judged.join(open_faces.select(F.col("vec_id").alias("query_id"), "photo_id", *(["taken_at"] if births is not None else [])), "query_id")
+    judged = judged.withColumn("decision", F.when(sure, "confirmed").when(F.col("score") >= suggest, "suggested").otherwise("unchanged"))
+    placed = judged.join(open_faces.select(F.col("vec_id").alias("query_id"), F.col("label").alias("before"), "photo_id", *(["taken_at"] if births is not None else [])), "query_id")
     if births is not None:
         early = placed.join(births.select("person", "born"), "person", "left")
-        placed = early.withColumn("decision", F.when(F.to_date("taken_at") < F.col("born"), "unconfirmed").otherwise(F.col("decision"))).drop("born", "taken_at")
+        placed = early.withColumn("decision", F.when(F.to_date("taken_at") < F.col("born"), "unchanged").otherwise(F.col("decision"))).drop("born", "taken_at")
     taken = faces.filter("status = 'confirmed'").select(F.col("photo_id").alias("t_photo"), F.col("label").alias("t_person")).distinct()
     held = placed.join(taken, (F.col("photo_id") == F.col("t_photo")) & (F.col("person") == F.col("t_person")), "left")
     turn = F.row_number().over(Window.partitionBy("photo_id", "person", "decision").orderBy(F.desc("score"), "query_id"))
-    again = (F.col("decision") == "confirmed") & (F.col("t_photo").isNotNull() | (turn > 1))
-    done = held.select(F.col("query_id").alias("vec_id"), "person", F.round("score", 4).alias("best_match_score"), F.when(again, "unconfirmed").otherwise(F.col("decision")).alias("decision"))
+    again = (F.col("decision") == "confirmed") & (F.col("t_photo").isNotNull() | (turn > 1)) & F.col("photo_id").isNotNull()
+    if twins is not None:
+        free = twins.select(F.col("person").alias("free")).distinct()
+        held = held.join(free, F.col("person") == F.col("free"), "left")
+        again = again & F.col("free").isNull()
+    decided = held.withColumn("decision", F.when(again, "unconfirmed").otherwise(F.col("decision")))
+    person = F.when(F.col("decision").isin("confirmed", "suggested"), F.col("person")).when(F.col("decision") == "unchanged", F.col("before"))
+    done = decided.select(F.col("query_id").alias("vec_id"), person.alias("person"), F.round("score", 4).alias("best_match_score"), "decision")
     gone = ignored.select("vec_id", F.lit(None).cast(dict(done.dtypes)["person"]).alias("person"), F.lit(None).cast("double").alias("best_match_score"), F.lit("ignored").alias("decision"))
     return done.unionByName(gone)
 
 
-def sweeps(faces: DataFrame, prototypes, threshold: float, margin: float, floor: float, most: int = 10) -> DataFrame:
+def swept(faces: DataFrame, said: DataFrame) -> DataFrame:
+    """The faces after a sweep: status and person as decided; unchanged faces and those it did not meet stay as they are."""
+    joined = faces.join(said.select("vec_id", "person", "decision", F.col("best_match_score").alias("__score")), "vec_id", "left")
+    met = F.coalesce(F.col("decision") != "unchanged", F.lit(False))
+    new = {"label": F.when(met, F.col("person")).otherwise(F.col("label")), "status": F.when(met, F.col("decision")).otherwise(F.col("status"))}
+    if "best_match_score" in faces.columns:
+        new["best_match_score"] = F.coalesce("__score", "best_match_score")
+    return joined.withColumns(new).select(*faces.columns)
+
+
+def sweeps(faces: DataFrame, prototypes, threshold: float, margin: float, floor: float, most: int = 10, **rules) -> DataFrame:
     """Sweeps over new prototypes until one confirms nothing (or `most` of them); the faces after the last."""
     for _ in range(most):
-        said = cut(sweep(faces, prototypes(faces.filter("status = 'confirmed'")), threshold, margin, floor))
-        joined = faces.join(said.select("vec_id", "person", "decision"), "vec_id", "left")
-        faces = cut(joined.select("vec_id", "embedding", F.when(F.col("decision") == "confirmed", F.col("person")).otherwise(F.col("label")).alias("label"), F.coalesce("decision", "status").alias("status"), "photo_id"))
+        said = cut(sweep(faces, prototypes(faces.filter("status = 'confirmed'")), threshold, margin, floor, **rules))
+        faces = cut(swept(faces, said))
         if not said.filter("decision = 'confirmed'").limit(1).count():
             break
     return faces

@@ -12,34 +12,56 @@ from .base import query
 _TIER = "CASE WHEN starts_with(album_path, 'AB_TO_SORT/') THEN 0 WHEN starts_with(album_path, 'Ordered by Dates/') THEN 1 ELSE 2 END"
 
 
-@query("D04_duplicate_listing", f"WITH h AS (SELECT sha256, id, {_TIER} AS tier, imported_at, count(*) OVER (PARTITION BY sha256) AS copies FROM photos WHERE sha256 IS NOT NULL) SELECT sha256, copies, id, tier, CAST(row_number() OVER (PARTITION BY sha256 ORDER BY tier DESC, imported_at, id) AS INT) AS rank FROM h WHERE copies >= 2")
+@query("D04_duplicate_listing", f"WITH h AS (SELECT sha256, id, {_TIER} AS tier, imported_at, count(*) OVER (PARTITION BY sha256) AS copies FROM photos WHERE sha256 IS NOT NULL AND status = 1) SELECT sha256, copies, id, tier, CAST(row_number() OVER (PARTITION BY sha256 ORDER BY tier DESC, imported_at, id) AS INT) AS rank FROM h WHERE copies >= 2")
 def duplicate_listing(c):
     return pipelines.duplicate_listing(c.photos)
 
 
+#: r: active hashed copies; k: groups of more than one tier; p: what happens to a copy; g: groups that lose one.
 _PLAN = f"""
-WITH r AS (SELECT id, sha256, file_size, {_TIER} AS tier, stack_id, EXISTS (SELECT 1 FROM faces f WHERE f.photo_id = photos.id AND f.status = 'confirmed') AS face FROM photos WHERE sha256 IS NOT NULL),
-b AS (SELECT *, max(tier) OVER (PARTITION BY sha256) AS best, min(tier) OVER (PARTITION BY sha256) AS worst FROM r),
-k AS (SELECT *, bool_or(face AND tier = best) OVER (PARTITION BY sha256) AS kept_face FROM b WHERE best > worst),
-p AS (SELECT id, sha256, file_size, tier, CASE WHEN tier = best THEN NULL WHEN stack_id IS NOT NULL THEN 'in_stack' WHEN face AND NOT kept_face THEN 'only_copy_with_faces' END AS reason, tier = best AS keep FROM k)
+WITH r AS (SELECT *, {_TIER} AS tier, EXISTS (SELECT 1 FROM faces f WHERE f.photo_id = photos.id AND f.status = 'confirmed') AS face FROM photos WHERE sha256 IS NOT NULL AND status = 1),
+b AS (SELECT *, max(tier) OVER (PARTITION BY sha256) AS best FROM r),
+k AS (SELECT *, bool_or(face AND tier = best) OVER (PARTITION BY sha256) AS kept_face FROM b),
+p AS (SELECT *, CASE WHEN tier = best THEN 'keep' WHEN stack_id IS NOT NULL THEN 'in_stack' WHEN face AND NOT kept_face THEN 'only_copy_with_faces' ELSE 'delete' END AS what FROM k),
+g AS (SELECT DISTINCT sha256 FROM p WHERE what = 'delete')
 """
 
 
-@query("D05_dedup_plan", _PLAN + "SELECT id, sha256, file_size, tier, CASE WHEN keep THEN 'keep' WHEN reason IS NOT NULL THEN 'skip' ELSE 'delete' END AS action, reason FROM p")
+@query("D05_dedup_plan", _PLAN + "SELECT id, sha256, file_size, tier, CASE WHEN what IN ('keep', 'delete') THEN what ELSE 'skip' END AS action, CASE WHEN what NOT IN ('keep', 'delete') THEN what END AS reason FROM p WHERE what <> 'keep' OR sha256 IN (SELECT sha256 FROM g)")
 def dedup_plan(c):
     return pipelines.dedup_plan(c.photos, c.faces)
 
 
-@query("D06_dedup_apply", _PLAN + ", g AS (SELECT sha256, max(rating) AS m FROM p JOIN photos USING (id, sha256) WHERE (keep OR reason IS NULL) AND sha256 IN (SELECT sha256 FROM p WHERE NOT keep AND reason IS NULL) GROUP BY 1) SELECT o.id, coalesce(g.m, o.rating) AS rating FROM photos o LEFT JOIN p USING (id) LEFT JOIN g ON g.sha256 = o.sha256 AND p.keep WHERE p.id IS NULL OR p.keep OR p.reason IS NOT NULL")
+@query(
+    "D06_dedup_apply",
+    _PLAN
+    + """, m AS (SELECT sha256, max(rating) AS rating,
+ arg_min(color_label, (what = 'delete', imported_at, id)) FILTER (WHERE color_label <> 0) AS color_label, arg_min(title, (what = 'delete', imported_at, id)) FILTER (WHERE title <> '') AS title,
+ arg_min(caption, (what = 'delete', imported_at, id)) FILTER (WHERE caption <> '') AS caption FROM p WHERE what IN ('keep', 'delete') AND sha256 IN (SELECT sha256 FROM g) GROUP BY 1)
+SELECT o.id, CASE WHEN p.what = 'delete' THEN 0 ELSE o.status END AS status, coalesce(m.rating, o.rating) AS rating, coalesce(m.color_label, o.color_label) AS color_label, coalesce(m.title, o.title) AS title, coalesce(m.caption, o.caption) AS caption
+FROM photos o LEFT JOIN p USING (id) LEFT JOIN m ON m.sha256 = p.sha256 AND p.what = 'keep'""",
+)
 def dedup_apply(c):
-    return pipelines.dedup_apply(c.photos, pipelines.dedup_plan(c.photos, c.faces))[0].select("id", "rating")
+    return pipelines.dedup_apply(c.photos, c.photo_tags, pipelines.dedup_plan(c.photos, c.faces))[0].select("id", "status", "rating", "color_label", "title", "caption")
+
+
+@query(
+    "D06_merged_tags",
+    _PLAN + "SELECT photo_id, tag_id FROM photo_tags UNION SELECT k.id, t.tag_id FROM p k JOIN p o ON o.sha256 = k.sha256 AND o.what IN ('keep', 'delete') JOIN photo_tags t ON t.photo_id = o.id WHERE k.what = 'keep' AND k.sha256 IN (SELECT sha256 FROM g)",
+)
+def dedup_tags(c):
+    return pipelines.dedup_apply(c.photos, c.photo_tags, pipelines.dedup_plan(c.photos, c.faces))[1]
 
 
+_EXT = "lower(regexp_extract({0}, '\\.([^.]+)$', 1))"
+_RAW = "('nef', 'cr2', 'cr3', 'arw', 'orf', 'raf', 'rw2', 'dng', 'pef', 'srw', 'x3f', '3fr')"
+_PICTURE = "('jpg', 'jpeg', 'png', 'gif', 'bmp', 'tif', 'tiff', 'webp', 'heic', 'heif')"
 _STEM = "lower(regexp_replace(filename, '\\.[^.]*$', ''))"
 _MEMBERS = f"""
-WITH raws AS (SELECT id, left(album_path, length(album_path) - 4) AS album, {_STEM} AS stem_key, rating, file_size FROM photos WHERE album_path LIKE '%/RAW'),
-der AS (SELECT p.id, r.album, r.stem_key, p.rating, p.file_size, row_number() OVER (PARTITION BY p.id ORDER BY length(r.stem_key) DESC) AS n FROM photos p JOIN (SELECT DISTINCT album, stem_key FROM raws) r ON p.album_path = r.album
-  AND ({_STEM.replace("filename", "p.filename")} = r.stem_key OR (starts_with({_STEM.replace("filename", "p.filename")}, r.stem_key) AND substr({_STEM.replace("filename", "p.filename")}, length(r.stem_key) + 1, 1) IN ('.', '-', '_', ' ')))),
+WITH named AS (SELECT *, {_STEM} AS stem, {_EXT.format("filename")} IN {_RAW} AS is_raw FROM photos WHERE status = 1),
+raws AS (SELECT id, left(album_path, length(album_path) - 4) AS album, stem AS stem_key, rating, file_size FROM named WHERE is_raw AND album_path LIKE '%/RAW'),
+der AS (SELECT p.id, r.album, r.stem_key, p.rating, p.file_size, row_number() OVER (PARTITION BY p.id ORDER BY length(r.stem_key) DESC) AS n FROM named p JOIN (SELECT DISTINCT album, stem_key FROM raws) r ON p.album_path = r.album AND NOT p.is_raw
+  AND (p.stem = r.stem_key OR (starts_with(p.stem, r.stem_key) AND substr(p.stem, length(r.stem_key) + 1, 1) IN ('.', '-', '_', ' ')))),
 m AS (SELECT album, stem_key, id, rating, file_size, 'derivative' AS role FROM der WHERE n = 1 UNION ALL SELECT album, stem_key, id, rating, file_size, 'raw' FROM raws)
 """
 
@@ -64,26 +86,52 @@ def stack_tag_sync(c):
     return pipelines.stack_tag_sync(pipelines.stack_members(c.photos), c.photo_tags)
 
 
-@query("U04_stale_stacks", _MEMBERS + "SELECT DISTINCT album, stem_key FROM m WHERE role = 'raw' EXCEPT SELECT DISTINCT album, stem_key FROM m WHERE role = 'derivative'")
+@query(
+    "D08_stack_value_sync",
+    _MEMBERS + ", u AS (SELECT album, stem_key, max(coalesce(o.rating, 0)) AS r, arg_min(o.color_label, o.id) FILTER (WHERE o.color_label <> 0) AS c FROM m JOIN photos o ON o.id = m.id GROUP BY 1, 2) SELECT m.id, u.r AS rating, coalesce(u.c, o.color_label) AS color_label FROM m JOIN u USING (album, stem_key) JOIN photos o ON o.id = m.id",
+)
+def stack_value_sync(c):
+    return pipelines.stack_value_sync(pipelines.stack_members(c.photos), c.photos)
+
+
+@query("U04_stale_stacks", _MEMBERS + "SELECT DISTINCT rtrim(left(album_path, length(album_path) - 4), '/') AS album, stem AS stem_key FROM (SELECT album_path, lower(regexp_replace(filename, '\\.[^.]*$', '')) AS stem FROM photos WHERE album_path LIKE '%/RAW') EXCEPT SELECT album, stem_key FROM raws")
 def stale_stacks(c):
-    members = pipelines.stack_members(c.photos)
-    old, seen = (members.filter(F.col("role") == r).select("album", "stem_key").distinct() for r in ("raw", "derivative"))
-    return old.join(seen, ["album", "stem_key"], "left_anti")
+    """Of the stacks of all files in RAW folders, trashed ones and pictures too, those without a RAW file that is active."""
+    from quarrymill.functions.scalars import raw_parent, stem
 
+    known = c.photos.select(raw_parent(F.col("album_path")).alias("album"), stem(F.col("filename")).alias("stem_key")).filter(F.col("album").isNotNull()).distinct()
+    return pipelines.stale_stacks(known, c.photos)
 
-@query("J13_D21_U03_raw_without_picture", f"WITH r AS (SELECT id, {_STEM} AS stem, replace(album_path, '/RAW', '') AS folder FROM photos WHERE filename LIKE '%.nef'), p AS (SELECT DISTINCT {_STEM} AS other, album_path AS folder FROM photos WHERE lower(filename) LIKE '%.jpg' OR lower(filename) LIKE '%.png') SELECT id, folder, stem FROM r WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.folder = r.folder AND contains(p.other, r.stem))")
+
+#: Half of the RAW files lie beside their RAW folder.
+_STRAY = "CASE WHEN id % 16 = 2 THEN replace(album_path, '/RAW', '') ELSE album_path END"
+
+
+def _strayed(c):
+    return c.photos.withColumn("album_path", F.when(F.col("id") % 16 == 2, F.regexp_replace("album_path", "/RAW$", "")).otherwise(F.col("album_path")))
+
+
+@query(
+    "J13_D21_U03_raw_without_picture",
+    f"WITH s AS (SELECT id, {_STEM} AS stem, {_EXT.format('filename')} AS ext, replace(album_path, '/RAW', '') AS folder FROM photos), r AS (SELECT id, stem, folder FROM s WHERE ext IN {_RAW}), p AS (SELECT DISTINCT stem AS other, folder FROM s WHERE ext IN {_PICTURE}) SELECT id, folder, stem FROM r WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.folder = r.folder AND contains(p.other, r.stem))",
+)
 def raw_without_picture(c):
     return pipelines.raw_without_picture(c.photos.withColumn("album_path", F.regexp_replace("album_path", "/RAW$", "")))
 
 
-@query("D22_raw_moves", "SELECT id, replace(album_path, '/RAW', '') AS album_path, replace(album_path, '/RAW', '') || '/RAW' AS new_path FROM photos WHERE filename LIKE '%.nef'")
+@query("D22_raw_moves", f"WITH s AS (SELECT id, filename, {_STRAY} AS album_path FROM photos) SELECT id, album_path, album_path || '/RAW' AS new_path FROM s WHERE {_EXT.format('filename')} IN {_RAW} AND NOT album_path LIKE '%/RAW'")
 def raw_moves(c):
-    return pipelines.raw_folder_moves(c.photos.withColumn("album_path", F.regexp_replace("album_path", "/RAW$", "")))
+    return pipelines.raw_folder_moves(_strayed(c))
+
 
+_PLACE = "CASE WHEN starts_with(filename, 'PXL_') AND length(filename) >= 12 THEN 'out/' || filename[5:8] || '/' || filename[9:10] WHEN taken_at IS NOT NULL THEN strftime(taken_at, 'out/%Y/%m') ELSE 'out' END"
 
-@query("D25_sorted_names", "SELECT id, media_type AS folder, CASE WHEN n = 1 THEN filename ELSE CAST(n - 1 AS VARCHAR) || '_' || filename END AS name FROM (SELECT *, row_number() OVER (PARTITION BY media_type, filename ORDER BY id) AS n FROM photos WHERE filename LIKE 'PXL%')")
+
+@query("D25_sorted_names", f"SELECT id, folder, CASE WHEN n = 1 THEN filename ELSE CAST(n - 2 AS VARCHAR) || '_' || filename END AS name FROM (SELECT id, filename, {_PLACE} AS folder, row_number() OVER (PARTITION BY filename, {_PLACE} ORDER BY id) AS n FROM photos)")
 def sorted_names(c):
-    return pipelines.sorted_names(c.photos.filter(F.col("filename").like("PXL%")), F.col("media_type"))
+    from quarrymill.functions.scalars import destination
+
+    return pipelines.sorted_names(c.photos, destination(F.col("filename"), F.col("taken_at"), "out"))
 
 
 @query("D14_M15_restored_tags", "WITH w AS (SELECT DISTINCT 'Places.' || replace(r_name, ' ', '_') || '.' || n_name || '.C' || CAST(c_nationkey % 4 AS VARCHAR) AS p FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), x AS (SELECT string_split('New.' || p, '.') AS s FROM w UNION SELECT string_split(p, '.') FROM w), e AS (SELECT DISTINCT array_to_string(s[1:k], '.') AS path, CASE WHEN k > 1 THEN array_to_string(s[1:k - 1], '.') END AS parent, s[k] AS name FROM (SELECT s, unnest(range(1, len(s) + 1)) AS k FROM x)) SELECT path, parent, name FROM e WHERE path NOT IN (SELECT path FROM tags)")

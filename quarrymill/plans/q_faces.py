@@ -170,23 +170,28 @@ def person_means(c):
     "D01_sweep_over_faces",
     f"""
 WITH conf AS (SELECT vec_id, label, embedding, photo_id FROM vectors WHERE status = 'confirmed'),
-pool AS (SELECT vec_id, embedding, photo_id FROM vectors WHERE status IN ('unconfirmed', 'suggested')),
+refs AS (SELECT vec_id, label, embedding FROM vectors WHERE status = 'confirmed' AND (best_match_score IS NULL OR best_match_score >= 0.2)),
+pool AS (SELECT vec_id, label, embedding, photo_id FROM vectors WHERE status IN ('unconfirmed', 'suggested') AND (det_score IS NULL OR det_score >= 0.2) AND w >= 25 AND h >= 27 AND (blur_score IS NULL OR blur_score >= 3)),
 ig AS (SELECT a.vec_id FROM pool a, vectors b WHERE b.status = 'ignored' AND a.vec_id <> b.vec_id GROUP BY 1 HAVING max({_DOT.format("a", "b")}) >= 0.335 - 0.005),
-nn AS (SELECT a.vec_id, b.label AS person, round({_DOT.format("a", "b")}, 12) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT.format("a", "b")}, 12) DESC, b.vec_id) AS r FROM pool a, conf b WHERE a.vec_id NOT IN (SELECT vec_id FROM ig)),
+nn AS (SELECT a.vec_id, b.label AS person, round({_DOT.format("a", "b")}, 12) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT.format("a", "b")}, 12) DESC, b.vec_id) AS r FROM pool a, refs b WHERE a.vec_id NOT IN (SELECT vec_id FROM ig)),
 v AS (SELECT vec_id, person, count(*) AS votes, max(score) AS score FROM nn WHERE r <= 15 GROUP BY 1, 2),
 b AS (SELECT *, coalesce(lead(score) OVER w, 0) AS runner_up, row_number() OVER w AS k FROM v WINDOW w AS (PARTITION BY vec_id ORDER BY score DESC, person)),
 o AS (SELECT label AS person, count(*) AS faces FROM conf GROUP BY 1),
-j AS (SELECT b.*, pool.photo_id, date_add(DATE '2000-01-01', INTERVAL (photo_id % 900) DAY) < DATE '2001-01-01' AND person % 3 = 0 AS early,
+j AS (SELECT b.*, pool.photo_id, pool.label AS before, date_add(DATE '2000-01-01', INTERVAL (photo_id % 900) DAY) < DATE '2001-01-01' AND person % 3 = 0 AS early,
  greatest(least(0.335, 0.25), 0.335 - least(1.0, greatest(0.0, (coalesce(faces, 0) - 20) / 280)) * 0.085) AS needed FROM b JOIN pool USING (vec_id) LEFT JOIN o USING (person) WHERE k = 1),
-d AS (SELECT *, CASE WHEN early THEN 'unconfirmed' WHEN CAST(format('{{:.2f}}', score) AS DOUBLE) >= needed AND votes >= 2 AND score - runner_up >= 0.01 THEN 'confirmed' WHEN score >= 0.2 THEN 'suggested' ELSE 'unconfirmed' END AS said FROM j),
-t AS (SELECT *, row_number() OVER (PARTITION BY photo_id, person, said ORDER BY score DESC, vec_id) AS turn FROM d)
-SELECT vec_id, person, round(score, 4) AS best, CASE WHEN said = 'confirmed' AND (turn > 1 OR EXISTS (SELECT 1 FROM conf WHERE conf.photo_id = t.photo_id AND conf.label = t.person)) THEN 'unconfirmed' ELSE said END AS decision FROM t
+d AS (SELECT *, CASE WHEN early THEN 'unchanged' WHEN CAST(format('{{:.2f}}', score) AS DOUBLE) >= needed AND votes >= 2 AND score - runner_up >= 0.01 THEN 'confirmed' WHEN score >= 0.2 THEN 'suggested' ELSE 'unchanged' END AS said FROM j),
+t AS (SELECT *, row_number() OVER (PARTITION BY photo_id, person, said ORDER BY score DESC, vec_id) AS turn FROM d),
+x AS (SELECT *, CASE WHEN said = 'confirmed' AND person % 4 <> 1 AND (turn > 1 OR EXISTS (SELECT 1 FROM conf WHERE conf.photo_id = t.photo_id AND conf.label = t.person)) THEN 'unconfirmed' ELSE said END AS decision FROM t)
+SELECT vec_id, CASE decision WHEN 'unchanged' THEN before WHEN 'unconfirmed' THEN NULL ELSE person END AS person, round(score, 4) AS best, decision FROM x
 UNION ALL SELECT vec_id, NULL, NULL, 'ignored' FROM ig""",
 )
 def sweep_over_faces(c):
-    """The pool of confirmed faces themselves, where no prototypes are there yet, with the guard of birth dates."""
+    """The pool of confirmed faces themselves, where no prototypes are there yet, with birth dates, quality gates and twins."""
+    from quarrymill.operators.filters import good_face, reference_face
+
     faces = c.vectors.withColumn("taken_at", F.date_add(F.lit("2000-01-01").cast("date"), (F.col("photo_id") % 900).cast("int")))
-    births = c.vectors.select(F.col("label").alias("person")).distinct().filter("person % 3 = 0").withColumn("born", F.lit("2001-01-01").cast("date"))
-    prototypes = c.vectors.filter("status = 'confirmed'").select("label", "vec_id", "embedding")
-    said = pipelines.sweep(faces, prototypes, 0.335, 0.01, 0.25, 0.2, births=births)
+    people = c.vectors.select(F.col("label").alias("person")).distinct()
+    births = people.filter("person % 3 = 0").withColumn("born", F.lit("2001-01-01").cast("date"))
+    prototypes = c.vectors.filter("status = 'confirmed'").select("label", "vec_id", "embedding", "best_match_score")
+    said = pipelines.sweep(faces, prototypes, 0.335, 0.01, 0.25, 0.2, births=births, gate=good_face(0.2, 0, 3) & (F.col("w") >= 25) & F.coalesce(F.col("h") >= 27, F.lit(False)), reference=reference_face(0.2), twins=people.filter("person % 4 = 1"))
     return said.select("vec_id", "person", F.col("best_match_score").alias("best"), "decision")

@@ -10,10 +10,21 @@ from quarrymill.operators import hierarchy
 from .base import query
 
 
-@query("X01_X02_X03_names", "SELECT id, lower(regexp_replace(filename, '\\.[^.]*$', '')) AS stem, lower(regexp_extract(filename, '\\.([^.]+)$', 1)) AS ext, CASE lower(regexp_extract(filename, '\\.([^.]+)$', 1)) WHEN 'nef' THEN 'raw' WHEN 'mp4' THEN 'video' WHEN 'jpg' THEN 'image' WHEN 'png' THEN 'image' END AS kind FROM photos")
+#: Extensions of all kinds, one of them for each id, to be classified.
+_EXTENSIONS = "nef cr2 cr3 arw orf raf rw2 dng pef srw x3f 3fr jpg jpeg png gif bmp tif tiff webp heic heif mp4 mov avi mkv m4v mts mpg mpeg wmv webm flv 3gp nrw raw txt".split()
+_LIST = "[" + ", ".join(f"'{e}'" for e in _EXTENSIONS) + "]"
+_KIND = "CASE WHEN list_position(ext_list, ext) BETWEEN 1 AND 12 THEN 'raw' WHEN list_position(ext_list, ext) BETWEEN 13 AND 22 THEN 'image' WHEN list_position(ext_list, ext) BETWEEN 23 AND 34 THEN 'video' END".replace("ext_list", _LIST)
+_MIME = "CASE ext WHEN 'jpg' THEN 'image/jpeg' WHEN 'png' THEN 'image/png' WHEN 'heic' THEN 'image/heic' WHEN 'm4v' THEN 'video/mp4' WHEN 'flv' THEN 'video/x-flv' WHEN 'mts' THEN 'video/mp2t' WHEN 'x3f' THEN 'image/x-sigma-x3f' WHEN '3fr' THEN 'image/x-hasselblad-3fr' WHEN 'nef' THEN 'image/x-nikon-nef' WHEN 'wmv' THEN 'video/x-ms-wmv' WHEN 'nrw' THEN 'application/octet-stream' WHEN 'txt' THEN 'application/octet-stream' WHEN '' THEN 'application/octet-stream' END"
+
+
+@query(
+    "X01_X02_X03_names",
+    f"WITH n AS (SELECT id, CASE WHEN id % 2 = 0 THEN filename ELSE 'f.' || upper({_LIST}[1 + id % {len(_EXTENSIONS)}]) END AS f FROM photos), e AS (SELECT id, lower(regexp_replace(f, '\\.[^.]*$', '')) AS stem, lower(regexp_extract(f, '\\.([^.]+)$', 1)) AS ext FROM n) SELECT id, stem, ext, {_KIND} AS kind, {_MIME} AS mime FROM e",
+)
 def names(c):
-    f = F.col("filename")
-    return c.photos.select("id", sc.stem(f).alias("stem"), sc.extension(f).alias("ext"), sc.media_kind(f).alias("kind"))
+    f = F.when(F.col("id") % 2 == 0, F.col("filename")).otherwise(F.concat(F.lit("f."), F.upper(F.get(F.array(*[F.lit(e) for e in _EXTENSIONS]), (F.col("id") % len(_EXTENSIONS)).cast("int")))))
+    asked = sc.extension(f).isin("jpg", "png", "heic", "m4v", "flv", "mts", "x3f", "3fr", "nef", "wmv", "nrw", "txt", "")
+    return c.photos.select("id", sc.stem(f).alias("stem"), sc.extension(f).alias("ext"), sc.media_kind(f).alias("kind"), F.when(asked, sc.mime(f)).alias("mime"))
 
 
 @query("X05_raw_parent", "SELECT DISTINCT album_path, CASE WHEN album_path IN ('RAW', '/RAW') THEN '/' WHEN album_path LIKE '%/RAW' THEN left(album_path, length(album_path) - 4) END AS parent FROM photos")
@@ -59,9 +70,9 @@ def inferred_date(c):
     return c.photos.select("id", date.alias("inferred"), rule.alias("rule"))
 
 
-@query("X18_D25_destination", "SELECT id, CASE WHEN regexp_matches(filename, '^PXL_[0-9]{8}') THEN filename[5:8] || '/' || filename[5:8] || '-' || filename[9:10] WHEN taken_at IS NOT NULL THEN strftime(taken_at, '%Y/%Y-%m') ELSE 'undated' END AS folder FROM photos")
+@query("X18_D25_destination", "SELECT id, CASE WHEN starts_with(filename, 'PXL_') AND length(filename) >= 12 THEN 'sorted/' || filename[5:8] || '/' || filename[9:10] WHEN taken_at IS NOT NULL THEN 'sorted/' || strftime(taken_at, '%Y/%m') ELSE 'sorted' END AS folder FROM photos")
 def destination(c):
-    return c.photos.select("id", sc.destination(F.col("filename"), F.col("taken_at")).alias("folder"))
+    return c.photos.select("id", sc.destination(F.col("filename"), F.col("taken_at"), "sorted").alias("folder"))
 
 
 @query("X16_X19_X20_D13_exif", "SELECT id, taken_at, latitude, NULL::DOUBLE AS longitude, file_size, CAST(rating AS INT) AS rating, CASE color_label WHEN 1 THEN 1 WHEN 2 THEN 7 WHEN 3 THEN 4 END AS color FROM photos")
@@ -85,15 +96,14 @@ def boxes(c):
     return c.faces.filter(h.isNotNull()).select("id", parts[0].alias("cx"), parts[1].alias("cy"), edges[0].alias("crop_left"), edges[2].alias("crop_right"))
 
 
-@query("X24_rects", "SELECT id, x AS rx, y AS ry, w AS rw, h AS rh FROM faces")
+@query("X24_rects", "SELECT id, CAST(x + 0.5 AS DOUBLE) AS rx, CAST(y AS DOUBLE) AS ry, CAST(w + 0.25 AS DOUBLE) AS rw, CAST(h AS DOUBLE) AS rh FROM faces WHERE h IS NOT NULL UNION ALL SELECT id, NULL, NULL, NULL, NULL FROM faces WHERE h IS NULL")
 def rects(c):
-    x, y, w, h = (F.col(k).cast("string") for k in "xywh")
-    xml = F.concat(F.lit('<rect x="'), x, F.lit('" y="'), y, F.lit('" width="'), w, F.lit('" height="'), h, F.lit('"/>'))
-    json = F.concat(F.lit('{"x": '), x, F.lit(', "y": '), y, F.lit(', "width": '), w, F.lit(', "height": '), h, F.lit("}"))
-    text = F.when(F.col("id") % 3 == 0, xml).when(F.col("id") % 3 == 1, json).otherwise(F.concat_ws(" ", x, y, w, h))
-    kept = c.faces.withColumn("text", F.when(F.col("h").isNotNull(), text))
-    got = sc.rect(F.col("text"))
-    return kept.select("id", *[F.when(F.col("h").isNotNull(), g).otherwise(F.col(k)).alias(f"r{k}") for k, g in zip("xywh", got, strict=True)])
+    x, y, w, h = (F.concat(F.col(k).cast("string"), F.lit(more)) for k, more in zip("xywh", (".5", "", ".25", ".0"), strict=True))
+    xml = F.concat(F.lit('<rect x="'), x, F.lit('" y="'), y, F.lit('"  width="'), w, F.lit('" height="'), h, F.lit('"/>'))
+    json = F.concat(F.lit('{"width": '), w, F.lit(', "y": '), y, F.lit(', "x": '), x, F.lit(', "height": '), h, F.lit("}"))
+    text = F.when(F.col("id") % 3 == 0, xml).when(F.col("id") % 3 == 1, json).otherwise(F.concat_ws("  ", x, y, w, h, F.lit("more")))
+    kept = c.faces.withColumn("text", F.when(F.col("h").isNotNull(), text).otherwise("1 2 3"))
+    return kept.select("id", *[g.alias(f"r{k}") for k, g in zip("xywh", sc.rect(F.col("text")), strict=True)])
 
 
 @query("X27_folder_tier", "SELECT id, CASE WHEN folder = 'AB_TO_SORT' OR starts_with(folder, 'AB_TO_SORT/') THEN 0 WHEN folder = 'Ordered by Dates' OR starts_with(folder, 'Ordered by Dates/') THEN 1 ELSE 2 END AS tier FROM copies")
@@ -122,9 +132,20 @@ def adaptive(c):
     return counts.select("label", "n", sc.adaptive_threshold(0.77, 0.72, F.col("n")).alias("threshold"))
 
 
-@query("X37_human", "SELECT id, CASE WHEN file_size < 1024 THEN format('{} B', file_size) WHEN file_size < 1048576 THEN format('{:.1f} KB', round(file_size / 1024.0, 1)) ELSE format('{:.1f} MB', round(file_size / 1048576.0, 1)) END AS size, format('{}:{:02d}', rating * 100 // 60, rating * 100 % 60) AS duration FROM photos")
+@query(
+    "X37_human",
+    """
+WITH v AS (SELECT id, rating, file_size * CASE id % 4 WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 ELSE 1073741824 END // CASE WHEN id % 5 = 0 THEN 100000 ELSE 1 END AS b, CASE WHEN rating < 3 THEN CAST(rating AS DOUBLE) / 250 ELSE rating - 2.5 + (id % 2) * 0.5 END AS s, 1 + (id % 60) / 10.0 AS a FROM photos)
+SELECT id, CASE WHEN b < 1024 THEN format('{} B', b) WHEN b < 1048576 THEN format('{:.1f} KB', round(b / 1024.0, 1)) WHEN b < 1073741824 THEN format('{:.1f} MB', round(b / 1048576.0, 1)) WHEN b < 1099511627776 THEN format('{:.1f} GB', round(b / 1073741824.0, 1)) ELSE format('{:.1f} TB', round(b / 1099511627776.0, 1)) END AS size,
+format('{}:{:02d}', rating * 100 // 60, rating * 100 % 60) AS duration,
+CASE WHEN s <= 0 THEN '—' WHEN s >= 1 THEN CASE WHEN s = floor(s) THEN CAST(CAST(s AS BIGINT) AS VARCHAR) ELSE format('{:.1f}', s) END || 's' ELSE '1/' || CAST(CAST(floor(1 / s + 0.5) AS BIGINT) AS VARCHAR) END AS shutter,
+'f/' || CASE WHEN a = floor(a) THEN CAST(CAST(a AS BIGINT) AS VARCHAR) ELSE format('{:.1f}', CAST(a AS DOUBLE)) END AS aperture FROM v""",
+)
 def human(c):
-    return c.photos.select("id", sc.human_bytes(F.col("file_size")).alias("size"), sc.human_duration(F.col("rating") * 100).alias("duration"))
+    scale = F.when(F.col("id") % 4 == 0, 1).when(F.col("id") % 4 == 1, 1024).when(F.col("id") % 4 == 2, 1048576).otherwise(1073741824).cast("long")
+    size = F.floor(F.col("file_size") * scale / F.when(F.col("id") % 5 == 0, 100000).otherwise(1)).cast("long")
+    shutter = F.when(F.col("rating") < 3, F.col("rating").cast("double") / 250).otherwise(F.col("rating") - 2.5 + (F.col("id") % 2) * 0.5)
+    return c.photos.select("id", sc.human_bytes(size).alias("size"), sc.human_duration(F.col("rating") * 100).alias("duration"), sc.human_shutter(shutter).alias("shutter"), sc.human_aperture(1 + F.col("id") % 60 / 10.0).alias("aperture"))
 
 
 @query("X36_X39_twins", "SELECT id, contains(name, '- TWINS') AS twins, '/library/' || path || '/' || name AS disk_path FROM tags")
@@ -132,11 +153,17 @@ def twins(c):
     return c.tags.select("id", F.contains("name", F.lit("- TWINS")).alias("twins"), F.concat_ws("/", F.lit("/library"), "path", "name").alias("disk_path"))
 
 
-@query("X41_S14_guessed_level", "SELECT level_name, count(*) AS n FROM (SELECT CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'WARNING' ELSE 'INFO' END AS level_name FROM events WHERE event_type <> 'signup') GROUP BY 1")
+@query(
+    "X41_S14_guessed_level",
+    "SELECT level_name, count(*) AS n FROM (SELECT CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'WARNING' ELSE CASE event_id % 4 WHEN 0 THEN 'INFO' WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'DEBUG' ELSE 'INFO' END END AS level_name FROM events WHERE event_type <> 'signup') GROUP BY 1",
+)
 def guessed(c):
+    """CRITICAL is no level word; FATAL is."""
     from quarrymill.streaming.logs import stderr_records
 
-    line = F.concat_ws(" ", F.lit("[x]"), F.when(F.col("event_type") == "view", "Warn:").otherwise(F.col("event_type")), F.lit("at"), F.col("user_id"))
+    k, by = F.col("event_id") % 4, F.col("event_type")
+    word = F.when(by == "view", "Warn:").when(by.isin("error", "signup"), by).otherwise(F.when(k == 0, "CRITICAL").when(k == 1, "critical and Fatal").when(k == 2, "[debug] error").otherwise("errors"))
+    line = F.concat_ws(" ", F.lit("[x]"), word, F.lit("at"), F.col("user_id"))
     return stderr_records(c.table("events").select(line.alias("value"), "ts"), "signup").groupBy("level_name").agg(F.count("*").alias("n"))
 
 

@@ -92,14 +92,14 @@ def timeline(c):
     return ag.timeline(fl.active(c.photos))
 
 
-@query("A05_A07_A08_duplicate_stats", "SELECT (SELECT count(*) FROM photos) AS n_rows, (SELECT count(sha256) FROM photos) AS n_hashed, count(*) AS n_groups, CAST(coalesce(sum((n - 1) * s), 0) AS BIGINT) AS wasted FROM (SELECT sha256, count(*) AS n, max(file_size) AS s FROM photos WHERE sha256 IS NOT NULL GROUP BY 1 HAVING count(*) > 1)")
+@query("A05_A07_A08_duplicate_stats", "SELECT (SELECT count(*) FROM photos WHERE status = 1) AS n_rows, (SELECT count(sha256) FROM photos WHERE status = 1) AS n_hashed, count(*) AS n_groups, CAST(coalesce(sum((n - 1) * s), 0) AS BIGINT) AS wasted FROM (SELECT sha256, count(*) AS n, max(file_size) AS s FROM photos WHERE sha256 IS NOT NULL AND status = 1 GROUP BY 1 HAVING count(*) > 1)")
 def duplicate_stats(c):
-    return ag.duplicate_stats(c.photos, "sha256", "file_size")
+    return ag.duplicate_stats(fl.active(c.photos), "sha256", "file_size")
 
 
-@query("A06_duplicate_groups", "SELECT sha256, count(*) AS copies, max(file_size) AS largest, (count(*) - 1) * max(file_size) AS wasted FROM photos WHERE sha256 IS NOT NULL GROUP BY sha256 HAVING count(*) >= 12")
+@query("A06_duplicate_groups", "SELECT sha256, count(*) AS copies, max(file_size) AS largest, (count(*) - 1) * max(file_size) AS wasted FROM photos WHERE sha256 IS NOT NULL AND status = 1 GROUP BY sha256 HAVING count(*) >= 12")
 def duplicate_groups(c):
-    return ag.duplicate_groups(c.photos, "sha256", "file_size", 12)
+    return ag.duplicate_groups(fl.active(c.photos), "sha256", "file_size", 12)
 
 
 @query("A06_duplicate_documents", "SELECT sha256(content) AS sha256, count(*) AS copies, max(size) AS largest, (count(*) - 1) * max(size) AS wasted FROM copies GROUP BY 1 HAVING count(*) >= 2")

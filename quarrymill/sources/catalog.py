@@ -19,8 +19,8 @@ _KEY = "CAST(o_orderkey AS STRING)"
 VIEWS: dict[str, str] = {
     "photos": f"""
 SELECT o_orderkey AS id,
-       CASE o_orderkey % 8 WHEN 0 THEN 'IMG_' || {_YMD.format("")} || '_' || {_KEY} || '.jpg' WHEN 1 THEN 'scan ' || {_YMD.format("-")} || '.jpg' WHEN 2 THEN '_dsc' || {_KEY} || '.nef'
-            WHEN 3 THEN '_dsc' || CAST(o_orderkey - 1 AS STRING) || '.jpg' WHEN 4 THEN '_dsc' || CAST(o_orderkey - 2 AS STRING) || '-edit.jpg' WHEN 5 THEN 'PXL_' || {_YMD.format("")} || '.mp4'
+       CASE o_orderkey % 8 WHEN 0 THEN 'IMG_' || {_YMD.format("")} || '_' || {_KEY} || '.jpg' WHEN 1 THEN 'scan ' || {_YMD.format("-")} || '.jpg' WHEN 2 THEN '_dsc' || {_KEY} || CASE o_orderkey % 5 WHEN 0 THEN '.X3F' WHEN 1 THEN '.cr3' WHEN 2 THEN '.jpg' ELSE '.nef' END
+            WHEN 3 THEN '_dsc' || CAST(o_orderkey - 1 AS STRING) || '.jpg' WHEN 4 THEN '_dsc' || CAST(o_orderkey - 2 AS STRING) || '-edit.jpg' WHEN 5 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'clip' || {_KEY} || '.flv' ELSE 'PXL_' || {_YMD.format("")} || CASE WHEN o_orderkey % 3 = 1 THEN '.mp4' ELSE '.WMV' END END
             WHEN 6 THEN 'Holiday (' || {_KEY} || ').PNG' ELSE 'noname' END AS filename,
        CASE WHEN o_orderkey % 8 = 2 THEN 'Trip/' || CAST(o_custkey % 3 AS STRING) || '/RAW' WHEN o_orderkey % 8 IN (3, 4) THEN 'Trip/' || CAST(o_custkey % 3 AS STRING) WHEN o_custkey % 4 = 0 THEN 'AB_TO_SORT/' || {_YEAR}
             WHEN o_custkey % 4 = 1 THEN 'Ordered by Dates/' || {_YEAR} || '/' || {_YEAR} || '-' || {_MONTH} WHEN o_custkey % 4 = 2 THEN 'Ordered by Dates/' || {_YEAR} ELSE 'Events/' || substring(o_orderpriority, 3, 20) END AS album_path,
@@ -67,7 +67,8 @@ FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
     "lenses": "SELECT CAST(p_partkey AS INT) AS id, p_type AS make, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_name END AS model FROM {part} WHERE p_partkey < 13",
     "vectors": """
 SELECT vec_id, embedding, label, CASE WHEN vec_id % 10 < 5 THEN 'confirmed' WHEN vec_id % 10 = 5 THEN 'ignored' WHEN vec_id % 10 = 6 THEN 'suggested' ELSE 'unconfirmed' END AS status,
-       vec_id % 97 AS photo_id FROM {embeddings}""",
+       vec_id % 97 AS photo_id, CASE WHEN vec_id % 13 = 0 THEN NULL ELSE CAST(vec_id % 10 AS DOUBLE) / 10 + 0.05 END AS det_score, CAST(20 + vec_id % 61 AS INT) AS w, CASE WHEN vec_id % 31 = 0 THEN NULL ELSE CAST(25 + vec_id % 47 AS INT) END AS h,
+       CASE WHEN vec_id % 17 = 0 THEN NULL ELSE CAST(vec_id % 29 AS DOUBLE) END AS blur_score, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE CAST(vec_id % 7 AS DOUBLE) / 7 END AS best_match_score FROM {embeddings}""",
     "app_logs": """
 SELECT event_id AS id, ts, CASE event_type WHEN 'error' THEN 40 WHEN 'purchase' THEN 30 WHEN 'signup' THEN 20 ELSE 10 END AS level,
        CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARNING' WHEN 'signup' THEN 'INFO' ELSE 'DEBUG' END AS level_name,

@@ -81,11 +81,23 @@ def test_gps_number(spark, text, value):
     assert one(spark, sc.gps_number(F.lit(text))) == value
 
 
-@pytest.mark.parametrize(("text", "want"), [('<rect x="1" y="2" width="3" height="4"/>', [1, 2, 3, 4]), ('{"x": 1, "y": 2, "width": 3, "height": 4}', [1, 2, 3, 4]), ("1 2 3 4", [1, 2, 3, 4]), ("abc", [None] * 4)])
+@pytest.mark.parametrize(("text", "want"), [('<rect x="1" y="2" width="3" height="4"/>', [1, 2, 3, 4]), ('{"x": 1, "y": 2, "width": 3, "height": 4}', [1, 2, 3, 4]), ("1 2 3 4", [1, 2, 3, 4]), ("abc", [None] * 4), ('{"x": 100.5, "y": "2.25", "width": 3, "height": 4}', [100.5, 2.25, 3, 4]), ("1.5 2 3 4 5", [1.5, 2, 3, 4]), ('<rect x="1.5" y="2" width="a" height="4"/>', [None] * 4), ('{"x": 1, "y": 2}', [None] * 4), ("1 2 3", [None] * 4)])
 def test_rect(spark, text, want):
     assert [one(spark, c) for c in sc.rect(F.lit(text))] == want
 
 
+def test_media_types_levels_and_numbers(spark):
+    assert [one(spark, sc.mime(F.lit(n))) for n in ("a.JPG", "b.x3f", "c.flv", "d.nrw", "e")] == ["image/jpeg", "image/x-sigma-x3f", "video/x-flv", "application/octet-stream", "application/octet-stream"]
+    assert [one(spark, sc.media_kind(F.lit(n))) for n in ("a.JPG", "b.x3f", "c.flv", "d.nrw", "e.raw")] == ["image", "raw", "video", None, None]
+    assert set(sc.MIME) == {*sc.RAW, *sc.PICTURE, *sc.VIDEO}
+    assert [one(spark, sc.guessed_level(F.lit(n))) for n in ("CRITICAL failure", "fatal: x", "Warn: y", "a debug error", "errors")] == ["INFO", "CRITICAL", "WARNING", "DEBUG", "INFO"]
+    assert [one(spark, sc.human_shutter(F.lit(x))) for x in ("0.004", "2", "2.5", "0", "x")] == ["1/250", "2s", "2.5s", "—", "—"]
+    assert [one(spark, sc.human_aperture(F.lit(x))) for x in ("2.8", "4", "x")] == ["f/2.8", "f/4", "—"]
+    assert [one(spark, sc.human_bytes(F.lit(n).cast("long"))) for n in (1023, 1024, 5 * 1024**3, 2**51)] == ["1023 B", "1.0 KB", "5.0 GB", "2048.0 TB"]
+    when = F.lit("2021-03-04").cast("timestamp_ntz")
+    assert [one(spark, sc.destination(F.lit(n), t, "out")) for n, t in (("PXL_20240102.mp4", when), ("PXL_2024.mp4", when), ("a.mp4", when), ("a.mp4", F.lit(None).cast("timestamp_ntz")))] == ["out/2024/01", "out/2024/.m", "out/2021/03", "out"]
+
+
 def test_thresholds_and_adaptive(spark):
     assert [sc.thresholds(s) for s in (0, 0.65, 1)] == [(0.9, 0.08, 0.85), (0.77, 0.0475, 0.72), (0.7, 0.03, 0.65)]
     assert [round(one(spark, sc.adaptive_threshold(0.77, 0.72, F.lit(n))), 6) for n in (19, 20, 300, 1000)] == [0.77, 0.77, 0.72, 0.72]
@@ -145,19 +157,49 @@ def rows_first(df):
 
 
 def test_stacks(spark):
-    rows = [(1, "_DSC95.nef", "a/RAW", 0, 5), (2, "_dsc95.jpg", "a", 3, 10), (3, "_dsc95-edit.jpg", "a", 3, 20), (4, "_dsc950.jpg", "a", 5, 99), (5, "lone.nef", "RAW", 0, 1)]
-    photos = spark.createDataFrame([(*r, "image") for r in rows], "id long, filename string, album_path string, rating int, file_size long, media_type string")
+    rows = [(1, "_DSC95.nef", "a/RAW", 0, 5, 1), (2, "_dsc95.jpg", "a", 3, 10, 1), (3, "_dsc95-edit.jpg", "a", 3, 20, 1), (4, "_dsc950.jpg", "a", 5, 99, 1), (5, "lone.X3F", "RAW", 0, 1, 1), (6, "lone_1.png", "/", 1, 1, 1)]
+    rows += [(7, "_dsc95.jpg", "a/RAW", 5, 99, 1), (8, "_dsc95_b.jpg", "a", 5, 999, 0), (9, "gone.nef", "a/RAW", 0, 1, 0), (10, "beside.nef", "a", 0, 1, 1), (11, "_dsc95 b.cr3", "a", 5, 999, 1)]
+    photos = spark.createDataFrame(rows, "id long, filename string, album_path string, rating int, file_size long, status int")
     got = {(r["album"], r["stem_key"]): (r["cover_id"], r["members"]) for r in pipelines.stacks(photos).collect()}
-    assert got == {("a", "_dsc95"): (3, 3), ("/", "lone"): (5, 1)}
+    assert got == {("a", "_dsc95"): (3, 3), ("/", "lone"): (6, 2)}
+    known = spark.createDataFrame([("a", "_dsc95"), ("a", "gone"), ("b", "x")], "album string, stem_key string")
+    assert {tuple(r) for r in pipelines.stale_stacks(known, photos).collect()} == {("a", "gone"), ("b", "x")}
+
+
+DEDUP = "id long, sha256 string, album_path string, file_size long, stack_id long, status int, imported_at int, rating int, color_label int, title string, caption string"
 
 
 def test_dedup_plan_never_deletes_all_copies(spark):
-    rows = [(1, "h", "AB_TO_SORT/x", None), (2, "h", "Trip", None), (3, "h", "AB_TO_SORT/y", 7), (4, "g", "Trip", None), (5, "g", "Other", None), (6, "k", "AB_TO_SORT/z", None), (7, "k", "Trip", None)]
-    photos = spark.createDataFrame([(i, s, p, 10, st) for i, s, p, st in rows], "id long, sha256 string, album_path string, file_size long, stack_id long")
+    rows = [(1, "h", "AB_TO_SORT/x", None, 1), (2, "h", "Trip", None, 1), (3, "h", "AB_TO_SORT/y", 7, 1), (4, "g", "Trip", None, 1), (5, "g", "Other", None, 1), (6, "k", "AB_TO_SORT/z", None, 1), (7, "k", "Trip", None, 1), (8, "t", "Trip", None, 0), (9, "t", "AB_TO_SORT/q", None, 1), (10, "t", "Ordered by Dates/q", None, 1)]
+    photos = spark.createDataFrame([(i, s, p, 10, st, live, i, 0, None, None, None) for i, s, p, st, live in rows], DEDUP)
     faces = spark.createDataFrame([(6, "confirmed")], "photo_id long, status string")
     got = {r["id"]: (r["action"], r["reason"]) for r in pipelines.dedup_plan(photos, faces).collect()}
     assert got[1] == ("delete", None) and got[2] == ("keep", None) and got[3] == ("skip", "in_stack")
-    assert got[6][0] == "skip" and 4 not in got and 5 not in got
+    assert got[6] == ("skip", "only_copy_with_faces") and not {4, 5, 7, 8} & got.keys()
+    assert got[9] == ("delete", None) and got[10] == ("keep", None)
+
+
+def test_no_group_of_the_catalog_loses_its_last_live_copy(spark):
+    from quarrymill.sources.catalog import Catalog
+
+    c = Catalog(spark, DATA)
+    plan = pipelines.dedup_plan(c.photos, c.faces)
+    after, _ = pipelines.dedup_apply(c.photos, c.photo_tags, plan)
+    live = lambda photos: {r["sha256"] for r in photos.filter("status = 1 AND sha256 IS NOT NULL").select("sha256").distinct().collect()}
+    assert live(after) == live(c.photos) and after.count() == c.photos.count()
+    assert plan.join(c.photos.filter("status = 0").select("id"), "id").count() == 0
+    assert c.photos.filter("status = 1").count() - after.filter("status = 1").count() == plan.filter("action = 'delete'").count() > 0
+
+
+def test_dedup_apply_merges_values_and_tags(spark):
+    rows = [(1, "h", "Trip", 1, None, 1, 5, 2, 0, "", None), (2, "h", "Trip", 1, None, 1, 4, 1, None, None, "kept"), (3, "h", "AB_TO_SORT", 1, None, 1, 1, 5, 7, "late", "x"), (4, "h", "AB_TO_SORT/a", 1, None, 1, 0, 0, 3, "early", None), (5, "h", "AB_TO_SORT/b", 1, 9, 1, 0, 4, 4, "stacked", None), (6, None, "Trip", 1, None, 1, 0, 3, 1, "own", None)]
+    photos = spark.createDataFrame(rows, DEDUP)
+    tags = spark.createDataFrame([(1, 10), (3, 11), (4, 11), (5, 12), (6, 13)], "photo_id long, tag_id int")
+    plan = pipelines.dedup_plan(photos, spark.createDataFrame([], "photo_id long, status string"))
+    after, given = pipelines.dedup_apply(photos, tags, plan)
+    got = {r["id"]: (r["status"], r["rating"], r["color_label"], r["title"], r["caption"]) for r in after.collect()}
+    assert got[1] == got[2] == (1, 5, 3, "early", "kept") and got[3][0] == got[4][0] == 0 and got[5] == (1, 4, 4, "stacked", None) and got[6] == (1, 3, 1, "own", None)
+    assert {tuple(r) for r in given.collect()} == {(1, 10), (1, 11), (2, 10), (2, 11), (3, 11), (4, 11), (5, 12), (6, 13)} and given.count() == 8
 
 
 def test_components_do_not_depend_on_edge_order(spark):
@@ -211,9 +253,9 @@ def test_prototypes_are_a_fixed_point(spark):
             assert np.allclose(mean / np.linalg.norm(mean), centres[c], atol=1e-9)
 
 
-def plain_sweep(faces, prototypes, threshold, margin, floor, suggest):
+def plain_sweep(faces, prototypes, threshold, margin, floor, suggest, gate=lambda f: True, twins=(), early=lambda f, person: False):
     """vec_id -> person, decision: the rules of the sweep, face by face."""
-    pool = [f for f in faces if f["status"] in ("unconfirmed", "suggested")]
+    pool = [f for f in faces if f["status"] in ("unconfirmed", "suggested") and gate(f)]
     ignored = [np.array(f["embedding"], float) for f in faces if f["status"] == "ignored"]
     owned, taken, out, sure = Counter(f["label"] for f in faces if f["status"] == "confirmed"), {(f["photo_id"], f["label"]) for f in faces if f["status"] == "confirmed"}, {}, []
     for f in pool:
@@ -231,15 +273,28 @@ def plain_sweep(faces, prototypes, threshold, margin, floor, suggest):
         second = -ranked[1][0] if len(ranked) > 1 else 0
         share = min(1, max(0, (owned[person] - 20) / 280))
         needed = max(min(threshold, floor), threshold - share * max(0, threshold - floor))
-        if round(score, 2) >= needed and n >= 2 and score - second >= margin:
+        if early(f, person):
+            out[f["vec_id"]] = f["label"], "unchanged"
+        elif round(score, 2) >= needed and n >= 2 and score - second >= margin:
             sure.append((-score, f["vec_id"], f["photo_id"], person))
-        out[f["vec_id"]] = person, "suggested" if score >= suggest and (not sure or sure[-1][1] != f["vec_id"]) else "unconfirmed"
+        elif score >= suggest:
+            out[f["vec_id"]] = person, "suggested"
+        else:
+            out[f["vec_id"]] = f["label"], "unchanged"
     for _, vec_id, photo_id, person in sorted(sure):
-        out[vec_id] = person, "unconfirmed" if (photo_id, person) in taken else "confirmed"
+        free = person in twins or (photo_id, person) not in taken
+        out[vec_id] = (person, "confirmed") if free else (None, "unconfirmed")
         taken.add((photo_id, person))
     return out
 
 
+def plain_swept(rows, said):
+    for f in rows:
+        person, decision = said.get(f["vec_id"], (None, "unchanged"))
+        if decision != "unchanged":
+            f["label"], f["status"] = person, decision
+
+
 def test_sweeps_are_those_of_the_plain_rules(spark):
     from quarrymill.plans.registry import QUERIES
     from quarrymill.sources.catalog import Catalog
@@ -253,15 +308,31 @@ def test_sweeps_are_those_of_the_plain_rules(spark):
     assert got == plain_sweep(rows, prototypes(rows), *limits, 0.2)
     for _ in range(10):
         said = plain_sweep(rows, prototypes(rows), *limits, 0.5)
-        for f in rows:
-            if f["vec_id"] in said:
-                person, f["status"] = said[f["vec_id"]]
-                f["label"] = person if f["status"] == "confirmed" else f["label"]
+        plain_swept(rows, said)
         if not any(d == "confirmed" for _, d in said.values()):
             break
     assert {r["status"]: r["n"] for r in QUERIES["D02_sweeps"](spark, DATA).collect()} == Counter(f["status"] for f in rows)
 
 
+def test_sweep_gates_twins_and_unchanged_faces(spark):
+    """Two faces of one person in a photo, a low one and one before a birth; with and without the rules' switches."""
+    near = lambda *v: [float(x) for x in np.array([*v, 0, 0, 0, 0][:4]) / np.linalg.norm(v)]
+    rows = [(1, near(1), 7, "confirmed", 10), (2, near(1, 0.01), 7, "confirmed", 11), (3, near(1, 0.02), 7, "confirmed", 12), (4, near(0, 0, 1), 8, "ignored", 13)]
+    rows += [(20, near(1, 0.03), None, "unconfirmed", 20), (21, near(1, 0.04), 9, "suggested", 20), (22, near(1, 1.6), 5, "suggested", 21), (23, near(0, 0.1, 1), 5, "suggested", 22), (24, near(1, 0.1), 5, "suggested", 23), (25, near(1, 0.2), 5, "suggested", 10), (26, near(1, 0.2), 5, "suggested", 30)]
+    faces = spark.createDataFrame([(*r, "1999-01-01" if r[0] == 24 else "2020-01-01", 0.1 if r[0] == 26 else 0.9) for r in rows], "vec_id long, embedding array<double>, label int, status string, photo_id long, taken_at string, det_score double").withColumn("taken_at", F.to_date("taken_at"))
+    prototypes = faces.filter("status = 'confirmed'").select("vec_id", "label", "embedding")
+    births = spark.createDataFrame([(7,)], "person int").withColumn("born", F.to_date(F.lit("2010-01-01")))
+    gate = F.col("det_score") >= 0.5
+    said = pipelines.sweep(faces, prototypes, 0.8, 0.1, 0.7, 0.6, births=births, gate=gate)
+    got = {r["vec_id"]: (r["person"], r["decision"]) for r in said.collect()}
+    assert got == {20: (7, "confirmed"), 21: (None, "unconfirmed"), 22: (5, "unchanged"), 23: (None, "ignored"), 24: (5, "unchanged"), 25: (None, "unconfirmed")}
+    after = {r["vec_id"]: (r["label"], r["status"]) for r in pipelines.swept(faces, said).collect()}
+    assert after[22] == (5, "suggested") and after[24] == (5, "suggested") and after[26] == (5, "suggested") and after[23] == (None, "ignored") and after[21] == (None, "unconfirmed")
+    twins = spark.createDataFrame([(7,)], "person int")
+    got = {r["vec_id"]: (r["person"], r["decision"]) for r in pipelines.sweep(faces, prototypes, 0.8, 0.1, 0.7, 0.6, twins=twins).collect()}
+    assert got[20] == got[21] == got[24] == got[25] == got[26] == (7, "confirmed")
+
+
 def test_rounding_is_that_of_binary_floats(spark):
     rng = np.random.default_rng(5)
     values = [0.685, 0.675, 0.145, 0.125, 0.375, 2.5, -0.685, -0.125, 0.0, 1e-9, 123456.785] + [float(x) for x in rng.integers(0, 10**5, 3000) / 1000] + [float(x) for x in rng.normal(size=500)]
