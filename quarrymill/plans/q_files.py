@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrymill.operators.lineage import fresh_path
+from quarrymill.operators.lineage import drop_path, fresh_path
 from quarrymill.sources import files
 from quarrymill.streaming import logs
 
@@ -112,7 +112,7 @@ def batches(c):
     events.repartition(4).write.parquet(source)
     least = events.agg(F.min("event_type")).first()[0]
     stream = logs.read_log_files(c.spark, source, events.schema, most_files=2)
-    logs.for_each_batch(stream, lambda batch, n: batch.filter(F.col("event_type") == least).select("event_id").write.parquet(f"{out}/batch={n}"), fresh_path(c.spark, "marks")).awaitTermination()
+    logs.for_each_batch(stream, lambda batch, n: batch.filter(F.col("event_type") == least).select("event_id").write.mode("overwrite").parquet(f"{out}/batch={n}"), fresh_path(c.spark, "marks")).awaitTermination()
     return c.spark.read.parquet(out).select("event_id")
 
 
@@ -142,3 +142,91 @@ def counters(c):
     done = logs.for_each_batch(logs.read_log_files(c.spark, source, events.schema), lambda batch, n: batch.write.format("noop").mode("append").save(), fresh_path(c.spark, "marks"))
     done.awaitTermination()
     return files.values(c.spark, [(int(logs.counters(done)["rows"]),)], "records long")
+
+
+def _slices(rows, n=3):
+    """Rows (ts) in n stretches of time."""
+    edge = rows.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi")).first()
+    at = F.floor((F.unix_micros("ts") - edge["lo"]) * n / (edge["hi"] - edge["lo"] + 1)) if edge["lo"] is not None else F.lit(0)
+    return [rows.filter(at == k) for k in range(n)]
+
+
+@query(
+    "T02_T07_open_rows",
+    """
+WITH k AS (SELECT f AS fingerprint, ts, level FROM (SELECT sha1(CAST(level AS VARCHAR) || '|' || logger_name || '|' || left(trim(regexp_replace(regexp_replace(message, '\\b\\d+(?:\\.\\d+)?\\b', 'N', 'g'), '/[^\\s]+', 'PATH', 'g')), 512)) AS f, ts, level FROM app_logs)),
+s AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY fingerprint ORDER BY ts) + INTERVAL 600 SECOND THEN 1 ELSE 0 END AS starts FROM k),
+n AS (SELECT *, sum(starts) OVER (PARTITION BY fingerprint ORDER BY ts ROWS UNBOUNDED PRECEDING) AS part FROM s)
+SELECT fingerprint, count(*) AS occurrences, min(ts) AS first_seen, max(ts) AS last_seen, max(level) AS level FROM n GROUP BY fingerprint, part""",
+)
+def open_rows(c):
+    """The sink's table after a stream that was stopped and started again twice."""
+    from quarrymill.streaming import sink
+
+    source, marks = fresh_path(c.spark, "logs"), fresh_path(c.spark, "marks")
+    table = sink.new_table(c.spark, fresh_path(c.spark, "sink"), 8)
+    rows = c.app_logs.select(F.col("ts").cast("timestamp").alias("ts"), "level", "logger_name", "message")
+    for part in _slices(rows):
+        part.write.mode("append").parquet(source)
+        stream = logs.read_log_files(c.spark, source, rows.schema, most_files=1_000_000)
+        sink.write_open_rows(stream, table, marks, gap_seconds=600, once=True).awaitTermination()
+    table.vacuum()
+    drop_path(c.spark, source)
+    return table.read().select("fingerprint", "occurrences", F.col("first_seen_at").cast("timestamp_ntz").alias("first_seen"), F.col("last_seen_at").cast("timestamp_ntz").alias("last_seen"), "level")
+
+
+@query(
+    "S14_T06_T07_captured_lines",
+    """
+WITH l AS (SELECT CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN '  ' WHEN 2 THEN 'warn: tag 40094 of ' || event_type ELSE event_type || ' at ' || CAST(user_id AS VARCHAR) END AS v FROM events),
+k AS (SELECT v, trim(v) = '' AS blank, contains(v, 'tag 40094') AS stopped FROM l)
+SELECT 'read' AS what, count(*) AS n FROM k UNION ALL SELECT 'blank', count(*) FROM k WHERE blank UNION ALL SELECT 'blocked', count(*) FROM k WHERE stopped UNION ALL SELECT 'queued', count(*) FROM k WHERE NOT blank AND NOT stopped
+UNION ALL SELECT CASE WHEN starts_with(v, 'error') THEN 'ERROR' ELSE 'INFO' END, count(*) FROM k WHERE NOT blank AND NOT stopped GROUP BY 1""",
+)
+def captured_lines(c):
+    """Lines that come in two steps, read once each; what was counted on the way, and what was stored."""
+    from quarrymill.sources.growing import growing_lines
+
+    folder, out, marks = (fresh_path(c.spark, n) for n in ("lines", "captured", "marks"))
+    e = c.table("events")
+    line = F.when(F.col("event_id") % 7 == 0, "").when(F.col("event_id") % 7 == 1, "  ").when(F.col("event_id") % 7 == 2, F.concat(F.lit("warn: tag 40094 of "), "event_type")).otherwise(F.concat_ws(" ", "event_type", F.lit("at"), F.col("user_id").cast("string")))
+    found: dict[str, int] = {}
+    for k in (0, 1):
+        e.filter(F.col("event_id") % 2 == k).select(line.alias("value")).write.mode("append").text(folder)
+        done = logs.captured(growing_lines(c.spark, folder, ".txt")).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
+        done.awaitTermination()
+        for name, n in logs.observed(done).items():
+            found[name] = found.get(name, 0) + n
+    drop_path(c.spark, folder)
+    stored = c.spark.read.parquet(out).groupBy(F.col("level_name").alias("what")).agg(F.count("*").alias("n"))
+    return files.values(c.spark, sorted(found.items()), "what string, n long").unionByName(stored)
+
+
+@query(
+    "D12_M13_applied_scan",
+    """
+WITH o AS (SELECT id, album_path, title, rating FROM photos WHERE id % 7 <> 2), d AS (SELECT id, album_path, CASE WHEN id % 2 = 0 THEN caption END AS title, CASE WHEN id % 3 = 0 THEN 5 ELSE rating END AS rating FROM photos WHERE id % 5 <> 1)
+SELECT coalesce(o.id, d.id) AS id, coalesce(o.album_path, d.album_path) AS album_path, coalesce(d.title, o.title) AS title, coalesce(d.rating, o.rating) AS rating FROM o FULL JOIN d ON o.id = d.id WHERE d.id IS NOT NULL OR NOT o.album_path LIKE 'Trip%'""",
+)
+def applied_scan(c):
+    """A table of photos brought to what a scan of the disk found: new rows, refreshed ones, and those gone from one folder."""
+    from quarrymill.sources.tables import ManifestTable, apply_scan
+
+    known = c.photos.filter("id % 7 <> 2").select("id", "album_path", "title", "rating")
+    table = ManifestTable.create(known, fresh_path(c.spark, "photos"), ["id"], 16)
+    disk = c.photos.filter("id % 5 <> 1").select("id", "album_path", F.when(F.col("id") % 2 == 0, F.col("caption")).alias("title"), F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("rating")).alias("rating"))
+    apply_scan(table, disk, F.startswith("album_path", F.lit("Trip")), ["title", "rating"])
+    table.vacuum()
+    return table.read()
+
+
+@query("M01_M05_in_place", "SELECT id, CASE WHEN id % 10 = 3 THEN 9 ELSE rating END AS rating FROM photos WHERE id % 25 <> 4 AND (id % 2 = 0 OR id % 10 = 3)")
+def in_place(c):
+    from quarrymill.sources.tables import ManifestTable, deleting, upserting
+
+    rows = c.photos.select("id", "rating")
+    table = ManifestTable.create(rows.filter("id % 2 = 0"), fresh_path(c.spark, "ratings"), ["id"], 16)
+    table.change(rows.filter("id % 10 = 3").withColumn("rating", F.lit(9)), upserting(["id"]))
+    table.change(rows.filter("id % 25 = 4"), deleting(["id"]))
+    table.vacuum()
+    return table.read()

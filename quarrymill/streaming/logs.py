@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions.scalars import fingerprint, guessed_level
+from quarrymill.operators.filters import LEVELS
 
 GAP = "5 seconds"
 WATERMARK = "10 seconds"
 TRIGGER = "250 milliseconds"
 MOST_FILES = 10
-#: Fixed value: the most characters of a line that become a message.
+#: The most characters of a line that become a message, and what lines must not hold (in any case of letters).
 LINE_CHARS = 4096
+BLOCKED = r"(?i)grfmt_tiff\.cpp|TIFFReadDirectory|tag 40094|0x9c9e|Internal imread issue|original_ptr.*real_mat|real_mat.*original_ptr|loadsave\.cpp.*imread_.*can't read data|imread_\(.*\).*can't read data"
 
 
 def with_fingerprint(rows: DataFrame) -> DataFrame:
@@ -43,6 +45,31 @@ def stderr_records(lines: DataFrame, blocked: str | None = None) -> DataFrame:
     return kept.select("ts", guessed_level(F.col("value")).alias("level_name"), F.lit("stderr").alias("source"), F.left("value", F.lit(LINE_CHARS)).alias("message"))
 
 
+def captured(lines: DataFrame, blocked: str = BLOCKED, time: str | None = None) -> DataFrame:
+    """A stream of lines (value) as records of the sink, of now or of a time column, counted as they pass.
+
+    Observed as "capture": lines read, blank ones, those that the block list stops, and those that go on (queued).
+    """
+    blank = F.regexp_replace("value", r"\s", "") == ""
+    stopped = ~blank & F.col("value").rlike(blocked)
+    marked = lines.withColumns({"__blank": F.coalesce(blank, F.lit(True)), "__stopped": F.coalesce(stopped, F.lit(False))})
+    count = lambda test, name: F.count(F.when(test, 1)).alias(name)
+    seen = marked.observe("capture", F.count(F.lit(1)).alias("read"), count(F.col("__blank"), "blank"), count(F.col("__stopped"), "blocked"), count(~F.col("__blank") & ~F.col("__stopped"), "queued"))
+    level = guessed_level(F.col("value"))
+    number = F.element_at(F.create_map(*[F.lit(x) for pair in LEVELS.items() for x in pair]), level)
+    return seen.filter("NOT __blank AND NOT __stopped").select((F.current_timestamp() if time is None else F.col(time)).alias("ts"), number.alias("level"), level.alias("level_name"), F.lit("stderr").alias("source"), F.lit(None).cast("string").alias("logger_name"), F.left("value", F.lit(LINE_CHARS)).alias("message"))
+
+
+def observed(query) -> dict[str, int]:
+    """The sums of what a stream observed over the batches that it remembers (the last hundred; sink.Counters has no such limit)."""
+    out: dict[str, int] = {}
+    for p in {p["batchId"]: p for p in query.recentProgress}.values():
+        for row in p.get("observedMetrics", {}).values():
+            for name, n in (row if isinstance(row, dict) else row.asDict()).items():
+                out[name] = out.get(name, 0) + (n or 0)
+    return out
+
+
 def united(*streams: DataFrame) -> DataFrame:
     """Several sources as one."""
     out = streams[0]
