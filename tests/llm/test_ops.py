@@ -181,7 +181,7 @@ def naive_score(model, text, counts):
     flat = [model.end, *(model.end if i < 0 else int(model.output[i]) for ids in spelled for i in ids)]
     width, step = attention_lm.WINDOW, attention_lm.WINDOW - attention_lm.CONTEXT
     total, at, n, v = 0.0, 0, sum(counts.values()), len(counts)
-    for word, ids in zip(words, spelled, strict=True):
+    for place, (word, ids) in enumerate(zip(words, spelled, strict=True)):
         log = sum(model.rest_log[i] for i in ids if i >= 0)
         for _ in ids:
             first = 0 if at < width else -(-(at - width + 1) // step) * step
@@ -191,7 +191,10 @@ def naive_score(model, text, counts):
             cls, within = divmod(flat[at + 1], attention_lm.CLASS_SIZE)
             log += math.log(softmax(p["C"] @ h + p["c"])[cls]) + math.log(softmax(p["O"][cls] @ h + p["o"][cls])[within])
             at += 1
-        total += math.log10(attention_lm.UNIGRAM * (counts[word] + 1) / (n + v + 1) + (1 - attention_lm.UNIGRAM) * math.exp(log))
+        before = words[:place]
+        behind = [b for a, b in zip([b"\n", *before], before, strict=False) if a == (before[-1] if before else b"\n")]
+        parts = [(counts[word] + 1) / (n + v + 1), math.exp(log), before.count(word) / max(1, len(before)), behind.count(word) / max(1, len(behind))]
+        total += math.log10(sum(x * y for x, y in zip(model.mix[int(bool(behind))], parts, strict=True)))
     return total
 
 
@@ -207,6 +210,18 @@ def test_scores_are_those_of_a_naive_model(spark, monkeypatch):
         assert got[i] == pytest.approx(naive_score(model, text, known), rel=1e-4)
 
 
+def test_ranks_count_equal_rows_before():
+    rng = np.random.default_rng(2)
+    for most in (4, 1 << 40):  # in one number, and by a sort of several
+        of = np.sort(rng.integers(0, 5, 300))
+        keys = tuple(rng.integers(0, 4, 300) * (most // 4) for _ in range(2))
+        at = np.arange(300) * 2 + 1
+        got = attention_lm.ranks(keys, of, at)
+        rows = list(zip(of.tolist(), keys[0].tolist(), keys[1].tolist(), strict=True))
+        assert got.tolist() == [rows[:k].count(r) for k, r in enumerate(rows)]
+    assert attention_lm.ranks((np.zeros(0, np.int64),), np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
+
+
 def test_windows_score_every_id_once():
     sizes = np.array([2, 33, 34, 100, 59])
     flat = np.arange(sizes.sum())
