@@ -440,6 +440,20 @@ def test_notices_are_found_over_lines_and_not_in_scattered_words(spark):
     assert [got[i] for i in range(len(texts))] == ["bsd"] * 5 + ["", ""]
 
 
+def test_the_most_specific_notice_counts_and_scattered_words_do_not(spark):
+    own = {label: [t for k, t in license_scan.TEMPLATES if k == label] for label, _ in license_scan.TEMPLATES}
+    mit = "MIT scholar lost his fishing license"
+    texts = {
+        "cc-by": own["cc-by"][0], "cc-by-sa": own["cc-by-sa"][0], "gpl": own["gpl"][1].replace("general", "General"), "gpl,lgpl": own["lgpl"][0],  # a phrase in it makes it gpl
+        "": f"The driver was released from custody under the terms of the bail; a {mit}", "cc-by-sa,isc": own["isc"][0] + ". " + own["cc-by-sa"][0], "cc-by,cc-by-sa": own["cc-by"][0] + " filler" * 90 + " " + own["cc-by-sa"][0],
+        "mit": own["mit"][2][:200] + ", " + own["mit"][2][200:] + " " + own["mit"][4], "bsd": "\n".join(own["bsd"]), "apache": own["apache"][1] + " http", "unlicense": own["unlicense"][0].replace("anyone", "anybody"),
+    }
+    backwards = " ".join(own["bsd"][3].split()[::-1])
+    rows = list(enumerate([*texts.values(), backwards]))
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(rows_of(rows), SCHEMA)).collect()}
+    assert [got[i] for i, _ in rows] == [*texts, ""]
+
+
 # 7 ----------------------------------------------------------------------------------------------------------------------
 
 
