@@ -7,7 +7,8 @@ A rare line has LEAST_WORDS words or more and stands in two texts or more, but i
 distinct texts. Each text is paired with the earliest holder of each of its rare lines first, so a line in m texts gives
 m - 1 pairs; copies of a text are settled before that, without pairs. A rare line that this leaves in a text is tried
 with the line's other earlier holders, a few at first and about 64 times as many each round, until it is aligned
-with one or none is left; so a line that no alignment takes is compared with every earlier holder. Of a line that stands
+with one or none is left. An alignment takes at least one line that both texts have, so only a line that crosses others in
+every earlier holder is compared with them all. Of a line that stands
 several times in a text, the search ends with the first place that is aligned; places that no alignment so far has
 taken stay. A block is deleted only if it holds a line of LEAST_WORDS words or more; other lines go with it where they
 stand in the same aligned block.
@@ -56,7 +57,11 @@ def _longest_run(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned places (i, j) with a[i] == b[j], both rising: lines single on both sides first, then the gaps between."""
+    """Aligned places (i, j) with a[i] == b[j], both rising: lines single on both sides first, then the gaps between.
+
+    In a gap without such lines, the common lines that stand there the fewest times are paired, first with first, second
+    with second, so texts that have a line in common are never left without an alignment.
+    """
     out: list[tuple[int, int]] = []
     work = [(0, len(a), 0, len(b))]
     while work:
@@ -70,8 +75,22 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         if i == x or j == y:
             continue
         times_a, times_b = Counter(a[i:x]), Counter(b[j:y])
-        at_b = {h: k for k, h in enumerate(b[j:y], j) if times_b[h] == 1}
-        anchors = _longest_run([(k, at_b[h]) for k, h in enumerate(a[i:x], i) if times_a[h] == 1 and h in at_b])
+        rarity = {h: max(n, times_b[h]) for h, n in times_a.items() if h in times_b}
+        if not rarity:
+            continue
+        fewest = min(rarity.values())
+        places: dict[int, list[int]] = {}
+        for k, h in enumerate(b[j:y], j):
+            if rarity.get(h) == fewest:
+                places.setdefault(h, []).append(k)
+        seen: Counter = Counter()
+        pairs = []
+        for k, h in enumerate(a[i:x], i):
+            if rarity.get(h) == fewest:
+                if seen[h] < len(places[h]):
+                    pairs.append((k, places[h][seen[h]]))
+                seen[h] += 1
+        anchors = _longest_run(pairs)
         for (i0, j0), (i1, j1) in zip([(i - 1, j - 1), *anchors], [*anchors, (x, y)], strict=True):
             if anchors:
                 work.append((i0 + 1, i1, j0 + 1, j1))

@@ -98,6 +98,21 @@ def test_shared_lines_are_aligned_with_other_holders_too(spark):
     assert [got[k] for k in range(40)] == want
 
 
+def test_a_line_that_stands_twice_in_many_texts_gives_few_pairs(spark, monkeypatch):
+    """Pairs grow with the holders of a hot line, not with their square."""
+    pairs, real = [], line_dedup._align
+    monkeypatch.setattr(line_dedup, "_align", lambda p: pairs.append(p.count()) or real(p))
+    hot, many = text_of(77, 12), {}
+    for n in (60, 120, 240):
+        pairs.clear()
+        texts = [(k, "\n".join([text_of(3000 + k, 9), hot, text_of(6000 + k, 9), hot, text_of(9000 + k, 9)])) for k in range(n)]
+        texts += [(k, text_of(20_000 + k, 20)) for k in range(n, 2 * n)]  # a line in more than half of all texts is not rare
+        got = line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+        assert all(r["n_deleted"] == (2 if 0 < r["doc_id"] < n else 0) for r in got)
+        many[n] = sum(pairs)
+    assert many == {60: 59, 120: 119, 240: 239}
+
+
 def test_line_dedup_is_bounded_by_all_pairs(spark, docs):
     """What is deleted is what the alignment with some earlier document takes, and no rare line that stands once in its text and that any takes stays."""
     own = docs.select("doc_id", "text").filter("text IS NOT NULL")
