@@ -230,11 +230,10 @@ def test_ranks_count_equal_rows_before():
     for most in (4, 1 << 40):  # in one number, and by a sort of several
         of = np.sort(rng.integers(0, 5, 300))
         keys = tuple(rng.integers(0, 4, 300) * (most // 4) for _ in range(2))
-        at = np.arange(300) * 2 + 1
-        got = attention_lm.ranks(keys, of, at)
+        got = attention_lm.ranks(keys, of)
         rows = list(zip(of.tolist(), keys[0].tolist(), keys[1].tolist(), strict=True))
         assert got.tolist() == [rows[:k].count(r) for k, r in enumerate(rows)]
-    assert attention_lm.ranks((np.zeros(0, np.int64),), np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
+    assert attention_lm.ranks((np.zeros(0, np.int64),), np.zeros(0, np.int64)).tolist() == []
 
 
 def test_windows_score_every_id_once():
