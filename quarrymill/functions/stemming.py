@@ -21,6 +21,7 @@ STOP_WORDS = frozenset(
 #: Words with stems of their own, and stems that are final after the first step.
 ODD = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
 ODD |= {w: w for w in ("sky", "news", "howe", "atlas", "cosmos", "bias", "andes")}
+SPECIAL_STEMS = frozenset(ODD.values())
 FINAL = {"inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"}
 #: Endings and what they become, by step.
 SECOND = {

@@ -90,11 +90,11 @@ def searched(photos: DataFrame, photo_tags: DataFrame, tags: DataFrame, cameras:
 
     Each source marks the ids it finds; one semi join keeps their union.
     """
-    from .textsearch import matches
+    from .textsearch import matches, may_match
 
     like = f"%{words}%"
     text = F.concat_ws(" ", "title", "caption", "filename")
-    own = photos.filter(matches(text, words) | F.col("filename").ilike(like)).select("id")
+    own = photos.filter(may_match(text, words) & matches(text, words)).select("id").union(photos.filter(F.col("filename").ilike(like)).select("id"))
     named = lambda table: table.filter(F.col("make").ilike(like) | F.col("model").ilike(like)).select(F.col("id").alias("part_id"))
     by_camera = photos.join(F.broadcast(named(cameras)), F.col("camera_id") == F.col("part_id"), "left_semi").select("id")
     by_lens = photos.join(F.broadcast(named(lenses)), F.col("lens_id") == F.col("part_id"), "left_semi").select("id")

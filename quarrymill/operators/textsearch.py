@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarrymill.functions.stemming import lexeme, lexemes
+from quarrymill.functions.stemming import SPECIAL_STEMS, lexeme, lexemes
 
 
 def tokens(text: Column) -> Column:
@@ -27,23 +28,36 @@ def _holds(found: Column, words: list[str]) -> Column | None:
     return F.rlike(line, F.lit(" " + " ".join(wanted.get(k, "[^ ]+") for k in places) + " "))
 
 
-def matches(text: Column, query: str) -> Column:
-    """Whether the text meets the query; a query without words other than stop words meets nothing."""
-    found, either, group = tokens(text), [], []
+def parsed(query: str) -> list[list[tuple[bool, list[str]]]]:
+    """A query as alternatives, each a list of (excluded, lexemes that stand one behind the other); tests and alternatives without words other than stop words go."""
+    either: list[list[tuple[bool, list[str]]]] = [[]]
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query):
         if word.upper() == "OR" and not minus:
-            either.append(group)
-            group = []
+            either.append([])
             continue
-        test = _holds(found, [lexeme(w) for w in re.findall(r"[^\W_]+", (phrase or word).lower())])
-        if test is not None:
-            group.append(~test if minus else test)
-    either.append(group)
-    either = [g for g in either if g]
+        words = [lexeme(w) for w in re.findall(r"[^\W_]+", (phrase or word).lower())]
+        if any(words):
+            either[-1].append((bool(minus), words))
+    return [g for g in either if g]
+
+
+def matches(text: Column, query: str) -> Column:
+    """Whether the text meets the query; a query without words other than stop words meets nothing."""
+    found, out = tokens(text), F.lit(False)
+    for group in parsed(query):
+        tests = [~_holds(found, words) if minus else _holds(found, words) for minus, words in group]
+        out = out | reduce(lambda a, b: a & b, tests)
+    return F.coalesce(out, F.lit(False))
+
+
+def may_match(text: Column, query: str) -> Column:
+    """A cheap test that every text meeting the query passes: each wanted word's beginning stands at the beginning of a word.
+
+    A stem differs from its words at the end alone, in its last letter or behind it, but for the words of a fixed list.
+    """
     out = F.lit(False)
-    for g in either:
-        whole = g[0]
-        for test in g[1:]:
-            whole = whole & test
-        out = out | whole
+    for group in parsed(query):
+        starts = {w[:1] if w in SPECIAL_STEMS else w[: max(1, len(w) - 1)] for minus, words in group if not minus for w in words if w}
+        test = reduce(lambda a, b: a & b, [F.lower(text).rlike(r"(?<![\p{L}\p{N}])" + s) for s in sorted(starts)], F.lit(True))
+        out = out | test
     return F.coalesce(out, F.lit(False))

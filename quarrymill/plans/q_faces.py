@@ -195,3 +195,18 @@ def sweep_over_faces(c):
     prototypes = c.vectors.filter("status = 'confirmed'").select("label", "vec_id", "embedding", "best_match_score")
     said = pipelines.sweep(faces, prototypes, 0.335, 0.01, 0.25, 0.2, births=births, gate=good_face(0.2, 0, 3) & (F.col("w") >= 25) & F.coalesce(F.col("h") >= 27, F.lit(False)), reference=reference_face(0.2), twins=people.filter("person % 4 = 1"))
     return said.select("vec_id", "person", F.col("best_match_score").alias("best"), "decision")
+
+
+@query("V02_V04_graph_index", "SELECT count(*) AS queries, TRUE AS reached FROM vectors WHERE status IN ('unconfirmed', 'suggested')")
+def graph_index(c):
+    """Nearest confirmed faces from graphs into which half of them were inserted later: whether 0.95 of the exact ones are found."""
+    from quarrymill.operators import graph_index as gi
+    from quarrymill.operators.lineage import fresh_path
+
+    confirmed, asked = c.vectors.filter("status = 'confirmed'").select("vec_id", "embedding"), c.vectors.filter("status IN ('unconfirmed', 'suggested')").select("vec_id", "embedding")
+    table = gi.create_index(confirmed.filter("vec_id % 2 = 0"), fresh_path(c.spark, "graphs"), buckets=4)
+    gi.insert_vectors(table, confirmed)
+    table.vacuum()
+    near, exact = gi.nearest(table, asked, 15), ve.knn(asked, confirmed, 15)
+    hits = exact.join(near.withColumn("hit", F.lit(1)).drop("score"), ["query_id", "id"], "left").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
+    return asked.agg(F.count("*").alias("queries")).crossJoin(F.broadcast(hits)).select("queries", (F.col("hits") >= 0.95 * F.col("n")).alias("reached"))  # one row each

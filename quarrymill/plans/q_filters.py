@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarrymill.operators import filters as fl
 from quarrymill.operators import paging
 from quarrymill.operators.filters import PhotoFilters, build_photo_query
+from quarrymill.operators.lineage import fresh_path
 
 from .base import query
 
@@ -123,6 +124,38 @@ def document_search(c):
     return c.table("documents").filter(matches(F.col("text"), 'licensing -mit OR "releases under the mit"')).select("doc_id")
 
 
+_DOC_WORDS = "WITH t AS (SELECT doc_id, ' ' || array_to_string(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)), '  ') || ' ' AS ws FROM documents) SELECT doc_id FROM t WHERE "
+
+
+@query("X11_F12_indexed_search", _DOC_WORDS + "(regexp_matches(ws, ' (license|licenses|licensed|licensing) ') AND NOT contains(ws, ' mit ')) OR regexp_matches(ws, ' (release|releases|released|releasing)  \\S+  \\S+  (mit) ') OR (regexp_matches(ws, ' (barn|barns) ') AND regexp_matches(ws, ' (river|rivers) '))")
+def indexed_search(c):
+    """The same texts from postings."""
+    from quarrymill.operators import text_index
+
+    path = fresh_path(c.spark, "postings")
+    text_index.write_postings(c.table("documents").select(F.col("doc_id").alias("id"), "text"), path)
+    return text_index.search_postings(c.spark, path, 'licensing -mit OR "releases under the mit" OR barns river').select(F.col("id").alias("doc_id"))
+
+
+@query("X11_F12_indexed_search_by_absence", _DOC_WORDS + "NOT regexp_matches(ws, ' (license|licenses|licensed|licensing) ') AND NOT regexp_matches(ws, ' (release|releases|released|releasing)  \\S+  \\S+  (mit) ')")
+def indexed_absence(c):
+    from quarrymill.operators import text_index
+
+    path = fresh_path(c.spark, "postings")
+    text_index.write_postings(c.table("documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), path)
+    return text_index.search_postings(c.spark, path, '-licensing -"releases under the mit"').select(F.col("id").alias("doc_id"))
+
+
+@query("F13_F12_trigram_search", "SELECT 1 AS part, id FROM photos WHERE filename ILIKE '%_DSC1%' UNION ALL SELECT 2, id FROM photos WHERE filename ILIKE '%day (1%' UNION ALL SELECT 3, id FROM photos WHERE filename ILIKE '%xl%' UNION ALL SELECT 4, id FROM photos WHERE filename ILIKE '%no such%'")
+def trigram_search(c):
+    from quarrymill.operators import text_index
+
+    path = fresh_path(c.spark, "trigrams")
+    text_index.write_trigrams(c.photos.select("id", F.col("filename").alias("text")), path)
+    parts = [text_index.search_trigrams(c.spark, path, p).select(F.lit(k).alias("part"), "id") for k, p in enumerate(("_DSC1", "day (1", "xl", "no such"), 1)]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
 @query("F13_name_contains", "SELECT id, name FROM tags WHERE name ILIKE '%nation_1%'")
 def name_contains(c):
     return c.tags.filter(F.col("name").ilike("%nation_1%")).select("id", "name")
