@@ -4,8 +4,9 @@ Texts are sequences of lower-case words. A window matches an item of n words whe
 e = floor((1 - SIMILARITY) n).
 
 1. Windows. For each length n of an item, every place of a text begins a window of n words (fewer at the text's end). A
-   window within distance e of an item holds at least n - e words that items of that length have; others can't match,
-   whatever the item, and are left out by running counts of such words.
+   window within distance e of an item lacks at most e of its distinct words. So it holds j of the item's e + j rarest
+   ones, for every j, and n - e words that items of that length have. Running counts of the rarest words of all items of
+   a length leave out what can't match any of them; no window is compared with an item here.
 2. Embedding. The CGK random walk reads a sequence of n words into 3n places: at each place it writes the current
    word and steps on or stays by a random bit of (walk, place, word). Edit distance e becomes Hamming distance of
    O(e^2), and mostly close to e.
@@ -21,6 +22,7 @@ Items are embedded by Spark, one by one, and broadcast in blocks of a checked si
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -44,6 +46,8 @@ TRIALS, TRIAL_WALKS = 24, 4  # edited copies of an item, and walks, by which the
 LEAST_ITEM_WORDS = 4  # a shorter item counts only where it stands unedited
 BLOCK_ITEMS = 5_000
 BLOCK_BYTES = 16 << 20
+BROADCAST_BYTES = 32 << 20
+RAREST, FIRST_TEST = (1, 2, 4, 8), 4  # of an item's rarest words, beyond the errors; the test that is made everywhere
 BATCH_CHARS = 2_000_000
 CHUNK_WINDOWS = 2_048
 SEED = 7
@@ -146,25 +150,47 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str, bytes]], similarity: float = SIMILARITY) -> None:
         self.items, self.id_of = [], {}
-        lengths: dict[int, list[int]] = defaultdict(list)
+        alike: dict[tuple[int, int], list[int]] = defaultdict(list)
+        often: Counter = Counter()  # in how many items a word stands
+        signed = []
         for item_id, text, keys in items:
             if words := words_of(text):
-                lengths[len(words)].append(len(self.items))
-                self.items.append((item_id, words, np.frombuffer(keys, np.uint64), Counter(words)))
+                sure = len(set(words)) - errors_of(len(words), similarity)  # of the item's distinct words every match has these many
+                alike[len(words), max(0, min(RAREST[-1], sure))].append(len(self.items))
+                self.items.append((item_id, words))
+                signed.append(np.frombuffer(keys, np.uint64))
+                often.update(set(words))
                 for w in words:
                     self.id_of.setdefault(w, len(self.id_of))
-        #: By length: the most errors, its items, which words any and each of them has, its tables, all keys in order, and whose each is.
-        self.lengths = {}
-        for n, own in lengths.items():
-            has = np.zeros(len(self.id_of) + 1, bool)  # the last for all other words
-            has[[self.id_of[w] for k in own for w in self.items[k][1]]] = True
-            keys, of = np.concatenate([self.items[k][2] for k in own]), np.repeat(np.arange(len(own)), [len(self.items[k][2]) for k in own])
+        #: Items of one length and surety: the most errors, their numbers, (least words, of which words), tables, all keys in order, and whose each is.
+        self.kinds = []
+        for (n, sure), own in sorted(alike.items()):
+            errors, tests = errors_of(n, similarity), []
+            ranked = [sorted(set(self.items[k][1]), key=lambda w: (often[w], w)) for k in own]
+            for j in sorted((j for j in RAREST if j <= sure), key=lambda j: abs(j - FIRST_TEST)):
+                tests.append((j, self._ids({w for words in ranked for w in words[: errors + j]})))
+            tests.append((n - errors, self._ids({w for words in ranked for w in words})))
+            keys, of = np.concatenate([signed[k] for k in own]), np.repeat(np.array(own), [len(signed[k]) for k in own])
             order = np.argsort(keys, kind="stable")
-            each = np.zeros((len(self.id_of) + 1, len(own)), bool)
-            for column, k in enumerate(own):
-                each[[self.id_of[w] for w in self.items[k][1]], column] = True
-            self.lengths[n] = errors_of(n, similarity), own, has, each, Tables(n, len(self.items[own[0]][2])), keys[order], of[order]
-        self.gap = max(self.lengths, default=0)
+            self.kinds.append((n, errors, tests, Tables(n, len(signed[own[0]])), keys[order], of[order]))
+        self.gap = max((n for n, *_ in self.kinds), default=0)
+
+    def _ids(self, words: set[str]) -> np.ndarray:
+        return np.array(sorted(self.id_of[w] for w in words), np.int64)
+
+    def _windows(self, ids: np.ndarray, n: int, tests: list[tuple[int, np.ndarray]]) -> np.ndarray:
+        """Where windows of n words pass all tests: the first one by running counts, the others where it holds."""
+        flag, at = np.zeros(len(self.id_of) + 1, bool), None  # the last for all other words
+        for need, words in tests:
+            flag[:] = False
+            flag[words] = True
+            if at is None:
+                held = np.concatenate([[0], np.cumsum(flag[ids], dtype=np.int32)])
+                at = np.flatnonzero(held[n:] - held[:-n] >= need)
+                continue
+            parts = [at[lo : lo + CHUNK_WINDOWS] for lo in range(0, len(at), CHUNK_WINDOWS)]
+            at = np.concatenate([own[flag[ids[own[:, None] + np.arange(n)]].sum(1) >= need] for own in parts] or [at])
+        return at
 
     def find(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item_id, first word, words, edit distance) of every leaked item, the nearest window of those that overlap."""
@@ -176,19 +202,11 @@ class Items:
             ids[start : start + len(own)] = np.fromiter(map(self.id_of.get, own, repeat(-1)), np.int64, len(own))
         codes, coded = np.zeros(len(ids), np.uint64), np.zeros(len(words), bool)
         near: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for n, (errors, members, has, each, tables, keys, of) in self.lengths.items():
-            held = np.concatenate([[0], np.cumsum(has[ids], dtype=np.int32)])
-            at = np.flatnonzero(held[n:] - held[:-n] >= n - errors)
+        for n, errors, tests, tables, keys, of in self.kinds:
+            at = self._windows(ids, n, tests)
             text = np.searchsorted(starts, at, "right") - 1
             real = at < starts[text] + sizes[text]
             at, text = at[real], text[real]
-            possible = np.zeros((len(at), each.shape[1]), bool)
-            for lo in range(0, len(at), CHUNK_WINDOWS):
-                own = np.sort(ids[at[lo : lo + CHUNK_WINDOWS, None] + np.arange(n)], 1)
-                own[:, 1:][own[:, 1:] == own[:, :-1]] = -1  # each word once
-                possible[lo : lo + CHUNK_WINDOWS] = each[own].sum(1, dtype=np.int32) >= each.sum(0) - errors
-            some = possible.any(1)
-            at, text, possible = at[some], text[some], possible[some]
             for t in np.unique(text[~coded[text]]).tolist():
                 codes[starts[t] : starts[t] + sizes[t]], coded[t] = _codes(words[t]), True
             for lo in range(0, len(at), CHUNK_WINDOWS):
@@ -196,11 +214,11 @@ class Items:
                 signed = tables.keys(codes[own[:, None] + np.arange(n)])
                 first, behind = np.searchsorted(keys, signed.ravel()), np.searchsorted(keys, signed.ravel(), "right")
                 hit = np.flatnonzero(behind > first)
-                pairs = {(int(w), int(c)) for w, a, b in zip(hit // signed.shape[1], first[hit], behind[hit], strict=True) for c in of[a:b]}
-                for w, column in sorted(pairs):
-                    k, t = members[column], int(text[lo + w])
+                pairs = {(int(w), int(k)) for w, a, b in zip(hit // signed.shape[1], first[hit], behind[hit], strict=True) for k in of[a:b]}
+                for w, k in sorted(pairs):
+                    t = int(text[lo + w])
                     s = int(own[w] - starts[t])
-                    if not possible[lo + w, column] or (Counter(words[t][s : s + n]) & self.items[k][3]).total() < n - errors:
+                    if (Counter(words[t][s : s + n]) & Counter(self.items[k][1])).total() < n - errors:
                         continue  # too few words in common for the distance
                     if (distance := edit_distance(self.items[k][1], words[t][s : s + n], errors)) <= errors:
                         near[t, k].append((distance, s))
@@ -212,6 +230,16 @@ class Items:
                     yield t, self.items[k][0], s, len(words[t][s : s + n]), distance
 
 
+def ready(block: list[tuple[int, str, bytes]], similarity: float = SIMILARITY) -> Iterator[Items]:
+    """The block as one or more Items, each of BROADCAST_BYTES at most as it is sent (or of one item)."""
+    items = Items(block, similarity)
+    if len(block) > 1 and len(pickle.dumps(items)) > BROADCAST_BYTES:
+        yield from ready(block[: len(block) // 2], similarity)
+        yield from ready(block[len(block) // 2 :], similarity)
+    else:
+        yield items
+
+
 def embedded(items: pd.DataFrame, tables: dict[int, int]) -> pd.DataFrame:
     """item_id, text, keys of items (item_id, text); tables by length."""
     codes = [_codes(words_of(t)) for t in items["text"]]
@@ -250,8 +278,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     by_length = items.mapInPandas(lambda batches: (needed(pdf, similarity) for pdf in batches), "n long, tables long").groupBy("n").agg(F.max("tables").alias("tables"))
     tables = {r["n"]: r["tables"] for r in by_length.collect()}  # a row a length
-    for block in _blocks(items.mapInPandas(lambda batches: (embedded(pdf, tables) for pdf in batches), "item_id long, text string, keys binary")):
-        shared = docs.sparkSession.sparkContext.broadcast(Items(block, similarity))  # some KB an item, BLOCK_ITEMS at most
+    blocks = _blocks(items.mapInPandas(lambda batches: (embedded(pdf, tables) for pdf in batches), "item_id long, text string, keys binary"))
+    for own in (own for block in blocks for own in ready(block, similarity)):
+        shared = docs.sparkSession.sparkContext.broadcast(own)  # BROADCAST_BYTES at most
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value

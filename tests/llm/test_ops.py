@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -415,6 +416,31 @@ def test_lsh_alone_reaches_its_recall():
     assert all_ > 150 and met >= 0.95 * all_ and found >= met
 
 
+def test_many_items_stay_small_and_windows_are_left_out_rightly():
+    """5 000 items make a small block; whatever lies within the distance passes the word tests of its kind."""
+    rnd, words = random.Random(9), [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in ("r", "st", "nd", "lm", "x", "sh")]
+    texts = [" ".join(rnd.choice(words) + str(rnd.randrange(20)) for _ in range(rnd.randrange(8, 40))) for _ in range(5_000)] + ["same same same same same same same same same same other"]
+    keys = [decontamination.Tables(n := len(t.split()), 6).keys(decontamination._codes(t.split())[None, :]).tobytes() for t in texts]
+    block = list(zip(range(len(texts)), texts, keys, strict=True))
+    items = decontamination.Items(block)
+    assert len(pickle.dumps(items)) < 8_000_000
+    parts = list(decontamination.ready(block))
+    assert len(parts) == 1 and sum(len(p.items) for p in parts) == len(texts)
+    checked = 0
+    for k in [*range(0, 5_000, 61), 5_000]:
+        own = texts[k].split()
+        n, errors = len(own), decontamination.errors_of(len(own))
+        for _ in range(3):
+            copy = list(own)
+            for _ in range(errors):
+                copy[rnd.randrange(n)] = rnd.choice(own + ["unknown"])
+            tests = next(kind[2] for kind in items.kinds if kind[0] == n and k in kind[5])
+            ids = np.array([items.id_of.get(w, -1) for w in copy] + [-1] * items.gap)
+            assert 0 in items._windows(ids, n, tests).tolist()
+            checked += 1
+    assert checked > 200
+
+
 def test_decontamination_awkward(spark, awkward, none):
     items = spark.createDataFrame([(1, text_of(1, 60)), (2, None), (3, ""), (4, "a b"), (5, text_of(1, 60))], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(awkward, items).collect()}
