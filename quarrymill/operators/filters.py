@@ -50,7 +50,12 @@ def under_path(prefix: str) -> Column:
 
 def tagged(photos: DataFrame, photo_tags: DataFrame, faces: DataFrame, tags: DataFrame, tag_id: int) -> DataFrame:
     """Photos with a tag of the subtree, or a face of one of its persons. An unknown tag gives none."""
-    wanted = subtree(tags, tag_id).select(F.col("id").alias("wanted"))
+    return tagged_among(photos, photo_tags, faces, subtree(tags, tag_id))
+
+
+def tagged_among(photos: DataFrame, photo_tags: DataFrame, faces: DataFrame, tags: DataFrame) -> DataFrame:
+    """Photos with one of these tags (id), or a face of one of these persons."""
+    wanted = tags.select(F.col("id").alias("wanted"))
     by_tag = photo_tags.join(wanted, F.col("tag_id") == F.col("wanted"), "left_semi").select("photo_id")
     by_face = faces.filter(F.col("status").isin(*PERSON_STATUSES)).join(wanted, F.col("person_tag_id") == F.col("wanted"), "left_semi").select("photo_id")
     ids = by_tag.union(by_face).distinct()

@@ -63,6 +63,16 @@ def tag_subtree(c):
     return build_photo_query(c, PhotoFilters(tag_id=12)).select("id", "filename")
 
 
+@query("F03_X09_interval_subtree", _TAGGED.format(12))
+def interval_subtree(c):
+    """The same by interval labels: the subtree is a range that is pushed into the scan of the tags."""
+    from quarrymill.operators.hierarchy import labelled_subtree, write_labelled
+
+    path = fresh_path(c.spark, "labelled")
+    write_labelled(c.tags, path)
+    return fl.tagged_among(fl.active(c.photos), c.photo_tags, c.faces, labelled_subtree(c.spark, path, 12)).select("id", "filename")
+
+
 @query("F04_person_subtree", "SELECT id FROM photos WHERE status = 1 AND id IN (SELECT photo_id FROM faces WHERE person_tag_id = 1007 AND status IN ('confirmed', 'suggested'))")
 def person_subtree(c):
     return build_photo_query(c, PhotoFilters(person_tag_id=1007)).select("id")
