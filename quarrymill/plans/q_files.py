@@ -230,3 +230,31 @@ def in_place(c):
     table.change(rows.filter("id % 25 = 4"), deleting(["id"]))
     table.vacuum()
     return table.read()
+
+
+@query(
+    "S10_written_payloads",
+    """
+WITH tg AS (SELECT photo_id, list(name ORDER BY tag_id) AS names, list(replace(path, '.', '|') ORDER BY tag_id) AS paths FROM photo_tags JOIN tags ON tag_id = tags.id GROUP BY 1),
+fc AS (SELECT photo_id, list(t.name ORDER BY f.id) AS persons, count(*) AS n, arg_min(round((f.x + f.w / 2) / 641, 6), f.id) AS x1, arg_min(round(f.h / 487, 6), f.id) AS h1 FROM faces f JOIN tags t ON t.id = f.person_tag_id GROUP BY 1),
+p AS (SELECT ph.*, coalesce(tg.names, []) AS names, coalesce(tg.paths, []) AS paths, list_filter(list_distinct(coalesce(fc.persons, [])), lambda x: NOT list_contains(coalesce(tg.names, []), x)) AS more, fc.n, fc.x1, fc.h1 FROM photos ph LEFT JOIN tg ON tg.photo_id = ph.id LEFT JOIN fc ON fc.photo_id = ph.id WHERE file_sync_dirty)
+SELECT '/lib/' || album_path || '/' || filename AS source, CAST(len(names) + len(more) AS INT) AS n_subjects, nullif(names[1], '') AS subject, CASE WHEN len(paths) > 0 THEN paths[1] END AS hierarchical, CAST(least(rating, 5) * 20 AS INT) AS percent,
+CASE color_label WHEN 1 THEN 'Red' WHEN 2 THEN 'Orange' WHEN 3 THEN 'Yellow' END AS label, title, caption, CAST(coalesce(n, 0) AS INT) AS n_regions, x1, h1, (SELECT count(*) FROM photos WHERE file_sync_dirty) AS written, 2 AS failed FROM p""",
+)
+def written_payloads(c):
+    """Payloads of the dirty photos by the sink, with two rows that are none; read back, with the counts."""
+    from quarrymill.sources import metadata as md
+
+    folder = fresh_path(c.spark, "payloads")
+    dirty = c.photos.filter("file_sync_dirty").withColumns({"width": F.lit(641), "height": F.lit(487)})
+    bad = files.values(c.spark, [("{\"Title\":\"no file\"}",), ("no object",)], "payload string")
+    md.write_payload_table(md.photo_payloads(dirty, c.tags, c.photo_tags, c.faces, "/lib").select("payload").union(bad), folder)
+    counts = md.write_counts(c.spark, folder)
+    schema = "SourceFile string, Subject array<string>, HierarchicalSubject array<string>, RatingPercent int, Label string, Title string, Description string, RegionInfo struct<RegionList: array<struct<Area: struct<X: double, H: double>, Name: string>>>"
+    got = md.read_payloads(c.spark, folder).select(F.from_json("payload", schema).alias("p")).select("p.*").withColumn("r", F.col("RegionInfo.RegionList"))
+    first = F.get("r", F.lit(0))["Area"]
+    one = lambda name: F.get(name, F.lit(0))
+    return got.select(
+        F.col("SourceFile").alias("source"), F.coalesce(F.size("Subject"), F.lit(0)).alias("n_subjects"), F.when(F.size("HierarchicalSubject") > 0, one("Subject")).alias("subject"), one("HierarchicalSubject").alias("hierarchical"), F.col("RatingPercent").alias("percent"), F.col("Label").alias("label"),
+        F.col("Title").alias("title"), F.col("Description").alias("caption"), F.when(F.col("r").isNotNull(), F.size("r")).otherwise(0).alias("n_regions"), first["X"].alias("x1"), first["H"].alias("h1"), F.lit(counts["written"]).alias("written"), F.lit(counts["failed"]).alias("failed"),
+    )
