@@ -211,3 +211,50 @@ def incremental(c):
     from quarrymill.streaming.logs import since_mark
 
     return since_mark(c.faces, c.photos.filter("id < 200").select(F.col("taken_at").alias("mark"))).select("id")
+
+
+#: Vectors of 64 components as pictures of 8 x 8: the components give red, the same backwards green, and their seventh places blue.
+_PIXELS = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(least(greatest(floor((CAST(x AS DOUBLE) + 0.4) * 320), 0), 255) AS BIGINT)) AS c FROM embeddings),
+px AS (SELECT vec_id, i, c[i + 1] AS r, c[64 - i] AS g, c[(i * 7) % 64 + 1] AS b FROM (SELECT vec_id, c, unnest(range(64)) AS i FROM v))
+"""
+
+
+def _pictures(c):
+    parts = F.transform("embedding", lambda x: F.least(F.greatest(F.floor((x.cast("double") + 0.4) * 320), F.lit(0)), F.lit(255)).cast("int"))
+    rows = c.table("embeddings").select(F.col("vec_id").alias("id"), F.lit(8).alias("width"), F.lit(8).alias("height"), parts.alias("c"))
+    pixel = lambda i: F.array(F.get("c", i), F.get("c", 63 - i), F.get("c", i * 7 % 64))
+    return rows.withColumn("pixels", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), pixel)))
+
+
+@query(
+    "X42_blur",
+    _PIXELS
+    + """, gr AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, (r * 4899 + g * 9617 + b * 1868 + 8192) // 16384 AS v FROM px),
+n AS (SELECT a.vec_id, a.v, u.v + d.v + l.v + e.v - 4 * a.v AS s FROM gr a JOIN gr u ON u.vec_id = a.vec_id AND u.x = a.x AND u.y = CASE a.y WHEN 0 THEN 1 ELSE a.y - 1 END JOIN gr d ON d.vec_id = a.vec_id AND d.x = a.x AND d.y = CASE a.y WHEN 7 THEN 6 ELSE a.y + 1 END
+ JOIN gr l ON l.vec_id = a.vec_id AND l.y = a.y AND l.x = CASE a.x WHEN 0 THEN 1 ELSE a.x - 1 END JOIN gr e ON e.vec_id = a.vec_id AND e.y = a.y AND e.x = CASE a.x WHEN 7 THEN 6 ELSE a.x + 1 END)
+SELECT vec_id AS id, CAST(round(var_pop(s) * 4096) AS BIGINT) AS blur FROM n GROUP BY vec_id""",
+)
+def blur(c):
+    from quarrymill.operators.pixels import blur_scores
+
+    return blur_scores(_pictures(c)).select("id", F.round(F.col("blur") * 4096).cast("long").alias("blur"))  # a whole number for 64 pixels
+
+
+@query(
+    "A27_picture_counts",
+    _PIXELS
+    + """, ch AS (SELECT 'red' AS channel, r AS v FROM px UNION ALL SELECT 'green', g FROM px UNION ALL SELECT 'blue', b FROM px UNION ALL SELECT 'luminance', CAST(floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5) AS BIGINT) FROM px)
+SELECT channel, CAST(v AS INT) AS bucket, count(*) AS n FROM ch GROUP BY 1, 2""",
+)
+def picture_counts(c):
+    from quarrymill.operators.pixels import histograms, whole_counts
+
+    return whole_counts(histograms(_pictures(c)))
+
+
+@query("A27_clipping", _PIXELS + "SELECT vec_id AS id, least(count(*) FILTER (WHERE r = 0), count(*) FILTER (WHERE g = 0), count(*) FILTER (WHERE b = 0)) * 100 / 64 AS shadow, least(count(*) FILTER (WHERE r = 255), count(*) FILTER (WHERE g = 255), count(*) FILTER (WHERE b = 255)) * 100 / 64 AS highlight FROM px GROUP BY 1")
+def clipping(c):
+    from quarrymill.operators.pixels import histograms
+
+    return histograms(_pictures(c)).select("id", "shadow", "highlight")
