@@ -210,3 +210,10 @@ def graph_index(c):
     near, exact = gi.nearest(table, asked, 15), ve.knn(asked, confirmed, 15)
     hits = exact.join(near.withColumn("hit", F.lit(1)).drop("score"), ["query_id", "id"], "left").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
     return asked.agg(F.count("*").alias("queries")).crossJoin(F.broadcast(hits)).select("queries", (F.col("hits") >= 0.95 * F.col("n")).alias("reached"))  # one row each
+
+
+@query("V12_V07_radius_join", "SELECT a.vec_id AS a, b.vec_id AS b, round(" + _DOT.format("a", "b") + ", 6) AS score FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id WHERE round(" + _DOT.format("a", "b") + ", 12) >= 0.45")
+def radius_join(c):
+    from quarrymill.operators.radius_join import within_radius
+
+    return within_radius(c.vectors, 0.45, pivots=16).select("a", "b", F.round("score", 6).alias("score"))
