@@ -85,17 +85,18 @@ class Tree:
             work += [(child, some[near == k]) for k, child in enumerate(self.children[node]) if (near == k).any()]
         return out
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first leaves in best-bin-first order."""
+    def visits(self, query: np.ndarray, most: int, sizes: list[int] | None = None, rows: int = 0) -> list[int]:
+        """The first leaves in best-bin-first order, and as many more as it takes to meet so many rows (sizes: of each leaf)."""
         score = self.centre @ query
-        queue, found = [(-score[0], 0)], []
-        while queue and len(found) < most:
+        queue, found, held = [(-score[0], 0)], [], 0
+        while queue and (len(found) < most or held < rows):
             _, node = heapq.heappop(queue)
             if self.children[node]:
                 for child in self.children[node]:
                     heapq.heappush(queue, (-score[child], child))
             else:
                 found.append(self.leaf[node])
+                held += sizes[self.leaf[node]] if sizes else 0
         return found
 
 
@@ -199,8 +200,8 @@ def search(vectors: DataFrame, modulus: int = QUERY_MODULUS, k: int = NEIGHBOURS
 
     groups, group, held = [], 0, 0  # of each leaf: its first group and how many it is split over
     size = {r["leaf"]: r["n"] for r in rows.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row a leaf
-    for leaf in range(tree.leaves):
-        n = size.get(leaf, 0)
+    sizes = [size.get(leaf, 0) for leaf in range(tree.leaves)]
+    for leaf, n in enumerate(sizes):
         if n > GROUP_ROWS or held + n > GROUP_ROWS:
             group, held = group + (held > 0), 0
         parts = max(1, math.ceil(n / GROUP_ROWS))
@@ -210,9 +211,9 @@ def search(vectors: DataFrame, modulus: int = QUERY_MODULUS, k: int = NEIGHBOURS
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = []
-            for query, vector in zip(pdf["vec_id"], _matrix(pdf["embedding"], width), strict=True):
+            for query, vector, own in zip(pdf["vec_id"], _matrix(pdf["embedding"], width), pdf["own"], strict=True):
                 to: dict[int, list[int]] = {}
-                for leaf in shared.value.visits(vector, visits):
+                for leaf in shared.value.visits(vector, visits, sizes, k + own):  # k candidates besides its own rows, if there are as many
                     first, parts = groups[leaf]
                     for g in range(first, first + parts):
                         to.setdefault(g, []).append(leaf)
@@ -221,7 +222,7 @@ def search(vectors: DataFrame, modulus: int = QUERY_MODULUS, k: int = NEIGHBOURS
 
     at = spark.createDataFrame([(leaf, first, parts) for leaf, (first, parts) in enumerate(groups)], "leaf int, first int, parts int")
     placed = rows.join(F.broadcast(at), "leaf").withColumn("group", F.col("first") + F.pmod(F.xxhash64("vec_id", F.col("embedding")), F.col("parts")).cast("int"))
-    asked = rows.filter(F.pmod("vec_id", F.lit(modulus)) == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInPandas(route, "query_id long, vector array<double>, group int, leaves array<int>")
+    asked = rows.filter(F.pmod("vec_id", F.lit(modulus)) == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.count("*").alias("own")).mapInPandas(route, "query_id long, vector array<double>, group int, leaves array<int>")
     load = {r["group"]: math.ceil(r["n"] / CHUNK_QUERIES) for r in asked.groupBy("group").agg(F.count("*").alias("n")).collect()}  # a row a group
     chunks = spark.createDataFrame([(g, n) for g, n in load.items()], "group int, chunks int")
     asked = asked.join(chunks, "group").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int")).select("group", "chunk", "query_id", "vector", "leaves")

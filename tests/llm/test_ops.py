@@ -284,6 +284,19 @@ def test_vector_search_recall(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_every_query_meets_as_many_candidates_as_it_wants(spark, monkeypatch):
+    """Leaves of a few rows and one visit: more leaves are visited until there are k candidates."""
+    for name, value in (("LEAF_ROWS", 4), ("LEAF_SAMPLE", 2), ("GROUP_ROWS", 16), ("CHUNK_QUERIES", 4)):
+        monkeypatch.setattr(vector_search, name, value)
+    monkeypatch.setattr(vector_search, "calibrate", lambda *a: 1)
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(v) for v in rng.normal(size=6)]) for i in range(150)] + [(40, [float(v) for v in rng.normal(size=6)]) for _ in range(30)]
+    got = Counter(r["query_id"] for r in vector_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == {i: 20 for i in range(0, 150, 20)}
+    few = vector_search.search(spark.createDataFrame(rows[:9], "vec_id long, embedding array<double>")).collect()
+    assert Counter(r["query_id"] for r in few) == {0: 8}
+
+
 def test_vector_search_awkward(spark, monkeypatch):
     rng = np.random.default_rng(2)
     monkeypatch.setattr(vector_search, "GROUP_ROWS", 64)
