@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import documents, fresh_path
+from quarrymill.llm.common import documents, drop_path, fresh_path
 from quarrymill.llm.decontamination import drop_leaking
 from quarrymill.llm.language_id import UNDETERMINED, predict, train
 from quarrymill.llm.line_dedup import dedup_lines
@@ -46,9 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            drop_path(spark, before)  # the stage that read it is written
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
