@@ -141,13 +141,26 @@ def restored_tags(c):
     return pipelines.restored_tags(own.union(own.select(F.concat(F.lit("New."), "tag_path"))), c.tags)
 
 
-@query("J17_D11_nearest_place", "WITH pl AS (SELECT c_custkey AS place_id, CAST(c_custkey * 7 % 160 - 80 AS DOUBLE) + 0.1 AS p_lat, CAST(c_custkey * 13 % 340 - 170 AS DOUBLE) + 0.3 AS p_lon FROM customer), pt AS (SELECT DISTINCT latitude, longitude FROM photos WHERE latitude IS NOT NULL AND longitude IS NOT NULL), d AS (SELECT latitude, longitude, place_id, round(2 * 6371.0 * asin(least(1.0, sqrt(pow(sin((radians(p_lat) - radians(latitude)) / 2), 2) + cos(radians(latitude)) * cos(radians(p_lat)) * pow(sin((radians(p_lon) - radians(longitude)) / 2), 2)))), 6) AS km FROM pt, pl), b AS (SELECT latitude, longitude, min(km) AS km FROM d GROUP BY 1, 2) SELECT id, round(b.km, 3) AS km FROM photos JOIN b USING (latitude, longitude)")
+_NEAREST = "WITH pl AS (SELECT c_custkey AS place_id, CAST(c_custkey * 7 % 160 - 80 AS DOUBLE) + 0.1 AS p_lat, CAST(c_custkey * 13 % 340 - 170 AS DOUBLE) + 0.3 AS p_lon FROM customer), pt AS (SELECT DISTINCT latitude, longitude FROM photos WHERE latitude IS NOT NULL AND longitude IS NOT NULL), d AS (SELECT latitude, longitude, place_id, round(2 * 6371.0 * asin(least(1.0, sqrt(pow(sin((radians(p_lat) - radians(latitude)) / 2), 2) + cos(radians(latitude)) * cos(radians(p_lat)) * pow(sin((radians(p_lon) - radians(longitude)) / 2), 2)))), 6) AS km FROM pt, pl), b AS (SELECT latitude, longitude, min(km) AS km FROM d GROUP BY 1, 2) SELECT id, round(b.km, 3) AS km FROM photos JOIN b USING (latitude, longitude)"
+
+
+@query("J17_D11_nearest_place", _NEAREST)
 def nearest_place(c):
     k = F.col("c_custkey")
     places = c.table("customer").select(k.alias("place_id"), ((k * 7 % 160 - 80).cast("double") + 0.1).alias("p_lat"), ((k * 13 % 340 - 170).cast("double") + 0.3).alias("p_lon"))
     return pipelines.nearest_place(c.photos, places).select("id", F.round("km", 3).alias("km"))
 
 
+@query("J17_D11_nearest_in_cells", _NEAREST)
+def nearest_in_cells(c):
+    """The same by an octree whose cells follow the places' density."""
+    from quarrymill.operators.octree import nearest_in_cells as nearest
+
+    k = F.col("c_custkey")
+    places = c.table("customer").select(k.alias("place_id"), ((k * 7 % 160 - 80).cast("double") + 0.1).alias("p_lat"), ((k * 13 % 340 - 170).cast("double") + 0.3).alias("p_lon"))
+    return nearest(c.photos, places).select("id", F.round("km", 3).alias("km"))
+
+
 @query("M01_upsert", "SELECT id, album_path, rating FROM photos WHERE id % 10 <> 3 AND id % 2 = 0 UNION ALL SELECT id, album_path, 9 FROM photos WHERE id % 10 = 3")
 def upsert(c):
     cols = c.photos.select("id", "album_path", "rating")
