@@ -241,6 +241,37 @@ def matched_boxes(found: DataFrame, known: DataFrame, least: float = 0.4) -> Dat
     return pairs.groupBy("id").agg(F.min("k_id").alias("match_id"))
 
 
+def detected(found: DataFrame, known: DataFrame, confirmed: DataFrame, ignored: DataFrame, auto: float, suggest: float, least_score: float = 0.0, overlap: float = 0.4) -> tuple[DataFrame, DataFrame]:
+    """What a scan's detections (det_id, photo_id, x, y, w, h, det_score, embedding) change and add.
+
+    Detections under least_score are left out. One that overlaps a known face (id, photo_id, x, y, w, h, has_vector,
+    person, status) of its photo, the first by id, belongs to it: the face gets the last such detection's score and, if it
+    has no vector, the first one's; if it has no person either, the nearest confirmed face (vec_id, label,
+    embedding) of at least `suggest` gives it one, confirmed from `auto` on and else suggested. Other detections are new
+    faces: ignored where an ignored face is as near as `auto`, otherwise confirmed, suggested or unconfirmed likewise.
+    Gives (id, det_score, det_id of the vector taken or null, person, status) of the faces met, and
+    (det_id, photo_id, person, status, best_match_score) of the new ones.
+    """
+    kept = found.filter(F.coalesce("det_score", F.lit(1.0)) >= least_score)
+    box = lambda p: {c: F.col(f"{p}{c}") for c in ("x", "y", "w", "h")}
+    k = known.select(*[F.col(c).alias(f"k_{c}") for c in ("id", "photo_id", "x", "y", "w", "h")])
+    near = kept.join(k, F.col("photo_id") == F.col("k_photo_id")).filter(F.coalesce(iou(box(""), box("k_")), F.lit(0.0)) > overlap)
+    met = cut(near.groupBy("det_id").agg(F.min("k_id").alias("face"), F.first("det_score").alias("det_score")))
+    of_face = met.groupBy("face").agg(F.max_by("det_score", "det_id").alias("new_score"), F.min("det_id").alias("first_det"))
+    faces = known.join(of_face, F.col("id") == F.col("face")).withColumn("taken", F.when(~F.col("has_vector"), F.col("first_det")))
+    new = cut(kept.join(met.select("det_id"), "det_id", "left_anti"))
+    asked = new.select(F.col("det_id").alias("vec_id"), "embedding").unionByName(kept.join(faces.filter("taken IS NOT NULL AND person IS NULL").select(F.col("taken").alias("det_id")), "det_id").select(F.col("det_id").alias("vec_id"), "embedding"))
+    person = knn(asked, confirmed, 1, skip_same=False).filter(F.col("score") >= suggest).join(confirmed.select(F.col("vec_id").alias("id"), F.col("label").alias("who")), "id").select(F.col("query_id").alias("q"), "who", "score")
+    said = F.when(F.col("score") >= auto, "confirmed").otherwise("suggested")
+    changed = faces.join(person, F.col("taken") == F.col("q"), "left").select("id", F.round("new_score", 4).alias("det_score"), F.col("taken").alias("det_id"), F.coalesce("person", "who").alias("person"), F.when(F.col("person").isNull() & F.col("who").isNotNull(), said).otherwise(F.col("status")).alias("status"))
+    away = knn(new.select(F.col("det_id").alias("vec_id"), "embedding"), ignored, 1, skip_same=False).filter(F.col("score") >= auto).select(F.col("query_id").alias("out"))
+    judged = new.join(away, F.col("det_id") == F.col("out"), "left").join(person, F.col("det_id") == F.col("q"), "left")
+    gone = F.col("out").isNotNull()
+    status = F.when(gone, "ignored").when(F.col("who").isNull(), "unconfirmed").otherwise(said)
+    added = judged.select("det_id", "photo_id", F.when(~gone, F.col("who")).alias("person"), status.alias("status"), F.when(~gone, rounded(F.col("score"), 2)).alias("best_match_score"))
+    return changed, added
+
+
 def before_birth(faces: DataFrame, photos: DataFrame, births: DataFrame) -> DataFrame:
     """Suggestions on photos taken before the person's birth lose the person and the suggestion."""
     early = faces.filter("status = 'suggested'").join(photos.select(F.col("id").alias("p"), "taken_at"), F.col("photo_id") == F.col("p")).join(births, F.col("person_tag_id") == F.col("born_id")).filter(F.to_date("taken_at") < F.col("born"))

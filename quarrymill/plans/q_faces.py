@@ -217,3 +217,41 @@ def radius_join(c):
     from quarrymill.operators.radius_join import within_radius
 
     return within_radius(c.vectors, 0.45, pivots=16).select("a", "b", F.round("score", 6).alias("score"))
+
+
+_DETECTED = f"""
+WITH det AS (SELECT f.id AS det_id, photo_id, x, y, w, h, det_score, embedding FROM faces f JOIN embeddings e ON e.vec_id = f.id % 500 WHERE status = 'unconfirmed' AND coalesce(det_score, 1) >= 0.1),
+kn AS (SELECT id, photo_id, x, y, w, h, id % 2 = 0 AS has_vector, CASE WHEN id % 3 > 0 THEN person_tag_id END AS person, status FROM faces WHERE status <> 'unconfirmed'),
+ov AS (SELECT d.det_id, k.id, greatest(0, least(d.x + d.w, k.x + k.w) - greatest(d.x, k.x)) * greatest(0, least(d.y + d.h, k.y + k.h) - greatest(d.y, k.y)) AS i, d.w * d.h + k.w * k.h AS s FROM det d JOIN kn k ON k.photo_id = d.photo_id),
+met AS (SELECT det_id, min(id) AS face FROM ov WHERE i > 0 AND i / (s - i) > 0.1 GROUP BY 1),
+best AS (SELECT det_id, arg_min(label, (-score, vec_id)) AS who, max(score) AS score FROM (SELECT d.det_id, c.vec_id, c.label, round({_DOT.format("d", "c")}, 12) AS score FROM det d, vectors c WHERE c.status = 'confirmed') GROUP BY 1),
+ign AS (SELECT det_id FROM (SELECT d.det_id, round({_DOT.format("d", "c")}, 12) AS score FROM det d, vectors c WHERE c.status = 'ignored') GROUP BY 1 HAVING max(score) >= 0.5)
+"""
+
+
+def _detected(c):
+    e = c.table("embeddings").select("vec_id", "embedding")
+    found = c.faces.filter("status = 'unconfirmed'").join(e, F.col("id") % 500 == F.col("vec_id")).select(F.col("id").alias("det_id"), "photo_id", "x", "y", "w", "h", "det_score", "embedding")
+    known = c.faces.filter("status <> 'unconfirmed'").select("id", "photo_id", "x", "y", "w", "h", (F.col("id") % 2 == 0).alias("has_vector"), F.when(F.col("id") % 3 > 0, F.col("person_tag_id")).alias("person"), "status")
+    return pipelines.detected(found, known, c.vectors.filter("status = 'confirmed'"), c.vectors.filter("status = 'ignored'"), 0.5, 0.3, 0.1, 0.1)
+
+
+@query(
+    "D19_faces_met_by_a_scan",
+    _DETECTED
+    + """, f AS (SELECT m.face, arg_max(d.det_score, m.det_id) AS score, min(m.det_id) AS first_det FROM met m JOIN det d USING (det_id) GROUP BY 1)
+SELECT k.id, round(f.score, 4) AS det_score, CASE WHEN NOT has_vector THEN first_det END AS det_id, coalesce(k.person, CASE WHEN NOT has_vector AND b.score >= 0.3 THEN b.who END) AS person,
+CASE WHEN k.person IS NULL AND NOT has_vector AND b.score >= 0.3 THEN CASE WHEN b.score >= 0.5 THEN 'confirmed' ELSE 'suggested' END ELSE k.status END AS status FROM f JOIN kn k ON k.id = f.face LEFT JOIN best b ON b.det_id = f.first_det""",
+)
+def faces_met(c):
+    return _detected(c)[0]
+
+
+@query(
+    "D19_new_faces_of_a_scan",
+    _DETECTED
+    + """SELECT d.det_id, d.photo_id, CASE WHEN i.det_id IS NULL AND b.score >= 0.3 THEN b.who END AS person, CASE WHEN i.det_id IS NOT NULL THEN 'ignored' WHEN b.score >= 0.5 THEN 'confirmed' WHEN b.score >= 0.3 THEN 'suggested' ELSE 'unconfirmed' END AS status,
+CASE WHEN i.det_id IS NULL AND b.score >= 0.3 THEN CAST(format('{:.2f}', b.score) AS DOUBLE) END AS best_match_score FROM det d LEFT JOIN best b USING (det_id) LEFT JOIN ign i USING (det_id) WHERE d.det_id NOT IN (SELECT det_id FROM met)""",
+)
+def new_faces(c):
+    return _detected(c)[1]
