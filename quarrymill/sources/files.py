@@ -72,8 +72,9 @@ def vector_to_bytes(v: pd.Series) -> pd.Series:
 
 
 def vector_literal(v: Column) -> Column:
-    """S12: "[x,y,...]" with six decimals."""
-    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.6f", x)), ","), F.lit("]"))
+    """S12: "[x,y,...]" with six decimals; a number halfway between two goes to the even one. Null components are left out."""
+    six = lambda x: F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(F.call_function("format_number", x, F.lit("0.000000")))
+    return F.concat(F.lit("["), F.array_join(F.transform(v, six), ","), F.lit("]"))
 
 
 def backfilled(rows: DataFrame, raw: str, vector: str, width: int) -> DataFrame:
