@@ -66,3 +66,18 @@ def test_index_with_inserts_and_awkward_rows(spark, tmp_path):
     assert hits >= 0.95 * 5 * len(got)
     empty = gi.create_index(table_of([]), f"file://{tmp_path}/none", 2)
     assert gi.nearest(empty, table_of([1]), 3).count() == 0 and gi.nearest(table, table_of([]), 3).count() == 0
+
+
+def test_buckets_that_come_in_several_batches(spark, tmp_path):
+    x = clustered(300, 8)
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        table = gi.create_index(rows.filter("vec_id < 200"), f"file://{tmp_path}/b", 1)
+        gi.insert_vectors(table, rows)
+        got = {(r["query_id"], r["id"]) for r in gi.nearest(table, rows, 3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    scores = np.round(x @ x.T, 12) - 9 * np.eye(300)
+    exact = {(q, int(i)) for q in range(300) for i in np.argsort(-scores[q], kind="stable")[:3]}
+    assert len(got) == 900 and len(got & exact) >= 0.95 * 900
