@@ -51,3 +51,14 @@ def test_trigrams_give_the_rows_of_a_scan(spark, tmp_path, part):
     want = {r["id"] for r in rows.filter(F.col("text").ilike(f"%{part}%")).collect()}
     found = [r["id"] for r in text_index.search_trigrams(spark, f"file://{tmp_path}/t", part).collect()]
     assert set(found) == want and len(found) == len(want)
+
+
+def test_texts_are_inverted_in_their_task(texts, index, spark, tmp_path, monkeypatch):
+    """No aggregate collects places, and small pieces give the same postings."""
+    plans = []
+    monkeypatch.setattr(text_index, "_write", lambda rows, path, term: plans.append(rows))
+    text_index.write_postings(texts, f"file://{tmp_path}/words")
+    assert "Aggregate" not in plans[0]._jdf.queryExecution().executedPlan().toString()
+    flat = lambda rows: sorted((r["term"], r["id"], tuple(r["places"])) for r in rows.collect())
+    monkeypatch.setattr(text_index, "FLUSH_POSTINGS", 5)
+    assert flat(plans[0]) == flat(spark.read.parquet(f"{index}/postings")) and len({(r["term"], r["id"]) for r in plans[0].collect()}) == plans[0].count()
