@@ -7,8 +7,8 @@ of its count.
 
 Gathered from the whole training part, by Spark: the count of every word and, from those, of every subword id. The
 counts give the outputs' starting biases, the shares within the last output and the unigram part of the mixture below.
-The attention weights are fitted on TRAIN_SHARE of the training documents, drawn by a hash of the id, and in a small
-corpus on about TRAIN_TOKENS subword ids, so what they see grows with the input. The documents are dealt into groups of
+The attention weights are fitted on all training documents but those that the mixture is fitted on. A caller may have
+them see a smaller TRAIN_SHARE, drawn by a hash of the id, of about TRAIN_TOKENS ids or more. The documents are dealt into groups of
 about GROUP_IDS ids. In each of ROUNDS rounds every group goes on from the same weights over its next windows, as a
 task of its own; the weights that come out are averaged, summed block by block before they reach the driver.
 
@@ -17,7 +17,7 @@ scored once, in a window where it has at least CONTEXT ids before it (or the tex
 probability is a mixture of four: its add-one unigram probability, the product over its ids, and two copying heads that
 attend to the whole text before the word: one to every earlier word alike, one to the words that stand behind an earlier
 occurrence of the word before. The mixture's weights, one set for words whose predecessor has stood in the text
-before and one for the others, are fitted by expectation maximisation on TUNE_SHARE of the drawn documents, which train no
+before and one for the others, are fitted by expectation maximisation on TUNE_SHARE of the documents, which train no
 weights. The words of highest count are known to every task (HOT_WORDS of them); the others meet their counts in a join.
 """
 
@@ -46,7 +46,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MODULUS, HELD_OUT = 7, 2
 CLASSES = CLASS_SIZE = 40
 WIDTH, WINDOW, CONTEXT = 16, 32, 6
-TRAIN_SHARE, TRAIN_TOKENS, GROUP_IDS = 1 / 16, 2_000_000, 1_000_000
+TRAIN_SHARE, TRAIN_TOKENS, GROUP_IDS = 1.0, 2_000_000, 1_000_000
 ROUNDS, LEAST_STEPS, STEP_WINDOWS, RATE = 4, 160, 64, 0.03
 TUNE_SHARE, TUNE_ROUNDS = 1 / 16, 8
 #: Weights before they are fitted: of unigrams, attention, earlier words, and words behind the same word; for a new predecessor and for one seen before.
