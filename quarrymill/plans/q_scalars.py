@@ -103,7 +103,8 @@ def rects(c):
     json = F.concat(F.lit('{"width": '), w, F.lit(', "y": '), y, F.lit(', "x": '), x, F.lit(', "height": '), h, F.lit("}"))
     text = F.when(F.col("id") % 3 == 0, xml).when(F.col("id") % 3 == 1, json).otherwise(F.concat_ws("  ", x, y, w, h, F.lit("more")))
     kept = c.faces.withColumn("text", F.when(F.col("h").isNotNull(), text).otherwise("1 2 3"))
-    return kept.select("id", *[g.alias(f"r{k}") for k, g in zip("xywh", sc.rect(F.col("text")), strict=True)])
+    made = kept.select("id", sc.rect_struct(F.col("text")).alias("r"))
+    return made.select("id", *[F.col(f"r.{n}").alias(f"r{n[0]}") for n in ("x", "y", "width", "height")])
 
 
 @query("X27_folder_tier", "SELECT id, CASE WHEN folder = 'AB_TO_SORT' OR starts_with(folder, 'AB_TO_SORT/') THEN 0 WHEN folder = 'Ordered by Dates' OR starts_with(folder, 'Ordered by Dates/') THEN 1 ELSE 2 END AS tier FROM copies")
