@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Shares of red, green and blue in a grey value, as whole numbers of 2^14 and as decimals.
 GREY, LUMINANCE = (4899, 9617, 1868), (0.299, 0.587, 0.114)
-BATCH_PIXELS = 1 << 22
+BATCH_PIXELS, BATCH_PICTURES = 1 << 19, 1_000  # of one stack; a picture's counts are 1,024 numbers, however small it is
 
 
 def grey(rgb: np.ndarray) -> np.ndarray:
@@ -52,7 +52,7 @@ def _stacks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.
         if (~whole).any():
             yield pdf[~whole], None, 0, 0
         for (width, height), own in pdf[whole].groupby([w[whole], h[whole]]):
-            step = max(1, BATCH_PIXELS // (width * height))
+            step = max(1, min(BATCH_PICTURES, BATCH_PIXELS // (width * height)))
             for k in range(0, len(own), step):
                 part = own.iloc[k : k + step]
                 yield part, np.clip(np.stack([np.asarray(p) for p in part["pixels"]]), 0, 255).reshape(len(part), -1, 3), width, height
