@@ -22,6 +22,8 @@ from quarrymill.functions.stemming import lexeme
 from .textsearch import parsed
 
 BUCKETS, FILES = 64, 4
+FILE_TEXTS = 1_000_000  # a bucket has a file more for every so many texts
+TASK_TEXTS = 100_000  # inverted in one task, where there are more than FILES files: their postings are sorted by partition there
 CACHE_WORDS = 200_000  # whose terms a Python worker keeps
 FLUSH_POSTINGS = 200_000
 GRAM = 3
@@ -31,9 +33,20 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def _write(rows: DataFrame, path: str, term: str) -> None:
-    """rows (term, id, ...) in buckets of the term, FILES files each at most, sorted."""
-    placed = rows.withColumn("bucket", _bucket(F.col(term))).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(FILES)))
+def _spread(rows: DataFrame, texts: int) -> DataFrame:
+    return rows if texts <= FILES * FILE_TEXTS else rows.repartition(-(-texts // TASK_TEXTS))
+
+
+def _write(rows: DataFrame, path: str, term: str, texts: int) -> None:
+    """rows (term, id, ...) in buckets of the term, sorted, FILES files each or one for every FILE_TEXTS texts.
+
+    A term has a posting a text at most, so a file's postings of a term don't grow with the table. Where there are more than
+    FILES, so many partitions are asked for that one gets about two files.
+    """
+    files = max(FILES, -(-texts // FILE_TEXTS))
+    by = ["bucket", F.pmod(F.xxhash64("id"), F.lit(files))]
+    rows = rows.withColumn("bucket", _bucket(F.col(term)))
+    placed = rows.repartition(*by) if files == FILES else rows.repartition(files * BUCKETS // 2, *by)
     placed.sortWithinPartitions("bucket", term, "id").write.partitionBy("bucket").parquet(path)
 
 
@@ -79,10 +92,10 @@ def write_postings(rows: DataFrame, path: str) -> None:
 
     Places number all words of a text, stop words too; stop words have no postings. Ids are unique.
     """
-    kind = dict(rows.dtypes)["id"]
-    words = rows.select("id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("words"))
+    kind, texts = dict(rows.dtypes)["id"], rows.count()
+    words = _spread(rows, texts).select("id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("words"))
     postings = words.mapInArrow(_inverted, f"term string, id {kind}, places array<int>")
-    _write(postings, f"{path}/postings", "term")
+    _write(postings, f"{path}/postings", "term", texts)
     rows.select("id").write.parquet(f"{path}/ids")
 
 
@@ -124,7 +137,8 @@ def _grams(text: Column) -> Column:
 
 def write_trigrams(rows: DataFrame, path: str) -> None:
     """Index rows (id, text): tables of trigrams (gram, id) of the lower-cased texts, and of the texts by id. Ids are unique."""
-    _write(rows.select(F.explode(_grams(F.col("text"))).alias("gram"), "id"), f"{path}/grams", "gram")
+    texts = rows.count()
+    _write(_spread(rows, texts).select(F.explode(_grams(F.col("text"))).alias("gram"), "id"), f"{path}/grams", "gram", texts)
     placed = rows.select("id", "text").withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int"))
     placed.repartition("bucket").sortWithinPartitions("id").write.partitionBy("bucket").parquet(f"{path}/texts")
 
