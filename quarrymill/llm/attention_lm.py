@@ -27,10 +27,10 @@ import base64
 import copy
 import functools
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from itertools import count, islice
+from itertools import count, islice, pairwise
 
 import numpy as np
 import pandas as pd
@@ -78,28 +78,45 @@ def spellings(words, path: str) -> list[list[int]]:
     return [encode(" " + w) for w in words]
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs (from, to) of texts of about BATCH_CHARS bytes."""
+    yield from stretches(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), BATCH_CHARS)
+
+
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts (strings; null: empty) as bytes, behind each other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    words, sizes = lists.flatten().view(pa.binary()), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at an edge leaves an empty word
+    of = np.repeat(np.arange(len(texts)), sizes)
+    return words.filter(pa.array(full)), np.bincount(of[full], minlength=len(texts))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, c over all of docs (one column of texts); the end token stands under "\\n". Summed in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held, rows = [], 0
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"])
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+        def out(table: pa.Table) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([table.column(0).combine_chunks().view(pa.string()), table.column(1).combine_chunks()], names=["word", "c"])
 
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                held.update(words_of(text.as_py() or b""))
-                held[END] += 1
-                if len(held) > FLUSH_WORDS:
-                    yield out()
-                    held.clear()
+            for lo, hi in pieces(batch.column(0)):
+                found = words_in(batch.column(0).slice(lo, hi - lo))[0].value_counts()
+                held += [pa.table({"word": found.field(0), "c": found.field(1)}), pa.table({"word": pa.array([END], pa.binary()), "c": [hi - lo]})]
+                rows += len(found) + 1
+                if rows > 2 * FLUSH_WORDS:
+                    held = [summed()]
+                    rows = len(held[0])
+                    if rows > FLUSH_WORDS:
+                        yield out(held[0])
+                        held, rows = [], 0
         if held:
-            yield out()
+            yield out(summed())
 
     return docs.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -189,93 +206,139 @@ class AttentionModel:
         out[order] += chosen(scores, within[order])
         return out
 
-    def _gradients(self, x: np.ndarray, y: np.ndarray, wanted: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        p, g, scale = self.p, {}, np.float32(1 / math.sqrt(WIDTH))
-        e = p["E"][x]
-        q, k, v = e @ p["Wq"] * scale, e @ p["Wk"], e @ p["Wv"]
-        s = q @ k.transpose(0, 2, 1) + p["B"][self.gap] + self.masked
-        a = np.exp(s - s.max(2, keepdims=True))
-        a /= a.sum(2, keepdims=True)
-        state = np.tanh(a @ v + e @ p["Wr"] + p["b"])
-        h, t = state[wanted], y[wanted]
-        n, cls, within = len(t), t // CLASS_SIZE, t % CLASS_SIZE
-        first = h @ p["C"].T + p["c"]
-        first = np.exp(first - first.max(1, keepdims=True))
-        first /= first.sum(1, keepdims=True)
-        loss = -np.log(first[np.arange(n), cls] + 1e-30).sum()
-        first[np.arange(n), cls] -= 1
-        g["C"], g["c"], dh = first.T @ h / n, first.sum(0) / n, first @ p["C"]
-        g["O"], g["o"] = np.zeros_like(p["O"]), np.zeros_like(p["o"])
-        for c in np.unique(cls):
-            rows = np.flatnonzero(cls == c)
-            second = h[rows] @ p["O"][c].T + p["o"][c]
-            second = np.exp(second - second.max(1, keepdims=True))
-            second /= second.sum(1, keepdims=True)
-            loss -= np.log(second[np.arange(len(rows)), within[rows]] + 1e-30).sum()
-            second[np.arange(len(rows)), within[rows]] -= 1
-            g["O"][c], g["o"][c] = second.T @ h[rows] / n, second.sum(0) / n
-            dh[rows] += second @ p["O"][c]
-        dz = np.zeros_like(state)
-        dz[wanted] = dh * (1 - h * h) / n
-        da, dv = dz @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dz
-        ds = a * (da - (a * da).sum(2, keepdims=True))
-        dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        for name, d in (("Wq", dq), ("Wk", dk), ("Wv", dv), ("Wr", dz)):
-            g[name] = flat(e).T @ flat(d)
-        g["b"] = flat(dz).sum(0)
-        g["B"] = np.bincount(self.gap.ravel(), (ds.sum(0) * (self.masked == 0)).ravel(), WINDOW).astype(np.float32)
-        de = flat(dq @ p["Wq"].T + dk @ p["Wk"].T + dv @ p["Wv"].T + dz @ p["Wr"].T)
-        g["E"] = np.zeros_like(p["E"])
-        order = np.argsort(x.ravel(), kind="stable")
+    def _gradients(self, x: np.ndarray, y: np.ndarray, wanted: np.ndarray, g: dict[str, np.ndarray]) -> float:
+        """The loss (nats an id), and in g (zeros before) the gradient of every weight.
+
+        Products are made over all ids at once, and the wanted ids stand in the order of their classes; the last column of h is a
+        one, whose weights are the biases.
+        """
+        p, d, scale, n_ids = self.p, WIDTH, np.float32(1 / math.sqrt(WIDTH)), x.size
+        names, ones = ("Wq", "Wk", "Wv", "Wr"), np.ones(max(n_ids, CLASSES, CLASS_SIZE), np.float32)
+        e, four = p["E"].take(x.ravel(), 0), np.hstack([p[w] for w in names])
+        made = e @ four
+        made[:, :d] *= scale
+        q, k, v = (made[:, i * d : (i + 1) * d].reshape(*x.shape, d) for i in range(3))
+        a = q @ k.transpose(0, 2, 1)
+        a += p["B"][self.gap] + self.masked
+        rows = a.reshape(n_ids, -1)
+        exp_of(rows)
+        rows /= (rows @ ones[: rows.shape[1]])[:, None]
+        met = (a @ v).reshape(n_ids, d)
+
+        places = np.flatnonzero(wanted)
+        order = np.argsort((y.ravel()[places] // CLASS_SIZE).astype(np.uint8), kind="stable")
+        places = places[order]
+        t, n, each = y.ravel()[places], len(places), np.arange(len(places))
+        cls, within = t // CLASS_SIZE, t % CLASS_SIZE
+        h = np.ones((n, d + 1), np.float32)
+        np.tanh((met + made[:, 3 * d :] + p["b"]).take(places, 0), out=h[:, :d])
+
+        def missed(scores: np.ndarray, at: np.ndarray) -> float:
+            """Turn scores into their gradient; the loss."""
+            exp_of(scores)
+            total = scores @ ones[: scores.shape[1]]
+            scores /= total[:, None]
+            loss = -np.log(scores[each, at] + 1e-30).sum()
+            scores[each, at] -= 1
+            return loss
+
+        first = h @ np.vstack([p["C"].T, p["c"][None, :]])
+        loss = missed(first, cls)
+        got = first.T @ h
+        g["C"][:], g["c"][:], dh = got[:, :d] / n, got[:, d] / n, first @ p["C"]
+        ends, second = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist(), np.empty((n, CLASS_SIZE), np.float32)
+        met_classes = [(c, slice(lo, hi)) for c, (lo, hi) in enumerate(pairwise(ends)) if hi > lo]
+        weights = np.concatenate([p["O"].transpose(0, 2, 1), p["o"][:, None, :]], 1)
+        for c, own in met_classes:
+            np.matmul(h[own], weights[c], out=second[own])
+        loss += missed(second, within)
+        got = np.zeros((CLASSES, CLASS_SIZE, d + 1), np.float32)
+        for c, own in met_classes:
+            np.matmul(second[own].T, h[own], out=got[c])
+            dh[own] += second[own] @ p["O"][c]
+        got /= n
+        g["O"][:], g["o"][:] = got[..., :d], got[..., d]
+
+        dz, made_d = np.zeros((n_ids, d), np.float32), np.empty((n_ids, 4 * d), np.float32)
+        dz[places] = dh * (1 - h[:, :d] ** 2) / n
+        by_window = dz.reshape(*x.shape, d)
+        ds = by_window @ v.transpose(0, 2, 1)
+        ds -= np.einsum("ij,ij->i", dz, met).reshape(*x.shape, 1)  # as met is the mean of v by a
+        ds *= a
+        parts = (ds @ k * scale, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ by_window, dz)
+        for i, part in enumerate(parts):
+            made_d[:, i * d : (i + 1) * d] = part.reshape(n_ids, d)
+        for w, got in zip(names, np.split(e.T @ made_d, 4, 1), strict=True):
+            g[w][:] = got
+        g["b"][:] = ones[:n_ids] @ dz
+        g["B"][:] = np.bincount(self.gap.ravel(), ones[: len(x)] @ ds.reshape(len(x), -1), WINDOW)
+        de, order = made_d @ four.T, np.argsort(x.ravel().astype(np.uint16), kind="stable")
         ids, starts = np.unique(x.ravel()[order], return_index=True)
-        g["E"][ids] = np.add.reduceat(de[order], starts)
-        return loss / n, g
-
-    def step(self, windows: Windows, some: np.ndarray, rate: float, moments: dict[str, list], n: int) -> float:
-        """Adam's n-th step over some of the windows; the loss (nats an id)."""
-        loss, g = self._gradients(windows.x[some], windows.y[some], windows.wanted[some])
-        for name, value in self.p.items():
-            one, two = moments[name]
-            one += 0.1 * (g[name] - one)
-            two += 0.01 * (g[name] ** 2 - two)
-            value -= (rate * (one / (1 - 0.9**n)) / (np.sqrt(two / (1 - 0.99**n)) + 1e-8)).astype(np.float32)
-        return float(loss)
+        g["E"][ids] = np.add.reduceat(de.take(order, 0), starts)
+        return loss / n
 
     def train(self, windows: Windows, number: int = 0, rounds: int = ROUNDS, rate: float = RATE, seed: int = SEED) -> list[float]:
-        """One round over its share of the windows (or LEAST_STEPS steps, if that is more); the losses."""
-        order = np.random.default_rng(seed).permutation(len(windows.x))
+        """One round of Adam's steps over its share of the windows (or LEAST_STEPS steps, if that is more); the losses (nats an id)."""
+        order = np.random.default_rng(seed).permutation(len(windows))
         own = order[number * len(order) // rounds : (number + 1) * len(order) // rounds]
         steps = max(LEAST_STEPS, -(-len(own) // STEP_WINDOWS))
         own = np.resize(own if len(own) else order, steps * STEP_WINDOWS).reshape(steps, STEP_WINDOWS)
-        moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
-        return [self.step(windows, some, rate * (1 - 0.9 * (number + k / steps) / rounds), moments, k + 1) for k, some in enumerate(own)]
+        values = self.weights()
+        self.put_weights(values)  # from now on they are views of values
+        grown, one, two = (np.zeros_like(values) for _ in range(3))
+        g, losses = self._views(grown), []
+        for k, some in enumerate(own):
+            grown[:] = 0
+            losses.append(float(self._gradients(*windows.pick(some)[:3], g)))
+            now = rate * (1 - 0.9 * (number + k / steps) / rounds)
+            one += 0.1 * (grown - one)
+            two += 0.01 * (grown**2 - two)
+            values -= now / (1 - 0.9 ** (k + 1)) * one / (np.sqrt(two / (1 - 0.99 ** (k + 1))) + 1e-8)
+        return losses
 
     def weights(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
 
+    def _views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        names = sorted(self.p)
+        ends = np.cumsum([self.p[k].size for k in names])
+        return {k: flat[end - self.p[k].size : end].reshape(self.p[k].shape) for k, end in zip(names, ends, strict=True)}
+
     def put_weights(self, flat: np.ndarray) -> None:
-        at = 0
-        for k in sorted(self.p):
-            size = self.p[k].size
-            self.p[k] = flat[at : at + size].reshape(self.p[k].shape).astype(np.float32)
-            at += size
+        self.p = self._views(flat.astype(np.float32, copy=False))
+
+
+def exp_of(scores: np.ndarray) -> None:
+    """Exponentials of rows in place, up to a factor a row: rows are only shifted where one is too large."""
+    if scores.size and scores.max() > 80:
+        scores -= scores.max(1, keepdims=True)
+    np.exp(scores, out=scores)
 
 
 class Windows:
-    """Overlapping windows over texts of outputs: x, their next outputs y, which of those are scored here, and where each stands."""
+    """Overlapping windows over texts of outputs: x, their next outputs y, which of those are scored here, and where each stands.
+
+    Only where windows begin is held; their outputs are read for those that are picked.
+    """
 
     def __init__(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
         step, n = WINDOW - CONTEXT, sizes - 1  # a text of size s has s - 1 outputs to predict
         per = 1 + np.maximum(0, -(-(n - WINDOW) // step))
-        text = np.repeat(np.arange(len(sizes)), per)
         number = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-        place = number[:, None] * step + np.arange(WINDOW)
-        inside = place < n[text][:, None]
-        self.wanted = inside & ((number == 0)[:, None] | (np.arange(WINDOW) >= CONTEXT))
-        self.target = starts[text][:, None] + np.where(inside, place, 0) + 1
-        self.y = flat[self.target]
-        self.x = flat[self.target - 1]
+        self.flat, self.begin = flat, np.repeat(starts, per) + number * step
+        self.size, self.later = np.repeat(n, per) - number * step, number > 0
+
+    def __len__(self) -> int:
+        return len(self.begin)
+
+    def pick(self, some: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """x, y, wanted and target of some of the windows."""
+        place = np.arange(WINDOW)
+        inside = place < self.size[some][:, None]
+        target = self.begin[some][:, None] + np.where(inside, place, 0) + 1
+        return self.flat[target - 1], self.flat[target], inside & (~self.later[some][:, None] | (place >= CONTEXT)), target
+
+    x, y, wanted, target = (property(lambda self, k=k: self.pick(slice(None))[k]) for k in range(4))
 
 
 class Spelled:
@@ -302,17 +365,22 @@ class Speller:
         self.known: dict[bytes, int] = defaultdict(count(len(base.words)).__next__, zip(base.words, range(len(base.words)), strict=True))
         self.flat, self.at, self.len, self.rest, self.c = base.flat, np.cumsum(base.len) - base.len, base.len, base.rest, base.c
 
-    def texts(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Indices of the words of each text, the end before and behind them."""
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the words of all texts, the end before and behind each text's, and how many each text has. Every distinct word is looked up once."""
         if len(self.known) > len(self.base.words) + CACHE_WORDS:
             self._empty()
         seen = len(self.known)
-        found = [np.fromiter(map(self.known.__getitem__, [END, *words_of(t), END]), np.int64) for t in texts]
+        words, n_words = words_in(texts)
+        coded = words.dictionary_encode()
+        distinct = np.fromiter(map(self.known.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        found = np.zeros(len(words) + 2 * len(n_words), np.int64)  # the end has index 0
+        sizes = n_words + 2
+        found[spread(np.cumsum(sizes) - sizes + 1, n_words)] = distinct[coded.indices.to_numpy(zero_copy_only=False)]
         if fresh := list(islice(self.known, seen, None)):
             new = Spelled([END, *fresh], [-1] * (len(fresh) + 1), self.model, self.vocabulary)
             self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(new.len[1:]) - new.len[1:]])
             self.flat, self.len, self.rest, self.c = (np.concatenate([old, more[1:]]) for old, more in ((self.flat, new.flat), (self.len, new.len), (self.rest, new.rest), (self.c, new.c)))
-        return found
+        return found, sizes
 
     def spell(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lens = self.len[words]
@@ -348,23 +416,22 @@ def ranks(keys: tuple[np.ndarray, ...], of: np.ndarray) -> np.ndarray:
 class Scored:
     """The words of some texts, and what the model's parts say of each: count c (below 0: not known here), attention p, and the copying heads."""
 
-    def __init__(self, speller: Speller, texts: list[bytes]) -> None:
+    def __init__(self, speller: Speller, texts: pa.Array) -> None:
         model = speller.model
-        found = speller.texts(texts)
-        self.words, self.n_words = np.concatenate(found), np.array([len(f) for f in found])
+        self.words, self.n_words = speller.texts(texts)
         flat, lens = speller.spell(self.words)
         word_start, self.first = np.cumsum(lens) - lens, np.cumsum(self.n_words) - self.n_words
         text_start = word_start[self.first]
         windows = Windows(flat, text_start, np.diff(np.concatenate([text_start, [len(flat)]])))
         logs = np.zeros(len(flat))
-        for a in range(0, len(windows.x), BATCH_WINDOWS):
-            s = slice(a, a + BATCH_WINDOWS)
-            logs[windows.target[s][windows.wanted[s]]] = model.log_probs(windows.x[s], windows.y[s], windows.wanted[s])
+        for a in range(0, len(windows), BATCH_WINDOWS):
+            x, y, wanted, target = windows.pick(slice(a, a + BATCH_WINDOWS))
+            logs[target[wanted]] = model.log_probs(x, y, wanted)
         logs[text_start] = 0
         self.p = np.exp(np.add.reduceat(logs, word_start) + speller.rest[self.words])
         self.real = np.ones(len(self.words), bool)
         self.real[self.first] = False  # the end before a text is context only
-        self.c, self.of = speller.c[self.words], np.repeat(np.arange(len(found)), self.n_words)
+        self.c, self.of = speller.c[self.words], np.repeat(np.arange(len(self.n_words)), self.n_words)
         self._copies()
 
     def _copies(self) -> None:
@@ -386,7 +453,7 @@ class Scored:
 
 def _windows(ids: list[bytes]) -> Windows:
     sizes = np.array([len(t) // 2 for t in ids], np.int64)
-    return Windows(np.frombuffer(b"".join(ids), np.int16).astype(np.int64), np.cumsum(sizes) - sizes, sizes)
+    return Windows(np.frombuffer(b"".join(ids), np.int16), np.cumsum(sizes) - sizes, sizes)
 
 
 def fit(training: DataFrame, counts: DataFrame, vocabulary: str = VOCABULARY, share: float = TRAIN_SHARE, tokens: int = TRAIN_TOKENS) -> AttentionModel:
@@ -406,8 +473,12 @@ def fit(training: DataFrame, counts: DataFrame, vocabulary: str = VOCABULARY, sh
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller = Speller(shared.value, vocabulary)
         for batch in batches:
-            rows = [speller.spell(w)[0].astype(np.int16) for w in speller.texts([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["group", "ids"])
+            for lo, hi in pieces(batch.column(1)):
+                words, n_words = speller.texts(batch.column(1).slice(lo, hi - lo))
+                flat, lens = speller.spell(words)
+                ends = np.concatenate([[0], np.cumsum(2 * np.add.reduceat(lens, np.cumsum(n_words) - n_words))]).astype(np.int32)
+                rows = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(flat.astype(np.int16))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), rows], names=["group", "ids"])
 
     group = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(groups)).cast("int")
     tuned = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(31)), F.lit(1_000_000)) / 1e6 < TUNE_SHARE
@@ -418,6 +489,7 @@ def fit(training: DataFrame, counts: DataFrame, vocabulary: str = VOCABULARY, sh
         now = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pd.DataFrame], now=now, number=number) -> Iterator[pd.DataFrame]:
+            np.empty(30_000_000, np.uint8)  # freed at once, untouched; the C library then keeps arrays up to this size in its heap, so a step gets no new pages
             for pdf in batches:
                 for group, texts in zip(pdf["group"], pdf["ids"], strict=True):
                     own = copy.deepcopy(now.value)
@@ -444,9 +516,8 @@ def tune(model: AttentionModel, texts: DataFrame, counts: DataFrame, vocabulary:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller = Speller(shared.value, vocabulary)
         for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)
-            for lo, hi in stretches(sizes, BATCH_CHARS):
-                s = Scored(speller, [t or b"" for t in batch.slice(lo, hi - lo).column(0).cast(pa.binary()).to_pylist()])
+            for lo, hi in pieces(batch.column(0)):
+                s = Scored(speller, batch.column(0).slice(lo, hi - lo))
                 names, rows = list(speller.known), np.flatnonzero(s.real)
                 columns = [pa.array([names[w] for w in s.words[rows].tolist()], pa.binary()).cast(pa.string()), pa.array(s.seen[rows].astype(np.int32)), *(pa.array(x[rows]) for x in (s.p, s.copied, s.behind))]
                 yield pa.RecordBatch.from_arrays(columns, names=["word", "seen", "p1", "p2", "p3"])
@@ -486,10 +557,9 @@ def score(docs: DataFrame, counts: DataFrame, model: AttentionModel, vocabulary:
         speller = Speller(model, vocabulary, base)
         part = 0
         for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
-            for lo, hi in stretches(sizes, BATCH_CHARS):
+            for lo, hi in pieces(batch.column(2)):
                 piece = batch.slice(lo, hi - lo)
-                s = Scored(speller, [t or b"" for t in piece.column(2).cast(pa.binary()).to_pylist()])
+                s = Scored(speller, piece.column(2))
                 share, other = s.mixed(model.mix)
                 known = s.real & (s.c >= 0)
                 mixed = np.log10(share * (np.maximum(s.c, 0) + 1) / 10**log_rest + other)
