@@ -81,13 +81,17 @@ class PayloadWriter(DataSourceWriter):
         self.folder, self.name = folder.rstrip("/"), uuid.uuid4().hex
 
     def write(self, iterator: Iterator) -> Part:
-        """One file a task, under a name of the attempt, so that what a lost attempt has written is not read."""
+        """One file a task, under a name of the attempt, so that what a lost attempt has written is not read.
+
+        The draft folder is made before any task; a task that finds none is one of an aborted write, and must not make it again.
+        """
         from pyspark import TaskContext
 
         context, lines, failed = TaskContext.get(), 0, 0
         files, root = _opened(self.folder)
         draft = f"{root}/.draft-{self.name}"
-        files.create_dir(draft, recursive=True)
+        if files.get_file_info(draft).type != fs.FileType.Directory:
+            raise FileNotFoundError(f"{draft}: the write was aborted")
         name = f"{draft}/part-{context.partitionId():05d}-{context.taskAttemptId()}.json"
         with files.open_output_stream(name) as out:
             for row in iterator:
@@ -133,7 +137,10 @@ class Payloads(DataSource):
         return "payload string"
 
     def writer(self, schema, overwrite: bool) -> PayloadWriter:
-        return PayloadWriter(self.options["path"])
+        made = PayloadWriter(self.options["path"])
+        files, root = _opened(made.folder)
+        files.create_dir(f"{root}/.draft-{made.name}", recursive=True)
+        return made
 
 
 def write_payload_table(rows: DataFrame, folder: str) -> None:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from types import SimpleNamespace
 
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from quarrymill.sources import metadata as md
@@ -36,6 +38,16 @@ def test_a_lost_attempt_is_not_read(tmp_path):
     assert [p.read_text() for p in tmp_path.glob("write-*/part-*")] == ['{"SourceFile": "kept"}\n']
 
 
+def test_a_task_that_begins_after_the_abort_leaves_nothing(tmp_path, monkeypatch):
+    writer = md.Payloads({"path": str(tmp_path)}).writer(None, False)
+    monkeypatch.setattr(TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 1))
+    assert writer.write(iter([{"payload": '{"SourceFile": "x"}'}])).written == 1
+    writer.abort([])
+    with pytest.raises(FileNotFoundError):
+        writer.write(iter([]))
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_payloads_of_awkward_photos(spark):
     photos = spark.createDataFrame(
         [(1, "a/b", "x.jpg", 7, 9, "T", "", 100, 50), (2, "/", "y.jpg", -1, 0, None, "cap", None, 50), (3, "c/", "z \"q\".jpg", None, None, "", None, 0, 0), (4, "d", "w.jpg", 3, 6, None, None, 10, 10)],
