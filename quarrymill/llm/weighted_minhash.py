@@ -1,7 +1,9 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF word shingles.
 
 A text is a weighted set of five-word shingles: a shingle's weight is how often it stands in the text, times its
-inverse document frequency. Document frequencies of shingles are counted over all documents in a sketch of fixed size:
+inverse document frequency. Of more than GROUP copies and near copies one is counted: otherwise the shingles of a large
+group would weigh less than its members' edits, and the larger the group, the more alike its members would have to be.
+Document frequencies are counted over all other documents, in a sketch of fixed size:
 two rows of COUNTERS counters, of which the smaller one counts, less what other shingles add to a counter on average.
 Its error is about the square root of (shingles of all texts / COUNTERS) documents: none in a small corpus, and a
 falling share of the documents as the corpus grows. The weights are the same for a shingle in all texts.
@@ -37,6 +39,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 4  # a pair of similarity 0.8 shares no bucket with probability 0.005
 COUNTERS = 1 << 20  # of each row of the sketch
 BLOCK = 1 << 12  # counters that travel in one row
+GROUP = 3  # documents; larger groups of copies count as one in document frequencies
+MARKS = 1 << 24  # bits, of rows that are taken off the counts; others that meet a set bit are sent for nothing
 HASH_BYTES = 6  # of a shingle, as written between the two passes
 RANGES, MOST_RANGES = 256, 4_096  # of hashes, for the bound; about two for each shingle
 CHUNK_SETS, CHUNK_SET_SHINGLES = 1_024, 1_000_000  # of a cluster, in one chunk
@@ -118,8 +122,19 @@ def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (hashes & U64(COUNTERS - 1)).astype(np.int64), ((hashes >> U64(24)) & U64(COUNTERS - 1)).astype(np.int64)
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, content (null: no words), shingles, hashes, times (null: all once) of every row of docs (doc_id, text)."""
+def _plain_buckets(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """[set, band]: buckets by smallest hashes, in which sets meet by their share of common shingles, whatever these weigh."""
+    keys = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * U64(0xD1342543DE82EF95)) | U64(1)
+    bucket = np.repeat(np.arange(bands, dtype=np.uint64)[None, :], len(starts), 0)
+    moved = np.empty_like(hashes)
+    for k, key in enumerate(keys):
+        np.multiply(hashes, key, out=moved)
+        bucket[:, k // rows] = mix(bucket[:, k // rows] * U64(0x9E3779B97F4A7C15) + np.minimum.reduceat(moved, starts))
+    return bucket.view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, text_hash, content (null: no words), shingles, hashes, times (null: all once), plain (buckets) of every row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -132,41 +147,82 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 contents: list[bytes | None] = [None] * len(part)
                 hashes: list[bytes | None] = [None] * len(part)
                 times: list[bytes | None] = [None] * len(part)
+                plain: list[np.ndarray | None] = [None] * len(part)
                 if len(full):
                     one = mix(h ^ (n.astype(np.uint64) * U64(0xA24BAED4963EE407)))
                     both = np.stack([np.add.reduceat(one, starts[full]), np.add.reduceat(mix(one + U64(1)), starts[full])], 1)
                     most = np.maximum.reduceat(n, starts[full])
                     packed = _packed(h)
-                    for i, pair, m in zip(full.tolist(), both, most.tolist(), strict=True):
+                    for i, pair, m, x in zip(full.tolist(), both, most.tolist(), _plain_buckets(h, starts[full], bands, rows), strict=True):
                         a, b = starts[i], starts[i] + size[i]
-                        contents[i], hashes[i] = pair.tobytes(), packed[a * HASH_BYTES : b * HASH_BYTES]
+                        contents[i], hashes[i], plain[i] = pair.tobytes(), packed[a * HASH_BYTES : b * HASH_BYTES], x
                         if m > 1:
                             times[i] = n[a:b].astype(np.uint32).tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(contents, pa.binary()), pa.array(size, pa.int64()), pa.array(hashes, pa.binary()), pa.array(times, pa.binary())], names=["doc_id", "text_hash", "content", "shingles", "hashes", "times"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(contents, pa.binary()), pa.array(size, pa.int64()), pa.array(hashes, pa.binary()), pa.array(times, pa.binary()), pa.array(plain, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "content", "shingles", "hashes", "times", "plain"])
 
     id_type = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {id_type}, text_hash long, content binary, shingles long, hashes binary, times binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {id_type}, text_hash long, content binary, shingles long, hashes binary, times binary, plain array<long>")
+
+
+def _surplus(sets: DataFrame) -> DataFrame:
+    """mark, surplus, shingles: rows of sets, one of each content that has too many copies or near copies, and how many counts of it are too many.
+
+    Texts in one bucket are copies of each other here. Where they are more than GROUP, a content that isn't the first of
+    its bucket doesn't count, and one that is the first in all of them counts once.
+    """
+    mark = F.xxhash64("content", "doc_id", "text_hash")
+    contents = sets.filter("content IS NOT NULL").groupBy("content").agg(F.first("plain").alias("plain"), F.min(mark).alias("mark"), F.count("*").alias("n"), F.max("shingles").alias("shingles"))
+    members = contents.select("mark", "n", F.explode("plain").alias("bucket"))
+    heads = cut(members.groupBy("bucket").agg(F.min("mark").alias("head"), F.sum("n").alias("docs")).filter(F.col("docs") > GROUP).drop("docs"))
+    grouped = cut(members.join(heads, "bucket").groupBy("mark").agg(F.max((F.col("mark") != F.col("head")).cast("int")).alias("near")))
+    return contents.join(grouped, "mark").select("mark", (F.col("n") - 1 + F.col("near")).alias("surplus"), "shingles").filter("surplus > 0")
+
+
+def _marked(sets: DataFrame, surplus: DataFrame) -> DataFrame:
+    """hashes and surplus of the rows of sets that surplus (a cut table) names. Rows without a bit in a table of MARKS bits aren't shuffled."""
+    bit = lambda mark: F.pmod(mark, F.lit(MARKS))
+    parts = surplus.groupBy(F.bitmap_bucket_number(bit(F.col("mark"))).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit(F.col("mark")))).alias("bits")).collect()  # MARKS bits in all
+    bits = np.zeros(MARKS // 8 + (1 << 12), np.uint8)
+    for r in parts:
+        bits[(r["part"] - 1) << 12 : r["part"] << 12] = np.frombuffer(r["bits"], np.uint8)
+    shared = sets.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(1).to_numpy()
+            yield batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
+
+    # The bit's number comes from the mark by the two functions that set it: buckets count from 1.
+    mark = F.xxhash64("content", "doc_id", "text_hash")
+    number = (F.bitmap_bucket_number(bit(mark)) - 1) * F.lit(1 << 15) + F.bitmap_bit_position(bit(mark))
+    rows = sets.filter("content IS NOT NULL").select(mark.alias("mark"), number.alias("number"), "hashes").mapInArrow(run, "mark long, number long, hashes binary")
+    return rows.join(surplus, "mark").dropDuplicates(["mark"]).select("hashes", "surplus")  # of rows equal in id and text one
 
 
 def inverse_frequencies(sets: DataFrame) -> np.ndarray:
-    """[row of the sketch, counter]: the inverse document frequency that a counter gives, over all of sets (a written table)."""
+    """[row of the sketch, counter]: the inverse document frequency that a counter gives, over sets (a written table), large groups of copies once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros((2, COUNTERS), np.int64)
         for batch in batches:
             lens = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False)
             for lo, hi in stretches(lens, HASH_BYTES * CHUNK_SHINGLES * 4):
+                times = np.repeat(batch.column(1).slice(lo, hi - lo).to_numpy(), lens[lo:hi] // HASH_BYTES)
                 for row, at in zip(counters, _places(_unpacked(b"".join(batch.column(0).slice(lo, hi - lo).to_pylist()))), strict=True):
-                    np.add.at(row, at, 1)
+                    np.add.at(row, at, times)
         flat = counters.reshape(-1, BLOCK)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array([b.tobytes() for b in flat], pa.binary())], names=["block", "data"])
 
-    own = sets.filter("hashes IS NOT NULL").select("hashes").mapInArrow(run, "block int, data binary").withColumn("slot", F.spark_partition_id())
+    counted = lambda rows: rows.mapInArrow(run, "block int, data binary")
+    surplus = cut(_surplus(sets))
+    every = sets.filter("hashes IS NOT NULL").select("hashes", F.lit(1).cast("long").alias("times"))
+    own = counted(every).union(counted(_marked(sets, surplus).select("hashes", -F.col("surplus")))).withColumn("slot", F.spark_partition_id())
     total = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum("shingles"), F.lit(0)).alias("held")).collect()[0]
+    less = surplus.agg(F.coalesce(F.sum("surplus"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("surplus") * F.col("shingles")), F.lit(0)).alias("held")).collect()[0]
     summed = sum_blocks(own, np.int64)  # COUNTERS numbers in all
     counters = np.frombuffer(b"".join(summed), np.int64) if summed else np.zeros(2 * COUNTERS, np.int64)
-    frequency = np.maximum(counters - total["held"] // COUNTERS, 1)
-    return (np.log((total["n"] + 1) / (frequency + 1)) + 1).astype(np.float32).reshape(2, COUNTERS)
+    frequency = np.maximum(counters - (total["held"] - less["held"]) // COUNTERS, 1)
+    return (np.log((total["n"] - less["n"] + 1) / (frequency + 1)) + 1).astype(np.float32).reshape(2, COUNTERS)
 
 
 def weights_of(hashes: np.ndarray, times: np.ndarray | None, inverse: np.ndarray) -> np.ndarray:
@@ -383,7 +439,7 @@ def classes_of(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     spark = docs.sparkSession
     own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sets_path, path = fresh_path(spark, "shingles"), fresh_path(spark, "contents")
-    shingle_sets(own).write.parquet(sets_path)
+    shingle_sets(own, bands, rows).write.parquet(sets_path)
     sets = spark.read.parquet(sets_path)
     shared = spark.sparkContext.broadcast(inverse_frequencies(sets))  # 2 * COUNTERS numbers
     _contents(sets, shared, bands, rows).write.parquet(path)
